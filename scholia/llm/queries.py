@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import decontaminate, lines, pieces, simhash, toxicity
+from scholia.llm import ctph, decontaminate, lines, pieces, simhash, token_counts, toxicity
 from scholia.llm.common import remainder
 
 
@@ -27,6 +27,16 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(load(spark, sf_dir, "documents"), piece_vocabulary())
 
 
+def op4_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edit_report(load(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -46,9 +56,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_piecewise_hash": op4_piecewise_hash,
     "op5_decontamination": op5_decontamination,
     "op7_toxicity": op7_toxicity,
     "op9_line_dedup": op9_line_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
