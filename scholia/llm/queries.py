@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import ctph, decontaminate, lines, pieces, simhash, token_counts, toxicity
+from scholia.llm import ctph, decontaminate, lines, pieces, simhash, substrings, suffixes, token_counts, toxicity
 from scholia.llm.common import remainder
 
 
@@ -49,6 +49,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(load(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(load(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(load(spark, sf_dir, "documents"))
 
@@ -58,11 +66,16 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_piecewise_hash": op4_piecewise_hash,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
+    "op5_decontamination": decontaminate.REPORT_SQL,
+    "op6_suffix_dedup": suffixes.REPORT_SQL,
+    "op8_substring_dedup": substrings.REPORT_SQL,
     "op9_line_dedup": lines.REPORT_SQL,
 }
