@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import ctph, decontaminate, lines, pieces, simhash, substrings, suffixes, token_counts, toxicity
+from scholia.llm import ctph, decontaminate, lines, mixing, pieces, simhash, substrings, suffixes, token_counts, toxicity
 from scholia.llm.common import remainder
 
 
@@ -23,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(load(spark, sf_dir, "documents"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(load(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(load(spark, sf_dir, "documents"), piece_vocabulary())
 
@@ -63,6 +67,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_context_mixing": op2_context_mixing,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_piecewise_hash": op4_piecewise_hash,
     "op5_decontamination": op5_decontamination,
