@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,22 @@ def _clean() -> None:
             return
 
 
+class Shared:
+    """A value of bounded size for all tasks. Its classes travel with it, so executors need no copy of the repository."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self._held, self._got = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"_held": self._held, "_got": None}
+
+    @property
+    def value(self):
+        if self._got is None:
+            self._got = pickle.loads(self._held.value)
+        return self._got
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that a Python worker holds few texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

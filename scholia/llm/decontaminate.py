@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import as_bytes, column, save, session, small_batches, texts
+from scholia.llm.common import Shared, as_bytes, column, save, session, small_batches, texts
 
 #: Words of a window.
 WINDOW = 10
@@ -54,7 +54,7 @@ def _own_terms(terms: DataFrame):
     """The distinct test terms, broadcast, if they are few enough; else None."""
     distinct = terms.select("term").distinct()
     found = distinct.limit(BROADCAST_TERMS + 1).collect()
-    return session(terms).sparkContext.broadcast({bytes(r[0]) for r in found}) if len(found) <= BROADCAST_TERMS else None
+    return Shared(session(terms), {bytes(r[0]) for r in found}) if len(found) <= BROADCAST_TERMS else None
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scholia.llm.common import column, session, texts
+from scholia.llm.common import Shared, column, session, texts
 
 #: The mark that stands for a space in pieces.
 MARK = "▁"
@@ -125,7 +125,7 @@ class Coder:
 
 
 def _mapped(docs: DataFrame, vocabulary: Vocabulary, make, schema: pa.Schema, ddl: str) -> DataFrame:
-    held = session(docs).sparkContext.broadcast(vocabulary)  # the size of the vocabulary, whatever the corpus
+    held = Shared(session(docs), vocabulary)  # the size of the vocabulary, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(held.value)
@@ -164,7 +164,7 @@ def digest(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids give a null text. Unfinished byte runs decode to U+FFFD."""
-    held = session(encoded).sparkContext.broadcast(vocabulary)
+    held = Shared(session(encoded), vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(held.value)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scholia.llm.common import column, session, texts
+from scholia.llm.common import Shared, column, session, texts
 
 #: Code points of a chunk and of the overlap of two chunks at first.
 CHUNK, OVERLAP = 20_000, 400
@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, chunk
     """One row for each row of docs: doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens).
     A null text counts as empty. Special strings inside texts are handled as the library does by default."""
     with open(tokenizer_file, encoding="utf-8") as f:
-        held = session(docs).sparkContext.broadcast(f.read())  # a vocabulary, whatever the corpus
+        held = Shared(session(docs), f.read())  # a vocabulary, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(held.value, chunk, overlap)

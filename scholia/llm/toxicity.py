@@ -11,6 +11,7 @@ gives a number between 0 and 1.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import as_bytes, column, map_batches, remainder, session, texts
+from scholia.llm.common import Shared, as_bytes, column, map_batches, remainder, session, texts
 
 #: The most labelled documents that the scores are learned from: those of smallest hashed id.
 TRAINING_ROWS = 20_000
 #: Weight of the prior, in documents.
 PRIOR = 20.0
 #: Standard errors by which a token's log-odds are lowered towards zero.
-CAUTION = 1.64
+CAUTION = 2.33
 #: What a token without a score of its own costs; keeps passages short.
 DRIFT = 0.35
 
@@ -35,11 +36,20 @@ DRIFT = 0.35
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() or b == 39 else 32 for b in range(256))
 
 
+#: Bytes of the stems that stand for words too rare to be known themselves.
+STEMS = (4, 5, 6, 7, 8)
+
+
 def tokens(data: bytes) -> list[bytes]:
     """Lower-case words without ASCII punctuation."""
     return data.translate(_FOLD).split()
 
 
+def features(word: bytes) -> list[bytes]:
+    """A word and its stems, which a zero byte marks."""
+    return [word, *(b"\0" + word[:k] for k in STEMS if len(word) > k)]
+
+
 @dataclass
 class Model:
     """Scores by token, and the laws that turn a passage's score into a probability."""
@@ -50,9 +60,17 @@ class Model:
     bias: float
     slope: float
 
+    def __post_init__(self) -> None:
+        self.seen: dict[bytes, float] = {}
+
     def series(self, words: list[bytes]) -> np.ndarray:
-        get = self.scores.get
-        return np.fromiter((get(w, -DRIFT) for w in words), np.float64, len(words))
+        """Each word's score: the highest among its own and its stems', else what a neutral word costs."""
+        seen, get = self.seen, self.scores.get
+        if len(seen) > 300_000:
+            seen.clear()
+        for w in set(words) - seen.keys():
+            seen[w] = max(get(f, -DRIFT) for f in features(w))
+        return np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
 
     def evidence(self, best: float, n: int) -> float:
         return self.lam * best - self.log_k - math.log(max(n, 1))
@@ -102,27 +120,30 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     rows = rows.where("doc_id is not null and toxic is not null").where(remainder(folds) != 0)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows)
     bounded = spark.createDataFrame(rows.toPandas().astype("int64"), "doc_id long, toxic long")  # training_rows rows at most
+    # copies of one text would make its words look like evidence, so each family of texts teaches once
+    kept = texts(docs).join(F.broadcast(bounded), "doc_id").mapInArrow(_families, "doc_id long, toxic long, one long, two long")
+    kept = kept.groupBy("toxic", "one").agg(F.min(F.struct("doc_id", "two")).alias("r")).groupBy("toxic", "r.two").agg(F.min("r.doc_id").alias("doc_id"))
+    labelled = kept.select("doc_id", "toxic").toPandas().astype("int64")
+    bounded = spark.createDataFrame(labelled, "doc_id long, toxic long")
     known = texts(docs).join(F.broadcast(bounded), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        size = [0, 0]
         for batch in batches:
             for data, label in zip(as_bytes(batch), column(batch, "toxic"), strict=True):
-                seen[label > 0].update(set(tokens(data)))
-                size[label > 0] += 1
-        both = [b"", *(seen[0].keys() | seen[1].keys())]  # the empty token counts documents
+                seen[label > 0].update({f for w in set(tokens(data)) for f in features(w)})
+        both = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_pydict(
-            {"token": both, "clean": [size[0], *(seen[0][w] for w in both[1:])], "toxic": [size[1], *(seen[1][w] for w in both[1:])]},
-            schema=pa.schema([("token", pa.binary()), ("clean", pa.int64()), ("toxic", pa.int64())]),
+            {"token": both, "clean": [seen[0][w] for w in both], "toxic": [seen[1][w] for w in both]}, schema=pa.schema([("token", pa.binary()), ("clean", pa.int64()), ("toxic", pa.int64())])
         )
 
-    counts = known.mapInArrow(count, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rare = counts.where((F.col("clean") + F.col("toxic") >= 5) | (F.col("token") == F.lit(b"")))
-    table = {bytes(r["token"]): (r["clean"], r["toxic"]) for r in rare.collect()}  # words of the bounded sample
-    clean, toxic = table.pop(b"", (0, 0))
+    toxic = int((labelled["toxic"] > 0).sum())
+    clean = len(labelled) - toxic
     if not clean or not toxic:
         return Model({}, 1.0, 0.0, -1.0, 0.0)
+    counts = known.mapInArrow(count, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    telling = counts.where((F.col("toxic") >= 3) & (F.col("toxic") * clean > 2 * F.col("clean") * toxic))
+    table = {bytes(r["token"]): (r["clean"], r["toxic"]) for r in telling.collect()}  # words of the bounded sample
     scores = {}
     for word, (c, t) in table.items():
         prior = PRIOR * (c + t) / (clean + toxic)
@@ -132,13 +153,23 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
         spread = CAUTION * math.sqrt(1 / (t + prior) + 1 / (c + prior))
         if odds - spread > DRIFT:
             scores[word] = odds - spread
-        elif odds + spread < 0:
-            scores[word] = max(odds + spread, -2.0) - DRIFT
     model = Model(scores, 1.0, 0.0, 0.0, 1.0)
     found = known.mapInArrow(_passages(model), "toxic long, n long, best double").toPandas()  # three numbers for each training document
     return _calibrate(model, found["toxic"].to_numpy() > 0, found["n"].to_numpy(), found["best"].to_numpy())
 
 
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two min-hashes of each text's runs of four tokens: copies share one or the other."""
+    kind = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
+    for batch in batches:
+        least = []
+        for data in as_bytes(batch):
+            w = tokens(data)
+            h = {zlib.crc32(b" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))}
+            least.append((min(h), min(x * 0x9E3779B1 & 0xFFFFFFFF for x in h)))
+        yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "toxic": column(batch, "toxic"), "one": [a for a, _ in least], "two": [b for _, b in least]}, schema=kind)
+
+
 def _passages(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +205,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     passages: token ranges of the maximal passages that would by themselves make a text toxic. Null and empty
     texts have no token and score as a text without any passage. Repeated rows are scored each.
     """
-    held = session(docs).sparkContext.broadcast(model)  # bounded by the training sample
+    held = Shared(session(docs), model)  # bounded by the training sample
 
     def make(batch: pa.RecordBatch) -> dict:
         model = held.value
@@ -198,7 +229,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     from scholia.llm.common import small_batches
 
     small_batches(session(docs))
-    held = session(docs).sparkContext.broadcast(model)
+    held = Shared(session(docs), model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
