@@ -60,8 +60,8 @@ class Source:
         return self.table("part").select(
             k.alias("id"), (k % 50).alias("document_id"), F.when(k % 3 == 0, "answer").otherwise("question").alias("content_role"),
             F.when(k % 4 == 0, "").otherwise(F.col("p_brand")).alias("section_scope"), (F.col("p_size") % 3).cast("int").alias("set_no"),
-            F.get(F.array(F.lit("single"), F.lit("judge"), F.lit("essay")), (k % 3).cast("int")).alias("question_type"), (F.floor(k / 50) % 40 + 1).cast("int").alias("question_no"),
-            (F.floor(k / 100) + 1).cast("int").alias("page_start"), (F.floor(k / 100) + 1 + F.col("p_size") % 2).cast("int").alias("page_end"), (F.col("p_size") * 7 % 10).cast("int").alias("marker_top"), F.col("p_name").alias("anchor"),
+            F.get(F.array(F.lit("single"), F.lit("judge"), F.lit("essay")), (k % 3).cast("int")).alias("question_type"), (F.floor(k / 50) % 40 + 1).cast("long").alias("question_no"),
+            (F.floor(k / 100) + 1).cast("long").alias("page_start"), (F.floor(k / 100) + 1 + F.col("p_size") % 2).cast("long").alias("page_end"), (F.col("p_size") * 7 % 10).cast("int").alias("marker_top"), F.col("p_name").alias("anchor"),
         )
 
     def candidates(self) -> DataFrame:
@@ -69,8 +69,8 @@ class Source:
         k = F.col("p_partkey")
         return self.table("part").select(
             k.alias("id"), F.col("p_brand").alias("section_scope"), F.concat_ws("/", "p_type", "p_brand").alias("section_path"), (F.col("p_size") % 3).cast("int").alias("set_no"),
-            F.get(F.array(F.lit("single_choice"), F.lit("true_false"), F.lit("subjective")), (k % 3).cast("int")).alias("question_type"), (k % 40).cast("int").alias("question_no"), F.col("p_name").alias("stem"),
-            (F.floor(k / 20)).cast("int").alias("page_start"), (F.floor(k / 20) + k % 3).cast("int").alias("page_end"), (k % 10).alias("document_id"),
+            F.get(F.array(F.lit("single_choice"), F.lit("true_false"), F.lit("subjective")), (k % 3).cast("int")).alias("question_type"), (k % 40).cast("long").alias("question_no"), F.col("p_name").alias("stem"),
+            (F.floor(k / 20)).cast("long").alias("page_start"), (F.floor(k / 20) + k % 3).cast("long").alias("page_end"), (k % 10).alias("document_id"),
         )
 
     def answers(self) -> DataFrame:
@@ -80,8 +80,8 @@ class Source:
             k.alias("id"), F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string")).alias("section_scope"),
             F.concat_ws("/", F.get(F.array(*(F.lit(x) for x in ("STANDARD", "ECONOMY", "MEDIUM", "PROMO", "LARGE", "SMALL"))), (k % 6).cast("int")), F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string"))).alias("section_path"),
             (F.col("c_nationkey") % 3).alias("set_no"), F.get(F.array(F.lit("single_choice"), F.lit("true_false"), F.lit("subjective")), (k % 3).cast("int")).alias("question_type"),
-            (F.floor(k / 25) % 40).cast("int").alias("question_no"), F.substring("c_mktsegment", 1, 1).alias("value"), (F.col("c_nationkey") % 5).alias("run_id"), F.col("c_acctbal").alias("confidence"),
-            (F.floor(k / 15)).cast("int").alias("page_start"), (F.floor(k / 15) + k % 2).cast("int").alias("page_end"), (k % 10).alias("document_id"),
+            (F.floor(k / 25) % 40).cast("long").alias("question_no"), F.substring("c_mktsegment", 1, 1).alias("value"), (F.col("c_nationkey") % 5).alias("run_id"), F.col("c_acctbal").alias("confidence"),
+            (F.floor(k / 15)).cast("long").alias("page_start"), (F.floor(k / 15) + k % 2).cast("long").alias("page_end"), (k % 10).alias("document_id"),
         )
 
     def lines(self) -> DataFrame:

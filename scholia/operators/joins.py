@@ -20,7 +20,7 @@ def unique_join(left: DataFrame, right: DataFrame, on: Column, left_id: str) ->
     `on` may name left columns and r_ columns."""
     a, b = _aliased(left, right)
     matched = a.join(b, on)
-    return matched.withColumn("n", F.count("*").over(W.partitionBy(left_id))).where("n = 1").drop("n")
+    return matched.withColumn("__n", F.count("*").over(W.partitionBy(left_id))).where("__n = 1").drop("__n")
 
 
 def left_unique_join(left: DataFrame, right: DataFrame, on: Column, left_id: str, right_id: str) -> DataFrame:
@@ -28,7 +28,7 @@ def left_unique_join(left: DataFrame, right: DataFrame, on: Column, left_id: str
     a, b = _aliased(left, right)
     matched = a.join(b, on, "left")
     w = W.partitionBy(left_id)
-    counted = matched.withColumn("matches", F.count(f"r_{right_id}").over(w)).withColumn("k", F.row_number().over(w.orderBy(f"r_{right_id}"))).where("k = 1").drop("k")
+    counted = matched.withColumn("matches", F.count(f"r_{right_id}").over(w)).withColumn("__k", F.row_number().over(w.orderBy(f"r_{right_id}"))).where("__k = 1").drop("__k")
     return counted.select(*left.columns, *(F.when(F.col("matches") == 1, F.col(c)).alias(c) for c in b.columns), "matches")
 
 

@@ -1 +1,211 @@
-"""."""
+"""From pages to deduplicated candidate questions: flags, windows, segments, hashes, triage and coverage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from scholia.adapters import Source
+from scholia.functions import text
+from scholia.operators import sets, windows
+from scholia.plans.practice import playable
+from scholia.registry import query
+
+C = F.col
+#: What opens a segment of the sample documents, which have no numbered questions.
+START = "(?i)^[a-g]"
+
+
+def pages(s: Source) -> DataFrame:
+    """(doc_id, page_no, text): the lines of a page joined again."""
+    rows = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    return s.lines().groupBy("doc_id", "page_no").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+
+
+_PAGES = "pg AS (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL)"
+
+
+@query("src3_src5_mime", "SELECT source, CASE WHEN source LIKE '%w%' THEN 'pdf' WHEN source LIKE '%c%' THEN 'text' ELSE 'rejected' END AS reader, count(*) AS n FROM documents GROUP BY ALL")
+def mime(s: Source) -> DataFrame:
+    reader = F.when(C("source").like("%w%"), "pdf").when(C("source").like("%c%"), "text").otherwise("rejected")
+    return s.table("documents").groupBy("source", reader.alias("reader")).agg(F.count("*").alias("n"))
+
+
+@query("src4_cor24_page_flags", f", {_PAGES} SELECT doc_id, page_no, CAST(strlen(text) AS BIGINT) AS text_len, strlen(trim(text)) < 20 AS needs_ocr FROM pg")
+def page_flags(s: Source) -> DataFrame:
+    return pages(s).select("doc_id", "page_no", F.octet_length("text").cast("long").alias("text_len"), (F.octet_length(F.trim("text")) < 20).alias("needs_ocr"))
+
+
+@query("agg15_scanned", f", {_PAGES} SELECT doc_id, count(*) AS n_pages, count(*) FILTER (WHERE strlen(trim(text)) < 20) AS bad, count(*) FILTER (WHERE strlen(trim(text)) < 20) >= greatest(1, 0.2 * count(*)) AS is_scanned FROM pg GROUP BY doc_id")
+def scanned(s: Source) -> DataFrame:
+    bad = F.count_if(F.octet_length(F.trim("text")) < 20)
+    return pages(s).groupBy("doc_id").agg(F.count("*").alias("n_pages"), bad.alias("bad"), (bad >= F.greatest(F.lit(1.0), 0.2 * F.count("*"))).alias("is_scanned"))
+
+
+@query("src7_hash_ingest", "SELECT min(doc_id) AS doc_id, sha256(text) AS file_hash FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
+def ingest(s: Source) -> DataFrame:
+    """One row for each content, the first of its ids."""
+    return s.table("documents").where("text is not null").groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("cor1_page_windows", "SELECT doc_id, CAST(first AS INTEGER) AS first, CAST(least(first + 3, n) AS INTEGER) AS last, CAST(least(first + 4, n) AS INTEGER) AS context_last FROM (SELECT doc_id, n, unnest(range(1, n + 1, 4)) AS first FROM (SELECT doc_id, max(page_no) AS n FROM lines GROUP BY doc_id))")
+def page_windows(s: Source) -> DataFrame:
+    """Four pages of its own and one of context for each window."""
+    n = s.lines().groupBy("doc_id").agg(F.max("page_no").alias("n"))
+    w = n.select("doc_id", "n", F.explode(F.sequence(F.lit(1), "n", F.lit(4))).alias("first"))
+    return w.select("doc_id", "first", F.least(C("first") + 3, "n").alias("last"), F.least(C("first") + 4, "n").alias("context_last"))
+
+
+def segmented(s: Source) -> DataFrame:
+    lines = s.lines().where(F.trim("line") != "")
+    return windows.segments(lines, ["doc_id"], ["line_no"], C("line").rlike(START))
+
+
+@query("win12_cor2_candidates", f""", g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{START}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS seg FROM lines WHERE trim(line) <> '')
+    SELECT doc_id, CAST(seg AS BIGINT) AS segment, min(page_no) AS page_start, max(page_no) AS page_end, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS input_hash FROM g WHERE seg > 0 GROUP BY ALL""")
+def candidates(s: Source) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    g = segmented(s).groupBy("doc_id", "segment").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("raw"))
+    return g.select("doc_id", "segment", "page_start", "page_end", F.sha2("raw", 256).alias("input_hash"))
+
+
+@query("win13_drop_repeats", """, l AS (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM lines) SELECT doc_id, count(*) AS n_lines FROM l WHERE NOT (line IS NOT DISTINCT FROM before AND strlen(trim(line)) >= 4) GROUP BY doc_id""")
+def no_repeats(s: Source) -> DataFrame:
+    return windows.drop_repeats(s.lines(), ["doc_id"], ["line_no"], "line").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query("str1_clean_text")
+def cleaned(s: Source) -> DataFrame:
+    return s.table("documents").select("doc_id", F.sha2(text.clean_page(C("text")), 256).alias("cleaned"))
+
+
+@query("str2_hsh1_hsh2_normalise", r"SELECT doc_id, sha256(lower(regexp_replace(text, '[ \t\n\r]', '', 'g'))) AS full_hash, substr(sha256(text), 1, 32) AS hash16 FROM documents")
+def normalised(s: Source) -> DataFrame:
+    return s.table("documents").select("doc_id", F.sha2(text.normalize(C("text")), 256).alias("full_hash"), text.hash16(C("text")).alias("hash16"))
+
+
+_HASHED = r"h AS (SELECT d.doc_id, sha256(lower(regexp_replace(coalesce(text, ''), '[ \t\n\r]', '', 'g'))) AS k, coalesce(quality, 1) AS answer FROM documents d LEFT JOIN labels USING (doc_id))"
+
+
+def hashed(s: Source) -> DataFrame:
+    d = s.table("documents").join(s.table("labels").select("doc_id", "quality"), "doc_id", "left")
+    return d.select("doc_id", F.sha2(text.normalize(F.coalesce("text", F.lit(""))), 256).alias("k"), F.coalesce("quality", F.lit(1)).alias("answer"))
+
+
+@query("cor3_hash_dedup", f", {_HASHED} SELECT min(doc_id) AS doc_id, k, count(*) AS copies FROM h GROUP BY k")
+def hash_dedup(s: Source) -> DataFrame:
+    return hashed(s).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("cor6_cor8_join22_triage", f""", {_HASHED}, f AS (SELECT k, min(doc_id) AS first_id, arg_min(answer, doc_id) AS first_answer FROM h GROUP BY k)
+    SELECT doc_id, first_id AS question_id, CASE WHEN doc_id = first_id THEN 'new' WHEN answer = first_answer THEN 'duplicate' ELSE 'conflict' END AS status FROM h JOIN f USING (k)""")
+def triage(s: Source) -> DataFrame:
+    """The first of equal texts is new; later ones are duplicates, or conflicts if their answer differs. The firsts come
+    from a grouped minimum, so copies within a batch see one another and a large group of copies meets no window."""
+    h = hashed(s)
+    first = h.groupBy("k").agg(F.min(F.struct("doc_id", "answer")).alias("f"))
+    status = F.when(C("doc_id") == C("f.doc_id"), "new").when(C("answer") == C("f.answer"), "duplicate").otherwise("conflict")
+    return h.join(first, "k").select("doc_id", C("f.doc_id").alias("question_id"), status.alias("status"))
+
+
+@query("cor4_cor5_flt11_validation", """SELECT question_id, array_to_string(list_filter([CASE WHEN length(stem) < 11 THEN 'STEM_SHORT' END, CASE WHEN type IN ('single_choice', 'multiple_choice', 'true_false') AND NOT regexp_matches(options_json, '"key":"[^" ]+","content":"[^" ]+"') THEN 'OPTIONS_REQUIRED' END,
+    CASE WHEN NOT regexp_matches(coalesce(answer_json, ''), '"[^" ]+"') THEN 'ANSWER_INVALID' END], lambda x: x IS NOT NULL), ',') AS issues FROM questions""")
+def validation(s: Source) -> DataFrame:
+    issues = F.array_compact(F.array(
+        F.when(F.char_length("stem") < 11, "STEM_SHORT"), F.when(~playable(answer=False), "OPTIONS_REQUIRED"), F.when(~playable(options=False), "ANSWER_INVALID"),
+    ))
+    return s.questions().select("question_id", F.array_join(issues, ",").alias("issues"))
+
+
+@query("set3_cor9_coverage", """, c AS (SELECT document_id, question_no, count(*) AS n FROM directory WHERE content_role = 'question' GROUP BY ALL), a AS (SELECT document_id, question_no, count(*) AS m FROM directory WHERE content_role = 'answer' GROUP BY ALL)
+    SELECT document_id, question_no, unnest(range(1, n - coalesce(m, 0) + 1)) AS n FROM c LEFT JOIN a USING (document_id, question_no) WHERE n > coalesce(m, 0)""")
+def coverage(s: Source) -> DataFrame:
+    """Printed numbers without a catalogue entry, each as often as it is missing."""
+    d = s.directory()
+    return sets.multiset_difference(d.where("content_role = 'question'"), d.where("content_role = 'answer'"), ["document_id", "question_no"])
+
+
+@query("str16_printed_markers")
+def markers(s: Source) -> DataFrame:
+    return s.table("documents").select("doc_id", F.size(text.printed_markers(C("text"))).alias("n_markers"))
+
+
+@query("cor16_window_conservation", """SELECT id, 'missing' AS issue FROM candidates ANTI JOIN answers USING (section_scope, question_no) UNION ALL SELECT id, 'unknown' FROM answers ANTI JOIN candidates USING (section_scope, question_no)""")
+def conservation(s: Source) -> DataFrame:
+    k, c, a = ["section_scope", "question_no"], s.candidates(), s.answers()
+    one = c.join(a, k, "left_anti").select("id", F.lit("missing").alias("issue"))
+    return one.unionByName(a.join(c, k, "left_anti").select("id", F.lit("unknown").alias("issue")))
+
+
+@query("cor11_history_recovery", f""", {_HASHED}, best AS (SELECT k, arg_min(doc_id, (-n, doc_id)) AS source_id FROM (SELECT h.k, h.doc_id, count(l.line_no) AS n FROM h JOIN lines l USING (doc_id) GROUP BY ALL) GROUP BY k)
+    SELECT h.doc_id, source_id FROM h JOIN best USING (k) WHERE h.doc_id <> source_id""".replace("arg_min(doc_id, (-n, doc_id))", "(list(doc_id ORDER BY n DESC, doc_id))[1]"))
+def history(s: Source) -> DataFrame:
+    """For each document the richest earlier import of the same content."""
+    h = hashed(s)
+    n = s.lines().groupBy("doc_id").agg(F.count("*").alias("n"))
+    best = h.join(n, "doc_id").groupBy("k").agg(F.max(F.struct("n", (-C("doc_id")).alias("m"))).alias("b")).select("k", (-C("b.m")).alias("source_id"))
+    return h.join(best, "k").where("doc_id <> source_id").select("doc_id", "source_id")
+
+
+@query("cor14_span_dedup", "SELECT DISTINCT document_id, content_role, page_start, page_end, marker_top FROM directory")
+def spans(s: Source) -> DataFrame:
+    return s.directory().dropDuplicates(["document_id", "content_role", "page_start", "page_end", "marker_top"]).select("document_id", "content_role", "page_start", "page_end", "marker_top")
+
+
+@query("cor15_provenance", "SELECT document_id, string_agg(id || ':' || page_start || '-' || page_end, ';' ORDER BY id) AS spans FROM directory GROUP BY document_id")
+def provenance(s: Source) -> DataFrame:
+    one = lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["page_start"].cast("string"), F.lit("-"), r["page_end"].cast("string"))
+    return s.directory().groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "page_start", "page_end"))), one), ";").alias("spans"))
+
+
+@query("cor12_agg27_state_audit", "SELECT o_orderkey, n AS counted, o_orderkey % 7 AS stored FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) WHERE n <> o_orderkey % 7")
+def audit(s: Source) -> DataFrame:
+    """Counters that differ from what their rows give."""
+    n = s.table("lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    o = s.table("orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("counted"), (C("o_orderkey") % 7).alias("stored"))
+    return o.where("counted <> stored")
+
+
+@query("cor18_job_metrics", "SELECT bank_id, count(*) AS expected, count(*) FILTER (WHERE status = 'published') AS complete, CASE WHEN count(*) = count(*) FILTER (WHERE status = 'published') THEN 'draft_ready' ELSE 'needs_attention' END AS state FROM questions GROUP BY bank_id")
+def job_metrics(s: Source) -> DataFrame:
+    g = s.questions().groupBy("bank_id").agg(F.count("*").alias("expected"), F.count_if(C("status") == "published").alias("complete"))
+    return g.withColumn("state", F.when(C("expected") == C("complete"), "draft_ready").otherwise("needs_attention"))
+
+
+@query("cor19_cor20_upsert", "SELECT section_scope, question_no, arg_max(value, id) AS value, max(confidence) FILTER (WHERE confidence > 0) AS confidence, count(*) AS revisions FROM answers GROUP BY ALL")
+def upsert(s: Source) -> DataFrame:
+    """The last value wins, a blank confidence keeps the best before, every write is a revision."""
+    return s.answers().groupBy("section_scope", "question_no").agg(F.max_by("value", "id").alias("value"), F.max(F.when(C("confidence") > 0, C("confidence"))).alias("confidence"), F.count("*").alias("revisions"))
+
+
+@query("cor13_default_subject", "SELECT bank_id, arg_min(subject, question_id) AS subject FROM questions GROUP BY bank_id")
+def default_subject(s: Source) -> DataFrame:
+    return s.questions().groupBy("bank_id").agg(F.min_by("subject", "question_id").alias("subject"))
+
+
+@query("cor23_preview", """SELECT question_id, issue FROM (SELECT question_id, unnest(list_filter([CASE WHEN status = 'draft' THEN 'DRAFT' END, CASE WHEN answer_json IS NULL THEN 'NO_ANSWER' END], lambda x: x IS NOT NULL)) AS issue FROM questions)""")
+def issues(s: Source) -> DataFrame:
+    return s.questions().select("question_id", F.explode(F.array_compact(F.array(F.when(C("status") == "draft", "DRAFT"), F.when(C("answer_json").isNull(), "NO_ANSWER")))).alias("issue"))
+
+
+@query("str28_canonical_type", "SELECT id, CASE question_type WHEN 'single' THEN 'single_choice' WHEN 'judge' THEN 'true_false' ELSE 'subjective' END AS question_type FROM directory")
+def types(s: Source) -> DataFrame:
+    return s.directory().select("id", text.canonical_type(C("question_type")).alias("question_type"))
+
+
+@query("str4_str5_str13_keys", r"""SELECT n_nationkey, lower(regexp_replace('《' || n_name || '》 （A·' || n_nationkey || '） ； x', '[《》〈〉（）()\[\]:,.;；·\s]', '', 'g')) AS scope_key, regexp_replace(n_name || ' X y', '\s', '', 'g') AS name_key FROM nation""")
+def keys(s: Source) -> DataFrame:
+    raw = F.concat(F.lit("《"), "n_name", F.lit("》 （A·"), C("n_nationkey").cast("string"), F.lit("） ； x"))
+    return s.table("nation").select("n_nationkey", text.scope_key(raw).alias("scope_key"), text.name_key(F.concat("n_name", F.lit(" X y"))).alias("name_key"))
+
+
+@query("set5_set6_arrays", "SELECT question_id, array_to_string(list_sort(list_distinct([split_part(stem, ' ', 1), split_part(stem, ' ', 2), 'red', 'small'])), ',') AS points FROM questions")
+def arrays(s: Source) -> DataFrame:
+    w = F.split("stem", " ")
+    return s.questions().select("question_id", F.array_join(sets.sorted_union(F.slice(w, 1, 2), F.array(F.lit("red"), F.lit("small "))), ",").alias("points"))
+
+
+@query("win1_win2_renumber", "SELECT id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_start, marker_top, id) AS INTEGER) AS seq FROM directory")
+def renumber(s: Source) -> DataFrame:
+    return windows.renumber(s.directory(), ["document_id"], ["page_start", "marker_top", "id"], "seq").select("id", "seq")

@@ -1 +1,319 @@
-"""."""
+"""Linking answers to questions: joins that refuse to guess, directories, gaps, and what to read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from scholia.adapters import Source
+from scholia.functions.numbers import round_away
+from scholia.operators import joins, sets, windows
+from scholia.registry import query
+
+C = F.col
+KEY = ["section_scope", "set_no", "question_type", "question_no"]
+
+
+def _equal(*cols: str) -> Column:
+    out = F.lit(True)
+    for c in cols:
+        out &= C(c) == C(f"r_{c}")
+    return out
+
+
+@query("join2_star", """SELECT n_name, r_name, count(*) AS n_orders, CAST(sum(o_totalprice) * 100 AS BIGINT) AS cents FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""".replace("CAST(sum(o_totalprice) * 100 AS BIGINT)", "CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT)"))
+def star(s: Source) -> DataFrame:
+    """Facts with three dimensions; Catalyst broadcasts those it measures to be small."""
+    o = s.table("orders").join(s.table("customer"), C("c_custkey") == C("o_custkey")).join(s.table("nation"), C("n_nationkey") == C("c_nationkey")).join(s.table("region"), C("r_regionkey") == C("n_regionkey"))
+    return o.groupBy("n_name", "r_name").agg(F.count("*").alias("n_orders"), F.sum(F.round(C("o_totalprice") * 100).cast("long")).alias("cents"))
+
+
+@query("join3_composite", "SELECT c.id AS candidate_id, a.id AS answer_id FROM candidates c JOIN answers a USING (section_scope, set_no, question_type, question_no)")
+def composite(s: Source) -> DataFrame:
+    return s.candidates().withColumnRenamed("id", "candidate_id").join(s.answers().select(C("id").alias("answer_id"), *KEY), KEY).select("candidate_id", "answer_id")
+
+
+@query("join5_join7_missing_answers", "SELECT id FROM candidates ANTI JOIN answers USING (section_scope, set_no, question_type, question_no)")
+def missing_answers(s: Source) -> DataFrame:
+    return s.candidates().join(s.answers(), KEY, "left_anti").select("id")
+
+
+@query("join11_first_answer", "SELECT c.id, a.id AS answer_id, a.value FROM candidates c LEFT JOIN (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY section_scope, question_no ORDER BY confidence DESC, id) = 1) a USING (section_scope, question_no)")
+def first_answer(s: Source) -> DataFrame:
+    best = windows.first_row(s.answers(), ["section_scope", "question_no"], [F.desc("confidence"), "id"]).select(C("id").alias("answer_id"), "section_scope", "question_no", "value")
+    return s.candidates().join(best, ["section_scope", "question_no"], "left").select("id", "answer_id", "value")
+
+
+@query("join12_either_key", """SELECT c.id, a.id AS answer_id FROM candidates c JOIN answers a ON c.section_path = a.section_path AND c.question_no = a.question_no OR (c.section_scope = a.section_scope AND c.question_type = a.question_type AND c.question_no = a.question_no)""")
+def either(s: Source) -> DataFrame:
+    pairs = joins.either_join(s.candidates(), s.answers(), _equal("section_path", "question_no"), _equal("section_scope", "question_type", "question_no"))
+    return pairs.select("id", C("r_id").alias("answer_id"))
+
+
+@query("join13_array_membership", "SELECT c.id, d.doc AS directory_document FROM candidates c JOIN (SELECT DISTINCT document_id AS doc, section_scope, unnest(range(question_no, question_no + 3)) AS n FROM directory WHERE question_no <= 5) d ON d.n = c.question_no AND d.section_scope = c.section_scope")
+def membership(s: Source) -> DataFrame:
+    """Candidates whose number stands in an array of missing numbers: the array is exploded into an equality."""
+    d = s.directory().where("question_no <= 5").select(C("document_id").alias("directory_document"), "section_scope", F.explode(F.sequence(C("question_no"), C("question_no") + 2)).alias("question_no")).distinct()
+    return s.candidates().join(d, ["section_scope", "question_no"]).select("id", "directory_document")
+
+
+@query("join14_tolerant_set", "SELECT c.id, a.id AS answer_id FROM candidates c JOIN answers a USING (section_scope, question_type, question_no) WHERE c.set_no = a.set_no OR c.set_no = 0 OR a.set_no = 0")
+def tolerant_set(s: Source) -> DataFrame:
+    a, b = joins._aliased(s.candidates(), s.answers())
+    return a.join(b, _equal("section_scope", "question_type", "question_no") & joins.tolerant(C("set_no"), C("r_set_no"))).select("id", C("r_id").alias("answer_id"))
+
+
+@query("join15_overlap", "SELECT c.id, a.id AS answer_id FROM candidates c JOIN answers a USING (document_id) WHERE c.page_end >= a.page_start AND c.page_start <= a.page_end")
+def overlap(s: Source) -> DataFrame:
+    return joins.overlap_join(s.candidates(), s.answers(), "document_id", "page_start", "page_end").select("id", C("r_id").alias("answer_id"))
+
+
+@query("join16_lnk20_containment", "SELECT c.id, a.id AS answer_id FROM candidates c JOIN answers a USING (document_id) WHERE a.page_start >= c.page_start AND a.page_end <= c.page_end")
+def containment(s: Source) -> DataFrame:
+    both = joins.overlap_join(s.candidates(), s.answers(), "document_id", "page_start", "page_end")
+    return both.where("r_page_start >= page_start and r_page_end <= page_end").select("id", C("r_id").alias("answer_id"))
+
+
+@query("join17_lnk1_unique", "SELECT c.id, min(a.id) AS answer_id FROM candidates c JOIN answers a USING (section_scope, question_type, question_no) GROUP BY c.id HAVING count(*) = 1")
+def unique(s: Source) -> DataFrame:
+    return joins.unique_join(s.candidates(), s.answers(), _equal("section_scope", "question_type", "question_no"), "id").select("id", C("r_id").alias("answer_id"))
+
+
+def tiers() -> list[tuple[str, Column]]:
+    """From the strongest key on: canonical, section path, terminal with set, terminal, scope with a tolerant set, scope, number in an order of its own."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    number = _equal("question_type", "question_no")
+    return [
+        ("canonical", _equal(*KEY)),
+        ("section_path", _equal("section_path") & number),
+        ("terminal_set", (last("section_path") == last("r_section_path")) & _equal("set_no") & number),
+        ("terminal", (last("section_path") == last("r_section_path")) & number),
+        ("scope_tolerant", _equal("section_scope") & number & joins.tolerant(C("set_no"), C("r_set_no"))),
+        ("scope", _equal("section_scope", "question_no")),
+    ]
+
+
+_CASCADE = """pairs AS (
+  SELECT c.id, a.id AS answer_id, a.value, a.run_id, CASE
+    WHEN c.section_scope = a.section_scope AND c.set_no = a.set_no AND c.question_type = a.question_type THEN 1
+    WHEN c.section_path = a.section_path AND c.question_type = a.question_type THEN 2
+    WHEN split_part(c.section_path, '/', -1) = split_part(a.section_path, '/', -1) AND c.set_no = a.set_no AND c.question_type = a.question_type THEN 3
+    WHEN split_part(c.section_path, '/', -1) = split_part(a.section_path, '/', -1) AND c.question_type = a.question_type THEN 4
+    WHEN c.section_scope = a.section_scope AND c.question_type = a.question_type AND (c.set_no = a.set_no OR c.set_no = 0 OR a.set_no = 0) THEN 5
+    WHEN c.section_scope = a.section_scope THEN 6 END AS tier
+  FROM candidates c JOIN answers a USING (question_no)),
+links AS (SELECT * FROM pairs WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY id))"""
+_NAMES = "['canonical', 'section_path', 'terminal_set', 'terminal', 'scope_tolerant', 'scope'][tier]"
+
+
+def links(s: Source) -> DataFrame:
+    return joins.cascade_join(s.candidates(), s.answers(), tiers())
+
+
+@query("join18_lnk5_cascade", f", {_CASCADE} SELECT id, answer_id, {_NAMES} AS method FROM links")
+def cascade(s: Source) -> DataFrame:
+    return links(s).select("id", C("r_id").alias("answer_id"), "method")
+
+
+@query("lnk8_lnk9_lnk10_decide", f""", {_CASCADE}, latest AS (SELECT * FROM links QUALIFY run_id = max(run_id) OVER (PARTITION BY id))
+    SELECT c.id, CASE WHEN n IS NULL THEN 'ANSWER_MISSING' WHEN n = 1 THEN 'confirmed' ELSE 'ANSWER_CONFLICT' END AS decision, CASE WHEN n = 1 THEN value END AS value, CASE WHEN n = 1 THEN CASE WHEN tier = 1 THEN 0.98 WHEN tier = 6 THEN 0.88 ELSE 1.0 END END AS confidence
+    FROM candidates c LEFT JOIN (SELECT id, count(DISTINCT value) AS n, min(value) AS value, min(tier) AS tier FROM latest GROUP BY id) l USING (id)""".replace("0.98", "CAST(0.98 AS DOUBLE)").replace("0.88", "CAST(0.88 AS DOUBLE)").replace("ELSE 1.0", "ELSE CAST(1 AS DOUBLE)"))
+def decide(s: Source) -> DataFrame:
+    """Answers of the latest run count; one distinct value confirms, several conflict."""
+    l = links(s).withColumn("top", F.max("r_run_id").over(W.partitionBy("id"))).where("r_run_id = top")  # noqa: E741
+    g = l.groupBy("id").agg(F.count_distinct("r_value").alias("n"), F.min("r_value").alias("value"), F.min("tier").alias("tier"))
+    x = s.candidates().select("id").join(g, "id", "left")
+    decision = F.when(C("n").isNull(), "ANSWER_MISSING").when(C("n") == 1, "confirmed").otherwise("ANSWER_CONFLICT")
+    confidence = F.when(C("tier") == 1, 0.98).when(C("tier") == 6, 0.88).otherwise(F.lit(1.0))
+    return x.select("id", decision.alias("decision"), F.when(C("n") == 1, C("value")).alias("value"), F.when(C("n") == 1, confidence).alias("confidence"))
+
+
+@query("lnk18_exact_linking", """SELECT c.id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ANSWER_CONFLICT' WHEN c.question_type = 'single_choice' THEN 'ANSWER_REQUIRED' ELSE 'open' END AS outcome
+    FROM candidates c LEFT JOIN (SELECT section_path, set_no, question_type, question_no, count(DISTINCT value) AS n FROM answers GROUP BY ALL) USING (section_path, set_no, question_type, question_no)""")
+def exact(s: Source) -> DataFrame:
+    k = ["section_path", "set_no", "question_type", "question_no"]
+    n = s.answers().groupBy(*k).agg(F.count_distinct("value").alias("n"))
+    outcome = F.when(C("n") == 1, "linked").when(C("n") > 1, "ANSWER_CONFLICT").when(C("question_type") == "single_choice", "ANSWER_REQUIRED").otherwise("open")
+    return s.candidates().join(n, k, "left").select("id", outcome.alias("outcome"))
+
+
+@query("agg20_lnk4_canonical_answer", "SELECT section_scope, set_no, question_type, question_no, arg_max(id, (CAST(confidence > 0 AS INTEGER), run_id, id)) AS answer_id, count(DISTINCT value) > 1 AS conflict FROM answers GROUP BY ALL".replace("arg_max(id, (CAST(confidence > 0 AS INTEGER), run_id, id))", "(list(id ORDER BY confidence > 0 DESC, run_id DESC, id DESC))[1]"))
+def canonical(s: Source) -> DataFrame:
+    """The winner of each key: trusted first, then the latest run, then the highest id."""
+    best = F.max_by("id", F.struct((C("confidence") > 0).alias("t"), "run_id", "id"))
+    return s.answers().groupBy(*KEY).agg(best.alias("answer_id"), (F.count_distinct("value") > 1).alias("conflict"))
+
+
+@query("lnk6_subtype_filter", """, p AS (SELECT c.id, a.id AS answer_id, CASE WHEN c.question_type = a.question_type THEN 1 WHEN a.question_type = 'subjective' THEN 2 ELSE 3 END AS tier FROM candidates c JOIN answers a USING (section_scope, question_no)) SELECT id, answer_id FROM p QUALIFY tier = min(tier) OVER (PARTITION BY id)""")
+def subtype(s: Source) -> DataFrame:
+    """Answers of the same type if there are any, else those without a special one, else all."""
+    a, b = joins._aliased(s.candidates(), s.answers())
+    tier = F.when(C("question_type") == C("r_question_type"), 1).when(C("r_question_type") == "subjective", 2).otherwise(3)
+    p = a.join(b, _equal("section_scope", "question_no")).withColumn("tier", tier)
+    return p.withColumn("top", F.min("tier").over(W.partitionBy("id"))).where("tier = top").select("id", C("r_id").alias("answer_id"))
+
+
+@query("join19_terminal", """, t AS (SELECT split_part(section_path, '/', -1) AS terminal, count(DISTINCT section_scope) AS n, min(section_scope) AS scope FROM candidates GROUP BY 1)
+    SELECT a.id, scope AS resolved FROM answers a JOIN t ON a.section_scope = t.terminal WHERE n = 1""")
+def terminal(s: Source) -> DataFrame:
+    t = s.candidates().groupBy(F.element_at(F.split("section_path", "/"), -1).alias("terminal")).agg(F.count_distinct("section_scope").alias("n"), F.min("section_scope").alias("resolved")).where("n = 1")
+    return s.answers().join(t, C("section_scope") == C("terminal")).select("id", "resolved")
+
+
+_PREFIX = """, p AS (SELECT c.id, d.id AS directory_id, CASE WHEN contains(c.stem, d.anchor) OR contains(d.anchor, c.stem) THEN 1.0 ELSE CAST(len(list_filter(range(1, least(len(c.stem), len(d.anchor)) + 1), lambda i: left(c.stem, i) = left(d.anchor, i))) AS DOUBLE) / least(len(c.stem), len(d.anchor)) END AS score
+      FROM candidates c JOIN directory d ON c.section_scope = d.section_scope AND c.set_no = d.set_no AND c.question_type = 'single_choice' AND c.id <> d.id),
+    r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM p WINDOW w AS (PARTITION BY id ORDER BY score DESC, directory_id))
+    SELECT id, directory_id FROM r WHERE k = 1 AND score >= 0.75 AND score - second > 0.1"""
+
+
+@query("join20_win16_prefix_pick", _PREFIX)
+def prefix_pick(s: Source) -> DataFrame:
+    """The directory entry whose anchor a stem shares most of its beginning with: at least 0.75, and 0.1 ahead of the next."""
+    a, b = joins._aliased(s.candidates().where("question_type = 'single_choice'"), s.directory())
+    x, y = C("stem"), C("r_anchor")
+    short = F.least(F.char_length(x), F.char_length(y))
+    common = F.size(F.filter(F.sequence(F.lit(1), short), lambda i: F.left(x, i) == F.left(y, i)))
+    score = F.when(F.contains(x, y) | F.contains(y, x), F.lit(1.0)).otherwise(common.cast("double") / short)
+    scored = a.join(b, _equal("section_scope", "set_no") & (C("id") != C("r_id"))).withColumn("score", score)
+    return joins.best_with_gap(scored, "id", "score", "r_id", least=0.0, gap=0.1).where("score >= 0.75").select("id", C("r_id").alias("directory_id"))
+
+
+@query("win3_fill_scope", """SELECT id, coalesce(last_value(nullif(section_scope, '') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_start, marker_top, id), '') AS scope FROM directory""")
+def fill_scope(s: Source) -> DataFrame:
+    d = s.directory().withColumn("stored", F.lit(""))
+    return windows.fill_with_seed(d, ["document_id"], ["page_start", "marker_top", "id"], "section_scope", "stored", "scope").select("id", "scope")
+
+
+@query("win4_fill_stored", """SELECT id, coalesce(last_value(coalesce(CASE WHEN content_role = 'answer' THEN anchor END, nullif(section_scope, '')) IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_start, marker_top, id), '') AS scope FROM directory""")
+def fill_stored(s: Source) -> DataFrame:
+    d = s.directory().withColumn("stored", F.when(C("content_role") == "answer", C("anchor")).otherwise(""))
+    return windows.fill_stored_first(d, ["document_id"], ["page_start", "marker_top", "id"], "section_scope", "stored", "scope").select("id", "scope")
+
+
+@query("win5_normalise_scopes", """SELECT id, coalesce(last_value(CASE WHEN section_scope NOT IN ('', 'Brand#1') THEN section_scope END IGNORE NULLS) OVER (PARTITION BY document_id, content_role = 'question' ORDER BY page_start, marker_top, id), section_scope, '') AS section_scope FROM directory""")
+def normalise(s: Source) -> DataFrame:
+    return windows.normalise_scopes(s.directory(), ["Brand#1"]).select("id", "section_scope")
+
+
+query("win6_repair_types")(lambda s: windows.repair_types(s.directory()).select("id", "question_type", "set_no"))
+
+
+@query("win7_gaps", """, g AS (SELECT document_id, list(DISTINCT question_no) AS v, min(question_no) AS lo, max(question_no) AS hi FROM directory WHERE question_no % 5 <> 2 GROUP BY document_id)
+    SELECT document_id, missing FROM (SELECT document_id, unnest(list_filter(range(lo, hi + 1), lambda x: NOT list_contains(v, x))) AS missing FROM g WHERE len(v) >= 3 AND hi - lo + 1 <= len(v) + 10)""")
+def gaps(s: Source) -> DataFrame:
+    return windows.interior_gaps(s.directory().where("question_no % 5 <> 2"), ["document_id"], "question_no", "page_start").select("document_id", "missing")
+
+
+@query("win9_tail_extension", """, top AS (SELECT document_id, max(question_no) AS t FROM directory WHERE content_role = 'question' GROUP BY document_id),
+    m AS (SELECT id, question_no, t, dense_rank() OVER (PARTITION BY document_id ORDER BY question_no) AS k FROM directory JOIN top USING (document_id) WHERE content_role = 'answer' AND question_no > t)
+    SELECT id FROM m WHERE question_no = t + k""")
+def tail(s: Source) -> DataFrame:
+    d = s.directory()
+    return windows.tail_extension(d.where("content_role = 'question'"), d.where("content_role = 'answer'"), ["document_id"], "question_no").select("id")
+
+
+@query("win14_lnk14_merged_ranges", """, r AS (SELECT document_id, page_start, page_end FROM candidates ANTI JOIN answers USING (section_scope, set_no, question_type, question_no)),
+    m AS (SELECT *, CASE WHEN page_start <= max(page_end) OVER (PARTITION BY document_id ORDER BY page_start, page_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM r),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY page_start, page_end ROWS UNBOUNDED PRECEDING) AS g FROM m)
+    SELECT document_id, min(page_start) AS page_start, max(page_end) AS page_end FROM g GROUP BY document_id, g""")
+def retry_ranges(s: Source) -> DataFrame:
+    """Pages to read again for candidates without an answer, neighbouring ranges as one."""
+    r = s.candidates().join(s.answers(), KEY, "left_anti").select("document_id", "page_start", "page_end")
+    return windows.merge_intervals(r, ["document_id"], "page_start", "page_end").select("document_id", F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"))
+
+
+@query("win19_lnk3_dedup_priority", """SELECT id, document_id, question_no FROM directory QUALIFY row_number() OVER (PARTITION BY document_id, section_scope, question_no ORDER BY (CASE WHEN content_role = 'question' THEN 4 ELSE 0 END + CASE WHEN set_no > 0 THEN 2 ELSE 0 END) DESC, id) = 1""")
+def dedup(s: Source) -> DataFrame:
+    weight = F.when(C("content_role") == "question", 4).otherwise(0) + F.when(C("set_no") > 0, 2).otherwise(0)
+    return windows.first_row(s.directory(), ["document_id", "section_scope", "question_no"], [F.desc(weight), "id"]).select("id", "document_id", "question_no")
+
+
+@query("lnk2_lnk21_rekey", """, p AS (SELECT c.id, d.id AS directory_id, CASE WHEN c.question_type = 'single_choice' AND d.question_type = 'single' OR c.question_type = 'true_false' AND d.question_type = 'judge' OR c.question_type = 'subjective' AND d.question_type = 'essay' THEN 1 ELSE 2 END AS tier
+      FROM candidates c JOIN directory d USING (section_scope, set_no, question_no)), t AS (SELECT * FROM p QUALIFY tier = min(tier) OVER (PARTITION BY id))
+    SELECT id, min(directory_id) AS directory_id FROM t GROUP BY id HAVING count(*) = 1""")
+def rekey(s: Source) -> DataFrame:
+    """The directory entry of a candidate: one of its type if any, else any; kept only where that tier has exactly one."""
+    from scholia.functions.text import canonical_type
+
+    place = _equal("section_scope", "set_no", "question_no")
+    d = s.directory().withColumn("question_type", canonical_type(C("question_type")))
+    found = joins.cascade_join(s.candidates(), d, [("typed", place & _equal("question_type")), ("physical", place)])
+    return found.withColumn("n", F.count("*").over(W.partitionBy("id"))).where("n = 1").select("id", C("r_id").alias("directory_id"))
+
+
+@query("lnk12_session_reconcile", """SELECT id, CASE WHEN k = 1 THEN 'kept' WHEN stem = first_stem THEN 'duplicate' ELSE 'conflict' END AS outcome
+    FROM (SELECT id, stem, row_number() OVER w AS k, first_value(stem) OVER w AS first_stem FROM candidates WINDOW w AS (PARTITION BY section_scope, set_no, question_type, question_no ORDER BY id))""")
+def reconcile(s: Source) -> DataFrame:
+    w = W.partitionBy(*KEY).orderBy("id")
+    x = s.candidates().withColumn("k", F.row_number().over(w)).withColumn("f", F.first("stem").over(w))
+    return x.select("id", F.when(C("k") == 1, "kept").when(C("stem") == C("f"), "duplicate").otherwise("conflict").alias("outcome"))
+
+
+@query("lnk13_cor7_commit_gate", f""", {_CASCADE}, d AS (SELECT c.document_id, count(DISTINCT value) AS n FROM candidates c LEFT JOIN links l ON l.id = c.id GROUP BY c.document_id, c.id)
+    SELECT document_id, count(*) AS total, count(*) FILTER (WHERE n = 1) AS confirmed, count(*) FILTER (WHERE n > 1) AS conflicts, CASE WHEN count(*) > 0 AND count(*) = count(*) FILTER (WHERE n = 1) THEN 'draft_ready' ELSE 'needs_attention' END AS status FROM d GROUP BY document_id""")
+def gate(s: Source) -> DataFrame:
+    """A document is ready when every candidate has exactly one answer value."""
+    n = links(s).groupBy("id").agg(F.count_distinct("r_value").alias("n"))
+    g = s.candidates().join(n, "id", "left").groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(C("n") == 1).alias("confirmed"), F.count_if(C("n") > 1).alias("conflicts"))
+    return g.withColumn("status", F.when((C("total") > 0) & (C("total") == C("confirmed")), "draft_ready").otherwise("needs_attention"))
+
+
+@query("lnk15_agg22_agg26_review_plan", """SELECT document_id, count(*) FILTER (WHERE content_role = 'question') AS questions, count(*) FILTER (WHERE content_role = 'answer') AS answers, CASE WHEN count(*) FILTER (WHERE content_role = 'question') >= count(*) FILTER (WHERE content_role = 'answer') THEN 'question' ELSE 'answer' END AS role,
+    CAST(greatest(count(*) FILTER (WHERE content_role = 'question'), count(*) FILTER (WHERE content_role = 'answer')) AS DOUBLE) / count(*) AS role_confidence, CAST(min(page_start) AS BIGINT) AS page_start, CAST(max(page_end) AS BIGINT) AS page_end FROM directory GROUP BY document_id""")
+def review_plan(s: Source) -> DataFrame:
+    q, a = F.count_if(C("content_role") == "question"), F.count_if(C("content_role") == "answer")
+    return s.directory().groupBy("document_id").agg(
+        q.alias("questions"), a.alias("answers"), F.when(q >= a, "question").otherwise("answer").alias("role"), (F.greatest(q, a) / F.count("*")).alias("role_confidence"),
+        F.min("page_start").cast("long").alias("page_start"), F.max("page_end").cast("long").alias("page_end"),
+    )
+
+
+@query("lnk16_orphan_pages", """, o AS (SELECT a.document_id, a.section_scope, a.question_no, a.page_start, a.page_end FROM answers a ANTI JOIN candidates USING (section_scope, set_no, question_type, question_no))
+    SELECT document_id, section_scope, question_no, min(page_start) AS page_start, max(page_end) AS page_end FROM o GROUP BY ALL HAVING max(page_end) - min(page_start) + 1 <= 16""")
+def orphans(s: Source) -> DataFrame:
+    o = s.answers().join(s.candidates(), KEY, "left_anti")
+    g = o.groupBy("document_id", "section_scope", "question_no").agg(F.min("page_start").cast("long").alias("page_start"), F.max("page_end").cast("long").alias("page_end"))
+    return g.where("page_end - page_start + 1 <= 16")
+
+
+@query("lnk17_agg16_agg17_listing", """SELECT section_scope, question_no, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, to_json(list({'id': id, 'value': value} ORDER BY id)) AS nested FROM answers GROUP BY ALL""")
+def listing(s: Source) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct("id", "value")))
+    return s.answers().groupBy("section_scope", "question_no").agg(F.array_join(F.transform(rows, lambda r: r["id"].cast("string")), ",").alias("ids"), F.to_json(rows).alias("nested"))
+
+
+@query("lnk25_retyping", "SELECT question_id, CASE WHEN type = 'short_answer' AND contains(stem, 'widget') THEN 'case_analysis' WHEN type = 'single_choice' AND contains(options_json, '\"B\"') THEN 'multiple_choice' ELSE type END AS type FROM questions")
+def retype(s: Source) -> DataFrame:
+    options = F.size(F.from_json("options_json", "array<struct<key:string,content:string>>"))
+    t = C("type")
+    kind = F.when((t == "short_answer") & F.contains("stem", F.lit("widget")), "case_analysis").when((t == "single_choice") & (options >= 2), "multiple_choice").otherwise(t)
+    return s.questions().select("question_id", kind.alias("type"))
+
+
+@query("lnk29_intent", """SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'answer|key') THEN 'read_answers' WHEN regexp_matches(lower(text), 'question|why') THEN 'read_questions' WHEN contains(text, '?') THEN 'ask' ELSE 'chat' END AS intent,
+    CASE WHEN regexp_matches(lower(text), 'page') THEN len(regexp_extract_all(text, '[0-9]+')) ELSE 0 END AS n_pages FROM conversations""".replace("len(regexp", "CAST(len(regexp").replace("'[0-9]+'))", "'[0-9]+')) AS INTEGER)"))
+def intent(s: Source) -> DataFrame:
+    """Ordered keyword rules; numbers are page numbers only where pages are spoken of."""
+    low = F.lower("text")
+    kind = F.when(low.rlike("answer|key"), "read_answers").when(low.rlike("question|why"), "read_questions").when(F.contains("text", F.lit("?")), "ask").otherwise("chat")
+    pages = F.when(low.rlike("page"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).otherwise(0)
+    return s.table("conversations").select("conv_id", "turn", F.when(C("text").isNotNull(), kind).otherwise("chat").alias("intent"), F.coalesce(pages, F.lit(0)).alias("n_pages"))
+
+
+@query("flt10_interval_validity", "SELECT id, CASE WHEN page_start <= 0 OR page_end < page_start THEN 'bad_range' WHEN page_end > 15 THEN 'outside_window' WHEN content_role NOT IN ('question', 'answer') THEN 'bad_role' ELSE 'ok' END AS reason FROM directory")
+def validity(s: Source) -> DataFrame:
+    reason = F.when((C("page_start") <= 0) | (C("page_end") < C("page_start")), "bad_range").when(C("page_end") > 15, "outside_window").when(~C("content_role").isin("question", "answer"), "bad_role").otherwise("ok")
+    return s.directory().select("id", reason.alias("reason"))
+
+
+@query("agg25_mth2_progress", """SELECT document_id, floor((CASE WHEN n = 0 THEN 0 ELSE 10 + 80 * (0.35 + 0.30 * q / n + 0.25 * a / n) END) * 100 + 0.5) / 100 AS progress
+    FROM (SELECT document_id, count(*) AS n, count(*) FILTER (WHERE content_role = 'question') AS q, count(*) FILTER (WHERE content_role = 'answer') AS a FROM directory GROUP BY document_id)""".replace("0.35", "0.35::DOUBLE").replace("0.30", "0.3::DOUBLE").replace("0.25", "0.25::DOUBLE"))
+def progress(s: Source) -> DataFrame:
+    g = s.directory().groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(C("content_role") == "question").alias("q"), F.count_if(C("content_role") == "answer").alias("a"))
+    return g.select("document_id", round_away(F.when(C("n") == 0, 0.0).otherwise(10 + 80 * (0.35 + 0.3 * C("q") / C("n") + 0.25 * C("a") / C("n"))), 2).alias("progress"))
+
+
+@query("agg23_content_hash", """SELECT document_id, sha256(string_agg(id || '|' || anchor, chr(10) ORDER BY id)) AS content_hash FROM directory GROUP BY document_id""")
+def hashes(s: Source) -> DataFrame:
+    return sets.content_hash(s.directory(), ["document_id"], ["id"], ["id", "anchor"])

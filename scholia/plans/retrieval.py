@@ -1 +1,137 @@
-"""."""
+"""Retrieval: trigram BM25, cosine, their merge, rerank and context."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from scholia.adapters import Source
+from scholia.functions.numbers import cosine
+from scholia.functions.text import hash16
+from scholia.operators import sets
+from scholia.registry import query
+
+C = F.col
+
+
+def bm25(docs: DataFrame, words: str, k: int = 20) -> DataFrame:
+    """The k documents (doc_id, text) that hold all terms of a query as substrings, case folded, by BM25 over trigrams.
+
+    Terms shorter than three characters are left out; a query of only such terms finds nothing. The statistics are one
+    aggregate over all documents (a row, whatever their number), so a search is two scans and a top-k."""
+    terms = sorted({t.lower() for t in words.split() if len(t) >= 3})
+    low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    size = F.greatest(F.char_length("t") - 2, F.lit(0)).cast("double")
+    if not terms:
+        return low.where("false").select("doc_id", F.lit(0.0).alias("score"))
+    stats = low.agg(F.count("*").cast("double").alias("n"), F.avg(size).alias("avg"), *(F.count_if(F.contains("t", F.lit(t))).cast("double").alias(f"n{i}") for i, t in enumerate(terms)))
+    hits = low.where(reduce(lambda a, b: a & b, (F.contains("t", F.lit(t)) for t in terms))).join(F.broadcast(stats))  # one row
+
+    def part(i: int, t: str):
+        f = (F.char_length("t") - F.char_length(F.replace("t", F.lit(t), F.lit("")))) / len(t)
+        idf = F.log((C("n") - C(f"n{i}") + 0.5) / (C(f"n{i}") + 0.5))
+        return F.when(idf <= 0, 1e-6).otherwise(idf) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / C("avg")))
+
+    score = reduce(lambda a, b: a + b, (part(i, t) for i, t in enumerate(terms)))
+    return hits.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def _bm25_sql(words: str, k: int) -> str:
+    terms = sorted({t.lower() for t in words.split() if len(t) >= 3})
+    low = "low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)"
+    stats = "st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(greatest(length(t) - 2, 0)) AS a, " + ", ".join(f"CAST(count(*) FILTER (WHERE contains(t, '{t}')) AS DOUBLE) AS n{i}" for i, t in enumerate(terms)) + " FROM low)"
+    f = lambda t: f"((length(t) - length(replace(t, '{t}', ''))) / {len(t)})"
+    idf = lambda i: f"(CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN CAST(1e-6 AS DOUBLE) ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END)"
+    score = " + ".join(f"{idf(i)} * {f(t)} * 2.2::DOUBLE / ({f(t)} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(length(t) - 2, 0) / a))" for i, t in enumerate(terms))
+    where = " AND ".join(f"contains(t, '{t}')" for t in terms)
+    return f"{low}, {stats}, bm AS (SELECT doc_id, {score} AS score FROM low, st WHERE {where} ORDER BY score DESC, doc_id LIMIT {k})"
+
+
+WORDS = "the data of"
+
+
+@query("ret2_srt5_bm25", f", {_bm25_sql(WORDS, 20)} SELECT doc_id, floor(score * 1000000 + 0.5) / 1000000 AS score FROM bm")
+def search(s: Source) -> DataFrame:
+    return bm25(s.table("documents"), WORDS).select("doc_id", (F.floor(C("score") * 1_000_000 + 0.5) / 1_000_000).alias("score"))
+
+
+def nearest(vectors: DataFrame, wanted: DataFrame, k: int = 20) -> DataFrame:
+    """The k rows (vec_id, embedding) of highest cosine to one query vector; vectors of another size are left out."""
+    q = F.broadcast(wanted.select(C("embedding").alias("q")).limit(1))  # one row
+    return vectors.join(q).select("vec_id", cosine(C("embedding"), C("q")).alias("score")).where("score is not null").orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+_COSINE = """sim AS (SELECT e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
+      / (sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS score
+      FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 20)"""
+
+
+@query("ret3_srt6_mth4_cosine", f", {_COSINE} SELECT vec_id, floor(score * 1000000 + 0.5) / 1000000 AS score FROM sim")
+def similar(s: Source) -> DataFrame:
+    e = s.table("embeddings")
+    return nearest(e, e.where("vec_id = 0")).select("vec_id", (F.floor(C("score") * 1_000_000 + 0.5) / 1_000_000).alias("score"))
+
+
+def hybrid(s: Source, words: str, vec_id: int, k: int = 6) -> DataFrame:
+    """Text hits and vector hits by id with their higher score, in the order first seen, text first."""
+    e = s.table("embeddings")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))  # noqa: E731  20 rows
+    parts = [ranked(bm25(s.table("documents"), words)), ranked(nearest(e, e.where(C("vec_id") == vec_id)).withColumnRenamed("vec_id", "doc_id"))]
+    merged = sets.max_merge(parts, "doc_id", "score", "rank")
+    k = k if 1 <= k <= 20 else 6
+    return merged.orderBy("seen.part", "seen.rank").limit(k)
+
+
+@query("ret4_ret5_ret7_hybrid", f""", {_bm25_sql(WORDS, 20)}, {_COSINE}, u AS (SELECT doc_id, score, 0 AS part, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm UNION ALL SELECT vec_id, score, 1, row_number() OVER (ORDER BY score DESC, vec_id) FROM sim)
+    SELECT doc_id, floor(max(score) * 1000000 + 0.5) / 1000000 AS score FROM u GROUP BY doc_id ORDER BY min((part, rank)) LIMIT 6""".replace("min((part, rank))", "min(part * 1000 + rank)"))
+def merged(s: Source) -> DataFrame:
+    return hybrid(s, WORDS, 0).select("doc_id", (F.floor(C("score") * 1_000_000 + 0.5) / 1_000_000).alias("score"))
+
+
+@query("ret6_rerank", f", {_bm25_sql(WORDS, 20)} SELECT doc_id, place FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 5 AS DOUBLE) END, score) DESC, score DESC, doc_id) AS INTEGER) AS place FROM bm) WHERE place <= 6")
+def reranked(s: Source) -> DataFrame:
+    """Outside scores (here of even ids) replace the own ones where there are any; ties keep the order before."""
+    found = bm25(s.table("documents"), WORDS)
+    outside = found.where("doc_id % 2 = 0").select("doc_id", (C("doc_id") % 5).cast("double").alias("outside"))
+    w = W.orderBy(F.desc(F.coalesce("outside", "score")), F.desc("score"), "doc_id")  # 20 rows
+    return found.join(outside, "doc_id", "left").withColumn("place", F.row_number().over(w)).where("place <= 6").select("doc_id", "place")
+
+
+@query("ret8_context", "SELECT doc_id, '[' || doc_id || '] ' || left(text, 200) AS context FROM documents WHERE doc_id < 6 AND text IS NOT NULL")
+def context(s: Source) -> DataFrame:
+    """A header and the head of each text; the cut is by document."""
+    return s.table("documents").where("doc_id < 6 and text is not null").select("doc_id", F.concat(F.lit("["), C("doc_id").cast("string"), F.lit("] "), F.left("text", F.lit(200))).alias("context"))
+
+
+@query("ret9_similar", f", {_COSINE} SELECT vec_id FROM sim WHERE vec_id <> 0")
+def others(s: Source) -> DataFrame:
+    e = s.table("embeddings")
+    return nearest(e, e.where("vec_id = 0")).where("vec_id <> 0").select("vec_id")
+
+
+@query("ret10_join8_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def pending(s: Source) -> DataFrame:
+    return s.table("documents").join(s.table("embeddings").select(C("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+
+
+@query("ret1_snk3_index_upsert", "SELECT source AS source_type, substr(sha256(text), 1, 32) AS content_hash, max(doc_id) AS doc_id, count(*) AS version FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def index_upsert(s: Source) -> DataFrame:
+    d = s.table("documents").where("text is not null").select("doc_id", C("source").alias("source_type"), hash16(C("text")).alias("content_hash"))
+    return d.groupBy("source_type", "content_hash").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("version"))
+
+
+@query("snk2_postings", "SELECT gram, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, t[i : i + 2] AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id < 40))) GROUP BY gram".replace("documents WHERE doc_id < 40", "(SELECT item_id AS doc_id, text FROM benchmark)").replace("SELECT doc_id, lower(text) AS t FROM (", "SELECT doc_id, lower(text) AS t FROM ("))
+def postings(s: Source) -> DataFrame:
+    """Trigrams of the benchmark passages with the number of passages that hold each."""
+    t = s.table("benchmark").select("item_id", F.lower("text").alias("t")).where("char_length(t) >= 3")
+    g = t.select("item_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("t") - 2), lambda i: F.substr("t", i, F.lit(3))))).alias("gram"))
+    return g.groupBy("gram").agg(F.count("*").alias("n_docs"))
+
+
+@query("ret11_provider_fallback", "SELECT c_nationkey, arg_min(c_custkey, (rank, c_custkey)) AS provider FROM (SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END AS rank FROM customer) GROUP BY c_nationkey".replace("arg_min(c_custkey, (rank, c_custkey))", "(list(c_custkey ORDER BY rank, c_custkey))[1]"))
+def fallback(s: Source) -> DataFrame:
+    rank = F.when(C("c_mktsegment") == "BUILDING", 1).when(C("c_mktsegment") == "MACHINERY", 2).otherwise(3)
+    return s.table("customer").groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct(rank.alias("r"), "c_custkey")).alias("provider"))

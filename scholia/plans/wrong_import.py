@@ -1 +1,170 @@
-"""."""
+"""Wrong-question import: draft dedup, answer matching, boundaries between images, merging and readiness.
+
+Sample drafts come from documents: a session is a source, an image ten documents, a draft one document's first 200 characters.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from scholia.adapters import Source
+from scholia.functions import text
+from scholia.functions.tables import BOUNDARY, MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION
+from scholia.functions.numbers import clamp01
+from scholia.operators import windows
+from scholia.registry import query
+
+C = F.col
+
+
+def drafts(s: Source) -> DataFrame:
+    d = s.table("documents").select("doc_id", F.col("source").alias("session"), F.floor(C("doc_id") / 10).alias("image"), F.left(F.coalesce("text", F.lit("")), F.lit(200)).alias("stem"), "lang")
+    return d.withColumn("kind", F.when(C("doc_id") % 4 == 0, "short_answer").otherwise("single_choice"))
+
+
+_DRAFTS = "dr AS (SELECT doc_id, source AS session, doc_id // 10 AS image, left(coalesce(text, ''), 200) AS stem, lang, CASE WHEN doc_id % 4 = 0 THEN 'short_answer' ELSE 'single_choice' END AS kind FROM documents)"
+
+
+@query("wqi2_wqi11_draft_dedup", f", {_DRAFTS} SELECT session, sha256(kind || chr(10) || stem) AS k, min(doc_id) AS doc_id, count(*) AS copies, max(lang) AS filled FROM dr GROUP BY session, sha256(kind || chr(10) || stem)")
+def draft_dedup(s: Source) -> DataFrame:
+    """The first of equal drafts in a session stays and takes what later ones know."""
+    k = F.sha2(F.concat_ws("\n", "kind", "stem"), 256)
+    return drafts(s).groupBy("session", k.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("lang").alias("filled"))
+
+
+def boundary_score(left: str, right: str, same_batch: Column, same_kind: Column) -> Column:
+    """How likely the last draft of an image goes on in the first of the next, 0 to 1; without a sign at the cut at most 0.69."""
+    a, b = C(left), C(right)
+    cut, goes_on, shared = text.ends_mid(a), text.starts_mid(b), text.overlap(a, b, 20) > 0
+    w = BOUNDARY
+    total = (
+        F.lit(w["base"]) + F.when(same_batch, w["same_batch"]).otherwise(0.0) + F.when(cut, w["left_cut"]).otherwise(0.0) + F.when(goes_on, w["right_goes_on"]).otherwise(0.0)
+        + F.when(same_kind, w["same_type"]).otherwise(w["other_type"]) + F.when(shared, w["overlap"]).otherwise(0.0)
+    )
+    total = F.when(cut | goes_on | shared, total).otherwise(F.least(total, F.lit(0.69)))
+    return F.when(text.is_question_start(b), NEW_QUESTION).otherwise(clamp01(total))
+
+
+def decision(score: Column) -> Column:
+    return F.when(score >= MERGE_AUTO, "merge").when(score >= MERGE_REVIEW, "review").otherwise("separate")
+
+
+def pairs(s: Source) -> DataFrame:
+    """The last draft of each image with the first of the next one of its session."""
+    g = drafts(s).groupBy("session", "image").agg(F.min_by(F.struct("doc_id", "stem", "kind"), "doc_id").alias("first"), F.max_by(F.struct("doc_id", "stem", "kind"), "doc_id").alias("last"))
+    after = F.lead("first").over(W.partitionBy("session").orderBy("image"))
+    return g.withColumn("next", after).where("next is not null").select(
+        "session", "image", C("last.doc_id").alias("left_id"), C("next.doc_id").alias("right_id"), C("last.stem").alias("left"), C("next.stem").alias("right"), C("last.kind").alias("left_kind"), C("next.kind").alias("right_kind")
+    )
+
+
+_PAIRS = f"""{_DRAFTS}, im AS (SELECT session, image, min(doc_id) AS f, max(doc_id) AS l FROM dr GROUP BY ALL), nx AS (SELECT session, image, l AS left_id, lead(f) OVER (PARTITION BY session ORDER BY image) AS right_id FROM im),
+pairs AS (SELECT n.session, n.image, left_id, right_id, a.stem AS lt, b.stem AS rt, a.kind AS lk, b.kind AS rk FROM nx n JOIN dr a ON a.doc_id = left_id JOIN dr b ON b.doc_id = right_id)"""
+
+
+@query("join21_adjacent_pairs", f", {_PAIRS} SELECT session, image, left_id, right_id FROM pairs")
+def adjacent(s: Source) -> DataFrame:
+    return pairs(s).select("session", "image", "left_id", "right_id")
+
+
+@query("wqi4_wqi5_boundary")
+def boundaries(s: Source) -> DataFrame:
+    p = pairs(s)
+    score = boundary_score("left", "right", C("image") % 2 == 0, C("left_kind") == C("right_kind"))
+    return p.withColumn("score", F.round(score, 6)).select("session", "image", "left_id", "right_id", "score", decision(C("score")).alias("decision"))
+
+
+@query("str19_truncation", f""", {_DRAFTS} SELECT doc_id, regexp_matches(trim(stem), '^[,.;:!?，。；：！？、)）a-z]') AS starts_mid FROM dr""")
+def truncation(s: Source) -> DataFrame:
+    return drafts(s).select("doc_id", text.starts_mid(C("stem")).alias("starts_mid"))
+
+
+@query("str20_str21_wqi6_merge")
+def merge_texts(s: Source) -> DataFrame:
+    p = pairs(s)
+    return p.select("left_id", "right_id", text.overlap(C("left"), C("right"), 20).alias("overlap"), F.sha2(text.merge_fragments(C("left"), C("right")), 256).alias("merged"), (C("left_kind") != C("right_kind")).alias("conflict"))
+
+
+@query("win15_chains", f""", {_DRAFTS}, f AS (SELECT *, doc_id % 3 = 0 AS sm, doc_id % 5 = 0 AS anon, doc_id % 2 = 0 AS em FROM dr),
+    j AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND (sm OR anon AND coalesce(lag(em) OVER w, FALSE)) THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY session ORDER BY doc_id))
+    SELECT doc_id, CAST(sum(fresh) OVER (PARTITION BY session ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM j""")
+def chained(s: Source) -> DataFrame:
+    d = drafts(s).withColumn("em", C("doc_id") % 2 == 0)
+    return windows.chains(d, ["session"], ["doc_id"], C("doc_id") % 3 == 0, C("doc_id") % 5 == 0, "em").select("doc_id", "chain")
+
+
+def match_entries(scored: DataFrame, least: float = 0.86, margin: float = 0.015) -> DataFrame:
+    """(session, entry, draft, score): entries in order take the best draft still free, if its score reaches `least` and leads the
+    next free one by `margin`. What one entry takes, later ones can't, so each session folds in order: it is one person's upload."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for entry, group in rows.sort_values(["entry", "score", "draft"], ascending=[True, False, True]).groupby("entry", sort=True):
+            free = group[~group["draft"].isin(used)]
+            if len(free) and free.iloc[0]["score"] >= least and (len(free) == 1 or free.iloc[0]["score"] - free.iloc[1]["score"] >= margin):
+                best = free.iloc[0]
+                used.add(best["draft"])
+                out.append((best["session"], entry, best["draft"], float(best["score"])))
+        return pd.DataFrame(out, columns=["session", "entry", "draft", "score"])
+
+    return scored.select("session", "entry", "draft", "score").groupBy("session").applyInPandas(fold, "session long, entry long, draft long, score double")
+
+
+@query("wqi3_answer_matching")
+def matched(s: Source) -> DataFrame:
+    """Answers (entries) against candidates (drafts) of one document: same place .99, same number .95, same scope .94 less a hair."""
+    a, c = s.answers().select(C("document_id").alias("session"), C("id").alias("entry"), C("question_no").alias("n"), C("section_scope").alias("scope"), "question_type"), s.candidates()
+    both = a.join(c.select(C("document_id").alias("session"), C("id").alias("draft"), C("question_no").alias("m"), C("section_scope").alias("own"), C("question_type").alias("kind")), ["session"]).where("n = m")
+    score = F.when((C("scope") == C("own")) & (C("question_type") == C("kind")), 0.99).when(C("scope") == C("own"), 0.95).otherwise(0.5)
+    return match_entries(both.withColumn("score", score))
+
+
+@query("wqi8_commit", """, w AS (SELECT id, value, row_number() OVER (PARTITION BY section_scope, question_no ORDER BY id) AS k FROM answers) SELECT id, value, id % 3 <> 0 AS answered FROM w WHERE k = 1 AND id % 3 <> 0""")
+def commit(s: Source) -> DataFrame:
+    """Ready drafts with an answer, one for each place."""
+    w = windows.first_row(s.answers(), ["section_scope", "question_no"], ["id"]).withColumn("answered", C("id") % 3 != 0)
+    return w.where("answered").select("id", "value", "answered")
+
+
+@query("wqi9_wqi10_wqi13_batch_readiness", f""", {_DRAFTS} SELECT session, count(DISTINCT image) AS images, count(*) AS n_drafts, count(*) FILTER (WHERE doc_id % 7 = 0) AS pending, count(*) FILTER (WHERE doc_id % 7 = 0) = 0 AS ready FROM dr GROUP BY session""")
+def readiness(s: Source) -> DataFrame:
+    waiting = F.count_if(C("doc_id") % 7 == 0)
+    return drafts(s).groupBy("session").agg(F.count_distinct("image").alias("images"), F.count("*").alias("n_drafts"), waiting.alias("pending"), (waiting == 0).alias("ready"))
+
+
+@query("wqi16_all_match", f""", {_DRAFTS} SELECT image, bool_and(b.item_id IS NOT NULL) AS all_known, count(b.item_id) AS known FROM dr LEFT JOIN (SELECT min(item_id) AS item_id, left(text, 200) AS stem FROM benchmark GROUP BY 2) b USING (stem) GROUP BY image""")
+def all_match(s: Source) -> DataFrame:
+    """Images all of whose questions are known already: pages of answers."""
+    b = s.table("benchmark").groupBy(F.left("text", F.lit(200)).alias("stem")).agg(F.min("item_id").alias("item_id"))
+    return drafts(s).join(b, "stem", "left").groupBy("image").agg(F.bool_and(C("item_id").isNotNull()).alias("all_known"), F.count("item_id").alias("known"))
+
+
+@query("wqi17_material_retyping", f""", {_DRAFTS} SELECT doc_id, CASE WHEN kind = 'short_answer' AND (length(stem) - length(replace(stem, '?', ''))) >= 2 THEN 'material_analysis' ELSE kind END AS kind FROM dr""")
+def material(s: Source) -> DataFrame:
+    marks = F.char_length("stem") - F.char_length(F.replace("stem", F.lit("?"), F.lit("")))
+    return drafts(s).select("doc_id", F.when((C("kind") == "short_answer") & (marks >= 2), "material_analysis").otherwise(C("kind")).alias("kind"))
+
+
+@query("wqi15_stale_answers", """SELECT a.id FROM answers a WHERE EXISTS (SELECT 1 FROM answers b WHERE b.section_scope = a.section_scope AND b.question_no = a.question_no AND b.id < a.id AND b.value = a.value)""")
+def stale(s: Source) -> DataFrame:
+    """Machine answers that repeat one given before at the same place."""
+    first = s.answers().groupBy("section_scope", "question_no", "value").agg(F.min("id").alias("first"))
+    return s.answers().join(first, ["section_scope", "question_no", "value"]).where("id > first").select("id")
+
+
+@query("wqi18_wqi19_mut11_undo", "SELECT question_id, arg_max(CASE WHEN is_correct = 0 THEN 'restored' ELSE 'merged' END, attempt_id) AS state, count(*) AS versions FROM attempts GROUP BY question_id")
+def undo(s: Source) -> DataFrame:
+    """Merges and undos as versions of a draft; the newest decides, all before stay."""
+    state = F.when(C("is_correct") == 0, "restored").otherwise("merged")
+    return s.attempts().groupBy("question_id").agg(F.max_by(state, "attempt_id").alias("state"), F.count("*").alias("versions"))
+
+
+@query("wqi20_pair_decision", f""", {_PAIRS} SELECT left_id, right_id, least(0.9::DOUBLE, CASE WHEN lk = rk THEN 0.95::DOUBLE ELSE 0.6::DOUBLE END) AS score FROM pairs WHERE image % 5 <> 0""")
+def pair_decision(s: Source) -> DataFrame:
+    """Local and model score count by the lower; pairs decided before (images that 5 divides) don't come again."""
+    decided = pairs(s).where("image % 5 = 0").select("left_id", "right_id")
+    score = F.least(F.lit(0.9), F.when(C("left_kind") == C("right_kind"), 0.95).otherwise(0.6))
+    return pairs(s).join(decided, ["left_id", "right_id"], "left_anti").select("left_id", "right_id", score.alias("score"))

@@ -1 +1,85 @@
-"""."""
+"""Event streams: cursor tails, daily rollups with a watermark, idempotent and guarded consumption.
+
+The reference model has no event time; here the daily rollup has a watermark of one day and its closed days equal the batch."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from scholia.adapters import Source
+from scholia.operators import windows
+from scholia.registry import query
+
+C = F.col
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints/scholia").rstrip("/")
+
+
+def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Consume what a stream has now into a table of the shared folder, with its checkpoint beside it, and read that."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/scholia-stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def event_stream(s: Source) -> DataFrame:
+    return s.spark.readStream.schema(s.table("events").schema).parquet(f"{s.path}/events.parquet*")
+
+
+@query("stm1_snk4_tail", "SELECT event_id, user_id, event_type FROM events WHERE event_id > 500")
+def tail(s: Source) -> DataFrame:
+    """Events past a cursor, as the stream brings them."""
+    return run_once(event_stream(s).where("event_id > 500").select("event_id", "user_id", "event_type"))
+
+
+@query("stm8_daily_rollup", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS stat_date, user_id, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events) GROUP BY ALL""")
+def rollup(s: Source) -> DataFrame:
+    """Closed days only: those that the watermark, one day behind the latest event, has passed."""
+    e = event_stream(s).withColumn("ts", C("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    days = e.groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return run_once(days.select(F.to_date("w.start").cast("string").alias("stat_date"), "user_id", "n"))
+
+
+@query("stm6_idempotent", "SELECT DISTINCT user_id, event_type FROM events")
+def once(s: Source) -> DataFrame:
+    """One run for each input key, however often it comes."""
+    return run_once(event_stream(s).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]))
+
+
+@query("stm4_rate_limit", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP) RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS n FROM events""")
+def rate(s: Source) -> DataFrame:
+    e = s.table("events").withColumn("ts", C("ts").cast("timestamp"))
+    return windows.trailing_count(e, ["user_id"], "ts", 3600, "n").select("event_id", "n")
+
+
+@query("stm12_terminal_guard", "SELECT user_id, arg_min(event_type, event_id) AS state FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id")
+def guard(s: Source) -> DataFrame:
+    """The first terminal event of a run stands; later ones change nothing."""
+    return s.table("events").where(C("event_type").isin("purchase", "error")).groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("state"))
+
+
+@query("stm7_stm13_active_run", "SELECT user_id, max(event_id) FILTER (WHERE event_type <> 'error') AS active, count(*) FILTER (WHERE event_type = 'error') AS ended FROM events GROUP BY user_id")
+def active(s: Source) -> DataFrame:
+    live = F.when(C("event_type") != "error", C("event_id"))
+    return s.table("events").groupBy("user_id").agg(F.max(live).alias("active"), F.count_if(C("event_type") == "error").alias("ended"))
+
+
+@query("stm11_revisions", "SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision FROM events")
+def revisions(s: Source) -> DataFrame:
+    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return s.table("events").select("event_id", F.sum((C("event_type") == "purchase").cast("long")).over(w).alias("revision"))
+
+
+@query("stm10_archive", """SELECT event_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) IN (SELECT p_partkey FROM part WHERE p_size % 6 = 2)""")
+def archive(s: Source) -> DataFrame:
+    """Jobs whose JSON payload points at an archived session."""
+    dead = s.table("part").where("p_size % 6 = 2").select(C("p_partkey").alias("k"))
+    return s.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).join(dead, "k", "left_semi").select("event_id")

@@ -1 +1,74 @@
-"""."""
+"""A lease queue replayed from its log: claims by priority, expired leases, limits on attempts, adaptive concurrency."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from scholia.adapters import Source
+from scholia.registry import query
+
+C = F.col
+
+
+def claimable(jobs: DataFrame, as_of: Column, max_attempts: int = 3) -> DataFrame:
+    """Pending jobs, and running ones whose lease has run out, that have attempts left; priority first, then id."""
+    free = (C("status") == "pending") | ((C("status") == "running") & (C("lease_until").isNull() | (C("lease_until") < as_of)))
+    return jobs.where(free & (C("attempts") < max_attempts))
+
+
+def jobs(s: Source) -> DataFrame:
+    """One job a user and day: attempts, last state and lease."""
+    e = s.attempts()
+    g = e.groupBy("user_id", F.to_date("created_at").alias("day")).agg(F.count("*").alias("attempts"), F.max("created_at").alias("last"), F.max_by("is_correct", "attempt_id").alias("ok"))
+    return g.select("user_id", "day", "attempts", F.when(C("ok") == 1, "running").otherwise("pending").alias("status"), F.timestamp_micros(F.unix_micros("last") + 300_000_000).alias("lease_until"))
+
+
+@query("stm2_flt9_claim", """, j AS (SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS attempts, max(created_at) + INTERVAL 300 SECOND AS lease_until, CASE WHEN arg_max(is_correct, attempt_id) = 1 THEN 'running' ELSE 'pending' END AS status FROM attempts GROUP BY ALL)
+    SELECT user_id, CAST(day AS VARCHAR) AS day, attempts + 1 AS attempt FROM j, now WHERE attempts < 3 AND (status = 'pending' OR status = 'running' AND lease_until < as_of) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY attempts DESC, day) = 1""")
+def claim(s: Source) -> DataFrame:
+    """The job each worker (user) would claim next."""
+    j = claimable(jobs(s).join(F.broadcast(s.as_of())), C("as_of"))  # one row
+    w = W.partitionBy("user_id").orderBy(F.desc("attempts"), "day")
+    return j.withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", C("day").cast("string").alias("day"), (C("attempts") + 1).alias("attempt"))
+
+
+@query("stm3_lease_renewal", ", t AS (SELECT user_id, created_at, lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, attempt_id) AS before FROM attempts) SELECT user_id, count(*) FILTER (WHERE created_at - before <= INTERVAL 100 SECOND) AS renewed, count(*) FILTER (WHERE created_at - before > INTERVAL 300 SECOND) AS lost FROM t GROUP BY user_id")
+def renewals(s: Source) -> DataFrame:
+    """A lease of 300 seconds is renewed by a beat within a third of it, and lost after all of it."""
+    w = W.partitionBy("user_id").orderBy("created_at", "attempt_id")
+    t = s.attempts().withColumn("gap", F.unix_micros("created_at") - F.unix_micros(F.lag("created_at").over(w)))
+    return t.groupBy("user_id").agg(F.count_if(C("gap") <= 100_000_000).alias("renewed"), F.count_if(C("gap") > 300_000_000).alias("lost"))
+
+
+def limiter(calls: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """(key, concurrency, successes, opened) after all calls (key, attempt_id, ok, duration_ms) in order: ten successes in a row with the
+    last one under a minute raise the limit by one; a failure drops it to 1; three failures within the run open the breaker.
+
+    State is three numbers a key, folded in the JVM over the key's calls."""
+    kind = "struct<concurrency:int,successes:int,failures:int,opened:int>"
+    start = F.struct(F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast(kind)
+
+    def step(b: Column, x: Column) -> Column:
+        n = b["successes"] + 1
+        up = (n >= 10) & (x["duration_ms"] < 60_000)
+        good = F.struct(F.when(up, F.least(b["concurrency"] + 1, F.lit(most))).otherwise(b["concurrency"]), F.when(up, 0).otherwise(n), b["failures"], b["opened"])
+        bad = F.struct(F.lit(1), F.lit(0), F.when(b["failures"] >= 2, 0).otherwise(b["failures"] + 1), b["opened"] + F.when(b["failures"] >= 2, 1).otherwise(0))
+        return F.when(x["is_correct"] == 1, good.cast(kind)).otherwise(bad.cast(kind))
+
+    rows = F.sort_array(F.collect_list(F.struct("attempt_id", "is_correct", "duration_ms")))
+    return calls.groupBy(key).agg(rows.alias("r")).select(key, F.aggregate("r", start, step).alias("b")).select(key, "b.*")
+
+
+@query("stm5_adaptive_limit")
+def adaptive(s: Source) -> DataFrame:
+    return limiter(s.attempts(), "user_id")
+
+
+@query("dat3_queue_wait", ", t AS (SELECT attempt_id, created_at, lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, attempt_id) AS before FROM attempts) SELECT attempt_id, CAST(floor((epoch_us(created_at) - epoch_us(before)) / 1000) AS BIGINT) AS wait_ms FROM t WHERE before IS NOT NULL")
+def waits(s: Source) -> DataFrame:
+    from scholia.functions.numbers import millis_between
+
+    w = W.partitionBy("user_id").orderBy("created_at", "attempt_id")
+    return s.attempts().withColumn("b", F.lag("created_at").over(w)).where("b is not null").select("attempt_id", millis_between(C("b"), C("created_at")).cast("long").alias("wait_ms"))
