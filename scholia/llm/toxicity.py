@@ -68,7 +68,7 @@ class Model:
         seen, get = self.seen, self.scores.get
         if len(seen) > 300_000:
             seen.clear()
-        for w in set(words) - seen.keys():
+        for w in [w for w in set(words) if w not in seen]:
             seen[w] = max(get(f, -DRIFT) for f in features(w))
         return np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
 
