@@ -6,11 +6,13 @@ both give the same tokens up to the end of the overlap. Such a boundary is stabl
 pre-tokeniser drops white space and joins nothing across it, its normaliser works on what lies between, and no
 special string holds any; so what stands before the boundary and what stands after are encoded alike with or
 without the other side. Where an overlap holds no such boundary it is widened, up to the whole left chunk.
+For the same reason a text of one chunk is the sum of its parts between white space, and a part seen before is not encoded again.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -21,6 +23,10 @@ from scholia.llm.common import Shared, column, session, texts
 
 #: Code points of a chunk and of the overlap of two chunks at first.
 CHUNK, OVERLAP = 20_000, 400
+#: What every vocabulary takes for white space, and so parts may be split at.
+BLANK = " \t\n\r"
+#: Parts remembered by one task, and the longest that are.
+MEMORY, PART = 200_000, 64
 #: Token counts above this are over the limit.
 LIMIT = 2048
 
@@ -36,6 +42,8 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
+        self.blank = re.compile(f"[{BLANK}]+")
+        self.known: dict[str, int] = {}
 
     def tokens(self, text: str, at: int) -> tuple[list[int], list[int], list[int]]:
         """Starts and ends (in the whole text, whose part from `at` on this is) and ids of a part's tokens."""
@@ -46,7 +54,7 @@ class Counter:
         """A stable common boundary in [low, high), the nearest to the middle from the left on, or None."""
         middle = (low + high) // 2
         for b in sorted(range(low + 1, high - 1), key=lambda x: (x < middle, abs(x - middle))):
-            if not text[b].isspace():
+            if text[b] not in BLANK:
                 continue
             parts = []
             for starts, ends, ids in (left, right):
@@ -82,11 +90,26 @@ class Counter:
             left, at, done, end = right, low, b, stop
         return total + len(left[0]) - bisect_left(left[0], done)
 
+    def short(self, batch: list[str]) -> list[int]:
+        """Tokens of texts of at most a chunk each."""
+        parts = [self.blank.split(x) for x in batch]
+        fresh = list({p for own in parts for p in own if p not in self.known})
+        found = {p: len(e) for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
+        if len(self.known) > MEMORY:
+            found |= {p: self.known[p] for own in parts for p in own if p in self.known}
+            self.known.clear()
+        self.known.update(found)
+        out = [sum(map(self.known.__getitem__, own)) for own in parts]
+        for p in fresh:
+            if len(p) > PART:
+                del self.known[p]
+        return out
+
     def count(self, batch: list[str]) -> list[int]:
-        short = [i for i, x in enumerate(batch) if len(x) <= self.chunk]
         out = [0] * len(batch)
-        for i, e in zip(short, self.tokenizer.encode_batch_fast([batch[i] for i in short], add_special_tokens=False), strict=True):
-            out[i] = len(e)
+        short = [i for i, x in enumerate(batch) if len(x) <= self.chunk]
+        for i, n in zip(short, self.short([batch[i] for i in short]), strict=True):
+            out[i] = n
         for i, x in enumerate(batch):
             if len(x) > self.chunk:
                 out[i] = self.long(x)
