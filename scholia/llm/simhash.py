@@ -15,6 +15,7 @@ merged before. A file returns a spanning forest of its links, not its pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import as_bytes, column, components, map_batches, save, session, texts
+from scholia.llm.common import Shared, as_bytes, column, components, map_batches, save, session, texts
 
 #: Bands of equal width that 64 bits are cut into.
 BANDS = 8
 #: Pivots of each band, besides the base.
 PIVOTS = 12
+#: Slots, as a power of two, in which shingles are counted to put the common ones last.
+LOAD_BITS = 20
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -170,13 +173,13 @@ def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
 
 
 def _sketch(docs: DataFrame, shingle: int, tables: int, features: int) -> DataFrame:
-    """(doc_id, same, fingerprint, samples): a hash of the words, the whole fingerprint, and fingerprints of
-    `tables` min-wise samples of `features` shingles."""
+    """(row, doc_id, text, same, fingerprint, samples): a number of the row, a hash of the words, the whole
+    fingerprint, and fingerprints of `tables` min-wise samples of `features` shingles."""
 
     def make(batch: pa.RecordBatch) -> dict:
         draw = np.random.Generator(np.random.PCG64(3))
         odd = draw.integers(0, 2**63, (tables, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        out: dict = {"doc_id": column(batch, "doc_id"), "same": [], "fingerprint": [], "samples": []}
+        out: dict = {"row": column(batch, "row"), "doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "same": [], "fingerprint": [], "samples": []}
         for data in as_bytes(batch):
             h = shingle_hashes(data, shingle)
             u = np.unique(h)
@@ -192,50 +195,126 @@ def _sketch(docs: DataFrame, shingle: int, tables: int, features: int) -> DataFr
             out["samples"].append([majority(u[x]) for x in least])
         return out
 
-    return map_batches(texts(docs), make, "doc_id long, same binary, fingerprint long, samples array<long>")
+    numbered = texts(docs).withColumn("row", F.monotonically_increasing_id())
+    return map_batches(numbered, make, "row long, doc_id long, text string, same binary, fingerprint long, samples array<long>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, tables: int = 16, features: int = 3) -> DataFrame:
-    """(doc_id, keep_id): each document with an id, and the smallest id of its group of near-duplicates.
+def _grades(body: DataFrame, shingle: int) -> np.ndarray:
+    """How common shingles are, in powers of two, by their hash's last LOAD_BITS bits. It only orders the
+    shingles, so that shingles which meet in one slot cost time and change no result."""
 
-    Texts of the same lower-cased words are one group. Different texts are candidates where their whole
-    fingerprints link within `bits` bits, or where the fingerprints of one of `tables` min-wise samples of
-    `features` shingles agree: a fingerprint over all shingles moves by ten bits at a similarity of 0.8, one
-    over a small sample stays put in half of them (so a pair at 0.8 is missed by all 16 once in 100,000). A
-    candidate pair links if the Jaccard similarity of its shingle sets is `similarity` or more, computed on
-    the whole texts. In a group that agrees on a fingerprint each member is compared with the smallest and
-    largest id of it, not with all others.
-    """
-    sketch = save(_sketch(docs.where("doc_id is not null"), shingle, tables, features), "sketch")
-    reps = save(sketch.groupBy("same").agg(F.min(F.struct("doc_id", "fingerprint", "samples")).alias("r")).select("same", "r.*"), "reps")
-    filed = reps.select("doc_id", F.posexplode("samples").alias("t", "f"))
-    hub = filed.groupBy("t", "f").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
-    sampled = filed.join(hub, ["t", "f"]).select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("hi").alias("a"), F.col("doc_id").alias("b")))).alias("e")).select("e.*")
-    by_print = reps.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    near = links(by_print.select("fingerprint"), bits)
-    near = near.join(by_print.select(F.col("fingerprint").alias("a"), F.col("doc_id").alias("x")), "a").join(by_print.select(F.col("fingerprint").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = reps.join(by_print.withColumnRenamed("doc_id", "a"), "fingerprint").select("a", F.col("doc_id").alias("b"))
-    pairs = sampled.unionAll(near).unionAll(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    body = texts(docs.where("doc_id is not null"))
-    with_b = pairs.join(body.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b")
-    both = with_b.join(body.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << LOAD_BITS, np.uint32)
+        for batch in batches:
+            for data in as_bytes(batch):
+                np.add.at(total, (np.unique(shingle_hashes(data, shingle)) & np.uint64(len(total) - 1)).astype(np.intp), np.uint32(1))
+        for k, piece in enumerate(total.reshape(-1, 1 << 14)):
+            if piece.any():
+                yield pa.RecordBatch.from_pydict({"part": [k], "blob": [piece.astype("<u4").tobytes()]}, schema=pa.schema([("part", pa.int64()), ("blob", pa.binary())]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(column(batch, "part"), column(batch, "blob"), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(blob, "<u4").astype(np.int64)
+        for part, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"part": [part], "blob": [np.ceil(np.log2(x + 1)).astype(np.uint8).tobytes()]}, schema=pa.schema([("part", pa.int64()), ("blob", pa.binary())]))
+
+    out = np.zeros(1 << LOAD_BITS, np.uint8)
+    for r in body.select("text").mapInArrow(run, "part long, blob binary").repartition("part").mapInArrow(add, "part long, blob binary").toLocalIterator():
+        out[r["part"] << 14 : (r["part"] + 1) << 14] = np.frombuffer(r["blob"], np.uint8)
+    return out
+
+
+def _verified(pairs: DataFrame, body: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have the Jaccard similarity asked for, on the whole texts."""
+    with_b = pairs.join(body.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(body.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)
+        last: tuple = (None, None)
         for batch in batches:
             out: list[tuple[int, int]] = []
             for a, b, x, y in zip(column(batch, "a"), column(batch, "b"), as_bytes(batch, "text_a"), as_bytes(batch, "text_b"), strict=True):
-                if last[:2] != (a, x):
-                    last = (a, x, np.unique(shingle_hashes(x, shingle)))
+                if last[0] != a:
+                    last = (a, np.unique(shingle_hashes(x, shingle)))
                 v = np.unique(shingle_hashes(y, shingle))
-                n = len(np.intersect1d(last[2], v, assume_unique=True))
-                if n >= similarity * (len(last[2]) + len(v) - n):
+                n = len(np.intersect1d(last[1], v, assume_unique=True))
+                if n >= similarity * (len(last[1]) + len(v) - n):
                     out.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    grouped = components(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"))
-    answer = reps.select("same", "doc_id").join(grouped, F.col("doc_id") == F.col("node"), "left").select("same", F.coalesce("component", "doc_id").alias("keep_id"))
-    return sketch.select("doc_id", "same").join(answer, "same").select("doc_id", "keep_id")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+
+
+def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): rows of different components that may still reach the similarity; no pair that does is left out.
+
+    reps: (row, component). All shingles have one order, the commonest last. Of two sets with a Jaccard similarity
+    of s each has one of the other's among its first n - ceil(s n) + 1, so these meet by shingle. A pair goes on if its
+    sizes allow s, and if what its heads share and what is left behind the last shared one does.
+    """
+    held = Shared(session(body), _grades(body, shingle))
+
+    def make(batch: pa.RecordBatch) -> dict:
+        grades = held.value
+        out: dict = {"row": column(batch, "row"), "n": [], "head": []}
+        for data in as_bytes(batch):
+            u = np.unique(shingle_hashes(data, shingle))
+            n = len(u)
+            first = np.lexsort((u, grades[(u & np.uint64(len(grades) - 1)).astype(np.intp)]))[: n - math.ceil(similarity * n - 1e-9) + 1]
+            out["n"].append(n)
+            out["head"].append(u[first].view(np.int64))
+        return out
+
+    heads = map_batches(body.select("row", "text"), make, "row long, n long, head array<long>")
+    filed = save(heads.join(reps.select("row", "component"), "row").select("row", "n", "component", F.posexplode("head").alias("i", "s")), "heads")
+    mixed = filed.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
+    filed = save(filed.join(mixed, "s", "left_semi"), "open")
+    sides = filed.select("s", "component").distinct()
+    across = sides.withColumnRenamed("component", "ca").join(sides.withColumnRenamed("component", "cb"), "s").where("ca < cb")
+    one, two = (filed.select("s", F.col("component").alias(f"c{x}"), F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
+    met = across.join(one, ["s", "ca"]).join(two, ["s", "cb"]).where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    most = F.col("k") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    return met.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+
+
+def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, tables: int = 16, features: int = 3) -> DataFrame:
+    """(row, doc_id, text, component): each row of docs, numbered, and a number of its group of near-duplicates.
+
+    Texts of the same lower-cased words are one group. Texts whose shingle sets have a Jaccard similarity of
+    `similarity` or more, computed on the whole texts, are linked, and a group is what links connect.
+
+    Two rounds find the groups. The first is cheap and joins most: rows that agree on one of `tables` min-wise
+    samples of `features` shingles are compared with the first and last of those only, whole fingerprints within
+    `bits` bits along a forest. The second settles the rest exactly: any two rows of different groups that can reach the
+    similarity meet by a rare shingle (see _open_pairs) and are compared.
+    """
+    sketch = save(_sketch(docs, shingle, tables, features), "sketch")
+    reps = save(sketch.groupBy("same").agg(F.min(F.struct("row", "fingerprint", "samples")).alias("r")).select("same", "r.*"), "reps")
+    filed = reps.select("row", F.posexplode("samples").alias("t", "f"))
+    hub = filed.groupBy("t", "f").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi")
+    sampled = filed.join(hub, ["t", "f"]).select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("row").alias("b")), F.struct(F.col("hi").alias("a"), F.col("row").alias("b")))).alias("e")).select("e.*")
+    by_print = reps.groupBy("fingerprint").agg(F.min("row").alias("row"))
+    near = links(by_print.select("fingerprint"), bits)
+    near = near.join(by_print.select(F.col("fingerprint").alias("a"), F.col("row").alias("x")), "a").join(by_print.select(F.col("fingerprint").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = reps.join(by_print.withColumnRenamed("row", "a"), "fingerprint").select("a", F.col("row").alias("b"))
+    pairs = sampled.unionAll(near).unionAll(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    grouped = components(_verified(pairs, sketch, shingle, similarity))
+    first = save(reps.join(grouped, F.col("row") == F.col("node"), "left").select("same", "row", F.coalesce("component", "row").alias("component")), "groups")
+    more = _verified(_open_pairs(first, sketch, shingle, similarity), sketch, shingle, similarity)
+    group = first.select("row", "component")
+    more = more.join(group.toDF("a", "ca"), "a").join(group.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    joined = components(more).withColumnRenamed("component", "least")
+    last = first.join(joined, F.col("component") == F.col("node"), "left").select("same", F.coalesce("least", "component").alias("component"))
+    return sketch.select("row", "doc_id", "text", "same").join(last, "same").select("row", "doc_id", "text", "component")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, keep_id): each document with an id, and the smallest id of its group of near-duplicates (see near_texts)."""
+    grouped = save(near_texts(docs.where("doc_id is not null"), **options).select("doc_id", "component"), "near")
+    return grouped.join(grouped.groupBy("component").agg(F.min("doc_id").alias("keep_id")), "component").select("doc_id", "keep_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -81,6 +81,31 @@ def test_keep_one(spark):
     assert [i for i, _ in kept] == [-1, 5, 8, 9]
 
 
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(4)
+    shared = [f"t{i}" for i in range(350)]
+    data = []
+    for i in range(60):  # strangers that share a template, at 0.77, and a near copy of each at 0.87 or more
+        own = [f"x{i}n{j}" for j in range(50)]
+        data += [(rng.randrange(10**6), " ".join(shared + own)), (rng.randrange(10**6), " ".join(shared + own[:26 + i % 20] + [f"y{i}n{j}" for j in range(24 - i % 20)]))]
+    for i in range(40):
+        w = words(rng, rng.randrange(8, 90), 400).split()
+        data += [(rng.randrange(10**6), " ".join(w)), (rng.randrange(10**6), " ".join(w[:-2])), (rng.randrange(10**6), " ".join(w[3:]))]
+    data = list(dict(data).items())
+    sets = [{tuple(t.lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for _, t in data]
+    root = {i: i for i, _ in data}
+    for x, (a, _) in enumerate(data):
+        for y in range(x):
+            n = len(sets[x] & sets[y])
+            if n >= 0.8 * (len(sets[x]) + len(sets[y]) - n):
+                low, high = sorted((root[a], root[data[y][0]]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert 60 < len(set(root.values())) < len(data)
+    assert dict(map(tuple, simhash.near_duplicates(table(spark, data)).collect())) == root
+    # candidates that the cheap round misses altogether: the second finds them alone
+    assert dict(map(tuple, simhash.near_duplicates(table(spark, data), tables=1, features=200).collect())) == root
+
+
 def test_contamination_matches_brute_force(spark, rows):
     rng = random.Random(3)
     items = [(1, words(rng, 25, 8)), (2, words(rng, 12, 8)), (3, "alpha, beta; Gamma"), (4, "solo"), (5, ""), (6, None), (30, words(rng, 10, 3)), (30, "alpha beta gamma"), (31, "absent words only")]
