@@ -29,8 +29,13 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
 
+def _tag() -> Column:
+    """Tells rows that share an id, or have none, apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def spans(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, at, lines, mark, h1, h2): each span's first line, line numbers, fingerprint and 128-bit hash."""
+    """(key, tag, at, lines, mark, h1, h2): each span's first line, line numbers, fingerprint and 128-bit hash."""
     line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(F.trim(x)).alias("h"), F.xxhash64(F.lit(1), F.trim(x)).alias("g"), F.trim(x).alias("x"))
     kept = F.filter(F.transform(_lines(F.col("text")), line), lambda r: r["x"] != "")
     words = lambda x: F.size(F.filter(F.split(x, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
@@ -50,24 +55,24 @@ def spans(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) ->
         F.filter("s", lambda r: words(r["x"]) >= min_words),
         lambda r: F.struct(F.array(r["i"]).alias("lines"), r["h"].alias("mark"), r["h"].alias("h1"), r["g"].alias("h2")),
     )
-    both = docs.select(_key().alias("key"), kept.alias("s")).select("key", F.inline(F.concat(runs, alone)))
-    return both.select("key", F.col("lines")[0].alias("at"), "lines", "mark", "h1", "h2")
+    both = docs.select(_key().alias("key"), _tag().alias("tag"), kept.alias("s")).select("key", "tag", F.inline(F.concat(runs, alone)))
+    return both.select("key", "tag", F.col("lines")[0].alias("at"), "lines", "mark", "h1", "h2")
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, gone): the numbers (from 0) of the lines to delete, for each document that has any."""
+    """(key, tag, gone): the numbers (from 0) of the lines to delete, for each document that has any."""
     every = spans(docs, window, min_words)
     often = every.groupBy("mark").agg(F.count("*").alias("k"))
-    near = save(every.join(often.where("k > 1").select("mark"), "mark", "left_semi").select("key", "at", "lines", "h1", "h2"), "spans")
+    near = save(every.join(often.where("k > 1").select("mark"), "mark", "left_semi").select("key", "tag", "at", "lines", "h1", "h2"), "spans")
     size = F.size("lines").alias("size")
-    first = near.groupBy("h1", "h2", size).agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = near.withColumn("size", F.size("lines")).join(first, ["h1", "h2", "size"]).where(F.struct("key", "at") > F.col("first"))
-    return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
+    first = near.groupBy("h1", "h2", size).agg(F.min(F.struct("key", "tag", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    later = near.withColumn("size", F.size("lines")).join(first, ["h1", "h2", "size"]).where(F.struct("key", "tag", "at") > F.col("first"))
+    return later.groupBy("key", "tag").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
 def _joined(docs: DataFrame, window: int, min_words: int) -> DataFrame:
-    gone = repeated_lines(docs, window, min_words).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    return docs.join(gone, _key() == F.col("__key"), "left")
+    gone = repeated_lines(docs, window, min_words).select(F.col("key").alias("__key"), F.col("tag").alias("__tag"), F.col("gone").alias("__gone"))
+    return docs.join(gone, (_key() == F.col("__key")) & (_tag() == F.col("__tag")), "left")
 
 
 def _left(text: Column, gone: Column) -> Column:
@@ -80,8 +85,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORD
     """docs with later repeated runs deleted from text, and n_chars, where there is one, set to what is left.
 
     Lines end at a line feed and are compared without the spaces around them; blank lines count for nothing
-    and stay. Texts without a repeated run, null ones included, are unchanged. Rows that repeat an id count as
-    one document, so neither is later than the other; rows without an id come last and count as one.
+    and stay. Texts without a repeated run, null ones included, are unchanged. Rows that share an id
+    are documents of their own, ordered by a hash of their texts; rows without an id come last, ordered likewise.
+    Rows of the same id, or of none, and the same text count as one, so neither is later than the other.
     """
     joined = _joined(docs, window, min_words).withColumn("text", _left(F.col("text"), F.col("__gone")))
     if "n_chars" in docs.columns:
