@@ -331,3 +331,23 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return once.unionByName(first)
 
 
+def keep_texts(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns unchanged, with one row of each group of near-duplicate texts: that of smallest id, of
+    rows that share an id that of smallest hashed text.
+
+    A row is judged by its own text alone: rows that share an id stay together if their texts are unlike, and
+    rows without an id, which come after all others, are searched like any. Of rows with the same id and text one
+    stays.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = save(near_texts(docs, **options).select("component", key.alias("__key"), F.col("doc_id").isNull().alias("__none"), tag.alias("__tag")), "near")
+    name = ["__key", "__none", "__tag"]
+    kept = own.groupBy("component").agg(F.min(F.struct(*name)).alias("r")).select("r.*", F.lit(True).alias("__kept"))
+    many = own.groupBy(*name).agg(F.count("*").alias("k")).join(kept, name, "left").where("k > 1 or __kept is null")
+    gone = many.toDF("__k", "__n", "__t", "k", "__kept").select("__k", "__n", "__t", F.coalesce("__kept", F.lit(False)).alias("__again"))
+    marked = docs.join(gone, (key == F.col("__k")) & (F.col("doc_id").isNull() == F.col("__n")) & (tag == F.col("__t")), "left")
+    once = marked.where("__k is null").select(*docs.columns)
+    again = marked.where("__again").select("__k", "__n", "__t", F.struct(*docs.columns).alias("__row"))
+    first = again.groupBy("__k", "__n", "__t").agg(F.min("__row").alias("__row")).select("__row.*")
+    return once.unionByName(first)

@@ -81,6 +81,21 @@ def test_keep_one(spark):
     assert [i for i, _ in kept] == [-1, 5, 8, 9]
 
 
+def test_pipeline_judges_each_row_by_its_own_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    base, alone, other, third = (words(rng, 300, 5000) for _ in range(4))
+    w = base.split()
+    near = " ".join(w[:150] + ["zzz"] + w[151:])
+    data = [(5, base), (6, near), (6, alone), (8, other), (8, "other"), (8, "other"), (None, base.upper()), (None, third), (None, third), (9, None), (10, "")]
+    want = [(5, base), (6, alone), (8, other), (8, "other"), (None, third), (9, None)]
+    docs = table(spark, data)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(4)
     shared = [f"t{i}" for i in range(350)]
