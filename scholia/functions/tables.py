@@ -49,3 +49,14 @@ PRIORITY = {"wrong": 2.0, "overdue": 1.5, "difficulty": 0.5, "forgetting": 1.0,
 # Fixed values. Boundary score of two neighbouring drafts, and what decides it.
 BOUNDARY = {"base": 0.22, "same_batch": 0.10, "left_cut": 0.32, "right_goes_on": 0.32, "sub_question": 0.08, "warning": 0.08, "same_type": 0.05, "other_type": -0.16, "overlap": 0.10}
 MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION = 0.92, 0.70, 0.05
+
+# Fixed values. An anchor's own number with an answer right after it: letters, a sign or a word; with any text. What opens an explanation.
+EXPLICIT_ANSWER = r"^\s*(\d{1,4})\s*[\.．、:：\s]+((?:[A-Fa-f](?:\s*[、,，/\\+&]\s*)?){1,6}|[√✓✔×✕✗Xx]|正确|错误)"
+FREE_ANSWER = r"^\s*(\d{1,4})\s*[\.．、:：\s]+(.+)$"
+ANALYSIS_MARKERS = ["【解析】", "（解析）", "[解析]", "解析：", "解析:"]
+
+# Fixed values. Lines that are only page numbers, lines that open a question, numbers printed in a margin, and what opens a new question in an upload.
+PAGE_NUMBER = r"^\s*(?:第\s*\d+\s*页|[-—–]?\s*\d+\s*[-—–]?|Page\s*\d+)\s*$"
+QUESTION_START = r"^\s*(?:(\d+)[\.、．]|第\s*\d+\s*题|[（(]\s*\d+\s*[）)])\s*"
+PRINTED_MARKER = r"(?m)^\s*([0-9]{1,3})\s*(?:[.、,，]\s+|[.、,，]《|[《（(])"
+NEW_QUESTION_MARK = r"^\s*(?:第\s*[0-9０-９]+\s*题|[0-9０-９]+\s*[\.、．）)]|[一二三四五六七八九十]+[、.．])"

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.tables import FOLD_FROM, FOLD_TO, FULL_WIDTH, GRADING_MARKS, HALF_WIDTH, SCOPE_MARKS, TYPE_ALIASES
+from scholia.functions.tables import FOLD_FROM, FOLD_TO, FULL_WIDTH, GRADING_MARKS, HALF_WIDTH, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, TYPE_ALIASES
 
-PAGE_NUMBER = r"^\s*(?:第\s*\d+\s*页|[-—–]?\s*\d+\s*[-—–]?|Page\s*\d+)\s*$"
-QUESTION_START = r"^\s*(?:(\d+)[\.、．]|第\s*\d+\s*题|[（(]\s*\d+\s*[）)])\s*"
-PRINTED_MARKER = r"(?m)^\s*(\d{1,3})\s*[.．、]"
 SPACES = r"(?U)\s+"
 
 
@@ -99,6 +96,19 @@ def is_question_start(line: Column) -> Column:
     return line.rlike(QUESTION_START)
 
 
+def opens_question(stem: Column) -> Column:
+    """Whether a stem begins with a mark that only a new question has."""
+    return F.trim(stem).rlike(NEW_QUESTION_MARK)
+
+
+def read_identity(written: Column) -> Column:
+    """struct(path, role, set_no, kind, number) of "json path|role|set|type|number"; null fields where it isn't one."""
+    part = lambda i: F.regexp_extract(written, r"^(\[.*\])\|([^|]*)\|(\d+)\|([^|]*)\|(\d+)$", i)
+    return F.struct(
+        F.from_json(part(1), "array<string>").alias("path"), F.nullif(part(2), F.lit("")).alias("role"), part(3).try_cast("int").alias("set_no"), F.nullif(part(4), F.lit("")).alias("kind"), part(5).try_cast("long").alias("number")
+    )
+
+
 def question_number(line: Column) -> Column:
     """The number of a line that opens with "N." or "N、"; 0 otherwise."""
     digits = F.regexp_extract(line, QUESTION_START, 1)
@@ -106,7 +116,7 @@ def question_number(line: Column) -> Column:
 
 
 def printed_markers(text: Column) -> Column:
-    """Numbers of one to three digits that open a line with a mark after them, in order."""
+    """Numbers of one to three digits that open a line, in order: with a mark and a blank after them, a mark and a title, or a bracket."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(PRINTED_MARKER), F.lit(1)), lambda x: x.cast("int")), lambda n: n > 0)
 
 

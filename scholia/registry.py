@@ -26,5 +26,5 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that hold queries."""
-    from scholia.plans import corpus, linking, practice, retrieval, scalars, stats, wrong_import  # noqa: F401
+    from scholia.plans import corpus, linking, practice, recovery, retrieval, scalars, stats, wrong_import  # noqa: F401
     from scholia.streaming import events, queue  # noqa: F401
