@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,8 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts can be long, so a batch holds few of them.
-BATCH_ROWS = 256
+#: Rows in one Arrow batch, and bytes from which on it takes no more. Texts can be long, so a batch holds few of them.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -23,11 +25,13 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only where driver and tasks are one process (as in tests) is one of our own set."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
-        where = "/tmp/checkpoints/scholia"
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="scholia-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -83,6 +87,7 @@ class Shared:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that a Python worker holds few texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,6 +96,18 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, in any case: the given ones, underscores before them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]

@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import Shared, as_bytes, column, components, map_batches, save, session, texts
+from scholia.llm.common import arrow_schema, as_bytes, column, components, fresh, map_batches, save, session, texts
+from scholia.llm.exchange import answered, blocks, buckets_for, messages, place, read, sums, with_answers
+from scholia.llm.repeats import mix
 
 #: Bands of equal width that 64 bits are cut into.
 BANDS = 8
 #: Pivots of each band, besides the base.
 PIVOTS = 12
-#: Slots, as a power of two, in which shingles are counted to put the common ones last.
-LOAD_BITS = 20
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -172,58 +172,60 @@ def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     return prints.join(answer, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+class Shingler:
+    """Distinct hashes of word shingles, made from hashes of the words; a task remembers words it has met."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.known = size, {}
+
+    def words(self, data: bytes) -> np.ndarray:
+        w, known = data.lower().split(), self.known
+        if len(known) > 500_000:
+            known.clear()
+        for x in set(w).difference(known):
+            known[x] = xxhash.xxh64_intdigest(x, 42)
+        return np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+
+    def shingles(self, data: bytes) -> np.ndarray:
+        """A hash for each shingle, repeats included; all words are one shingle where they are fewer."""
+        w = self.words(data)
+        n = len(w) - self.size + 1
+        if n <= 0:
+            return mix(np.array([sum(x * pow(3, k + 100, 2**64) for k, x in enumerate(w.tolist())) % 2**64], np.uint64)) if len(w) else w
+        out = np.zeros(n, np.uint64)
+        for j in range(self.size):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + w[j : j + n]
+        return mix(out)
+
+
 def _sketch(docs: DataFrame, shingle: int, tables: int, features: int) -> DataFrame:
     """(row, doc_id, text, same, fingerprint, samples): a number of the row, a hash of the words, the whole
     fingerprint, and fingerprints of `tables` min-wise samples of `features` shingles."""
 
-    def make(batch: pa.RecordBatch) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = np.random.Generator(np.random.PCG64(3))
         odd = draw.integers(0, 2**63, (tables, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        out: dict = {"row": column(batch, "row"), "doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "same": [], "fingerprint": [], "samples": []}
-        for data in as_bytes(batch):
-            h = shingle_hashes(data, shingle)
-            u = np.unique(h)
-            out["same"].append(hashlib.blake2b(b" ".join(data.lower().split()), digest_size=16).digest())
-            out["fingerprint"].append(majority(h))
-            if not len(u):
-                out["samples"].append([0] * tables)
-                continue
-            mixed = u[None, :] * odd
-            mixed ^= mixed >> np.uint64(32)
-            k = min(features, len(u))
-            least = np.argpartition(mixed, k - 1, axis=1)[:, :k] if k < len(u) else np.tile(np.arange(len(u)), (tables, 1))
-            out["samples"].append([majority(u[x]) for x in least])
-        return out
-
-    numbered = texts(docs).withColumn("row", F.monotonically_increasing_id())
-    return map_batches(numbered, make, "row long, doc_id long, text string, same binary, fingerprint long, samples array<long>")
-
-
-def _grades(body: DataFrame, shingle: int) -> np.ndarray:
-    """How common shingles are, in powers of two, by their hash's last LOAD_BITS bits. It only orders the
-    shingles, so that shingles which meet in one slot cost time and change no result."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << LOAD_BITS, np.uint32)
+        own = Shingler(shingle)
         for batch in batches:
+            out: dict = {"row": column(batch, "row"), "doc_id": column(batch, "doc_id"), "text": column(batch, "text"), "same": [], "fingerprint": [], "samples": []}
             for data in as_bytes(batch):
-                np.add.at(total, (np.unique(shingle_hashes(data, shingle)) & np.uint64(len(total) - 1)).astype(np.intp), np.uint32(1))
-        for k, piece in enumerate(total.reshape(-1, 1 << 14)):
-            if piece.any():
-                yield pa.RecordBatch.from_pydict({"part": [k], "blob": [piece.astype("<u4").tobytes()]}, schema=pa.schema([("part", pa.int64()), ("blob", pa.binary())]))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, blob in zip(column(batch, "part"), column(batch, "blob"), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(blob, "<u4").astype(np.int64)
-        for part, x in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": [part], "blob": [np.ceil(np.log2(x + 1)).astype(np.uint8).tobytes()]}, schema=pa.schema([("part", pa.int64()), ("blob", pa.binary())]))
-
-    out = np.zeros(1 << LOAD_BITS, np.uint8)
-    for r in body.select("text").mapInArrow(run, "part long, blob binary").repartition("part").mapInArrow(add, "part long, blob binary").toLocalIterator():
-        out[r["part"] << 14 : (r["part"] + 1) << 14] = np.frombuffer(r["blob"], np.uint8)
-    return out
+                h = own.shingles(data)
+                u = np.unique(h)
+                out["same"].append(hashlib.blake2b(b" ".join(data.lower().split()), digest_size=16).digest())
+                out["fingerprint"].append(majority(h))
+                if not len(u):
+                    out["samples"].append([0] * tables)
+                    continue
+                mixed = u[None, :] * odd
+                mixed ^= mixed >> np.uint64(32)
+                k = min(features, len(u))
+                least = np.argpartition(mixed, k - 1, axis=1)[:, :k] if k < len(u) else np.tile(np.arange(len(u)), (tables, 1))
+                out["samples"].append([majority(u[x]) for x in least])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict(out, schema=arrow_schema(ddl))
+
+    ddl = "row long, doc_id long, text string, same binary, fingerprint long, samples array<long>"
+    return texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ddl)
 
 
 def _verified(pairs: DataFrame, body: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -232,52 +234,82 @@ def _verified(pairs: DataFrame, body: DataFrame, shingle: int, similarity: float
     both = with_b.join(body.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler(shingle)
         last: tuple = (None, None)
         for batch in batches:
             out: list[tuple[int, int]] = []
             for a, b, x, y in zip(column(batch, "a"), column(batch, "b"), as_bytes(batch, "text_a"), as_bytes(batch, "text_b"), strict=True):
                 if last[0] != a:
-                    last = (a, np.unique(shingle_hashes(x, shingle)))
-                v = np.unique(shingle_hashes(y, shingle))
+                    last = (a, np.unique(own.shingles(x)))
+                v = np.unique(own.shingles(y))
                 n = len(np.intersect1d(last[1], v, assume_unique=True))
-                if n >= similarity * (len(last[1]) + len(v) - n):
+                if n >= similarity * (len(last[1]) + len(v) - n) - 1e-9:
                     out.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def _grade(keys: np.ndarray, total: list[np.ndarray]) -> np.ndarray:
+    """How many texts hold a shingle, in one byte: exact below 200, then four steps to a doubling."""
+    n = total[0]
+    return np.where(n < 200, n, np.minimum(255, 200 + np.ceil(4 * np.log2(np.maximum(n, 200) / 200)))).astype(np.uint8)
+
+
 def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): rows of different components that may still reach the similarity; no pair that does is left out.
 
-    reps: (row, component). All shingles have one order, the commonest last. Of two sets with a Jaccard similarity
-    of s each has one of the other's among its first n - ceil(s n) + 1, so these meet by shingle. A pair goes on if its
-    sizes allow s, and if what its heads share and what is left behind the last shared one does.
+    reps: (row, component). All shingles have one order, those of few texts first: exact counts over all texts, which
+    blocks of texts ask for (see exchange.py). Of two sets with a Jaccard similarity of s each has the first shingle that
+    both hold among its first n - ceil(s n) + 1, so there they meet; shingles of one text alone meet nothing and stay at
+    home. A pair goes on if its sizes allow s, and what lies behind the shared shingle in both does.
     """
-    held = Shared(session(body), _grades(body, shingle))
-
-    def make(batch: pa.RecordBatch) -> dict:
-        grades = held.value
-        out: dict = {"row": column(batch, "row"), "n": [], "head": []}
-        for data in as_bytes(batch):
-            u = np.unique(shingle_hashes(data, shingle))
-            n = len(u)
-            first = np.lexsort((u, grades[(u & np.uint64(len(grades) - 1)).astype(np.intp)]))[: n - math.ceil(similarity * n - 1e-9) + 1]
-            out["n"].append(n)
-            out["head"].append(u[first].view(np.int64))
-        return out
-
-    heads = map_batches(body.select("row", "text"), make, "row long, n long, head array<long>")
-    filed = save(heads.join(reps.select("row", "component"), "row").select("row", "n", "component", F.posexplode("head").alias("i", "s")), "heads")
+    held = blocks(body.select("row", "text").join(reps.select("row", "component"), "row"), {"row": "bigint", "component": "bigint", "text": "string"})
+    spark = session(body)
+    size = held.agg(F.sum(F.expr("aggregate(text, 0L, (n, x) -> n + octet_length(coalesce(x, '')))"))).first()[0] or 0
+    n_buckets = buckets_for(size, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def asked(row: dict, own: Shingler) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        sets = [np.unique(own.shingles((x or "").encode())) for x in row["text"].as_py()]
+        every = place(np.concatenate(sets) if sets else np.empty(0, np.uint64), n_buckets)
+        return sets, *np.unique(every, return_inverse=True, return_counts=True)
+
+    def ask(row: dict) -> Iterator[pa.RecordBatch]:
+        _, keys, _, count = asked(row, Shingler(shingle))
+        yield messages(row["block"].as_py(), keys, [count.astype("<u4")])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = arrow_schema("s long, row long, component long, n long, i long")
+        own = Shingler(shingle)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(j)[k] for j, c in enumerate(batch.schema.names)}
+                sets, _, at, _ = asked(row, own)
+                grade, start = read(row["answers0"].as_py(), "u1")[at], 0
+                out: list[tuple] = []
+                for number, component, u in zip(row["row"].as_py(), row["component"].as_py(), sets, strict=True):
+                    n, g = len(u), grade[start : start + len(u)]
+                    start += n
+                    first = np.lexsort((u, g))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                    i = np.flatnonzero(g[first] > 1)
+                    out.append((u[first[i]].view(np.int64), np.full(len(i), number), np.full(len(i), component), np.full(len(i), n), i))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], schema=kind)
+
+    answers = answered(held, ask, sums(["<u4"], _grade), "grades")
+    filed = save(with_answers(held, answers).mapInArrow(heads, "s long, row long, component long, n long, i long"), "heads")
     mixed = filed.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
     filed = save(filed.join(mixed, "s", "left_semi"), "open")
-    sides = filed.select("s", "component").distinct()
-    across = sides.withColumnRenamed("component", "ca").join(sides.withColumnRenamed("component", "cb"), "s").where("ca < cb")
+    # components that share a shingle meet first, by bounds over their members, then the members themselves
+    sides = filed.groupBy("s", "component").agg(F.min("n").alias("n"), F.max("n").alias("m"), F.max(F.col("n") - F.col("i")).alias("r"))
+    one, two = (sides.select("s", *(F.col(c).alias(f"{c[0]}{x}") for c in ("component", "n", "m", "r"))) for x in "ab")
+    share = similarity / (1 + similarity)
+    bound = (F.least("ra", "rb") >= share * (F.col("na") + F.col("nb")) - 1e-6) & (F.least("ma", "mb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    across = one.join(two, (one["s"] == two["s"]) & (F.col("ca") < F.col("cb")) & bound).select(one["s"].alias("s"), "ca", "cb")
     one, two = (filed.select("s", F.col("component").alias(f"c{x}"), F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
-    met = across.join(one, ["s", "ca"]).join(two, ["s", "cb"]).where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
-    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    most = F.col("k") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    return met.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= share * (F.col("na") + F.col("nb")) - 1e-6
+    met = across.join(one, ["s", "ca"]).join(two, ["s", "cb"]).where(enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6))
+    return met.select("a", "b").distinct()
 
 
 def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, tables: int = 16, features: int = 3) -> DataFrame:
@@ -317,37 +349,23 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return grouped.join(grouped.groupBy("component").agg(F.min("doc_id").alias("keep_id")), "component").select("doc_id", "keep_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns unchanged, with one document of each group of near-duplicates: that of smallest id.
-
-    Rows that repeat an id count as one document, of which one row stays. Rows without an id stay.
-    """
-    gone = near_duplicates(docs, **options).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"), F.count("*").alias("k"))
-    gone = gone.where("keep_id <> doc_id or k > 1").select(F.col("doc_id").alias("__id"), (F.col("keep_id") == F.col("doc_id")).alias("__again"))
-    marked = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    once = marked.where("__id is null").drop("__id", "__again")
-    again = marked.where("__again").drop("__id", "__again")
-    first = again.groupBy(F.col("doc_id").alias("__key")).agg(F.min(F.struct(*again.columns)).alias("__row")).select("__row.*")
-    return once.unionByName(first)
-
-
 def keep_texts(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns unchanged, with one row of each group of near-duplicate texts: that of smallest id, of
     rows that share an id that of smallest hashed text.
 
     A row is judged by its own text alone: rows that share an id stay together if their texts are unlike, and
     rows without an id, which come after all others, are searched like any. Of rows with the same id and text one
-    stays.
+    stays. A table without rows gives none; extra columns may have any name.
     """
+    k, n, t, again, row = fresh(docs, "key", "none", "tag", "again", "row")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = save(near_texts(docs, **options).select("component", key.alias("__key"), F.col("doc_id").isNull().alias("__none"), tag.alias("__tag")), "near")
-    name = ["__key", "__none", "__tag"]
-    kept = own.groupBy("component").agg(F.min(F.struct(*name)).alias("r")).select("r.*", F.lit(True).alias("__kept"))
-    many = own.groupBy(*name).agg(F.count("*").alias("k")).join(kept, name, "left").where("k > 1 or __kept is null")
-    gone = many.toDF("__k", "__n", "__t", "k", "__kept").select("__k", "__n", "__t", F.coalesce("__kept", F.lit(False)).alias("__again"))
-    marked = docs.join(gone, (key == F.col("__k")) & (F.col("doc_id").isNull() == F.col("__n")) & (tag == F.col("__t")), "left")
-    once = marked.where("__k is null").select(*docs.columns)
-    again = marked.where("__again").select("__k", "__n", "__t", F.struct(*docs.columns).alias("__row"))
-    first = again.groupBy("__k", "__n", "__t").agg(F.min("__row").alias("__row")).select("__row.*")
+    own = save(near_texts(docs, **options).select("component", key.alias(k), F.col("doc_id").isNull().alias(n), tag.alias(t)), "near")
+    kept = own.groupBy("component").agg(F.min(F.struct(k, n, t)).alias("r")).select("r.*", F.lit(True).alias(again))
+    many = own.groupBy(k, n, t).agg(F.count("*").alias("many")).join(kept, [k, n, t], "left").where(f"many > 1 or {again} is null")
+    gone = many.select(k, n, t, F.coalesce(again, F.lit(False)).alias(again))
+    marked = docs.join(gone, (key == F.col(k)) & (F.col("doc_id").isNull() == F.col(n)) & (tag == F.col(t)), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = marked.where(F.col(k).isNull()).select(*names)
+    first = marked.where(again).select(k, n, t, F.struct(*names).alias(row)).groupBy(k, n, t).agg(F.min(row).alias(row)).select(f"{row}.*")
     return once.unionByName(first)
