@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import save
+from scholia.llm.common import fresh, save
 
 #: Lines of a span, and the words from which on a single line is one.
 WINDOW, MIN_WORDS = 2, 25
@@ -62,17 +62,20 @@ def spans(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) ->
 def repeated_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, tag, gone): the numbers (from 0) of the lines to delete, for each document that has any."""
     every = spans(docs, window, min_words)
-    often = every.groupBy("mark").agg(F.count("*").alias("k"))
-    near = save(every.join(often.where("k > 1").select("mark"), "mark", "left_semi").select("key", "tag", "at", "lines", "h1", "h2"), "spans")
+    # written first, so that the join is a stage of its own, in which a mark with very many spans can be split
+    often = save(every.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1").select("mark"), "marks")
+    near = save(every.join(often, "mark", "left_semi").select("key", "tag", "at", "lines", "h1", "h2"), "spans")
     size = F.size("lines").alias("size")
     first = near.groupBy("h1", "h2", size).agg(F.min(F.struct("key", "tag", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     later = near.withColumn("size", F.size("lines")).join(first, ["h1", "h2", "size"]).where(F.struct("key", "tag", "at") > F.col("first"))
     return later.groupBy("key", "tag").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
-def _joined(docs: DataFrame, window: int, min_words: int) -> DataFrame:
-    gone = repeated_lines(docs, window, min_words).select(F.col("key").alias("__key"), F.col("tag").alias("__tag"), F.col("gone").alias("__gone"))
-    return docs.join(gone, (_key() == F.col("__key")) & (_tag() == F.col("__tag")), "left")
+def _joined(docs: DataFrame, window: int, min_words: int) -> tuple[DataFrame, str]:
+    """docs with the lines to delete, and the name of that column."""
+    key, tag, name = fresh(docs, "key", "tag", "gone")
+    gone = repeated_lines(docs, window, min_words).toDF(key, tag, name)
+    return docs.join(gone, (_key() == F.col(key)) & (_tag() == F.col(tag)), "left"), name
 
 
 def _left(text: Column, gone: Column) -> Column:
@@ -87,11 +90,13 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORD
     Lines end at a line feed and are compared without the spaces around them; blank lines count for nothing
     and stay. Texts without a repeated run, null ones included, are unchanged. Rows that share an id
     are documents of their own, ordered by a hash of their texts; rows without an id come last, ordered likewise.
-    Rows of the same id, or of none, and the same text count as one, so neither is later than the other.
+    Rows of the same id, or of none, and the same text count as one, so neither is later than the other. A table
+    without rows gives none; extra columns may have any name.
     """
-    joined = _joined(docs, window, min_words).withColumn("text", _left(F.col("text"), F.col("__gone")))
+    joined, gone = _joined(docs, window, min_words)
+    joined = joined.withColumn("text", _left(F.col("text"), F.col(gone)))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        joined = joined.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -99,14 +104,15 @@ def line_report(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORD
     """One row for each row of docs: doc_id, n_lines, n_removed, n_runs (of deleted lines next to one another),
     kept_sha256 (of the text that is left). A null text counts as empty, which is one blank line."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
+    joined, name = _joined(slim, window, min_words)
+    gone = F.coalesce(F.col(name), F.array().cast("array<int>"))
     ends = F.array_except(gone, F.transform(gone, lambda i: i + 1))  # a run starts where the line before it stays
-    return _joined(slim, window, min_words).select(
+    return joined.select(
         "doc_id",
         F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
         F.size(ends).cast("long").alias("n_runs"),
-        F.sha2(_left(F.col("text"), F.col("__gone")), 256).alias("kept_sha256"),
+        F.sha2(_left(F.col("text"), F.col(name)), 256).alias("kept_sha256"),
     )
 
 
