@@ -94,6 +94,26 @@ def test_token_counts(spark):
         assert got[i] == (len((t or "").encode()), n, n > 500), i
 
 
+def test_long_texts_without_white_space():
+    from time import perf_counter
+
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(file), random.Random(9)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    counter = token_counts.Counter(open(file, encoding="utf-8").read(), 300, 20)
+    for text in (han(5000), "".join(rng.choice("éabcшщ日本𝔘Σσ") for _ in range(5000)), "a" * 5000, "".join(rng.choice("가각각éê") for _ in range(3000)), "ﬁĲ" * 1000 + han(500)):
+        assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    big = token_counts.Counter(open(file, encoding="utf-8").read())
+    text = han(320_000)
+    t = perf_counter()
+    want = len(library.encode(text, add_special_tokens=False).ids)
+    own, t = perf_counter() - t, perf_counter()
+    assert big.count([text]) == [want]
+    assert perf_counter() - t < 6 * own + 1
+
+
 def test_fingerprints_compare():
     rng = random.Random(6)
     a = words(rng, 800, 4000).encode()
