@@ -4,8 +4,9 @@ Each token has a score: its log-odds of standing in toxic rather than clean docu
 drawn from all training documents, lowered by its uncertainty. A linear-time scan over a text's scores finds
 every maximal passage (no part of it scores higher, no extension does). Under the scores of clean text the best
 passage of n tokens follows an extreme-value law, so a passage counts as lambda * score - ln(K * n), and
-documents of all lengths share one scale. A logistic curve over that scale, fitted on the training documents,
-gives a number between 0 and 1.
+documents of all lengths share one scale. The passages above 0 on it are significant; the r best of them together have
+a sum whose chance the same law gives, and a document's evidence is the least likely of these sums. A logistic
+curve over the evidence, fitted on the training documents, gives a number between 0 and 1.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import Shared, as_bytes, column, map_batches, remainder, session, texts
+from scholia.llm.common import Shared, as_bytes, column, map_batches, remainder, session, small_batches, texts
 
 #: The most labelled documents that the scores are learned from: those of smallest hashed id.
 TRAINING_ROWS = 20_000
@@ -72,20 +73,28 @@ class Model:
             seen[w] = max(get(f, -DRIFT) for f in features(w))
         return np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
 
-    def evidence(self, best: float, n: int) -> float:
-        return self.lam * best - self.log_k - math.log(max(n, 1))
+    def evidence(self, passages: list[float], n: int) -> float:
+        """Minus the logarithm of the chance of the passages' scores in clean text of n tokens: of the best one, or of the
+        sum of the r best (Karlin and Altschul), each further one at the price of a factor of two."""
+        base = self.log_k + math.log(max(n, 1))
+        own = sorted((self.lam * r - base for r in passages), reverse=True) or [-base]
+        best = total = own[0]
+        for r, x in enumerate(own[1:], 2):
+            if x <= 0:
+                break
+            total += x
+            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+        return best
 
-    def probability(self, best: float, n: int) -> float:
-        x = self.bias + self.slope * self.evidence(best, n)
+    def probability(self, passages: list[float], n: int) -> float:
+        x = self.bias + self.slope * self.evidence(passages, n)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
-
-def best_segment(s: np.ndarray) -> float:
-    """Largest sum of consecutive scores; 0 where none is above 0. One pass: prefix sums less their running minimum."""
-    if not len(s):
-        return 0.0
-    c = np.cumsum(s)
-    return max(0.0, float((c - np.minimum.accumulate(np.concatenate(([0.0], c[:-1])))).max()))
+    def read(self, data: bytes) -> tuple[int, list[tuple[int, int, float]], float]:
+        """A text's tokens, its passages and its probability."""
+        words = tokens(data)
+        found = segments(self.series(words), 0.0)
+        return len(words), found, self.probability([r for _, _, r in found], len(words))
 
 
 def segments(s: np.ndarray, least: float) -> list[tuple[int, int, float]]:
@@ -154,8 +163,10 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
         if odds - spread > DRIFT:
             scores[word] = odds - spread
     model = Model(scores, 1.0, 0.0, 0.0, 1.0)
-    found = known.mapInArrow(_passages(model), "toxic long, n long, best double").toPandas()  # three numbers for each training document
-    return _calibrate(model, found["toxic"].to_numpy() > 0, found["n"].to_numpy(), found["best"].to_numpy())
+    found = known.mapInArrow(_passages(model, lambda own, n: max(own, default=0.0)), "toxic long, n long, x double").toPandas()  # three numbers for each training document
+    _law(model, found["n"].to_numpy()[found["toxic"] <= 0], found["x"].to_numpy()[found["toxic"] <= 0])
+    found = known.mapInArrow(_passages(model, model.evidence), "toxic long, n long, x double").toPandas()
+    return _calibrate(model, found["toxic"].to_numpy() > 0, found["x"].to_numpy())
 
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,22 +181,24 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "toxic": column(batch, "toxic"), "one": [a for a, _ in least], "two": [b for _, b in least]}, schema=kind)
 
 
-def _passages(model: Model):
+def _passages(model: Model, of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [tokens(x) for x in as_bytes(batch)]
-            yield pa.RecordBatch.from_pydict({"toxic": column(batch, "toxic"), "n": [len(w) for w in words], "best": [best_segment(model.series(w)) for w in words]}, schema=pa.schema([("toxic", pa.int64()), ("n", pa.int64()), ("best", pa.float64())]))
+            rows = [model.read(x) for x in as_bytes(batch)]
+            yield pa.RecordBatch.from_pydict({"toxic": column(batch, "toxic"), "n": [n for n, _, _ in rows], "x": [of([r for _, _, r in found], n) for n, found, _ in rows]}, schema=pa.schema([("toxic", pa.int64()), ("n", pa.int64()), ("x", pa.float64())]))
 
     return run
 
 
-def _calibrate(model: Model, toxic: np.ndarray, n: np.ndarray, best: np.ndarray) -> Model:
-    """Extreme-value law of clean documents by moments, then a logistic curve by Newton steps."""
-    floor = best[~toxic] - 0.0
-    spread = max(float(floor.std()), 0.25)
+def _law(model: Model, n: np.ndarray, best: np.ndarray) -> None:
+    """The extreme-value law of clean documents' best passages, by moments."""
+    spread = max(float(best.std()), 0.25)
     model.lam = math.pi / (spread * math.sqrt(6))  # a Gumbel law's standard deviation is pi / (lambda sqrt 6)
-    model.log_k = float(np.mean(model.lam * floor - np.log(np.maximum(n[~toxic], 1)))) - 0.5772156649
-    x = model.lam * best - model.log_k - np.log(np.maximum(n, 1))
+    model.log_k = float(np.mean(model.lam * best - np.log(np.maximum(n, 1)))) - 0.5772156649
+
+
+def _calibrate(model: Model, toxic: np.ndarray, x: np.ndarray) -> Model:
+    """A logistic curve over the evidence, by Newton steps."""
     scale, shift = max(float(x.std()), 1e-9), float(x.mean())
     design = np.stack([np.ones(len(x)), (x - shift) / scale], axis=1)
     w = np.zeros(2)
@@ -202,7 +215,7 @@ def _calibrate(model: Model, toxic: np.ndarray, n: np.ndarray, best: np.ndarray)
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, best, score (0 to 1), passages (array of "start-end").
 
-    passages: token ranges of the maximal passages that would by themselves make a text toxic. Null and empty
+    passages: token ranges of the significant passages of texts at 0.5 or more. Null and empty
     texts have no token and score as a text without any passage. Repeated rows are scored each.
     """
     held = Shared(session(docs), model)  # bounded by the training sample
@@ -211,14 +224,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = held.value
         out: dict = {"doc_id": column(batch, "doc_id"), "n_tokens": [], "best": [], "score": [], "passages": []}
         for data in as_bytes(batch):
-            words = tokens(data)
-            s = model.series(words)
-            best = best_segment(s)
-            p = model.probability(best, len(words))
-            out["n_tokens"].append(len(words))
-            out["best"].append(best)
+            n, found, p = model.read(data)
+            out["n_tokens"].append(n)
+            out["best"].append(max((r for _, _, r in found), default=0.0))
             out["score"].append(p)
-            out["passages"].append(",".join(f"{a}-{b}" for a, b, r in segments(s, 0.0) if model.probability(r, len(words)) >= 0.5) if p >= 0.5 else "")
+            out["passages"].append(",".join(f"{a}-{b}" for a, b, r in found if model.evidence([r], n) > 0) if p >= 0.5 else "")
         return out
 
     return map_batches(texts(docs), make, "doc_id long, n_tokens long, best double, score double, passages string")
@@ -226,18 +236,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns unchanged, whose score is under the threshold."""
-    from scholia.llm.common import small_batches
-
     small_batches(session(docs))
     held = Shared(session(docs), model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            keep = []
-            for data in as_bytes(batch):
-                words = tokens(data)
-                keep.append(model.probability(best_segment(model.series(words)), len(words)) < threshold)
+            keep = [model.read(data)[2] < threshold for data in as_bytes(batch)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
