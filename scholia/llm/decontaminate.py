@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import Shared, as_bytes, column, save, session, small_batches, texts
+from scholia.llm.common import Shared, as_bytes, column, fresh, save, session, small_batches, texts
 
 #: Words of a window.
 WINDOW = 10
@@ -144,9 +145,10 @@ def alignments(docs: DataFrame, chosen: DataFrame, window: int = WINDOW) -> Data
     return grouped.where("k >= 2 or n = 1").drop("k", "n")
 
 
-def _tested(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """docs, all columns, with __tests: the passages and alignments to check in each row (null: none)."""
+def _tested(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """docs, all columns, with the passages and alignments to check in each row (null: none), and that column's name."""
     small_batches(session(docs))
+    own, tests = fresh(docs, "key", "tests")
     terms = save(test_terms(items), "terms")
     # rows without an id are looked up together, under the smallest long; the word by word check tells them apart
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -155,8 +157,8 @@ def _tested(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     found = alignments(keyed, chosen, window)
     passages = terms.groupBy("item_id", "passage").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("words"))
     per_test = found.groupBy("doc_id", "passage", "item_id").agg(F.collect_set("shift").alias("shifts")).join(passages, ["item_id", "passage"])
-    per_doc = per_test.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("__tests"))
-    return docs.join(per_doc, key == F.col("__key"), "left").drop("__key")
+    per_doc = per_test.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias(tests))
+    return docs.join(per_doc, key == F.col(own), "left").drop(own), tests
 
 
 def _check(data: bytes, tests: list[dict] | None, window: int) -> tuple[int, int, set[int]]:
@@ -178,13 +180,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     Null and empty texts have no words. An item without words has no window. Rows that repeat a doc_id, and
     rows without one, are answered each from their own text.
     """
-    both = _tested(texts(docs), items, window)
+    both, name = _tested(texts(docs), items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
         for batch in batches:
             rows = []
-            for doc, data, tests in zip(column(batch, "doc_id"), as_bytes(batch), column(batch, "__tests"), strict=True):
+            for doc, data, tests in zip(column(batch, "doc_id"), as_bytes(batch), column(batch, name), strict=True):
                 n_words, n, items = _check(data, tests, window)
                 rows.append((doc, n_words, n, len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), n > 0))
             yield pa.RecordBatch.from_pydict({k: [r[j] for r in rows] for j, k in enumerate(kind.names)}, schema=kind)
@@ -207,25 +209,40 @@ def mark(words: list[bytes], passage: list[bytes], shift: int, window: int, hit:
     return any_hit
 
 
-def proximity(docs: DataFrame, items: DataFrame, span: int = 30, least: int = 6) -> DataFrame:
-    """(doc_id, item_id, shift_bucket, n_terms): documents that hold at least `least` distinct rare words of an
-    item within `span` words of one another, in any order."""
-    chosen = anchors(docs, items)
-    hits = index(docs, chosen).join(chosen.select("item_id", "term").distinct(), "term").select("doc_id", "item_id", "term", F.explode("positions").alias("p"))
-    # two half-shifted grids: any stretch of span words lies within one cell of 2 * span
-    cells = hits.select("doc_id", "item_id", "term", F.explode(F.array(F.floor(F.col("p") / span), F.floor(F.col("p") / span) - 1)).alias("cell"))
-    return cells.groupBy("doc_id", "item_id", F.col("cell").alias("shift_bucket")).agg(F.count_distinct("term").alias("n_terms")).where(F.col("n_terms") >= least)
+def proximity(docs: DataFrame, items: DataFrame, span: int = 30, rare: int = 8, least: int = 6) -> DataFrame:
+    """(doc_id, item_id, n_terms, at): documents that hold at least `least` of an item's `rare` rarest distinct words within
+    `span` words of one another, in any order; of an item with fewer distinct words all. n_terms: the most in one
+    stretch, at: the first word (from 0) of the first such stretch.
+
+    Rare is what the documents hold seldom (ties by word); words that no document holds are not among them. Rows
+    without an id, and items without one or without words, match nothing. Rows that share an id are one document
+    whose texts lie over one another; repeated items are one.
+    """
+    known = docs.where("doc_id is not null")
+    terms = test_terms(items).groupBy("item_id", "term").agg(F.lit(1).alias("one"))
+    total = frequencies(known, terms)
+    by_item = Window.partitionBy("item_id")  # an item's own words
+    rated = terms.withColumn("need", F.least(F.lit(least), F.count("*").over(by_item))).join(total, "term")
+    chosen = rated.withColumn("k", F.row_number().over(by_item.orderBy("total", "term"))).where(F.col("k") <= rare).select("item_id", "term", "need")
+    chosen = save(chosen, "rare")
+    hits = index(known, chosen).join(chosen, "term").select("doc_id", "item_id", "need", "term", F.explode("positions").alias("p"))
+    ahead = Window.partitionBy("doc_id", "item_id").orderBy("p").rangeBetween(0, span - 1)  # an item's rare words in one document
+    met = hits.withColumn("n_terms", F.size(F.collect_set("term").over(ahead))).where("n_terms >= need")
+    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_terms", (-F.col("p")).alias("p"))).alias("r"))
+    return best.select("doc_id", "item_id", F.col("r.n_terms").cast("long").alias("n_terms"), (-F.col("r.p")).cast("long").alias("at"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns unchanged, in which no window of a test passage occurs."""
 
+    both, name = _tested(docs, items, window)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [not _check(data, tests, window)[1] for data, tests in zip(as_bytes(batch), column(batch, "__tests"), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__tests"])
+            keep = [not _check(data, tests, window)[1] for data, tests in zip(as_bytes(batch), column(batch, name), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns([name])
 
-    return _tested(docs, items, window).mapInArrow(run, docs.schema)
+    return both.mapInArrow(run, docs.schema)
 
 
 #: contamination() for DuckDB.
@@ -249,3 +266,22 @@ items AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+#: proximity() for DuckDB.
+PROXIMITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+places AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS p FROM d),
+totals AS (SELECT term, count(*) AS total FROM places SEMI JOIN terms USING (term) GROUP BY term),
+needs AS (SELECT item_id, least(6, count(*)) AS need FROM terms GROUP BY item_id),
+chosen AS (
+  SELECT item_id, term, need FROM terms JOIN totals USING (term) JOIN needs USING (item_id)
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY total, term) <= 8),
+hits AS (SELECT doc_id, item_id, need, term, p FROM places JOIN chosen USING (term)),
+met AS (
+  SELECT doc_id, item_id, need, p, len(list_distinct(list(term) OVER (PARTITION BY doc_id, item_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING))) AS n_terms FROM hits),
+best AS (SELECT doc_id, item_id, max((n_terms, -p)) AS r FROM met WHERE n_terms >= need GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, r[1] AS n_terms, -r[2] AS at FROM best
+"""

@@ -45,6 +45,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.proximity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.learn(docs, load(spark, sf_dir, "labels"))
@@ -76,10 +80,12 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "proximity_matches": proximity_matches,
 }
 
 ORACLES = {
     "op5_decontamination": decontaminate.REPORT_SQL,
+    "proximity_matches": decontaminate.PROXIMITY_SQL,
     "op6_suffix_dedup": suffixes.REPORT_SQL,
     "op8_substring_dedup": substrings.REPORT_SQL,
     "op9_line_dedup": lines.REPORT_SQL,

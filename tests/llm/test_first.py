@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from scholia.llm import decontaminate, simhash, toxicity
@@ -64,23 +66,13 @@ def test_dense_clusters_link(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], KIND)
     assert simhash.near_groups(none).count() == 0
-    assert simhash.keep_one(none).count() == 0
+    assert simhash.keep_texts(none).count() == 0
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(none, items).count() == 0
     one = table(spark, [(1, "a b c")])
     assert not decontaminate.contamination(one, items).first().contaminated
 
 
-def test_keep_one(spark):
-    rng = random.Random(9)
-    base = words(rng, 300, 5000)
-    w = base.split()
-    near = " ".join(w[:150] + ["zzz"] + w[151:])
-    rows = [(5, base), (6, near), (7, base.upper()), (8, words(rng, 300, 5000)), (8, "other"), (None, base), (9, None), (10, "")]
-    kept = sorted((r.doc_id or -1, r.text) for r in simhash.keep_one(table(spark, rows)).collect())
-    assert [i for i, _ in kept] == [-1, 5, 8, 9]
-
-
 def test_pipeline_judges_each_row_by_its_own_text(spark):
     import corpus_pipeline
 
@@ -130,7 +122,30 @@ def test_contamination_matches_brute_force(spark, rows):
     clean = decontaminate.keep_clean(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert clean.columns == table(spark, docs).columns
     assert clean.count() == sum(not brute.contamination(t, items)[-1] for _, t in docs)
-    assert decontaminate.proximity(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), least=2).count() > 0
+
+
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(13)
+    items = [(i, words(rng, rng.randrange(1, 14), 60)) for i in range(12)] + [(12, None), (13, ""), (None, "w1 w2"), (3, "w1 w2 w3")]
+    docs = [(i, words(rng, rng.randrange(0, 120), 60)) for i in range(40)] + [(90, "x " + items[5][1]), (91, " ".join(reversed(items[6][1].split()))), (92, None), (93, "")]
+    split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.ascii_lower(x or ""))
+    total = Counter(w for _, t in docs for w in split(t))
+    own = {}
+    for i, t in items:
+        if i is not None:
+            own.setdefault(i, set()).update(split(t))
+    want = []
+    for span, rare, least in [(10, 4, 3)]:
+        for i, terms in own.items():
+            chosen = sorted((w for w in terms if total[w]), key=lambda w: (total[w], w.encode()))[:rare]
+            for d, t in docs:
+                w = split(t)
+                found = [(len({x for x in w[a : a + span] if x in chosen}), -a) for a in range(len(w)) if w[a] in chosen]
+                if terms and found and max(found)[0] >= min(least, len(terms)):
+                    want.append((d, i, max(found)[0], -max(found)[1]))
+    got = decontaminate.proximity(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), 10, 4, 3).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+    assert {(90, 5), (91, 6)} <= {(d, i) for d, i, _, _ in want}
 
 
 def test_segments_are_maximal():
@@ -138,8 +153,28 @@ def test_segments_are_maximal():
 
     s = np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5], float)
     assert toxicity.segments(s, 0) == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
-    assert toxicity.best_segment(s) == 7
-    assert toxicity.segments(np.array([]), 0) == [] and toxicity.best_segment(np.array([-1.0])) == 0
+    assert toxicity.segments(np.array([]), 0) == []
+    rng = np.random.Generator(np.random.PCG64(2))
+    for _ in range(60):
+        s = rng.integers(-4, 4, rng.integers(1, 14)).astype(float)
+        assert toxicity.segments(s, 0) == sorted(plain_segments(s.tolist(), 0, len(s)))
+
+
+def plain_segments(s, low, high):
+    """The best stretch (of equals the shortest, then the first), then those left and right of it."""
+    every = [(-sum(s[a:b]), b - a, a, b) for a in range(low, high) for b in range(a + 1, high + 1)]
+    if not every or min(every)[0] >= 0:
+        return []
+    worth, _, a, b = min(every)
+    return [(a, b, -worth), *plain_segments(s, low, a), *plain_segments(s, b, high)]
+
+
+def test_several_passages_count_together():
+    model = toxicity.Model({b"bad": 3.0}, 1.0, 1.0, -1.0, 1.0)
+    one = model.read(b"bad " + b"x " * 20)[2]
+    many = model.read((b"bad bad " + b"x " * 20) * 4)
+    assert len(many[1]) == 4 and many[2] > 0.7 > 0.5 > one
+    assert model.read(b"")[1:] == ([], model.probability([], 0))
 
 
 def test_toxicity_held_out_accuracy(spark):
