@@ -13,7 +13,8 @@ window's start to the last one's end. A repeat is settled in two rounds.
 
 Records travel packed, some hundred thousand to a row, dealt by hash. Each task first settles what it can among
 its own records and sends one of each kind on, so a passage that a third of the corpus holds sends a record for
-each task at most. Hashes have 64 bits; stretches compare under two of them, windows under one and their anchor's place.
+each task at most. Stretches compare under two hashes of 64 bits (the anchor's and the whole stretch's), windows under
+two of different bases. The number of buckets follows the input, and a task holds one of them at a time.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import as_bytes, column, save, session, texts
 
-#: Units hashed at a time; records of one task settled at a time.
-BLOCK, FLUSH = 1 << 20, 1_000_000
+#: Units hashed at a time; records of one task settled at a time; bytes of text for each bucket.
+BLOCK, FLUSH, BUCKET_BYTES = 1 << 20, 1_000_000, 16 << 20
 _U = np.uint64
-_B = 0x9E3779B97F4A7C15
+_B, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _LAST = 2**63 - 1
 _KIND = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 _ANSWER = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("kind", pa.int32())])
@@ -62,14 +63,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Prefix sums of units times powers of an odd number modulo 2^64: any substring's hash in one step."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = _B) -> None:
+        self.base = base
         self.power = self.inverse = np.ones(1, _U)
         self.bytes = mix(np.arange(1, 257, dtype=_U) * _U(_B))
 
     def _grow(self, n: int) -> None:
         if len(self.power) <= n:
             size = max(n + 1, 2 * len(self.power), 4096)
-            for name, b in (("power", _B), ("inverse", pow(_B, -1, 2**64))):
+            for name, b in (("power", self.base), ("inverse", pow(self.base, -1, 2**64))):
                 x = np.full(size, b, _U)
                 x[0] = 1
                 setattr(self, name, np.cumprod(x, dtype=_U))
@@ -141,7 +143,7 @@ def stretches(hasher: Hasher, u: np.ndarray, rule: Rule) -> dict[str, np.ndarray
     return {"h": grams[t], "y": y, "lo": lo, "hi": hi, "left": left.astype(np.uint32), "right": right.astype(np.uint32)}
 
 
-_FIELDS = {"h": "<u8", "y": "<u8", "doc": "<i8", "tag": "<i8", "lo": "<u4", "wide": "u1", "many": "u1", "left": "<u4", "right": "<u4"}
+_FIELDS = {"h": "<u8", "y": "<u8", "doc": "<i8", "tag": "<i8", "lo": "<u4", "wide": "<u4", "many": "u1", "left": "<u4", "right": "<u4"}
 
 
 def pack(r: dict[str, np.ndarray], fields: list[str]) -> bytes:
@@ -247,19 +249,28 @@ def _shared(h: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch], fields: list[str], rule: Rule, ask: bool) -> Iterator[pa.RecordBatch]:
-    """All records of some hashes: answers, and with ask the stretches whose windows are to be compared."""
-    blobs: list[bytes] = []
+    """All records of some hashes, which come bucket by bucket: answers, and with ask the stretches whose windows are to be compared."""
+    now, blobs = None, []
+
+    def met() -> Iterator[pa.RecordBatch]:
+        r, first, gone = settle(unpack(blobs, fields), rule.later)
+        yield answers(r, gone, GONE, rule.length)
+        if ask:
+            kinds = {f: x[first] for f, x in r.items()}
+            yield answers(kinds, _shared(kinds["h"], kinds["left"]) | _shared(kinds["h"], kinds["right"]), ASK, rule.length)
+
     for batch in batches:
-        for kind, blob in zip(column(batch, "kind"), column(batch, "blob"), strict=True):
+        for bucket, kind, blob in zip(column(batch, "bucket"), column(batch, "kind"), column(batch, "blob"), strict=True):
             if kind:
                 yield from pa.ipc.open_stream(blob)
-            else:
-                blobs.append(blob)
-    r, first, gone = settle(unpack(blobs, fields), rule.later)
-    yield answers(r, gone, GONE, rule.length)
-    if ask:
-        kinds = {f: x[first] for f, x in r.items()}
-        yield answers(kinds, _shared(kinds["h"], kinds["left"]) | _shared(kinds["h"], kinds["right"]), ASK, rule.length)
+                continue
+            if bucket != now and blobs:
+                yield from met()
+                blobs.clear()
+            now = bucket
+            blobs.append(blob)
+    if blobs:
+        yield from met()
 
 
 _DDL = "doc long, tag long, lo long, hi long, kind int"
@@ -279,8 +290,9 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame, rule: Rule) -> DataFrame:
     """(doc, tag, spans): the ranges of units (array of lo, hi) that repeated windows cover, of tagged() rows."""
-    spark = session(rows)
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, int(session(rows).conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * parts, -(-size // BUCKET_BYTES))
     fields = ["h", "y", "doc", "tag", "lo", "wide", "many", "left", "right"]
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,14 +306,14 @@ def repeated(rows: DataFrame, rule: Rule) -> DataFrame:
         yield from sender.flush()
 
     ddl = "bucket long, kind int, blob binary"
-    sent = rows.select("doc", "tag", "text").mapInArrow(first_round, ddl).repartition(n, "bucket")
+    sent = rows.select("doc", "tag", "text").mapInArrow(first_round, ddl).repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = save(sent.mapInArrow(lambda b: _met(b, fields, rule, True), _DDL), "stretches")
 
     slim = ["h", "y", "doc", "tag", "lo", "wide", "many"]
     asked = found.where(f"kind = {ASK}").groupBy("doc", "tag").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
 
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sender = Hasher(), Sender(slim, n, rule)
+        hasher, other, sender = Hasher(), Hasher(_OTHER), Sender(slim, n, rule)
         for batch in batches:
             for doc, tag, los, his, data in zip(*(column(batch, c) for c in ("doc", "tag", "los", "his")), as_bytes(batch), strict=True):
                 los, his = np.unique(np.array([los, his], np.int64), axis=1)
@@ -310,12 +322,12 @@ def repeated(rows: DataFrame, rule: Rule) -> DataFrame:
                     if own.any():
                         size = (his - los + 1)[own]
                         start = np.repeat(los[own] - at - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                        h = hasher.span(hasher.prefix(u), start, start + rule.length)
+                        h, y = (x.span(x.prefix(u), start, start + rule.length) for x in (hasher, other))
                         k = len(h)
-                        yield from sender.add({"h": h, "y": np.zeros(k, _U), "doc": np.full(k, doc, np.int64), "tag": np.full(k, tag, np.int64), "lo": start + at, "wide": np.zeros(k, np.uint8), "many": np.zeros(k, bool)})
+                        yield from sender.add({"h": h, "y": y, "doc": np.full(k, doc, np.int64), "tag": np.full(k, tag, np.int64), "lo": start + at, "wide": np.zeros(k, np.uint32), "many": np.zeros(k, bool)})
         yield from sender.flush()
 
-    windows = rows.join(asked, ["doc", "tag"]).select("doc", "tag", "los", "his", "text").mapInArrow(second_round, ddl).repartition(n, "bucket")
+    windows = rows.join(asked, ["doc", "tag"]).select("doc", "tag", "los", "his", "text").mapInArrow(second_round, ddl).repartition(parts, "bucket").sortWithinPartitions("bucket")
     more = windows.mapInArrow(lambda b: _met(b, slim, rule, False), _DDL)
     every = found.where(f"kind = {GONE}").unionByName(more)
     return every.groupBy("doc", "tag").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))

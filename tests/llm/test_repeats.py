@@ -65,6 +65,18 @@ def test_bytes_match_brute_force(spark, seed):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, by_bytes(data, 30)))
 
 
+@pytest.mark.parametrize("length", [300, 900])
+def test_wide_windows_match_brute_force(spark, length):
+    rng = random.Random(length)
+    t = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    data = [(1, t), (2, "x" * 50 + t[200:2900] + "y" * 700), (3, t[:1000] + t[1001:]), (4, t[::-1])]
+    got = suffixes.report(table(spark, data), length=length).collect()
+    assert sorted(map(tuple, got)) == sorted(by_bytes(data, length))
+    words = [(i, " ".join(x)) for i, x in data]
+    got = substrings.report(table(spark, words), window=length).collect()
+    assert sorted(map(tuple, got)) == sorted(by_words(words, length))
+
+
 def test_small_blocks(spark, monkeypatch):
     """Long texts go through in blocks, and full buffers are settled early."""
     data = corpus(5)
