@@ -60,3 +60,9 @@ PAGE_NUMBER = r"^\s*(?:第\s*\d+\s*页|[-—–]?\s*\d+\s*[-—–]?|Page\s*\d+)
 QUESTION_START = r"^\s*(?:(\d+)[\.、．]|第\s*\d+\s*题|[（(]\s*\d+\s*[）)])\s*"
 PRINTED_MARKER = r"(?m)^\s*([0-9]{1,3})\s*(?:[.、,，]\s+|[.、,，]《|[《（(])"
 NEW_QUESTION_MARK = r"^\s*(?:第\s*[0-9０-９]+\s*题|[0-9０-９]+\s*[\.、．）)]|[一二三四五六七八九十]+[、.．])"
+
+# Fixed values. Warnings that say a stem begins or ends midway, words that mark material questions, and an answer in a user's reply: number, then answer.
+START_WARNINGS = ["开头", "缺少题干"]
+END_WARNINGS = ["截断", "缺少后续", "不完整"]
+MATERIAL_WORDS = ["本案", "材料", "案例", "学校", "班主任", "家长", "承担责任"]
+USER_ANSWER = r"(?:第\s*([0-9０-９]+)\s*题|[Qq]\s*([0-9０-９]+)|([0-9０-９]+)\s*[.、,，)）：:：]?)\s*(?:选|答案[是为]?|[:：])?\s*([A-Za-z√×✓✗○●对错正确错误无需TF]+)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.tables import FOLD_FROM, FOLD_TO, FULL_WIDTH, GRADING_MARKS, HALF_WIDTH, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, TYPE_ALIASES
+from scholia.functions.tables import END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GRADING_MARKS, HALF_WIDTH, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TYPE_ALIASES
 
 SPACES = r"(?U)\s+"
 
@@ -142,14 +142,18 @@ def rubric_letters(value: Column) -> Column:
     return F.when(c.rlike("^[A-F]{1,6}$"), F.filter(F.split(c, ""), lambda x: x != ""))
 
 
-def starts_mid(stem: Column) -> Column:
-    """Whether a stem opens like the middle of a sentence: with closing punctuation, a comma or a lower-case letter."""
-    return F.trim(stem).rlike(r"^[,.;:!?，。；：！？、)）a-z]")
+def warns(warnings: Column, words: list[str]) -> Column:
+    return F.exists(warnings, lambda w: w.rlike("|".join(words)))
 
 
-def ends_mid(stem: Column) -> Column:
-    """Whether a stem ends without any closing mark."""
-    return (F.trim(stem) != "") & ~F.trim(stem).rlike(r"[。！？!?.;；:：)）】\]》」』]$")
+def starts_mid(stem: Column, warnings: Column) -> Column:
+    """Whether a stem opens midway: a warning says so, or it begins with a separator or a sub-question's number."""
+    return warns(warnings, START_WARNINGS) | F.trim(stem).rlike(r"^(?:[，。；：、]|[（(][0-9０-９]+[）)])")
+
+
+def ends_mid(stem: Column, warnings: Column) -> Column:
+    """Whether a stem ends midway: a warning says so, or no closing mark stands at its end (colons and semicolons close nothing)."""
+    return warns(warnings, END_WARNINGS) | ((F.trim(stem) != "") & ~F.trim(stem).rlike(r"[。！？!?】）)\]》」』]$"))
 
 
 def overlap(left: Column, right: Column, most: int = 80) -> Column:

@@ -1,99 +1,164 @@
-"""Wrong-question import: draft dedup, answer matching, boundaries between images, merging and readiness.
+"""Wrong-question import: extraction, draft dedup, answer matching, boundaries between images, merging, replies and readiness.
 
-Sample drafts come from documents: a session is a source, an image ten documents, a draft one document's first 200 characters.
+Sample drafts come from documents: a session is fifty documents (one person's upload), an image a document, a draft each of its lines,
+some of them written as cut-off, continued or numbered ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scholia.adapters import Source
 from scholia.functions import text
-from scholia.functions.tables import BOUNDARY, MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION
-from scholia.functions.numbers import clamp01
+from scholia.functions.numbers import add_days, clamp01
+from scholia.functions.tables import BOUNDARY, END_WARNINGS, MATERIAL_WORDS, MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION, START_WARNINGS, USER_ANSWER
 from scholia.operators import windows
 from scholia.registry import query
 
 C = F.col
+_KINDS = ("single_choice", "multiple_choice", "short_answer", "essay")
 
 
 def drafts(s: Source) -> DataFrame:
-    d = s.table("documents").select("doc_id", F.col("source").alias("session"), F.floor(C("doc_id") / 10).alias("image"), F.left(F.coalesce("text", F.lit("")), F.lit(200)).alias("stem"), "lang")
-    return d.withColumn("kind", F.when(C("doc_id") % 4 == 0, "short_answer").otherwise("single_choice"))
+    """(session, image, seq, draft, stem, kind, warnings, answer, by_user)"""
+    x = s.lines().where("line <> ''").withColumn("x", F.translate("line", ".", "。"))
+    h = (C("doc_id") + C("line_no")) % 8
+    stem = (
+        F.when(h == 0, F.concat(F.lit("（1）"), "x")).when(h == 1, F.concat(F.lit("第3题 "), "x")).when(h == 2, F.concat(F.lit("，"), "x")).when(h == 3, F.concat("x", F.lit(" 本案 （1）a (2) b。")))
+        .when(h == 4, F.regexp_replace("x", "。+$", "")).when(h == 5, F.concat(F.lit("一、"), "x")).otherwise(C("x"))
+    )
+    w = (C("doc_id") * 3 + C("line_no")) % 11
+    return x.select(
+        F.floor(C("doc_id") / 50).alias("session"), C("doc_id").alias("image"), C("line_no").alias("seq"), (C("doc_id") * 1_000_000 + C("line_no")).alias("draft"), stem.alias("stem"),
+        F.get(F.array(*map(F.lit, _KINDS)), (F.char_length("line") % 4).cast("int")).alias("kind"), F.when(w == 0, F.array(F.lit("图片截断"))).when(w == 1, F.array(F.lit("缺少题干"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        F.when((C("doc_id") + C("line_no")) % 3 == 0, F.upper(F.left("line", F.lit(1)))).alias("answer"), ((C("doc_id") + C("line_no")) % 7 == 0).alias("by_user"),
+    )
 
 
-_DRAFTS = "dr AS (SELECT doc_id, source AS session, doc_id // 10 AS image, left(coalesce(text, ''), 200) AS stem, lang, CASE WHEN doc_id % 4 = 0 THEN 'short_answer' ELSE 'single_choice' END AS kind FROM documents)"
+_DRAFTS = r"""x AS (SELECT *, (doc_id + line_no) % 8 AS h, (doc_id * 3 + line_no) % 11 AS w, replace(line, '.', '。') AS x FROM lines WHERE line <> ''),
+dr AS (SELECT doc_id // 50 AS session, doc_id AS image, line_no AS seq, doc_id * 1000000 + line_no AS draft,
+  CASE h WHEN 0 THEN '（1）' || x WHEN 1 THEN '第3题 ' || x WHEN 2 THEN '，' || x WHEN 3 THEN x || ' 本案 （1）a (2) b。' WHEN 4 THEN regexp_replace(x, '。+$', '') WHEN 5 THEN '一、' || x ELSE x END AS stem,
+  ['single_choice', 'multiple_choice', 'short_answer', 'essay'][length(line) % 4 + 1] AS kind, CASE w WHEN 0 THEN ['图片截断'] WHEN 1 THEN ['缺少题干'] ELSE CAST([] AS VARCHAR[]) END AS warnings,
+  CASE WHEN (doc_id + line_no) % 3 = 0 THEN upper(left(line, 1)) END AS answer, (doc_id + line_no) % 7 = 0 AS by_user FROM x)"""
 
 
-@query("wqi2_wqi11_draft_dedup", f", {_DRAFTS} SELECT session, sha256(kind || chr(10) || stem) AS k, min(doc_id) AS doc_id, count(*) AS copies, max(lang) AS filled FROM dr GROUP BY session, sha256(kind || chr(10) || stem)")
-def draft_dedup(s: Source) -> DataFrame:
-    """The first of equal drafts in a session stays and takes what later ones know."""
-    k = F.sha2(F.concat_ws("\n", "kind", "stem"), 256)
-    return drafts(s).groupBy("session", k.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("lang").alias("filled"))
+def _frag(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[ \\t\\r\\n，。；：！？,.!?]', '', 'g')"
+
 
+def _starts(x: str, w: str) -> str:
+    return f"(list_has_any({w}, ['缺少题干']) OR regexp_matches(trim({x}), '^([，。；：、]|[（(][0-9０-９]+[）)])'))"
 
-def boundary_score(left: str, right: str, same_batch: Column, same_kind: Column) -> Column:
-    """How likely the last draft of an image goes on in the first of the next, 0 to 1; without a sign at the cut at most 0.69."""
-    a, b = C(left), C(right)
-    cut, goes_on, shared = text.ends_mid(a), text.starts_mid(b), text.overlap(a, b, 20) > 0
-    w = BOUNDARY
+
+def _ends(x: str, w: str) -> str:
+    return f"(list_has_any({w}, ['图片截断']) OR trim({x}) <> '' AND NOT regexp_matches(trim({x}), '[。！？!?】）)\\]》」』]$'))"
+
+
+@query("wqi2_wqi11_draft_dedup", f""", {_DRAFTS} SELECT session, sha256(kind || chr(10) || stem) AS k, min(draft) AS draft, count(*) AS copies, CASE WHEN arg_min(by_user, draft) THEN arg_min_null(answer, draft) ELSE arg_min(answer, draft) END AS answer FROM dr GROUP BY session, kind, stem""")
+def draft_dedup(s: Source) -> DataFrame:
+    """The first of equal drafts in a session stays; unless its user set the answer, it takes the first one that any of them has."""
+    first = F.min(F.struct("draft", "by_user", "answer"))
+    known = F.min_by("answer", F.when(C("answer").isNotNull(), C("draft")))
+    g = drafts(s).groupBy("session", F.sha2(F.concat_ws("\n", "kind", "stem"), 256).alias("k")).agg(first.alias("f"), F.count("*").alias("copies"), known.alias("known"))
+    return g.select("session", "k", C("f.draft").alias("draft"), "copies", F.when(C("f.by_user"), C("f.answer")).otherwise(C("known")).alias("answer"))
+
+
+def boundary_score(same_batch: Column) -> Column:
+    """How likely the last draft of an image goes on in the first of the next, 0 to 1, of columns left and right (stem, kind, warnings); without a
+    cut on the left or a start midway on the right under the review limit; a mark of a new question decides against it."""
+    a, b, w = C("left.stem"), C("right.stem"), BOUNDARY
+    add = lambda test, name: F.when(test, w[name]).otherwise(0.0)
+    cut, goes_on = text.ends_mid(a, C("left.warnings")), text.starts_mid(b, C("right.warnings"))
+    warned = text.warns(C("left.warnings"), END_WARNINGS[:2]) | text.warns(C("right.warnings"), START_WARNINGS)
     total = (
-        F.lit(w["base"]) + F.when(same_batch, w["same_batch"]).otherwise(0.0) + F.when(cut, w["left_cut"]).otherwise(0.0) + F.when(goes_on, w["right_goes_on"]).otherwise(0.0)
-        + F.when(same_kind, w["same_type"]).otherwise(w["other_type"]) + F.when(shared, w["overlap"]).otherwise(0.0)
+        F.lit(w["base"]) + add(same_batch, "same_batch") + add(cut, "left_cut") + add(goes_on, "right_goes_on") + add(F.trim(b).rlike("^[（(]"), "sub_question") + add(warned, "warning")
+        + F.when(C("left.kind") == C("right.kind"), w["same_type"]).otherwise(w["other_type"]) + add(text.overlap(a, b) > 0, "overlap")
     )
-    total = F.when(cut | goes_on | shared, total).otherwise(F.least(total, F.lit(0.69)))
-    return F.when(text.is_question_start(b), NEW_QUESTION).otherwise(clamp01(total))
+    return F.when(text.opens_question(b), NEW_QUESTION).otherwise(clamp01(F.when(cut | goes_on, total).otherwise(F.least(total, F.lit(MERGE_REVIEW - 0.01)))))
 
 
-def decision(score: Column) -> Column:
-    return F.when(score >= MERGE_AUTO, "merge").when(score >= MERGE_REVIEW, "review").otherwise("separate")
+def decided(score: Column, hard: Column, conflict: Column) -> Column:
+    """merge, review or separate: a conflict asks for review at most, and review below its limit is separate."""
+    first = F.when(hard, "separate").when(score >= MERGE_AUTO, "merge").when(score >= MERGE_REVIEW, "review").otherwise("separate")
+    capped = F.when(conflict, F.least(score, F.lit(MERGE_REVIEW))).otherwise(score)
+    asked = F.when(conflict | ((first == "separate") & (capped >= MERGE_REVIEW) & ~hard), "review").otherwise(first)
+    return F.when((asked == "review") & (capped < MERGE_REVIEW), "separate").otherwise(asked)
 
 
 def pairs(s: Source) -> DataFrame:
-    """The last draft of each image with the first of the next one of its session."""
-    g = drafts(s).groupBy("session", "image").agg(F.min_by(F.struct("doc_id", "stem", "kind"), "doc_id").alias("first"), F.max_by(F.struct("doc_id", "stem", "kind"), "doc_id").alias("last"))
-    after = F.lead("first").over(W.partitionBy("session").orderBy("image"))
-    return g.withColumn("next", after).where("next is not null").select(
-        "session", "image", C("last.doc_id").alias("left_id"), C("next.doc_id").alias("right_id"), C("last.stem").alias("left"), C("next.stem").alias("right"), C("last.kind").alias("left_kind"), C("next.kind").alias("right_kind")
-    )
+    """(session, image, left, right): the last draft of each image with the first of the next one of its session."""
+    row = F.struct("draft", "stem", "kind", "warnings", "answer")
+    g = drafts(s).groupBy("session", "image").agg(F.min_by(row, "seq").alias("first"), F.max_by(row, "seq").alias("left"))
+    after = F.lead("first").over(W.partitionBy("session").orderBy("image"))  # fifty images at most
+    return g.withColumn("right", after).where("right is not null").select("session", "image", "left", "right")
+
 
+_PAIRS = f"""{_DRAFTS}, im AS (SELECT session, image, min(seq) AS f, max(seq) AS l FROM dr GROUP BY ALL), nx AS (SELECT session, image, l, lead(image) OVER w AS nimage, lead(f) OVER w AS nf FROM im WINDOW w AS (PARTITION BY session ORDER BY image)),
+pairs AS (SELECT n.session, n.image, a.draft AS left_id, b.draft AS right_id, a.stem AS lt, b.stem AS rt, a.kind AS lk, b.kind AS rk, a.warnings AS lw, b.warnings AS rw, a.answer AS la, b.answer AS ra FROM nx n JOIN dr a ON a.image = n.image AND a.seq = l JOIN dr b ON b.image = nimage AND b.seq = nf),
+ov AS (SELECT *, coalesce(list_max(list_filter(range(2, least(80, length(trim(lt)), length(trim(rt))) + 1), lambda n: {_frag('right(trim(lt), n)')} = {_frag('left(trim(rt), n)')})), 0) AS overlap, {_starts('rt', 'rw')} AS goes_on, {_ends('lt', 'lw')} AS cut,
+  regexp_matches(trim(rt), '^(第\\s*[0-9０-９]+\\s*题|[0-9０-９]+\\s*[.、．）)]|[一二三四五六七八九十]+[、.．])') AS hard, lk <> rk OR la <> ra AS conflict FROM pairs),
+sc AS (SELECT *, 0.22 + CASE WHEN image % 2 = 0 THEN 0.1 ELSE 0 END + CASE WHEN cut THEN 0.32 ELSE 0 END + CASE WHEN goes_on THEN 0.32 ELSE 0 END + CASE WHEN left(trim(rt), 1) IN ('（', '(') THEN 0.08 ELSE 0 END
+  + CASE WHEN list_contains(lw, '图片截断') OR list_contains(rw, '缺少题干') THEN 0.08 ELSE 0 END + CASE WHEN lk = rk THEN 0.05 ELSE -0.16 END + CASE WHEN overlap > 0 THEN 0.1 ELSE 0 END AS total FROM ov),
+fin AS (SELECT *, round(CAST(CASE WHEN hard THEN 0.05 WHEN cut OR goes_on THEN greatest(0, least(1, total)) ELSE greatest(0, least(total, 0.69)) END AS DOUBLE), 6) AS score FROM sc)"""
 
-_PAIRS = f"""{_DRAFTS}, im AS (SELECT session, image, min(doc_id) AS f, max(doc_id) AS l FROM dr GROUP BY ALL), nx AS (SELECT session, image, l AS left_id, lead(f) OVER (PARTITION BY session ORDER BY image) AS right_id FROM im),
-pairs AS (SELECT n.session, n.image, left_id, right_id, a.stem AS lt, b.stem AS rt, a.kind AS lk, b.kind AS rk FROM nx n JOIN dr a ON a.doc_id = left_id JOIN dr b ON b.doc_id = right_id)"""
+
+def _decided(conflict: str) -> str:
+    first = "CASE WHEN hard THEN 'separate' WHEN score >= 0.92 THEN 'merge' WHEN score >= 0.7 THEN 'review' ELSE 'separate' END"
+    return f"CASE WHEN NOT coalesce({conflict}, FALSE) THEN {first} WHEN score >= 0.7 THEN 'review' ELSE 'separate' END"
 
 
 @query("join21_adjacent_pairs", f", {_PAIRS} SELECT session, image, left_id, right_id FROM pairs")
 def adjacent(s: Source) -> DataFrame:
-    return pairs(s).select("session", "image", "left_id", "right_id")
+    return pairs(s).select("session", "image", C("left.draft").alias("left_id"), C("right.draft").alias("right_id"))
+
 
+def scored(s: Source) -> DataFrame:
+    p = pairs(s).withColumn("score", F.round(boundary_score(C("image") % 2 == 0), 6)).withColumn("hard", text.opens_question(C("right.stem")))
+    return p.withColumn("conflict", F.coalesce((C("left.kind") != C("right.kind")) | (C("left.answer") != C("right.answer")), F.lit(False)))
 
-@query("wqi4_wqi5_boundary")
+
+@query("wqi4_wqi5_boundary", f", {_PAIRS} SELECT left_id, right_id, score, {_decided('conflict')} AS decision FROM fin")
 def boundaries(s: Source) -> DataFrame:
-    p = pairs(s)
-    score = boundary_score("left", "right", C("image") % 2 == 0, C("left_kind") == C("right_kind"))
-    return p.withColumn("score", F.round(score, 6)).select("session", "image", "left_id", "right_id", "score", decision(C("score")).alias("decision"))
+    return scored(s).select(C("left.draft").alias("left_id"), C("right.draft").alias("right_id"), "score", decided(C("score"), C("hard"), C("conflict")).alias("decision"))
 
 
-@query("str19_truncation", f""", {_DRAFTS} SELECT doc_id, regexp_matches(trim(stem), '^[,.;:!?，。；：！？、)）a-z]') AS starts_mid FROM dr""")
+@query("str19_truncation", f""", {_DRAFTS} SELECT draft, {_starts('stem', 'warnings')} AS starts_mid, {_ends('stem', 'warnings')} AS ends_mid FROM dr""")
 def truncation(s: Source) -> DataFrame:
-    return drafts(s).select("doc_id", text.starts_mid(C("stem")).alias("starts_mid"))
+    return drafts(s).select("draft", text.starts_mid(C("stem"), C("warnings")).alias("starts_mid"), text.ends_mid(C("stem"), C("warnings")).alias("ends_mid"))
+
 
+_MERGED = f"""CASE WHEN trim(lt) = '' THEN trim(rt) WHEN trim(rt) = '' THEN trim(lt) WHEN length({_frag('trim(rt)')}) >= 8 AND suffix({_frag('trim(lt)')}, {_frag('trim(rt)')}) THEN trim(lt)
+    WHEN length({_frag('trim(lt)')}) >= 8 AND starts_with({_frag('trim(rt)')}, {_frag('trim(lt)')}) THEN trim(rt) WHEN overlap > 0 THEN trim(lt) || substr(trim(rt), overlap + 1) ELSE trim(lt) || trim(rt) END"""
 
-@query("str20_str21_wqi6_merge")
+
+@query("str20_str21_wqi6_merge", f", {_PAIRS} SELECT left_id, right_id, CAST(overlap AS INTEGER) AS overlap, sha256({_MERGED}) AS merged, CASE WHEN lk <> rk THEN 'question_type_conflict' WHEN la <> ra THEN 'answer_conflict' ELSE '' END AS reason, coalesce(la, ra) AS answer FROM ov")
 def merge_texts(s: Source) -> DataFrame:
-    p = pairs(s)
-    return p.select("left_id", "right_id", text.overlap(C("left"), C("right"), 20).alias("overlap"), F.sha2(text.merge_fragments(C("left"), C("right")), 256).alias("merged"), (C("left_kind") != C("right_kind")).alias("conflict"))
+    a, b = C("left.stem"), C("right.stem")
+    reason = F.when(C("left.kind") != C("right.kind"), "question_type_conflict").when(C("left.answer") != C("right.answer"), "answer_conflict").otherwise("")
+    return pairs(s).select(
+        C("left.draft").alias("left_id"), C("right.draft").alias("right_id"), text.overlap(a, b).alias("overlap"), F.sha2(text.merge_fragments(a, b), 256).alias("merged"), reason.alias("reason"), F.coalesce("left.answer", "right.answer").alias("answer")
+    )
 
 
-@query("win15_chains", f""", {_DRAFTS}, f AS (SELECT *, doc_id % 3 = 0 AS sm, doc_id % 5 = 0 AS anon, doc_id % 2 = 0 AS em FROM dr),
-    j AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND (sm OR anon AND coalesce(lag(em) OVER w, FALSE)) THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY session ORDER BY doc_id))
-    SELECT doc_id, CAST(sum(fresh) OVER (PARTITION BY session ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM j""")
+@query("win15_wqi7_chains", f""", {_DRAFTS}, f AS (SELECT *, {_starts('stem', 'warnings')} AS sm, {_ends('stem', 'warnings')} AS em, answer IS NULL AS anon FROM dr),
+    j AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND (sm OR anon AND coalesce(lag(em) OVER w, FALSE)) THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY session ORDER BY image, seq))
+    SELECT draft, CAST(sum(fresh) OVER (PARTITION BY session ORDER BY image, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM j""")
 def chained(s: Source) -> DataFrame:
-    d = drafts(s).withColumn("em", C("doc_id") % 2 == 0)
-    return windows.chains(d, ["session"], ["doc_id"], C("doc_id") % 3 == 0, C("doc_id") % 5 == 0, "em").select("doc_id", "chain")
+    """Fragments of one upload in order: each joins the chain before it if it starts midway, or has no mark of its own after one that ends midway."""
+    d = drafts(s).withColumn("em", text.ends_mid(C("stem"), C("warnings")))
+    return windows.chains(d, ["session"], ["image", "seq"], text.starts_mid(C("stem"), C("warnings")), C("answer").isNull(), "em").select("draft", "chain")
+
+
+@query("wqi21_fragments", f""", {_DRAFTS} SELECT draft, image, CAST(row_number() OVER (PARTITION BY session ORDER BY image, seq) AS INTEGER) AS position FROM dr""")
+def fragments(s: Source) -> DataFrame:
+    """The order in which an upload's fragments are kept."""
+    return windows.renumber(drafts(s), ["session"], ["image", "seq"], "position").select("draft", "image", "position")
 
 
 def match_entries(scored: DataFrame, least: float = 0.86, margin: float = 0.015) -> DataFrame:
@@ -115,56 +180,200 @@ def match_entries(scored: DataFrame, least: float = 0.86, margin: float = 0.015)
 
 @query("wqi3_answer_matching")
 def matched(s: Source) -> DataFrame:
-    """Answers (entries) against candidates (drafts) of one document: same place .99, same number .95, same scope .94 less a hair."""
-    a, c = s.answers().select(C("document_id").alias("session"), C("id").alias("entry"), C("question_no").alias("n"), C("section_scope").alias("scope"), "question_type"), s.candidates()
-    both = a.join(c.select(C("document_id").alias("session"), C("id").alias("draft"), C("question_no").alias("m"), C("section_scope").alias("own"), C("question_type").alias("kind")), ["session"]).where("n = m")
-    score = F.when((C("scope") == C("own")) & (C("question_type") == C("kind")), 0.99).when(C("scope") == C("own"), 0.95).otherwise(0.5)
-    return match_entries(both.withColumn("score", score))
-
-
-@query("wqi8_commit", """, w AS (SELECT id, value, row_number() OVER (PARTITION BY section_scope, question_no ORDER BY id) AS k FROM answers) SELECT id, value, id % 3 <> 0 AS answered FROM w WHERE k = 1 AND id % 3 <> 0""")
+    """Answers (a fifth of the drafts' own, in another order) against an upload's drafts: the same question and nothing else like it .99,
+    the same number .95, a beginning of it .94. Each test is an equality, so no entry meets all drafts."""
+    d = drafts(s).select("session", "draft", "seq", text.answer_question(C("stem")).alias("key")).where("key <> ''")
+    e = d.where("draft % 5 = 0").select("session", (-C("draft")).alias("entry"), C("seq").alias("eseq"), F.when(C("draft") % 2 == 0, C("key")).otherwise(F.left("key", F.lit(12))).alias("hint"))
+    same = e.join(d, (e["session"] == d["session"]) & (C("hint") == C("key"))).withColumn("score", F.when(F.count("*").over(W.partitionBy("entry")) == 1, 0.99).otherwise(0.94))
+    number = e.join(d, (e["session"] == d["session"]) & (C("eseq") == C("seq")) & (F.left("hint", F.lit(4)) == F.left("key", F.lit(4)))).withColumn("score", F.lit(0.95))
+    begins = e.join(d, (e["session"] == d["session"]) & (F.left("key", F.lit(12)) == C("hint"))).withColumn("score", F.lit(0.94))
+    every = None
+    for part in (same, number, begins):
+        part = part.select(e["session"], "entry", "draft", "score")
+        every = part if every is None else every.unionByName(part)
+    return match_entries(every.groupBy("session", "entry", "draft").agg(F.max("score").alias("score")))
+
+
+@query("wqi8_commit", f""", {_DRAFTS} SELECT draft, sha256(kind || chr(10) || stem) AS question_hash, epoch_us(as_of) + 600000000 AS next_review_us FROM dr, now WHERE answer IS NOT NULL AND len(warnings) = 0""")
 def commit(s: Source) -> DataFrame:
-    """Ready drafts with an answer, one for each place."""
-    w = windows.first_row(s.answers(), ["section_scope", "question_no"], ["id"]).withColumn("answered", C("id") % 3 != 0)
-    return w.where("answered").select("id", "value", "answered")
+    """Drafts that are ready and answered become questions, without a look at other banks, and are due for review ten minutes on."""
+    d = drafts(s).where((F.size("warnings") == 0) & C("answer").isNotNull()).join(F.broadcast(s.as_of()))  # one row
+    return d.select("draft", F.sha2(F.concat_ws("\n", "kind", "stem"), 256).alias("question_hash"), F.unix_micros(add_days(C("as_of"), F.lit(10 / 1440))).alias("next_review_us"))
 
 
-@query("wqi9_wqi10_wqi13_batch_readiness", f""", {_DRAFTS} SELECT session, count(DISTINCT image) AS images, count(*) AS n_drafts, count(*) FILTER (WHERE doc_id % 7 = 0) AS pending, count(*) FILTER (WHERE doc_id % 7 = 0) = 0 AS ready FROM dr GROUP BY session""")
+@query("wqi9_wqi10_wqi13_batch_readiness", f""", {_DRAFTS}, im AS (SELECT session, image, CASE image % 9 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'done' END AS status, count(*) AS n, count(*) FILTER (WHERE answer IS NULL) AS open FROM dr GROUP BY ALL)
+    SELECT session, count(*) AS images, CAST(sum(n) AS BIGINT) AS n_drafts, count(*) FILTER (WHERE status <> 'pending') AS finished, CAST(sum(open) AS BIGINT) AS missing, count(*) = 50 AND count(*) FILTER (WHERE status = 'pending') = 0 AS ready FROM im GROUP BY session""")
 def readiness(s: Source) -> DataFrame:
-    waiting = F.count_if(C("doc_id") % 7 == 0)
-    return drafts(s).groupBy("session").agg(F.count_distinct("image").alias("images"), F.count("*").alias("n_drafts"), waiting.alias("pending"), (waiting == 0).alias("ready"))
+    """Images finished (done or failed) of all, drafts, those without an answer; ready when as many images as announced are there and none is pending."""
+    status = F.when(C("image") % 9 == 0, "failed").when(C("image") % 9 == 1, "pending").otherwise("done")
+    im = drafts(s).groupBy("session", "image", status.alias("status")).agg(F.count("*").alias("n"), F.count_if(C("answer").isNull()).alias("open"))
+    waiting = F.count_if(C("status") == "pending")
+    return im.groupBy("session").agg(F.count("*").alias("images"), F.sum("n").alias("n_drafts"), F.count_if(C("status") != "pending").alias("finished"), F.sum("open").alias("missing"), ((F.count("*") == 50) & (waiting == 0)).alias("ready"))
 
 
-@query("wqi16_all_match", f""", {_DRAFTS} SELECT image, bool_and(b.item_id IS NOT NULL) AS all_known, count(b.item_id) AS known FROM dr LEFT JOIN (SELECT min(item_id) AS item_id, left(text, 200) AS stem FROM benchmark GROUP BY 2) b USING (stem) GROUP BY image""")
-def all_match(s: Source) -> DataFrame:
-    """Images all of whose questions are known already: pages of answers."""
-    b = s.table("benchmark").groupBy(F.left("text", F.lit(200)).alias("stem")).agg(F.min("item_id").alias("item_id"))
-    return drafts(s).join(b, "stem", "left").groupBy("image").agg(F.bool_and(C("item_id").isNotNull()).alias("all_known"), F.count("item_id").alias("known"))
+@query("wqi14_retry_selection", """SELECT DISTINCT doc_id // 50 AS session, doc_id AS image, doc_id // 5 AS batch FROM documents WHERE lang = 'en' AND doc_id % 4 NOT IN (1, 2)""")
+def retry(s: Source) -> DataFrame:
+    """Answer-key images (here the English ones) that are neither pending nor being processed, with their batches."""
+    status = F.get(F.array(*map(F.lit, ("done", "pending", "processing", "failed"))), (C("doc_id") % 4).cast("int"))
+    d = s.table("documents").withColumn("status", status).where((C("lang") == "en") & ~C("status").isin("pending", "processing"))
+    return d.select(F.floor(C("doc_id") / 50).alias("session"), C("doc_id").alias("image"), F.floor(C("doc_id") / 5).alias("batch")).distinct()
 
 
-@query("wqi17_material_retyping", f""", {_DRAFTS} SELECT doc_id, CASE WHEN kind = 'short_answer' AND (length(stem) - length(replace(stem, '?', ''))) >= 2 THEN 'material_analysis' ELSE kind END AS kind FROM dr""")
-def material(s: Source) -> DataFrame:
-    marks = F.char_length("stem") - F.char_length(F.replace("stem", F.lit("?"), F.lit("")))
-    return drafts(s).select("doc_id", F.when((C("kind") == "short_answer") & (marks >= 2), "material_analysis").otherwise(C("kind")).alias("kind"))
+_LOOSE = r"lower(regexp_replace(stem, '[\p{P}\p{S}\s]', '', 'g'))"
 
 
-@query("wqi15_stale_answers", """SELECT a.id FROM answers a WHERE EXISTS (SELECT 1 FROM answers b WHERE b.section_scope = a.section_scope AND b.question_no = a.question_no AND b.id < a.id AND b.value = a.value)""")
+@query("wqi15_stale_answers", f""", {_DRAFTS}, t AS (SELECT session, draft, image, seq, {_LOOSE} AS t, (doc_id_ + seq) % 5 AS version, by_user FROM (SELECT *, image AS doc_id_ FROM dr)), n AS (SELECT session, draft, left(t, 40) AS head, t FROM t WHERE length(t) >= 40 AND version = 4)
+    SELECT DISTINCT o.draft FROM t o JOIN n ON o.session = n.session AND left(o.t, 40) = n.head AND o.draft <> n.draft WHERE length(o.t) >= 40 AND NOT o.by_user AND (starts_with(n.t, o.t) OR starts_with(o.t, n.t)) AND (o.version <= 2 OR o.t = n.t)""")
 def stale(s: Source) -> DataFrame:
-    """Machine answers that repeat one given before at the same place."""
-    first = s.answers().groupBy("section_scope", "question_no", "value").agg(F.min("id").alias("first"))
-    return s.answers().join(first, ["section_scope", "question_no", "value"]).where("id > first").select("id")
+    """Long machine answers (40 characters or more) of an upload that begin like a newer answer and are contained in it or contain it: cleared unless
+    a user set them, or their version is beyond 2 and they differ. The first 40 characters are the join key."""
+    t = drafts(s).select("session", "draft", "by_user", text.loose(C("stem")).alias("t"), ((C("image") + C("seq")) % 5).alias("version")).where(F.char_length("t") >= 40).withColumn("head", F.left("t", F.lit(40)))
+    n = t.where("version = 4").select("session", "head", C("draft").alias("newer"), C("t").alias("u"))
+    j = t.where("not by_user").join(n, ["session", "head"]).where("draft <> newer")
+    return j.where((F.startswith("u", C("t")) | F.startswith("t", C("u"))) & ((C("version") <= 2) | (C("t") == C("u")))).select("draft").distinct()
 
 
-@query("wqi18_wqi19_mut11_undo", "SELECT question_id, arg_max(CASE WHEN is_correct = 0 THEN 'restored' ELSE 'merged' END, attempt_id) AS state, count(*) AS versions FROM attempts GROUP BY question_id")
-def undo(s: Source) -> DataFrame:
-    """Merges and undos as versions of a draft; the newest decides, all before stay."""
-    state = F.when(C("is_correct") == 0, "restored").otherwise("merged")
-    return s.attempts().groupBy("question_id").agg(F.max_by(state, "attempt_id").alias("state"), F.count("*").alias("versions"))
+@query("wqi16_all_match", f""", {_DRAFTS}, k AS (SELECT session, image, answer, sha256(stem) AS k FROM dr), f AS (SELECT session, k, min(image) AS first FROM k GROUP BY ALL)
+    SELECT image, bool_and(first < image) AS all_known, count(*) FILTER (WHERE answer IS NOT NULL) AS with_answer, bool_and(first < image) AND count(*) FILTER (WHERE answer IS NOT NULL) > 0 AS answer_page FROM k JOIN f USING (session, k) GROUP BY image""")
+def all_match(s: Source) -> DataFrame:
+    """An image all of whose questions an earlier image of the upload holds, and at least one of which carries an answer, is a page of answers."""
+    k = drafts(s).select("session", "image", "answer", F.sha2("stem", 256).alias("k"))
+    first = k.groupBy("session", "k").agg(F.min("image").alias("first"))
+    known, n = F.bool_and(C("first") < C("image")), F.count_if(C("answer").isNotNull())
+    return k.join(first, ["session", "k"]).groupBy("image").agg(known.alias("all_known"), n.alias("with_answer"), (known & (n > 0)).alias("answer_page"))
 
 
-@query("wqi20_pair_decision", f""", {_PAIRS} SELECT left_id, right_id, least(0.9::DOUBLE, CASE WHEN lk = rk THEN 0.95::DOUBLE ELSE 0.6::DOUBLE END) AS score FROM pairs WHERE image % 5 <> 0""")
+def is_material(stem: Column) -> Column:
+    """Two sub-questions or more, and a word that material questions have."""
+    return (F.size(F.regexp_extract_all(stem, F.lit("[（(][0-9０-９]+[）)]"), F.lit(0))) >= 2) & stem.rlike("|".join(MATERIAL_WORDS))
+
+
+@query("wqi17_material_retyping", f""", {_DRAFTS} SELECT draft, CASE WHEN kind IN ('short_answer', 'essay') AND len(regexp_extract_all(stem, '[（(][0-9０-９]+[）)]')) >= 2 AND regexp_matches(stem, '{"|".join(MATERIAL_WORDS)}') THEN 'material_analysis' ELSE kind END AS kind FROM dr""")
+def material(s: Source) -> DataFrame:
+    return drafts(s).select("draft", F.when(C("kind").isin("short_answer", "essay") & is_material(C("stem")), "material_analysis").otherwise(C("kind")).alias("kind"))
+
+
+@query("wqi18_wqi19_mut11_undo", f", {_PAIRS} SELECT left_id, right_id, CASE left_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'undone' WHEN 2 THEN 'rejected' ELSE 'accepted' END AS state, sha256(CASE WHEN left_id % 4 = 0 OR left_id % 4 = 3 AND image % 3 > 0 THEN {_MERGED} ELSE lt END) AS stem FROM ov")
+def undo(s: Source) -> DataFrame:
+    """Merges with the text before them, and what was done about them since, in order: the last action decides. An accepted merge is replayed from the
+    text before, unless the draft was edited after it; an undone or rejected one leaves that text."""
+    p = pairs(s).withColumn("id", C("left.draft"))
+    log = {0: ("accept",), 1: ("accept", "undo"), 2: ("reject",), 3: ("reject", "undo", "accept")}
+    acts = F.create_map(*(x for k, v in log.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    p = p.withColumn("last", F.element_at(F.element_at(acts, (C("id") % 4).cast("int")), -1))
+    edited = (C("id") % 4 == 3) & (C("image") % 3 == 0)
+    state = F.when(C("last") == "accept", "accepted").when(C("last") == "undo", "undone").otherwise("rejected")
+    after = F.when((C("last") == "accept") & ~edited, text.merge_fragments(C("left.stem"), C("right.stem"))).otherwise(C("left.stem"))
+    return p.select(C("id").alias("left_id"), C("right.draft").alias("right_id"), state.alias("state"), F.sha2(after, 256).alias("stem"))
+
+
+@query("wqi20_pair_decision", f""", {_PAIRS}, d AS (SELECT *, {_decided('conflict')} AS decision, least(score, CASE image % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.5 ELSE 1 END) AS lower_ FROM fin),
+    prior AS (SELECT left_id, right_id, CASE image % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' END AS status, 'separate' AS old FROM pairs WHERE image % 4 < 2)
+    SELECT left_id, right_id, CAST(lower_ AS DOUBLE) AS score FROM d LEFT JOIN prior USING (left_id, right_id) WHERE NOT (coalesce(status, '') IN ('accepted', 'pending', 'undone') OR coalesce(status, '') = 'rejected' AND old = decision)""")
 def pair_decision(s: Source) -> DataFrame:
-    """Local and model score count by the lower; pairs decided before (images that 5 divides) don't come again."""
-    decided = pairs(s).where("image % 5 = 0").select("left_id", "right_id")
-    score = F.least(F.lit(0.9), F.when(C("left_kind") == C("right_kind"), 0.95).otherwise(0.6))
-    return pairs(s).join(decided, ["left_id", "right_id"], "left_anti").select("left_id", "right_id", score.alias("score"))
+    """Pairs to be decided anew: those that an accepted, pending or undone merge covers don't come again, nor do rejected ones whose decision is
+    the same. Where a model has scored too, the lower of both counts."""
+    d = scored(s).withColumn("decision", decided(C("score"), C("hard"), C("conflict")))
+    prior = pairs(s).where("image % 4 < 2").select(C("left.draft").alias("left_id"), C("right.draft").alias("right_id"), F.when(C("image") % 4 == 0, "pending").otherwise("rejected").alias("status"), F.lit("separate").alias("old"))
+    model = F.when(C("image") % 3 == 0, 0.95).when(C("image") % 3 == 1, 0.5)
+    d = d.select(C("left.draft").alias("left_id"), C("right.draft").alias("right_id"), "decision", F.least("score", F.coalesce(model, F.lit(1.0))).alias("score"))
+    settled = prior.where(C("status").isin("accepted", "pending", "undone")).select("left_id", "right_id")
+    rejected = prior.where("status = 'rejected'").select("left_id", "right_id", C("old").alias("decision"))
+    return d.join(settled, ["left_id", "right_id"], "left_anti").join(rejected, ["left_id", "right_id", "decision"], "left_anti").select("left_id", "right_id", "score")
+
+
+def balanced(raw: str | None, opening: str = "{", closing: str = "}") -> str | None:
+    """The first balanced block of a text, brackets inside JSON strings not counted; from the first bracket on if it never closes."""
+    at = -1 if raw is None else raw.find(opening)
+    if at < 0:
+        return raw
+    depth, inside, escaped = 0, False, False
+    for i in range(at, len(raw)):
+        c = raw[i]
+        if escaped:
+            escaped = False
+        elif c == "\\" and inside:
+            escaped = True
+        elif c == '"':
+            inside = not inside
+        elif not inside and c == opening:
+            depth += 1
+        elif not inside and c == closing:
+            depth -= 1
+            if not depth:
+                return raw[at : i + 1]
+    return raw[at:]
+
+
+def extracted(outputs: DataFrame) -> DataFrame:
+    """(image, position, stem, kind, options, answer): questions of raw model outputs (image, raw), an object with questions or a bare array, with other
+    text around. An output without questions, or with one that has no stem, gives none. Choices keep options with contents; other types have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("image", pa.int64()), ("json", pa.string()), ("list", pa.string())])
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_pydict({"image": b.column(0), "json": [balanced(x) for x in raw], "list": [balanced(x, "[", "]") for x in raw]}, schema=kind)
+
+    item = "array<struct<stem:string,type:string,options:array<struct<key:string,content:string>>,answer:array<string>>>"
+    q = outputs.select(C("image").cast("long"), "raw").mapInArrow(run, "image long, json string, list string")
+    q = q.select("image", F.coalesce(F.from_json("json", f"struct<questions:{item}>")["questions"], F.from_json("list", item)).alias("q"))
+    q = q.where(~F.exists("q", lambda x: F.trim(F.coalesce(x["stem"], F.lit(""))) == "")).select("image", F.posexplode("q").alias("position", "x"))
+    kind = F.coalesce(F.nullif(text.canonical_type(F.coalesce("x.type", F.lit(""))), F.lit("")), F.lit("short_answer"))
+    kind = F.when(F.replace("x.type", F.lit("-"), F.lit("_")).isin("short_answer", "essay"), F.when(is_material(C("x.stem")), "material_analysis").otherwise(C("x.type"))).otherwise(kind)
+    options = F.when(kind.isin("single_choice", "multiple_choice"), F.filter("x.options", lambda o: F.trim(o["content"]) != ""))
+    return q.select("image", "position", F.trim("x.stem").alias("stem"), kind.alias("kind"), options.alias("options"), F.transform("x.answer", lambda a: F.trim(a)).alias("answer"))
+
+
+@query("wqi1_str24_extraction", f""", {_DRAFTS}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY image ORDER BY seq) - 1 AS INTEGER) AS position FROM dr)
+    SELECT image, position, sha256(trim('q "}}{{" \\ ' || stem)) AS stem, CASE WHEN kind IN ('short_answer', 'essay') AND len(regexp_extract_all(stem, '[（(][0-9０-９]+[）)]')) >= 2 AND regexp_matches(stem, '{"|".join(MATERIAL_WORDS)}') THEN 'material_analysis' ELSE kind END AS kind,
+      CASE WHEN kind LIKE '%choice' THEN 1 END AS n_options, answer FROM n WHERE image % 7 <> 3""")
+def extraction(s: Source) -> DataFrame:
+    """Outputs written from the drafts, in noise, with brackets and quotes inside; every seventh has a question without a stem."""
+    option = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("content"))
+    q = F.struct(
+        F.concat(F.lit('q "}{" \\ '), "stem").alias("stem"), F.when(C("kind") == "single_choice", "single").otherwise(C("kind")).alias("type"), F.array(option("A", F.lit("x")), option("B", F.lit(" "))).alias("options"),
+        F.array(F.concat(F.lit(" "), F.coalesce("answer", F.lit("")))).alias("answer"),
+    )
+    g = drafts(s).groupBy("image").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", q.alias("q")))), lambda r: r["q"]).alias("q"))  # one image's
+    blank = F.array(F.struct(F.lit(" ").alias("stem"), F.lit("single").alias("type"), F.get("q", F.lit(0))["options"].alias("options"), F.get("q", F.lit(0))["answer"].alias("answer")))
+    q = F.when(C("image") % 7 == 3, F.concat("q", blank)).otherwise(C("q"))
+    raw = F.when(C("image") % 2 == 0, F.concat(F.lit("Here is: "), F.to_json(F.struct(q.alias("questions"))), F.lit(" done } ]"))).otherwise(F.concat(F.lit("list "), F.to_json(q), F.lit(" ] end")))
+    x = extracted(g.select("image", raw.alias("raw")))
+    return x.select("image", "position", F.sha2("stem", 256).alias("stem"), "kind", F.size("options").alias("n_options"), F.nullif(F.get("answer", F.lit(0)), F.lit("")).alias("answer"))
+
+
+def user_answers(replies: DataFrame, open_drafts: DataFrame) -> DataFrame:
+    """(draft, answer, none_needed): answers of free-text replies (session, reply) for drafts (session, seq, draft, kind) that miss one: a number, then letters,
+    a sign or word for true or false, or that none is needed; for other types a line's rest. The first that fits a draft counts."""
+    digits = lambda x: F.translate(x, "０１２３４５６７８９", "0123456789").try_cast("int")
+    part = lambda i: F.regexp_extract_all("reply", F.lit(USER_ANSWER), F.lit(i))
+    found = F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), part(4).alias("token"))
+    r = replies.select("session", F.posexplode(found).alias("at", "m")).select("session", "at", digits(F.concat("m.a", "m.b", "m.c")).alias("seq"), F.trim("m.token").alias("token"))
+    j = r.join(open_drafts, ["session", "seq"])
+    t, up = C("token"), F.upper("token")
+    none = F.contains("token", F.lit("无")) & (F.contains("token", F.lit("需")) | F.contains("token", F.lit("法")))
+    truth = F.when(t.isin("对", "正确", "√", "✓", "○", "T", "t", "true"), F.array(F.lit("对"))).when(t.isin("错", "错误", "×", "✗", "●", "F", "f", "false"), F.array(F.lit("错")))
+    letters = F.filter(F.split(up, ""), lambda x: x.rlike("^[A-D]$"))
+    value = (
+        F.when(C("kind") == "true_false", truth).when(C("kind") == "single_choice", F.when(up.rlike("^[A-D]$"), F.array(up)))
+        .when(C("kind") == "multiple_choice", F.when(F.size(letters) > 0, letters)).otherwise(F.array(t))
+    )
+    j = j.withColumn("none", none).withColumn("value", F.when(~none, value)).where("none or value is not null")
+    best = j.groupBy("draft").agg(F.min(F.struct("at", "none", "value")).alias("r"))
+    return best.select("draft", F.array_join("r.value", "").alias("answer"), C("r.none").alias("none_needed"))
+
+
+@query("wqi12_str18_user_replies", f""", {_DRAFTS}, o AS (SELECT session, draft, row_number() OVER (PARTITION BY session ORDER BY draft) AS seq, CASE kind WHEN 'essay' THEN 'true_false' ELSE kind END AS kind FROM dr WHERE answer IS NULL)
+    SELECT draft, CASE seq % 5 WHEN 3 THEN NULL ELSE CASE kind WHEN 'true_false' THEN '对' WHEN 'single_choice' THEN 'B' WHEN 'multiple_choice' THEN 'AC' ELSE 'Tx' END END AS answer, seq % 5 = 3 AS none_needed FROM o WHERE seq % 5 <> 4""")
+def replies(s: Source) -> DataFrame:
+    """One reply an upload, in four spellings of a number; a fifth of the open drafts gets an answer that doesn't fit its type."""
+    o = windows.renumber(drafts(s).where("answer is null"), ["session"], ["draft"], "seq").select("session", "draft", "seq", F.when(C("kind") == "essay", "true_false").otherwise(C("kind")).alias("kind"))
+    n = C("seq").cast("string")
+    number = F.get(F.array(F.concat(n, F.lit(".")), F.concat(F.lit("第 "), n, F.lit(" 题选")), F.concat(F.lit("Q"), n, F.lit(":")), F.concat(F.translate(n, "0123456789", "０１２３４５６７８９"), F.lit("、答案是"))), (C("seq") % 4).cast("int"))
+    fits = F.when(C("kind") == "true_false", "√").when(C("kind") == "single_choice", "b").when(C("kind") == "multiple_choice", "AxC").otherwise("Tx")
+    said = F.when(C("seq") % 5 == 3, "无需").when(C("seq") % 5 == 4, F.when(C("kind") == "short_answer", "").otherwise("zz")).otherwise(fits)
+    rows = F.sort_array(F.collect_list(F.struct("seq", F.concat(number, F.lit(" "), said).alias("x"))))  # one upload's
+    r = o.groupBy("session").agg(F.array_join(F.transform(rows, lambda x: x["x"]), "；\n").alias("reply"))
+    got = user_answers(r, o)
+    return got.select("draft", F.when(~C("none_needed"), C("answer")).alias("answer"), "none_needed")
