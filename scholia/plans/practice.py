@@ -257,9 +257,14 @@ def wrong_book_counts(s: Source) -> DataFrame:
 query("mut3_pra8_wrong_book_state")(lambda s: wrong_book(s.attempts()).withColumn("priority", round1(F.col("priority"))))
 
 
-@query("pra7_mut6_stm9_session_state", """SELECT conv_id, CASE WHEN n >= 4 THEN 'finished' WHEN conv_id % 3 = 0 THEN 'expired' ELSE 'active' END AS status, least(n, 4) AS current_index FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""")
+@query("pra7_mut6_stm9_session_state", """, n AS (SELECT l_orderkey, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS answered, count(*) FILTER (WHERE l_linestatus <> 'F' AND l_discount = 0) AS unusable FROM lineitem GROUP BY l_orderkey), t AS (SELECT max(o_orderdate) AS moment FROM orders)
+    SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'P' THEN 'abandoned' ELSE CASE WHEN answered + unusable >= total THEN 'finished' WHEN o_orderdate + INTERVAL 90 DAY <= moment THEN 'expired' ELSE 'active' END END AS status, least(answered + unusable, total) AS current_index, o_orderstatus = 'O' AS moved FROM orders JOIN n ON l_orderkey = o_orderkey, t""")
 def session_state(s: Source) -> DataFrame:
-    """A session of four questions is finished when all are answered; one still open past its deadline is expired."""
-    n = s.table("conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    status = F.when(F.col("n") >= 4, "finished").when(F.col("conv_id") % 3 == 0, "expired").otherwise("active")
-    return n.select("conv_id", status.alias("status"), F.least("n", F.lit(4).cast("long")).alias("current_index"))
+    """Sessions (orders) of questions (lines): answered ones and open ones that can't be used move the index on. Only a session still stored as
+    active changes: to finished when its index reaches the end, else to expired once its deadline has passed."""
+    n = s.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("total"), F.count_if(F.col("l_linestatus") == "F").alias("answered"), F.count_if((F.col("l_linestatus") != "F") & (F.col("l_discount") == 0)).alias("unusable"))
+    o = s.table("orders").join(n, "o_orderkey").join(F.broadcast(s.table("orders").agg(F.max("o_orderdate").alias("at"))))  # one row
+    index = F.least(F.col("answered") + F.col("unusable"), "total")
+    now = F.when(index >= F.col("total"), "finished").when(F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS") <= F.col("at"), "expired").otherwise("active")
+    status = F.when(F.col("o_orderstatus") == "F", "finished").when(F.col("o_orderstatus") == "P", "abandoned").otherwise(now)
+    return o.select(F.col("o_orderkey").alias("session_id"), status.alias("status"), index.alias("current_index"), (F.col("o_orderstatus") == "O").alias("moved"))

@@ -6,22 +6,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scholia.adapters import Source
 from scholia.operators import windows
 from scholia.registry import query
+from scholia.session import shared_dir
 
 C = F.col
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints/scholia").rstrip("/")
-
-
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Consume what a stream has now into a table of the shared folder, with its checkpoint beside it, and read that."""
     spark = stream.sparkSession
@@ -60,26 +56,43 @@ def rate(s: Source) -> DataFrame:
     return windows.trailing_count(e, ["user_id"], "ts", 3600, "n").select("event_id", "n")
 
 
-@query("stm12_terminal_guard", "SELECT user_id, arg_min(event_type, event_id) AS state FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id")
+@query("stm12_terminal_guard", """, t AS (SELECT user_id, arg_min(event_type, event_id) AS state, min(event_id) AS ended_by FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)
+    SELECT t.user_id, state, ended_by, count(*) FILTER (WHERE e.event_id > ended_by) AS ignored FROM t JOIN events e USING (user_id) GROUP BY ALL""")
 def guard(s: Source) -> DataFrame:
-    """The first terminal event of a run stands; later ones change nothing."""
-    return s.table("events").where(C("event_type").isin("purchase", "error")).groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("state"))
+    """The first terminal event of a run stands; whatever comes after changes nothing."""
+    e = s.table("events")
+    t = e.where(C("event_type").isin("purchase", "error")).groupBy("user_id").agg(F.min(F.struct("event_id", "event_type")).alias("t"))
+    j = e.select("user_id", "event_id").join(t, "user_id")
+    return j.groupBy("user_id", C("t.event_type").alias("state"), C("t.event_id").alias("ended_by")).agg(F.count_if(C("event_id") > C("t.event_id")).alias("ignored"))
 
 
-@query("stm7_stm13_active_run", "SELECT user_id, max(event_id) FILTER (WHERE event_type <> 'error') AS active, count(*) FILTER (WHERE event_type = 'error') AS ended FROM events GROUP BY user_id")
+@query("stm7_stm13_active_run", """, r AS (SELECT o_custkey AS session_id, o_orderkey AS run_id, o_orderstatus <> 'F' AS live FROM orders), t AS (SELECT session_id, max(run_id) FILTER (WHERE live) AS active, min(run_id) FILTER (WHERE live) AS first FROM r GROUP BY session_id)
+    SELECT session_id, run_id, CASE WHEN NOT live THEN 'ended' WHEN run_id = active THEN 'active' ELSE 'superseded' END AS state, live AND run_id > first AS claim_refused FROM r JOIN t USING (session_id)""")
 def active(s: Source) -> DataFrame:
-    live = F.when(C("event_type") != "error", C("event_id"))
-    return s.table("events").groupBy("user_id").agg(F.max(live).alias("active"), F.count_if(C("event_type") == "error").alias("ended"))
-
-
-@query("stm11_revisions", "SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision FROM events")
-def revisions(s: Source) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return s.table("events").select("event_id", F.sum((C("event_type") == "purchase").cast("long")).over(w).alias("revision"))
-
-
-@query("stm10_archive", """SELECT event_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) IN (SELECT p_partkey FROM part WHERE p_size % 6 = 2)""")
+    """Of a session's live runs the newest is active and those before are superseded; a claim is refused while an earlier live run stands."""
+    r = s.table("orders").select(C("o_custkey").alias("session_id"), C("o_orderkey").alias("run_id"), (C("o_orderstatus") != "F").alias("live"))
+    live = F.when(C("live"), C("run_id"))
+    t = r.groupBy("session_id").agg(F.max(live).alias("active"), F.min(live).alias("first"))
+    state = F.when(~C("live"), "ended").when(C("run_id") == C("active"), "active").otherwise("superseded")
+    return r.join(t, "session_id").select("session_id", "run_id", state.alias("state"), (C("live") & (C("run_id") > C("first"))).alias("claim_refused"))
+
+
+@query("stm11_attachments", """, c AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS ended FROM events), a AS (SELECT *, row_number() OVER w AS revision, lag(ended) OVER w AS before FROM c WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT event_id, CAST(revision AS INTEGER) AS revision, CAST(sum(CASE WHEN before IS NULL OR before < ended THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run, CASE WHEN revision = 1 THEN 'initial' ELSE 'incremental' END AS run_type FROM a""")
+def attachments(s: Source) -> DataFrame:
+    """Attachments (purchases) of one user: each raises the revision and joins the running run, or opens one if that has ended (an error) since the attachment before."""
+    w = W.partitionBy("user_id").orderBy("event_id")
+    c = s.table("events").select("user_id", "event_id", "event_type", F.sum((C("event_type") == "error").cast("long")).over(w).alias("ended")).where("event_type = 'purchase'")
+    c = c.withColumn("revision", F.row_number().over(w)).withColumn("opens", F.coalesce((F.lag("ended").over(w) < C("ended")).cast("long"), F.lit(1)))
+    return c.select("event_id", "revision", F.sum("opens").over(w).alias("run"), F.when(C("revision") == 1, "initial").otherwise("incremental").alias("run_type"))
+
+
+@query("stm10_archive", """, dead AS (SELECT p_partkey AS k FROM part WHERE p_size % 6 = 2) SELECT 'job' AS kind, event_id AS id FROM events WHERE CAST(props->>'$.k' AS BIGINT) IN (SELECT k FROM dead)
+    UNION ALL SELECT 'unit', l_orderkey * 8 + l_linenumber FROM lineitem WHERE l_partkey IN (SELECT k FROM dead) UNION ALL SELECT DISTINCT 'run', l_orderkey FROM lineitem WHERE l_partkey IN (SELECT k FROM dead)""")
 def archive(s: Source) -> DataFrame:
-    """Jobs whose JSON payload points at an archived session."""
+    """All that an archived session cancels: jobs whose JSON payload points at it, its units, and the runs that hold them."""
     dead = s.table("part").where("p_size % 6 = 2").select(C("p_partkey").alias("k"))
-    return s.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).join(dead, "k", "left_semi").select("event_id")
+    jobs = s.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).join(dead, "k", "left_semi").select(F.lit("job").alias("kind"), C("event_id").alias("id"))
+    units = s.table("lineitem").withColumn("k", C("l_partkey")).join(dead, "k", "left_semi")
+    runs = units.select(F.lit("run").alias("kind"), C("l_orderkey").alias("id")).distinct()
+    return jobs.unionByName(units.select(F.lit("unit").alias("kind"), (C("l_orderkey") * 8 + C("l_linenumber")).alias("id"))).unionByName(runs)
