@@ -210,9 +210,9 @@ def mark(words: list[bytes], passage: list[bytes], shift: int, window: int, hit:
 
 
 def proximity(docs: DataFrame, items: DataFrame, span: int = 30, rare: int = 8, least: int = 6) -> DataFrame:
-    """(doc_id, item_id, n_terms, at): documents that hold at least `least` of an item's `rare` rarest distinct words within
+    """(doc_id, item_id, n_terms, first_word): documents that hold at least `least` of an item's `rare` rarest distinct words within
     `span` words of one another, in any order; of an item with fewer distinct words all. n_terms: the most in one
-    stretch, at: the first word (from 0) of the first such stretch.
+    stretch, first_word: the first word (from 0) of the first such stretch.
 
     Rare is what the documents hold seldom (ties by word); words that no document holds are not among them. Rows
     without an id, and items without one or without words, match nothing. Rows that share an id are one document
@@ -229,7 +229,7 @@ def proximity(docs: DataFrame, items: DataFrame, span: int = 30, rare: int = 8,
     ahead = Window.partitionBy("doc_id", "item_id").orderBy("p").rangeBetween(0, span - 1)  # an item's rare words in one document
     met = hits.withColumn("n_terms", F.size(F.collect_set("term").over(ahead))).where("n_terms >= need")
     best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_terms", (-F.col("p")).alias("p"))).alias("r"))
-    return best.select("doc_id", "item_id", F.col("r.n_terms").cast("long").alias("n_terms"), (-F.col("r.p")).cast("long").alias("at"))
+    return best.select("doc_id", "item_id", F.col("r.n_terms").cast("long").alias("n_terms"), (-F.col("r.p")).cast("long").alias("first_word"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -283,5 +283,5 @@ hits AS (SELECT doc_id, item_id, need, term, p FROM places JOIN chosen USING (te
 met AS (
   SELECT doc_id, item_id, need, p, len(list_distinct(list(term) OVER (PARTITION BY doc_id, item_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING))) AS n_terms FROM hits),
 best AS (SELECT doc_id, item_id, max((n_terms, -p)) AS r FROM met WHERE n_terms >= need GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, r[1] AS n_terms, -r[2] AS at FROM best
+SELECT doc_id, item_id, r[1] AS n_terms, -r[2] AS first_word FROM best
 """
