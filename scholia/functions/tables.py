@@ -66,3 +66,6 @@ START_WARNINGS = ["开头", "缺少题干"]
 END_WARNINGS = ["截断", "缺少后续", "不完整"]
 MATERIAL_WORDS = ["本案", "材料", "案例", "学校", "班主任", "家长", "承担责任"]
 USER_ANSWER = r"(?:第\s*([0-9０-９]+)\s*题|[Qq]\s*([0-9０-９]+)|([0-9０-９]+)\s*[.、,，)）：:：]?)\s*(?:选|答案[是为]?|[:：])?\s*([A-Za-z√×✓✗○●对错正确错误无需TF]+)"
+
+# Fixed values. Stages of an import run: progress at their start, and the share of the whole that each is.
+RUN_STAGES = {"rendering": (0.0, 0.05), "catalog": (0.05, 0.30), "candidate_review": (0.0, 1.0), "linking": (0.90, 0.05), "validating": (0.95, 0.05)}

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scholia.adapters import Source
-from scholia.functions.numbers import round_away
+from scholia.functions.numbers import ratio, round_away
+from scholia.functions.tables import RUN_STAGES
+from scholia.functions.text import compact
 from scholia.operators import joins, sets, windows
 from scholia.registry import query
 
@@ -51,10 +53,10 @@ def either(s: Source) -> DataFrame:
     return pairs.select("id", C("r_id").alias("answer_id"))
 
 
-@query("join13_array_membership", "SELECT c.id, d.doc AS directory_document FROM candidates c JOIN (SELECT DISTINCT document_id AS doc, section_scope, unnest(range(question_no, question_no + 3)) AS n FROM directory WHERE question_no <= 5) d ON d.n = c.question_no AND d.section_scope = c.section_scope")
+@query("join13_array_membership", "SELECT c.id, d.doc AS directory_document FROM candidates c JOIN (SELECT DISTINCT document_id AS doc, section_scope, unnest(range(question_no, question_no + 3)) AS n FROM directory) d ON d.n = c.question_no AND d.section_scope = c.section_scope")
 def membership(s: Source) -> DataFrame:
     """Candidates whose number stands in an array of missing numbers: the array is exploded into an equality."""
-    d = s.directory().where("question_no <= 5").select(C("document_id").alias("directory_document"), "section_scope", F.explode(F.sequence(C("question_no"), C("question_no") + 2)).alias("question_no")).distinct()
+    d = s.directory().select(C("document_id").alias("directory_document"), "section_scope", F.explode(F.sequence(C("question_no"), C("question_no") + 2)).alias("question_no")).distinct()
     return s.candidates().join(d, ["section_scope", "question_no"]).select("id", "directory_document")
 
 
@@ -199,10 +201,10 @@ def normalise(s: Source) -> DataFrame:
 query("win6_repair_types")(lambda s: windows.repair_types(s.directory()).select("id", "question_type", "set_no"))
 
 
-@query("win7_gaps", """, g AS (SELECT document_id, list(DISTINCT question_no) AS v, min(question_no) AS lo, max(question_no) AS hi FROM directory WHERE question_no % 5 <> 2 GROUP BY document_id)
+@query("win7_gaps", """, g AS (SELECT document_id, list(DISTINCT question_no) AS v, min(question_no) AS lo, max(question_no) AS hi FROM directory WHERE content_role = 'question' GROUP BY document_id)
     SELECT document_id, missing FROM (SELECT document_id, unnest(list_filter(range(lo, hi + 1), lambda x: NOT list_contains(v, x))) AS missing FROM g WHERE len(v) >= 3 AND hi - lo + 1 <= len(v) + 10)""")
 def gaps(s: Source) -> DataFrame:
-    return windows.interior_gaps(s.directory().where("question_no % 5 <> 2"), ["document_id"], "question_no", "page_start").select("document_id", "missing")
+    return windows.interior_gaps(s.directory().where("content_role = 'question'"), ["document_id"], "question_no", "page_start").select("document_id", "missing")
 
 
 @query("win9_tail_extension", """, top AS (SELECT document_id, max(question_no) AS t FROM directory WHERE content_role = 'question' GROUP BY document_id),
@@ -250,13 +252,17 @@ def reconcile(s: Source) -> DataFrame:
     return x.select("id", F.when(C("k") == 1, "kept").when(C("stem") == C("f"), "duplicate").otherwise("conflict").alias("outcome"))
 
 
-@query("lnk13_cor7_commit_gate", f""", {_CASCADE}, d AS (SELECT c.document_id, count(DISTINCT value) AS n FROM candidates c LEFT JOIN links l ON l.id = c.id GROUP BY c.document_id, c.id)
-    SELECT document_id, count(*) AS total, count(*) FILTER (WHERE n = 1) AS confirmed, count(*) FILTER (WHERE n > 1) AS conflicts, CASE WHEN count(*) > 0 AND count(*) = count(*) FILTER (WHERE n = 1) THEN 'draft_ready' ELSE 'needs_attention' END AS status FROM d GROUP BY document_id""")
+@query("lnk13_cor7_commit_gate", f""", {_CASCADE}, d AS (SELECT c.document_id, c.id, count(DISTINCT value) AS n, any_value(c.question_type) AS t FROM candidates c LEFT JOIN links l ON l.id = c.id GROUP BY c.document_id, c.id), e AS (SELECT document_id % 10 AS document_id, count(*) AS expected FROM directory WHERE content_role = 'question' GROUP BY 1)
+    SELECT document_id, coalesce(total, 0) AS total, expected, coalesce(blocking, 0) AS blocking, CASE WHEN total > 0 AND total = expected AND blocking = 0 THEN 'draft_ready' ELSE 'needs_attention' END AS status
+    FROM e LEFT JOIN (SELECT document_id, count(*) AS total, count(*) FILTER (WHERE n > 1 OR n = 0 AND t <> 'subjective') AS blocking FROM d GROUP BY document_id) USING (document_id)""")
 def gate(s: Source) -> DataFrame:
-    """A document is ready when every candidate has exactly one answer value."""
+    """A document may be committed when it has candidates, as many as its directory lists, and none blocks: by a conflict, or by a missing answer that its type needs."""
     n = links(s).groupBy("id").agg(F.count_distinct("r_value").alias("n"))
-    g = s.candidates().join(n, "id", "left").groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(C("n") == 1).alias("confirmed"), F.count_if(C("n") > 1).alias("conflicts"))
-    return g.withColumn("status", F.when((C("total") > 0) & (C("total") == C("confirmed")), "draft_ready").otherwise("needs_attention"))
+    blocks = (C("n") > 1) | (C("n").isNull() & (C("question_type") != "subjective"))
+    g = s.candidates().join(n, "id", "left").groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(blocks).alias("blocking"))
+    e = s.directory().where("content_role = 'question'").groupBy((C("document_id") % 10).alias("document_id")).agg(F.count("*").alias("expected"))
+    j = e.join(g, "document_id", "left").select("document_id", F.coalesce("total", F.lit(0)).alias("total"), "expected", F.coalesce("blocking", F.lit(0)).alias("blocking"))
+    return j.withColumn("status", F.when((C("total") > 0) & (C("total") == C("expected")) & (C("blocking") == 0), "draft_ready").otherwise("needs_attention"))
 
 
 @query("lnk15_agg22_agg26_review_plan", """SELECT document_id, count(*) FILTER (WHERE content_role = 'question') AS questions, count(*) FILTER (WHERE content_role = 'answer') AS answers, CASE WHEN count(*) FILTER (WHERE content_role = 'question') >= count(*) FILTER (WHERE content_role = 'answer') THEN 'question' ELSE 'answer' END AS role,
@@ -283,22 +289,44 @@ def listing(s: Source) -> DataFrame:
     return s.answers().groupBy("section_scope", "question_no").agg(F.array_join(F.transform(rows, lambda r: r["id"].cast("string")), ",").alias("ids"), F.to_json(rows).alias("nested"))
 
 
-@query("lnk25_retyping", "SELECT question_id, CASE WHEN type = 'short_answer' AND contains(stem, 'widget') THEN 'case_analysis' WHEN type = 'single_choice' AND contains(options_json, '\"B\"') THEN 'multiple_choice' ELSE type END AS type FROM questions")
+@query("lnk25_retyping", """, q AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '以下为 单项选择 ' WHEN 1 THEN '多项 选择：' ELSE '' END || p_name AS stem, CASE p_size % 3 WHEN 0 THEN 0 ELSE p_size % 5 END AS n FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 2 = 1)
+    SELECT id, CASE WHEN n >= 2 AND contains(replace(stem, ' ', ''), '单项选择') THEN 'single_choice' WHEN n >= 2 AND contains(replace(stem, ' ', ''), '多项选择') THEN 'multiple_choice' WHEN n = 0 THEN 'subjective' ELSE 'case_study' END AS kind FROM q""".replace(" WHERE p_partkey % 2 = 0 OR p_partkey % 2 = 1", ""))
 def retype(s: Source) -> DataFrame:
-    options = F.size(F.from_json("options_json", "array<struct<key:string,content:string>>"))
-    t = C("type")
-    kind = F.when((t == "short_answer") & F.contains("stem", F.lit("widget")), "case_analysis").when((t == "single_choice") & (options >= 2), "multiple_choice").otherwise(t)
-    return s.questions().select("question_id", kind.alias("type"))
+    """Questions of case-study blocks: with two options or more by the kind of choice that their stem names, without any subjective; else as they are."""
+    head = F.when(C("p_size") % 4 == 0, "以下为 单项选择 ").when(C("p_size") % 4 == 1, "多项 选择：").otherwise("")
+    n = F.when(C("p_size") % 3 == 0, 0).otherwise(C("p_size") % 5)
+    return s.table("part").select(C("p_partkey").alias("id"), case_kind(F.concat(head, "p_name"), n).alias("kind"))
 
 
-@query("lnk29_intent", """SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'answer|key') THEN 'read_answers' WHEN regexp_matches(lower(text), 'question|why') THEN 'read_questions' WHEN contains(text, '?') THEN 'ask' ELSE 'chat' END AS intent,
-    CASE WHEN regexp_matches(lower(text), 'page') THEN len(regexp_extract_all(text, '[0-9]+')) ELSE 0 END AS n_pages FROM conversations""".replace("len(regexp", "CAST(len(regexp").replace("'[0-9]+'))", "'[0-9]+')) AS INTEGER)"))
-def intent(s: Source) -> DataFrame:
-    """Ordered keyword rules; numbers are page numbers only where pages are spoken of."""
-    low = F.lower("text")
-    kind = F.when(low.rlike("answer|key"), "read_answers").when(low.rlike("question|why"), "read_questions").when(F.contains("text", F.lit("?")), "ask").otherwise("chat")
-    pages = F.when(low.rlike("page"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).otherwise(0)
-    return s.table("conversations").select("conv_id", "turn", F.when(C("text").isNotNull(), kind).otherwise("chat").alias("intent"), F.coalesce(pages, F.lit(0)).alias("n_pages"))
+def case_kind(stem: Column, n_options: Column) -> Column:
+    x = compact(stem)
+    return F.when((n_options >= 2) & F.contains(x, F.lit("单项选择")), "single_choice").when((n_options >= 2) & F.contains(x, F.lit("多项选择")), "multiple_choice").when(n_options == 0, "subjective").otherwise("case_study")
+
+
+_SAID = ("请重新读取整份题目", "删除第3题", "先预检", "答案呢 第 12 页", "漏了48题", "重读 5 到 7 页", "你好", "全部解析一遍", "补第 9 页", "解析 2 3")
+
+
+@query("lnk29_intent", f""", c AS (SELECT conv_id, turn, [{", ".join(f"'{x}'" for x in _SAID)}][(conv_id + turn) % {len(_SAID)} + 1] || ' ' || coalesce(role, '') AS x FROM conversations)
+    SELECT conv_id, turn, CASE WHEN regexp_matches(x, '整份|全部|重新开始|读取.*题目|题目.*读取') AND regexp_matches(x, '识别|解析|读取') THEN 'start_full_extraction' WHEN contains(x, '删除') THEN 'propose_delete_candidates' WHEN contains(x, '预检') THEN 'preview_draft'
+      WHEN regexp_matches(x, '答案|解析') THEN 'relink_answers' WHEN regexp_matches(x, '少|漏|补') THEN 'recover_missing_questions' WHEN regexp_matches(x, '重|页') THEN 'retry_pages' ELSE 'explain_status' END AS intent,
+      CASE WHEN contains(x, '页') THEN CASE WHEN len(regexp_extract_all(x, '[0-9]+')) = 1 THEN regexp_extract_all(x, '[0-9]+')[1] || '-' || regexp_extract_all(x, '[0-9]+')[1] WHEN len(regexp_extract_all(x, '[0-9]+')) > 1 THEN regexp_extract_all(x, '[0-9]+')[1] || '-' || regexp_extract_all(x, '[0-9]+')[2] END END AS pages FROM c""")
+def intents(s: Source) -> DataFrame:
+    said = F.concat_ws(" ", F.get(F.array(*map(F.lit, _SAID)), ((C("conv_id") + C("turn")) % len(_SAID)).cast("int")), F.coalesce("role", F.lit("")))
+    i = intent(said)
+    return s.table("conversations").select("conv_id", "turn", i["intent"].alias("intent"), i["pages"].alias("pages"))
+
+
+def intent(said: Column) -> Column:
+    """struct(intent, pages): ordered keyword rules; numbers are a page range only where pages are spoken of, so "48 questions" names none."""
+    has = lambda *words: said.rlike("|".join(words))
+    whole = (has("整份", "全部", "重新开始") | (has("读取") & has("题目"))) & has("识别", "解析", "读取")
+    kind = (
+        F.when(whole, "start_full_extraction").when(has("删除"), "propose_delete_candidates").when(has("预检"), "preview_draft").when(has("答案", "解析"), "relink_answers")
+        .when(has("少", "漏", "补"), "recover_missing_questions").when(has("重", "页"), "retry_pages").otherwise("explain_status")
+    )
+    n = F.filter(F.regexp_extract_all(said, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int") > 0)
+    pages = F.when(has("页") & (F.size(n) > 0), F.concat(F.get(n, F.lit(0)), F.lit("-"), F.coalesce(F.get(n, F.lit(1)), F.get(n, F.lit(0)))))
+    return F.struct(kind.alias("intent"), pages.alias("pages"))
 
 
 @query("flt10_interval_validity", "SELECT id, CASE WHEN page_start <= 0 OR page_end < page_start THEN 'bad_range' WHEN page_end > 15 THEN 'outside_window' WHEN content_role NOT IN ('question', 'answer') THEN 'bad_role' ELSE 'ok' END AS reason FROM directory")
@@ -307,11 +335,26 @@ def validity(s: Source) -> DataFrame:
     return s.directory().select("id", reason.alias("reason"))
 
 
-@query("agg25_mth2_progress", """SELECT document_id, floor((CASE WHEN n = 0 THEN 0 ELSE 10 + 80 * (0.35 + 0.30 * q / n + 0.25 * a / n) END) * 100 + 0.5) / 100 AS progress
-    FROM (SELECT document_id, count(*) AS n, count(*) FILTER (WHERE content_role = 'question') AS q, count(*) FILTER (WHERE content_role = 'answer') AS a FROM directory GROUP BY document_id)""".replace("0.35", "0.35::DOUBLE").replace("0.30", "0.3::DOUBLE").replace("0.25", "0.25::DOUBLE"))
+@query("agg25_mth2_progress", """, u AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A') AS qt, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS qd, count(*) FILTER (WHERE l_returnflag <> 'A') AS at_, count(*) FILTER (WHERE l_returnflag <> 'A' AND l_linestatus = 'F') AS ad, count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'F') AS d FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey, floor(least(1, CASE o_orderkey % 6 WHEN 0 THEN 0.05 * d / n WHEN 1 THEN 0.05 + 0.3 * d / n WHEN 2 THEN 0.35 + 0.3 * CASE WHEN qt > 0 THEN qd / qt ELSE 0 END + 0.25 * CASE WHEN at_ > 0 THEN ad / at_ ELSE 0 END WHEN 3 THEN 0.9 + 0.05 * d / n WHEN 4 THEN 0.95 + 0.05 * d / n ELSE CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END END) * 100 + 0.5) / 100 AS progress
+    FROM orders JOIN u ON l_orderkey = o_orderkey""".replace("0.05 *", "0.05::DOUBLE *").replace("0.3 *", "0.3::DOUBLE *").replace("0.25 *", "0.25::DOUBLE *").replace("qd / qt", "CAST(qd AS DOUBLE) / qt").replace("ad / at_", "CAST(ad AS DOUBLE) / at_"))
 def progress(s: Source) -> DataFrame:
-    g = s.directory().groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(C("content_role") == "question").alias("q"), F.count_if(C("content_role") == "answer").alias("a"))
-    return g.select("document_id", round_away(F.when(C("n") == 0, 0.0).otherwise(10 + 80 * (0.35 + 0.3 * C("q") / C("n") + 0.25 * C("a") / C("n"))), 2).alias("progress"))
+    """A run's progress: each stage has a base and a weight for its own part done; extraction counts questions and answers by weights of their own."""
+    done, role = C("l_linestatus") == "F", C("l_returnflag") == "A"
+    u = s.table("lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(
+        F.count_if(role).alias("qt"), F.count_if(role & done).alias("qd"), F.count_if(~role).alias("at"), F.count_if(~role & done).alias("ad"), F.count("*").alias("n"), F.count_if(done).alias("d")
+    )
+    stage = F.get(F.array(*map(F.lit, ("rendering", "catalog", "parallel_extraction", "linking", "validating", "none"))), (C("o_orderkey") % 6).cast("int"))
+    o = s.table("orders").join(u, "o_orderkey")
+    return o.select("o_orderkey", round_away(run_progress(stage, C("d") / C("n"), ratio(C("qd"), C("qt")), ratio(C("ad"), C("at")), C("o_orderstatus") == "F"), 2).alias("progress"))
+
+
+def run_progress(stage: Column, part: Column, questions: Column, answers: Column, completed: Column) -> Column:
+    p = F.when(completed, 1.0).otherwise(0.0)
+    for name, (base, weight) in RUN_STAGES.items():
+        p = F.when(stage == name, base + weight * part).otherwise(p)
+    p = F.when(stage.isin("parallel_extraction", "extract_question", "extract_answer"), 0.35 + 0.3 * questions + 0.25 * answers).otherwise(p)
+    return F.least(F.lit(1.0), p)
 
 
 @query("agg23_content_hash", """SELECT document_id, sha256(string_agg(id || '|' || anchor, chr(10) ORDER BY id)) AS content_hash FROM directory GROUP BY document_id""")

@@ -85,11 +85,12 @@ def user_flags(s: Source) -> DataFrame:
     return flags
 
 
-@query("join9_set2_unattempted", "SELECT user_id, question_id FROM (SELECT * FROM (SELECT DISTINCT user_id FROM attempts), (SELECT question_id FROM questions WHERE status = 'published' AND question_id <= 150)) ANTI JOIN attempts USING (user_id, question_id)")
+@query("join9_set2_unattempted", "SELECT user_id, question_id FROM (SELECT DISTINCT user_id, bank_id FROM attempts JOIN questions USING (question_id)) JOIN questions USING (bank_id) ANTI JOIN attempts USING (user_id, question_id) WHERE status = 'published'")
 def unattempted(s: Source) -> DataFrame:
-    """Published questions of one exam paper (ids up to 150) that a user has not tried; the paper has a fixed size."""
-    paper = s.questions().where("status = 'published' and question_id <= 150").agg(F.collect_list("question_id").alias("ids"))  # at most 150 ids
-    every = s.attempts().select("user_id").distinct().join(F.broadcast(paper)).select("user_id", F.explode("ids").alias("question_id"))
+    """Published questions, of the banks that a user has worked in, which the user has not tried."""
+    q = s.questions().select("question_id", "bank_id", "status")
+    banks = s.attempts().select("user_id", "question_id").distinct().join(q, "question_id").select("user_id", "bank_id").distinct()
+    every = banks.join(q.where("status = 'published'"), "bank_id").select("user_id", "question_id")
     return every.join(s.attempts(), ["user_id", "question_id"], "left_anti")
 
 

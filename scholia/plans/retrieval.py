@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,19 +94,35 @@ def merged(s: Source) -> DataFrame:
     return hybrid(s, WORDS, 0).select("doc_id", (F.floor(C("score") * 1_000_000 + 0.5) / 1_000_000).alias("score"))
 
 
-@query("ret6_rerank", f", {_bm25_sql(WORDS, 20)} SELECT doc_id, place FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 5 AS DOUBLE) END, score) DESC, score DESC, doc_id) AS INTEGER) AS place FROM bm) WHERE place <= 6")
+@query("ret6_rerank", f""", {_bm25_sql(WORDS, 20)}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm), o AS (SELECT rank, CAST((rank * 7) % 5 AS DOUBLE) AS outside FROM r WHERE rank % 3 > 0)
+    SELECT doc_id, CAST(row_number() OVER (ORDER BY coalesce(outside, score) DESC, rank) AS INTEGER) AS place, CAST(CASE WHEN outside IS NOT NULL THEN count(*) FILTER (WHERE outside IS NOT NULL) OVER (ORDER BY outside DESC NULLS LAST, rank) END AS INTEGER) AS strict_place FROM r LEFT JOIN o USING (rank) QUALIFY place <= 6""")
 def reranked(s: Source) -> DataFrame:
-    """Outside scores (here of even ids) replace the own ones where there are any; ties keep the order before."""
-    found = bm25(s.table("documents"), WORDS)
-    outside = found.where("doc_id % 2 = 0").select("doc_id", (C("doc_id") % 5).cast("double").alias("outside"))
-    w = W.orderBy(F.desc(F.coalesce("outside", "score")), F.desc("score"), "doc_id")  # 20 rows
-    return found.join(outside, "doc_id", "left").withColumn("place", F.row_number().over(w)).where("place <= 6").select("doc_id", "place")
+    """Outside scores come by a hit's index: they replace the own ones, hits without one keep theirs, and ties keep the order before. The strict variant
+    leaves out hits without an outside score."""
+    rank = W.orderBy(F.desc("score"), "doc_id")  # 20 rows
+    found = bm25(s.table("documents"), WORDS).withColumn("rank", F.row_number().over(rank))
+    outside = found.where("rank % 3 > 0").select("rank", (C("rank") * 7 % 5).cast("double").alias("outside"))
+    j = found.join(outside, "rank", "left").withColumn("place", F.row_number().over(W.orderBy(F.desc(F.coalesce("outside", "score")), "rank")))
+    strict = F.when(C("outside").isNotNull(), F.row_number().over(W.orderBy(F.desc_nulls_last("outside"), "rank")))
+    return j.withColumn("strict_place", strict).where("place <= 6").select("doc_id", "place", "strict_place")
+
+
+@query("ret8_context", """SELECT source, count(*) AS n, sha256(string_agg('【' || source || ' document:' || doc_id || '】' || chr(10) || CASE WHEN strlen(text) > 6000 THEN decode(encode(text)[1:6000]) ELSE text END || chr(10) || chr(10), '' ORDER BY doc_id)) AS context FROM (SELECT source, doc_id, coalesce(text, '') AS text FROM documents) WHERE strlen(text) <= 6000 GROUP BY source
+    UNION ALL SELECT 'long ' || doc_id, 1, sha256(CAST('【' || source || ' document:' || doc_id || '】' || chr(10) AS BLOB) || encode(text)[1:6000] || CAST(chr(10) || chr(10) AS BLOB)) FROM documents WHERE strlen(text) > 6000""".replace("CASE WHEN strlen(text) > 6000 THEN decode(encode(text)[1:6000]) ELSE text END", "text").replace("encode(text)[1:6000]", "unhex(substr(hex(encode(text)), 1, 12000))").replace("CAST('【' || source || ' document:' || doc_id || '】' || chr(10) AS BLOB)", "encode('【' || source || ' document:' || doc_id || '】' || chr(10))").replace("CAST(chr(10) || chr(10) AS BLOB)", "encode(chr(10) || chr(10))"))
+def context(s: Source) -> DataFrame:
+    """A header and a text for each document, texts cut at 6000 bytes each, not in all: contexts of a source's documents that fit, and of each that doesn't."""
+    block = context_block(C("source"), C("doc_id"), F.coalesce("text", F.lit("")))
+    d = s.table("documents").select("source", "doc_id", block.alias("block"), (F.octet_length(F.coalesce("text", F.lit(""))) > 6000).alias("long"))
+    short = d.where("not long").groupBy("source").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("doc_id", "block"))).alias("rows"))
+    short = short.select("source", "n", F.sha2(F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["block"])), "")), 256).alias("context"))
+    long = d.where("long").select(F.concat(F.lit("long "), C("doc_id").cast("string")).alias("source"), F.lit(1).cast("long").alias("n"), F.sha2("block", 256).alias("context"))
+    return short.unionByName(long)
 
 
-@query("ret8_context", "SELECT doc_id, '[' || doc_id || '] ' || left(text, 200) AS context FROM documents WHERE doc_id < 6 AND text IS NOT NULL")
-def context(s: Source) -> DataFrame:
-    """A header and the head of each text; the cut is by document."""
-    return s.table("documents").where("doc_id < 6 and text is not null").select("doc_id", F.concat(F.lit("["), C("doc_id").cast("string"), F.lit("] "), F.left("text", F.lit(200))).alias("context"))
+def context_block(source: Column, doc: Column, text: Column, most: int = 6000) -> Column:
+    """Header, line feed, the text's first `most` bytes, an empty line; as bytes, for a cut may fall inside a character."""
+    head = F.concat(F.lit("【"), source, F.lit(" document:"), doc.cast("string"), F.lit("】\n"))
+    return F.concat(head.cast("binary"), F.substring(text.cast("binary"), 1, most), F.lit("\n\n").cast("binary"))
 
 
 @query("ret9_similar", f", {_COSINE} SELECT vec_id FROM sim WHERE vec_id <> 0")
@@ -123,15 +142,60 @@ def index_upsert(s: Source) -> DataFrame:
     return d.groupBy("source_type", "content_hash").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("version"))
 
 
-@query("snk2_postings", "SELECT gram, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, t[i : i + 2] AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id < 40))) GROUP BY gram".replace("documents WHERE doc_id < 40", "(SELECT item_id AS doc_id, text FROM benchmark)").replace("SELECT doc_id, lower(text) AS t FROM (", "SELECT doc_id, lower(text) AS t FROM ("))
+def trigrams(docs: DataFrame) -> DataFrame:
+    """(gram, doc_id, n): each document's trigrams, lower case, with how often each stands in it."""
+    t = docs.select("doc_id", F.lower("text").alias("t")).where("char_length(t) >= 3")
+    g = t.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("t") - 2), lambda i: F.substr("t", i, F.lit(3)))).alias("gram"))
+    return g.groupBy("gram", "doc_id").agg(F.count("*").alias("n"))
+
+
+@query("snk2_postings", """, t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) >= 3), g AS (SELECT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t)) SELECT gram, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM g GROUP BY gram""")
 def postings(s: Source) -> DataFrame:
-    """Trigrams of the benchmark passages with the number of passages that hold each."""
-    t = s.table("benchmark").select("item_id", F.lower("text").alias("t")).where("char_length(t) >= 3")
-    g = t.select("item_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("t") - 2), lambda i: F.substr("t", i, F.lit(3))))).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("n_docs"))
+    """The index over whole documents, a row for each trigram: documents that hold it and times it stands there."""
+    return trigrams(s.table("documents")).groupBy("gram").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
 
 
-@query("ret11_provider_fallback", "SELECT c_nationkey, arg_min(c_custkey, (rank, c_custkey)) AS provider FROM (SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END AS rank FROM customer) GROUP BY c_nationkey".replace("arg_min(c_custkey, (rank, c_custkey))", "(list(c_custkey ORDER BY rank, c_custkey))[1]"))
+@query("ret11_provider_fallback", """, p AS (SELECT s_suppkey AS id, s_nationkey % 4 AS user_id, CASE WHEN s_suppkey % 2 = 0 THEN 'llm' ELSE 'embedding' END AS kind, s_acctbal > 8000 AS is_default FROM supplier),
+    u AS (SELECT DISTINCT c_nationkey % 6 AS user_id, kind FROM customer, (SELECT DISTINCT kind FROM p)),
+    r AS (SELECT u.user_id, u.kind, p.id, CASE WHEN p.user_id = u.user_id AND u.user_id > 0 THEN CASE WHEN is_default THEN 1 ELSE 2 END ELSE CASE WHEN is_default THEN 3 ELSE 4 END END AS rung FROM u JOIN p ON p.kind = u.kind AND (p.user_id = u.user_id OR p.user_id = 0))
+    SELECT user_id, kind, id, CAST(rung AS INTEGER) AS rung FROM r QUALIFY row_number() OVER (PARTITION BY user_id, kind ORDER BY rung, CASE WHEN rung % 2 = 1 THEN -id ELSE id END) = 1""")
 def fallback(s: Source) -> DataFrame:
-    rank = F.when(C("c_mktsegment") == "BUILDING", 1).when(C("c_mktsegment") == "MACHINERY", 2).otherwise(3)
-    return s.table("customer").groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct(rank.alias("r"), "c_custkey")).alias("provider"))
+    """A user's provider of each kind: the own default (the newest), else the own first, else the default of all (user 0), else its first."""
+    p = s.table("supplier").select(C("s_suppkey").alias("id"), (C("s_nationkey") % 4).alias("owner"), F.when(C("s_suppkey") % 2 == 0, "llm").otherwise("embedding").alias("kind"), (C("s_acctbal") > 8000).alias("is_default"))
+    users = s.table("customer").select((C("c_nationkey") % 6).alias("user_id")).distinct()
+    asked = users.join(F.broadcast(p.groupBy().agg(F.collect_set("kind").alias("kinds")))).select("user_id", F.explode("kinds").alias("kind"))  # two kinds
+    own = asked.join(p, "kind").where("owner = user_id or owner = 0")
+    mine = (C("owner") == C("user_id")) & (C("user_id") > 0)
+    rung = F.when(mine, F.when(C("is_default"), 1).otherwise(2)).otherwise(F.when(C("is_default"), 3).otherwise(4))
+    best = own.withColumn("rung", rung).groupBy("user_id", "kind").agg(F.min(F.struct("rung", F.when(C("rung") % 2 == 1, -C("id")).otherwise(C("id")).alias("order"), "id")).alias("r"))
+    return best.select("user_id", "kind", "r.id", "r.rung")
+
+
+@query("vec1_codec", """SELECT vec_id, 4 * len(embedding) AS n_bytes, floor(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) * 10000 + 0.5) / 10000 AS total, TRUE AS same FROM embeddings""".replace("4 * len(embedding)", "CAST(4 * len(embedding) AS BIGINT)"))
+def codec(s: Source) -> DataFrame:
+    """Vectors as little-endian single precision and back."""
+    back = decode_vectors(encode_vectors(s.table("embeddings").select("vec_id", "embedding"))).withColumnRenamed("embedding", "back")
+    j = s.table("embeddings").join(back, "vec_id")
+    total = F.aggregate("back", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    return j.select("vec_id", C("n_bytes"), (F.floor(total * 10000 + 0.5) / 10000).alias("total"), (C("embedding").cast("array<float>") == C("back")).alias("same"))
+
+
+def encode_vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, blob): four little-endian bytes a number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "blob": pa.array([np.asarray(v.as_py() or [], "<f4").tobytes() for v in b.column(1)], pa.binary())})
+
+    return vectors.select(C("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, blob binary")
+
+
+def decode_vectors(blobs: DataFrame) -> DataFrame:
+    """(vec_id, n_bytes, embedding)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "n_bytes": pa.array(map(len, data), pa.int64()), "embedding": pa.array([np.frombuffer(x, "<f4") for x in data], pa.list_(pa.float32()))})
+
+    return blobs.mapInArrow(run, "vec_id long, n_bytes long, embedding array<float>")
