@@ -115,9 +115,13 @@ def no_repeats(s: Source) -> DataFrame:
     return windows.drop_repeats(s.lines(), ["doc_id"], ["line_no"], "line").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-@query("str1_clean_text")
+@query("str1_clean_text", r"""SELECT doc_id, sha256(replace(array_to_string(list_filter(k, lambda x, i: i = 1 OR x <> k[i - 1] OR strlen(trim(x)) < 4), chr(10)), '　', ' ')) AS cleaned FROM (SELECT doc_id, list_transform(string_split(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), chr(10)),
+    lambda x: CASE WHEN regexp_matches(rtrim(regexp_replace(x, '[ \t]+', ' ', 'g')), '^\s*(第\s*\d+\s*页|[-—–]?\s*\d+\s*[-—–]?|Page\s*\d+)\s*$') THEN '' ELSE rtrim(regexp_replace(x, '[ \t]+', ' ', 'g')) END) AS k
+    FROM (SELECT doc_id, '第 ' || doc_id || ' 页' || chr(10) || coalesce(text, '') || chr(10) || ' 同一 行　 ' || chr(9) || ' x' || chr(10) || '同一 行　 x' || chr(10) || '- 3 -' || chr(10) || 'end' || chr(10) || 'end' AS t FROM documents))""")
 def cleaned(s: Source) -> DataFrame:
-    return s.table("documents").select("doc_id", F.sha2(text.clean_page(C("text")), 256).alias("cleaned"))
+    """Documents between page numbers, repeats and odd blanks."""
+    t = F.concat(F.lit("第 "), C("doc_id").cast("string"), F.lit(" 页\n"), F.coalesce("text", F.lit("")), F.lit("\n 同一 行　 \t x\n同一 行　 x\n- 3 -\nend\nend"))
+    return s.table("documents").select("doc_id", F.sha2(text.clean_page(t), 256).alias("cleaned"))
 
 
 @query("str2_hsh1_hsh2_normalise", r"SELECT doc_id, sha256(lower(regexp_replace(text, '[ \t\n\r]', '', 'g'))) AS full_hash, substr(sha256(text), 1, 32) AS hash16 FROM documents")
@@ -166,9 +170,17 @@ def coverage(s: Source) -> DataFrame:
     return sets.multiset_difference(d.where("content_role = 'question'"), d.where("content_role = 'answer'"), ["document_id", "question_no"])
 
 
-@query("str16_printed_markers")
+_PRINTED = ("{n}. ", "{n}.5 ", " {n}、《", "{n}（", "{n} ", "12{n}, ")
+
+
+@query("str16_printed_markers", rf"""SELECT doc_id, CAST(len(m) AS INTEGER) AS n_markers, CAST(list_sum(list_transform(m, lambda x: CAST(x AS BIGINT))) AS BIGINT) AS total FROM (SELECT doc_id, list_filter(regexp_extract_all(t, '(?m)^\s*([0-9]{{1,3}})\s*(?:[.、,，]\s+|[.、,，]《|[《（(])', 1), lambda x: CAST(x AS INTEGER) > 0) AS m
+    FROM (SELECT doc_id, string_agg(replace([{", ".join(f"'{x}'" for x in _PRINTED)}][line_no % {len(_PRINTED)} + 1], '{{n}}', CAST(line_no AS VARCHAR)) || regexp_replace(line, '^[^a-zA-Z]+', ''), chr(10) ORDER BY line_no) AS t FROM lines GROUP BY doc_id))""")
 def markers(s: Source) -> DataFrame:
-    return s.table("documents").select("doc_id", F.size(text.printed_markers(C("text"))).alias("n_markers"))
+    """Numbers printed before the lines of each document, in six spellings, three of which are markers."""
+    mark = F.replace(F.get(F.array(*map(F.lit, _PRINTED)), (C("line_no") % len(_PRINTED)).cast("int")), F.lit("{n}"), C("line_no").cast("string"))
+    rows = F.sort_array(F.collect_list(F.struct("line_no", F.concat(mark, F.regexp_replace("line", "^[^a-zA-Z]+", "")).alias("x"))))  # one document's
+    d = s.lines().groupBy("doc_id").agg(text.printed_markers(F.array_join(F.transform(rows, lambda r: r["x"]), "\n")).alias("m"))
+    return d.select("doc_id", F.size("m").alias("n_markers"), F.when(F.size("m") > 0, F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
 
 
 @query("cor16_window_conservation", """, e AS (SELECT document_id, page_start // 4 AS w, section_scope, question_no FROM candidates), r AS (SELECT document_id, page_start // 4 AS w, section_scope, question_no FROM answers)

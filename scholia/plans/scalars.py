@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.adapters import Source
 from scholia.functions import numbers, text
+from scholia.functions.tables import GENERIC_SHORT, GENERIC_WORDS
 from scholia.operators import sets
 from scholia.registry import query
 
@@ -55,14 +56,23 @@ def glyphs(s: Source) -> DataFrame:
     return s.table("part").select("p_partkey", text.answer_glyph(v, F.lit("true_false")).alias("glyph"), F.array_join(text.rubric_letters(F.when(C("p_size") % 4 == 2, v)), "").alias("letters"))
 
 
-@query("str22_shared_grams")
+def _held(n: int) -> str:
+    return f"len(list_filter(list_transform(range(1, greatest(length(p_type) - {n - 2}, 1)), lambda i: substr(p_type, i, {n})), lambda g: contains(p_name || '|', g)))"
+
+
+@query("str22_shared_grams", f"SELECT p_partkey, CAST({' + '.join(map(_held, (2, 3, 4)))} AS INTEGER) AS n FROM (SELECT p_partkey, p_name || lower(p_brand) AS p_name, lower(p_type || p_brand) || p_name AS p_type FROM part)")
 def shared(s: Source) -> DataFrame:
-    return s.table("part").select("p_partkey", text.shared_grams(C("p_name"), C("p_type")).alias("n"))
+    return s.table("part").select("p_partkey", text.shared_grams(F.concat("p_name", F.lower("p_brand")), F.concat(F.lower(F.concat("p_type", "p_brand")), "p_name")).alias("n"))
+
+
+def _gram(n: int) -> str:
+    return f"{n * n} * len(list_filter(list_distinct(list_transform(range(1, greatest(length(x) - {n - 2}, 1)), lambda i: substr(x, i, {n}))), lambda g: NOT regexp_matches(g, '[0-9.、:：()（）]') AND NOT regexp_matches(g, '{'|'.join(GENERIC_WORDS)}') AND NOT ({n} <= 3 AND regexp_matches(g, '{'|'.join(GENERIC_SHORT)}')) AND contains(y, g)))"
 
 
-@query("str14_str23_evidence")
+@query("str14_str23_evidence", f"""SELECT p_partkey, lower(replace(p_brand, '#', '')) AS kept, CAST({' + '.join(map(_gram, (3, 4, 5, 6)))} AS INTEGER) AS score FROM (SELECT p_partkey, p_brand, replace(p_name, ' ', '') || '简述教师的课堂提问技巧' AS x, lower(replace(p_type || substr(p_name, 3), ' ', '')) || '教师的课堂提问技巧很多' AS y FROM part)""")
 def evidence(s: Source) -> DataFrame:
-    return s.table("part").select("p_partkey", text.evidence(C("p_brand")).alias("kept"), text.evidence_score(C("p_name"), F.concat("p_name", "p_type")).alias("score"))
+    stem, found = F.concat("p_name", F.lit("，简述 教师的课堂提问技巧")), F.concat("p_type", F.substring("p_name", 3, 99), F.lit("：教师的课堂提问技巧很多。"))
+    return s.table("part").select("p_partkey", text.evidence(C("p_brand")).alias("kept"), text.evidence_score(stem, found).alias("score"))
 
 
 @query("dat1_dat2_dat5_dates", "SELECT attempt_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, created_at + INTERVAL 90 SECOND > as_of AS recent, floor((epoch_us(as_of) - epoch_us(created_at)) / 86400000000.0) AS days FROM attempts, now")

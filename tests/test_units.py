@@ -1,12 +1,16 @@
 """Rules that the sample tables don't reach, on small rows."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import grading, numbers, text
 from scholia.operators import joins, sets, windows
+from scholia.plans import wrong_import
+from scholia.plans.recovery import explicit_answer
 from scholia.sources import readers
-from scholia.streaming.queue import limiter
+from scholia.streaming.queue import call_health
 
 
 def one(spark, col):
@@ -52,7 +56,7 @@ def test_fragments(spark):
 
 
 def test_markers(spark):
-    assert one(spark, text.printed_markers(F.lit("1. a\n 12、b\n1234. c\nx 3. d"))) == [1, 12]
+    assert one(spark, text.printed_markers(F.lit("1. a\n 12、 b\n1234. c\nx 3. d\n1.5 kg\n3, b\n4《x\n5（y\n0. z"))) == [1, 12, 3, 4, 5]
 
 
 def test_keyword_wildcards(spark):
@@ -99,10 +103,47 @@ def test_repair_types_feeds_on(spark):
     assert {r["id"]: (r["question_type"], r["set_no"]) for r in windows.repair_types(d).collect()} == {1: ("essay", 2), 2: ("essay", 2), 3: ("essay", 2), 4: ("judge", 1)}
 
 
-def test_limiter(spark):
-    calls = [(1, i, 1, 10) for i in range(10)] + [(2, i, 0, 10) for i in range(3)]
-    got = {r["user"]: (r["concurrency"], r["opened"]) for r in limiter(spark.createDataFrame(calls, "user int, attempt_id long, is_correct int, duration_ms long"), "user").collect()}
-    assert got == {1: (2, 0), 2: (1, 1)}
+def test_call_health(spark):
+    at = lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i)
+    calls = [(1, i, at(i), 1, 10) for i in range(10)] + [(2, i + 100, at(i * 100), 0, 10) for i in range(3)] + [(3, i + 200, at(i), 1, 70_000) for i in range(12)] + [(4, i + 300, at(i * 200), 0, 1) for i in range(4)]
+    got = {r["attempt_id"]: (r["may_raise"], r["breaks"]) for r in call_health(spark.createDataFrame(calls, "user int, attempt_id long, created_at timestamp, is_correct int, duration_ms long"), "user").collect()}
+    assert [k for k, v in got.items() if v[0]] == [9] and [k for k, v in got.items() if v[1]] == [102]
+
+
+def test_explicit_answers(spark):
+    cases = [
+        ("12.ABD【解析】 why", 12, "multiple_choice", (["A", "B", "D"], "why")), ("12、a, c", 12, "single_choice", (["A", "C"], "")), ("13.B", 12, "single_choice", None), ("12.√ 解析：so", 12, "true_false", (["正确"], "so")),
+        (" 12 错误", 12, "true_false", (["错误"], "")), ("12. 癸卯学制（解析）old", 12, "fill_in_blank", (["癸卯学制"], "old")), ("12.G", 12, "single_choice", None), ("A is right", 12, "single_choice", None), ("12.B", 0, "single_choice", None),
+    ]
+    rows = spark.createDataFrame([(i, a, n, k) for i, (a, n, k, _) in enumerate(cases)], "i int, a string, n long, k string")
+    got = {r["i"]: r["x"] and (r["x"]["values"], r["x"]["analysis"]) for r in rows.select("i", explicit_answer(F.col("a"), F.col("n"), F.col("k")).alias("x")).collect()}
+    assert got == {i: c[3] for i, c in enumerate(cases)}
+
+
+def test_user_replies(spark):
+    r = spark.createDataFrame([(1, "1.B 2.对 第3题 acb\n４ 无需答案；5. 癸卯"), (2, "1.D")], "session int, reply string")
+    o = spark.createDataFrame([(1, i, 10 + i, k) for i, k in enumerate(("single_choice", "true_false", "multiple_choice", "essay", "single_choice"), 1)], "session int, seq int, draft int, kind string")
+    assert {x["draft"]: (x["answer"], x["none_needed"]) for x in wrong_import.user_answers(r, o).collect()} == {11: ("B", False), 12: ("对", False), 13: ("ACB", False), 14: (None, True)}
+
+
+def test_boundaries(spark):
+    row = "struct<stem:string,kind:string,warnings:array<string>>"
+    left, cases = ("what is the", "essay", []), [("（1）first part", 0.69), ("一、first part", 0.05), ("第 3 题 x", 0.05), ("，and so on", 0.91), ("Plain.", 0.69)]
+    df = spark.createDataFrame([(i, left, (b, "essay", [])) for i, (b, _) in enumerate(cases)], f"i int, left {row}, right {row}")
+    got = [r["x"] for r in df.select("i", F.round(wrong_import.boundary_score(F.lit(False)), 2).alias("x")).orderBy("i").collect()]
+    assert got[1:3] == [0.05, 0.05] and got[0] > 0.9 and got[3] == 0.91 and got[4] == 0.59
+
+
+def test_balanced_json():
+    assert wrong_import.balanced('x {"a":"}{\\"","b":{}} }') == '{"a":"}{\\"","b":{}}'
+    assert wrong_import.balanced('see ["]", [1]] ]', "[", "]") == '["]", [1]]'
+    assert wrong_import.balanced("none") == "none" and wrong_import.balanced("{open") == "{open" and wrong_import.balanced(None) is None
+
+
+def test_matching_is_greedy(spark):
+    rows = [(1, 1, 7, 0.99), (1, 1, 8, 0.9), (1, 2, 7, 0.99), (1, 2, 8, 0.95), (1, 3, 9, 0.95), (1, 3, 6, 0.94), (1, 4, 5, 0.5)]
+    got = {(r["entry"], r["draft"]) for r in wrong_import.match_entries(spark.createDataFrame(rows, "session long, entry long, draft long, score double")).collect()}
+    assert got == {(1, 7), (2, 8)}
 
 
 def test_readers(spark, tmp_path):
