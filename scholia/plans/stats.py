@@ -27,8 +27,10 @@ def daily_rollup(s: Source) -> DataFrame:
 
 
 def mastery(attempts: DataFrame, questions: DataFrame, keys: list[str]) -> DataFrame:
-    joined = attempts.join(questions.select("question_id", *keys), "question_id")
-    g = joined.groupBy("user_id", *keys).agg(F.count("*").alias("attempts"), F.sum("is_correct").alias("correct"))
+    """Counts of a user and question are added up before they meet the question, so the join sees each pair once."""
+    each = attempts.groupBy("user_id", "question_id").agg(F.count("*").alias("n"), F.sum("is_correct").alias("right"))
+    joined = each.join(questions.select("question_id", *keys), "question_id")
+    g = joined.groupBy("user_id", *keys).agg(F.sum("n").alias("attempts"), F.sum("right").alias("correct"))
     acc = ratio(F.col("correct"), F.col("attempts")) * 100
     return g.select("user_id", *keys, "attempts", "correct", round1(acc).alias("accuracy"), round1(damped(acc, F.col("attempts"))).alias("mastery_score"))
 
@@ -40,12 +42,13 @@ _DAMPED = ", floor(CASE WHEN attempts < 5 THEN correct / attempts * 100 * attemp
 
 @query("sta3_chapter_mastery", _MASTERY.format(k="subject, chapter", m=_DAMPED))
 def chapter_mastery(s: Source) -> DataFrame:
-    return mastery(s.attempts(), s.questions(), ["subject", "chapter"]).orderBy("user_id", "subject", "chapter")
+    """All users' at once; who shows one user's sorts them by subject and chapter."""
+    return mastery(s.attempts(), s.questions(), ["subject", "chapter"])
 
 
 @query("sta4_subject_mastery", _MASTERY.format(k="subject", m=""))
 def subject_mastery(s: Source) -> DataFrame:
-    return mastery(s.attempts(), s.questions(), ["subject"]).drop("mastery_score").orderBy("user_id", "subject")
+    return mastery(s.attempts(), s.questions(), ["subject"]).drop("mastery_score")
 
 
 @query("sta4_unclassified_attempts", "SELECT user_id, count(*) AS unclassified FROM attempts ANTI JOIN questions USING (question_id) GROUP BY user_id")
@@ -53,10 +56,10 @@ def unclassified(s: Source) -> DataFrame:
     return s.attempts().join(s.questions(), "question_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("unclassified"))
 
 
-def streak(attempts: DataFrame) -> DataFrame:
-    days = attempts.select("user_id", F.to_date("created_at").alias("day")).distinct()
-    now = attempts.agg(F.to_date(F.max("created_at")).alias("today"))
-    return windows.streaks(days.join(F.broadcast(now)), ["user_id", "today"], "day", F.col("today")).drop("today")  # one row
+def streak(days: DataFrame, now: DataFrame) -> DataFrame:
+    """days: (user_id, stat_date), one row each; now: (as_of), one row."""
+    d = days.select("user_id", F.col("stat_date").alias("day")).join(F.broadcast(now)).withColumn("today", F.to_date("as_of")).drop("as_of")  # one row
+    return windows.streaks(d, ["user_id", "today"], "day", F.col("today")).drop("today")
 
 
 _STREAK = """days AS (SELECT DISTINCT user_id, CAST(created_at AS DATE) AS d FROM attempts),
@@ -66,7 +69,7 @@ streaks AS (SELECT user_id, arg_max(n, last) AS streak_days FROM runs, now WHERE
 
 @query("sta7_streak", f", {_STREAK} SELECT user_id, streak_days FROM streaks")
 def streaks(s: Source) -> DataFrame:
-    return streak(s.attempts())
+    return streak(daily(s.attempts()), s.as_of())
 
 
 @query("win10_islands", f", {_STREAK} SELECT user_id, CAST(last AS VARCHAR) AS run_end, n AS size FROM runs")
@@ -87,14 +90,15 @@ def day_islands(s: Source) -> DataFrame:
     FROM totals LEFT JOIN book USING (user_id) LEFT JOIN streaks USING (user_id)""",
 )
 def overview(s: Source) -> DataFrame:
-    a, now = s.attempts(), F.broadcast(s.as_of())  # one row
+    """Totals and streaks come from one daily table, whose shuffle Spark runs once."""
+    days, now = daily(s.attempts()), F.broadcast(s.as_of())  # one row
     today = F.col("stat_date") == F.to_date("as_of")
-    total = daily(a).join(now).groupBy("user_id").agg(
+    total = days.join(now).groupBy("user_id").agg(
         F.coalesce(F.sum(F.when(today, F.col("question_count"))), F.lit(0)).alias("today_count"), F.coalesce(F.sum(F.when(today, F.col("correct_count"))), F.lit(0)).alias("today_correct"),
         F.sum("question_count").alias("total_count"), F.sum("correct_count").alias("c"),
     )
     book = s.wrong().join(now).groupBy("user_id").agg(F.count("*").alias("wrong_count"), F.count_if(F.col("next_review_at") <= F.col("as_of")).alias("due_count"))
-    x = total.join(book, "user_id", "left").join(streak(a), "user_id", "left")
+    x = total.join(book, "user_id", "left").join(streak(days, s.as_of()), "user_id", "left")
     z = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return x.select(
         "user_id", "today_count", "today_correct", round1(ratio(F.col("today_correct"), F.col("today_count")) * 100).alias("today_accuracy"), "total_count",
