@@ -305,10 +305,11 @@ def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: floa
     one, two = (sides.select("s", *(F.col(c).alias(f"{c[0]}{x}") for c in ("component", "n", "m", "r"))) for x in "ab")
     share = similarity / (1 + similarity)
     bound = (F.least("ra", "rb") >= share * (F.col("na") + F.col("nb")) - 1e-6) & (F.least("ma", "mb") >= similarity * F.greatest("na", "nb") - 1e-6)
-    across = one.join(two, (one["s"] == two["s"]) & (F.col("ca") < F.col("cb")) & bound).select(one["s"].alias("s"), "ca", "cb")
+    across = one.join(two, (one["s"] == two["s"]) & (F.col("ca") < F.col("cb")) & bound).select(one["s"].alias("s"), "ca", "cb", F.col("nb").alias("least_b"), F.col("mb").alias("most_b"), F.col("rb").alias("rest_b"))
     one, two = (filed.select("s", F.col("component").alias(f"c{x}"), F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= share * (F.col("na") + F.col("nb")) - 1e-6
-    met = across.join(one, ["s", "ca"]).join(two, ["s", "cb"]).where(enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6))
+    may = (F.least(F.col("na") - F.col("ia"), "rest_b") >= share * (F.col("na") + F.col("least_b")) - 1e-6) & (F.col("most_b") >= similarity * F.col("na") - 1e-6) & (F.col("na") >= similarity * F.col("least_b") - 1e-6)
+    met = across.join(one, ["s", "ca"]).where(may).join(two, ["s", "cb"]).where(enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6))
     return met.select("a", "b").distinct()
 
 
