@@ -42,5 +42,4 @@ def test_query(spark, duck, name):
         names = [d[0] for d in cur.description]
         assert sorted(names) == sorted(df.columns)
         assert got == rows(names, cur.fetchall())
-    else:
-        assert got
+    assert got or name in MAY_BE_EMPTY
