@@ -32,21 +32,17 @@ def left_unique_join(left: DataFrame, right: DataFrame, on: Column, left_id: str
     return counted.select(*left.columns, *(F.when(F.col("matches") == 1, F.col(c)).alias(c) for c in b.columns), "matches")
 
 
-def cascade_join(left: DataFrame, right: DataFrame, tiers: list[tuple[str, Column]]) -> DataFrame:
+def cascade_join(left: DataFrame, right: DataFrame, tiers: list[tuple[str, Column]], left_id: str = "id") -> DataFrame:
     """Try one condition after the other for each left row; the first with any match gives all its matches.
 
     tiers: (method, condition over left columns and r_ columns), from the strongest on. Each condition should hold an
-    equality, so that no tier becomes a nested loop. A tier only sees the rows that those before it left.
+    equality, so that no tier becomes a nested loop. All tiers are joined once and the lowest tier of each left row stays: one join a
+    tier and one window over a row's own matches, where trying tier after tier would join the open rows again and again.
     Returns left columns, r_ columns, method and tier (from 1).
     """
     a, b = _aliased(left, right)
-    open_rows, found = a, []
-    for i, (method, on) in enumerate(tiers, 1):
-        hit = open_rows.join(b, on).withColumn("method", F.lit(method)).withColumn("tier", F.lit(i))
-        found.append(hit)
-        if i < len(tiers):
-            open_rows = open_rows.join(b, on, "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    found = reduce(DataFrame.unionByName, (a.join(b, on).withColumn("method", F.lit(method)).withColumn("tier", F.lit(i)) for i, (method, on) in enumerate(tiers, 1)))
+    return found.withColumn("__top", F.min("tier").over(W.partitionBy(left_id))).where("tier = __top").drop("__top")
 
 
 def tolerant(a: Column, b: Column) -> Column:
