@@ -22,8 +22,8 @@ from scholia.llm.common import Shared, as_bytes, column, fresh, save, session, s
 
 #: Words of a window.
 WINDOW = 10
-#: The most distinct benchmark terms that are broadcast to filter the index; beyond it the index is filtered by a join.
-BROADCAST_TERMS = 2_000_000
+#: The most distinct benchmark terms, and bytes of them, that are broadcast to filter the index; beyond it the index is filtered by a join.
+BROADCAST_TERMS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 #: A-Z to a-z; digits, letters and UTF-8 bytes above ASCII stay; the rest separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -54,8 +54,10 @@ def test_terms(items: DataFrame) -> DataFrame:
 def _own_terms(terms: DataFrame):
     """The distinct test terms, broadcast, if they are few enough; else None."""
     distinct = terms.select("term").distinct()
-    found = distinct.limit(BROADCAST_TERMS + 1).collect()
-    return Shared(session(terms), {bytes(r[0]) for r in found}) if len(found) <= BROADCAST_TERMS else None
+    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()
+    if size["n"] > BROADCAST_TERMS or size["b"] > BROADCAST_BYTES:
+        return None
+    return Shared(session(terms), {bytes(r[0]) for r in distinct.toLocalIterator()})
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import fresh, save
+from scholia.llm.common import drop_saved, fresh, save
 
 #: Lines of a span, and the words from which on a single line is one.
 WINDOW, MIN_WORDS = 2, 25
@@ -65,6 +65,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_W
     # written first, so that the join is a stage of its own, in which a mark with very many spans can be split
     often = save(every.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1").select("mark"), "marks")
     near = save(every.join(often, "mark", "left_semi").select("key", "tag", "at", "lines", "h1", "h2"), "spans")
+    drop_saved(often)
     size = F.size("lines").alias("size")
     first = near.groupBy("h1", "h2", size).agg(F.min(F.struct("key", "tag", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     later = near.withColumn("size", F.size("lines")).join(first, ["h1", "h2", "size"]).where(F.struct("key", "tag", "at") > F.col("first"))

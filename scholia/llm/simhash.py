@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import arrow_schema, as_bytes, column, components, fresh, map_batches, save, session, texts
+from scholia.llm.common import arrow_schema, as_bytes, column, components, drop_saved, fresh, map_batches, save, session, texts
 from scholia.llm.exchange import answered, blocks, buckets_for, messages, place, read, sums, with_answers
 from scholia.llm.repeats import mix
 
@@ -256,8 +256,8 @@ def _grade(keys: np.ndarray, total: list[np.ndarray]) -> np.ndarray:
     return np.where(n < 200, n, np.minimum(255, 200 + np.ceil(4 * np.log2(np.maximum(n, 200) / 200)))).astype(np.uint8)
 
 
-def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): rows of different components that may still reach the similarity; no pair that does is left out.
+def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): rows of different components that may still reach the similarity; no pair that does is left out. And the tables this reads.
 
     reps: (row, component). All shingles have one order, those of few texts first: exact counts over all texts, which
     blocks of texts ask for (see exchange.py). Of two sets with a Jaccard similarity of s each has the first shingle that
@@ -299,7 +299,9 @@ def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: floa
     answers = answered(held, ask, sums(["<u4"], _grade), "grades")
     filed = save(with_answers(held, answers).mapInArrow(heads, "s long, row long, component long, n long, i long"), "heads")
     mixed = filed.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
-    filed = save(filed.join(mixed, "s", "left_semi"), "open")
+    every, filed = filed, save(filed.join(mixed, "s", "left_semi"), "open")
+    for done in (held, answers, every):
+        drop_saved(done)
     # components that share a shingle meet first, by bounds over their members, then the members themselves
     sides = filed.groupBy("s", "component").agg(F.min("n").alias("n"), F.max("n").alias("m"), F.max(F.col("n") - F.col("i")).alias("r"))
     one, two = (sides.select("s", *(F.col(c).alias(f"{c[0]}{x}") for c in ("component", "n", "m", "r"))) for x in "ab")
@@ -310,7 +312,7 @@ def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: floa
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= share * (F.col("na") + F.col("nb")) - 1e-6
     may = (F.least(F.col("na") - F.col("ia"), "rest_b") >= share * (F.col("na") + F.col("least_b")) - 1e-6) & (F.col("most_b") >= similarity * F.col("na") - 1e-6) & (F.col("na") >= similarity * F.col("least_b") - 1e-6)
     met = across.join(one, ["s", "ca"]).where(may).join(two, ["s", "cb"]).where(enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6))
-    return met.select("a", "b").distinct()
+    return met.select("a", "b").distinct(), [filed]
 
 
 def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, tables: int = 16, features: int = 3) -> DataFrame:
@@ -336,10 +338,13 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits:
     pairs = sampled.unionAll(near).unionAll(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     grouped = components(_verified(pairs, sketch, shingle, similarity))
     first = save(reps.join(grouped, F.col("row") == F.col("node"), "left").select("same", "row", F.coalesce("component", "row").alias("component")), "groups")
-    more = _verified(_open_pairs(first, sketch, shingle, similarity), sketch, shingle, similarity)
+    still, used = _open_pairs(first, sketch, shingle, similarity)
+    more = _verified(still, sketch, shingle, similarity)
     group = first.select("row", "component")
     more = more.join(group.toDF("a", "ca"), "a").join(group.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    joined = components(more).withColumnRenamed("component", "least")
+    joined = components(more).withColumnRenamed("component", "least")  # which has read them
+    for done in (*used, reps):
+        drop_saved(done)
     last = first.join(joined, F.col("component") == F.col("node"), "left").select("same", F.coalesce("least", "component").alias("component"))
     return sketch.select("row", "doc_id", "text", "same").join(last, "same").select("row", "doc_id", "text", "component")
 

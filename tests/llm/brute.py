@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import xxhash
 
@@ -53,3 +54,54 @@ def contamination(t, items, window=10):
                     hit |= set(range(i, i + n))
                     found.add(item)
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
+
+
+def ctph(data):
+    """A piecewise hash read byte by byte."""
+    if not data:
+        return "3::"
+    h = []
+    for i in range(len(data)):
+        x = sum((b + 1) * pow(0x01000193, k, 2**32) for k, b in enumerate(reversed(data[max(0, i - 6) : i + 1]))) % 2**32
+        x = (x ^ x >> 15) * 0x85EBCA6B % 2**32
+        h.append(x ^ x >> 13)
+    cuts = lambda s: [i for i, x in enumerate(h) if x % s == s - 1]
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+    while size > 3 and len(cuts(size)) < 32:
+        size //= 2
+    while len(cuts(size)) > 128:
+        size *= 2
+
+    def signs(s):
+        out, start = "", 0
+        for end in sorted({*(i + 1 for i in cuts(s)), len(data)}):
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[zlib.crc32(data[start:end]) * 0x9E3779B1 >> 20 & 63]
+            start = end
+        return out
+
+    return f"{size}:{signs(size)}:{signs(2 * size)}"
+
+
+def edits(a, b):
+    """Insertions and deletions that turn a into b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(old[j - 1] if x == y else 1 + min(old[j], row[j - 1]))
+    return row[-1]
+
+
+def likeness(x, y):
+    if x == y:
+        return 1.0
+    (s, *own), (t, *other) = x.split(":"), y.split(":")
+    sides = [(a, b) for i, a in enumerate(own) for j, b in enumerate(other) if int(s) << i == int(t) << j]
+    out = 0.0
+    for a, b in sides:
+        n = min(4, len(a), len(b))
+        if n and any(a[i : i + n] in b for i in range(len(a) - n + 1)):
+            out = max(out, 1 - edits(a, b) / (len(a) + len(b)))
+    return out

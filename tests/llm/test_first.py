@@ -113,12 +113,14 @@ def test_near_duplicates_match_brute_force(spark):
     assert dict(map(tuple, simhash.near_duplicates(table(spark, data), tables=1, features=200).collect())) == root
 
 
-def test_contamination_matches_brute_force(spark, rows):
+def test_contamination_matches_brute_force(spark, rows, monkeypatch):
     rng = random.Random(3)
     items = [(1, words(rng, 25, 8)), (2, words(rng, 12, 8)), (3, "alpha, beta; Gamma"), (4, "solo"), (5, ""), (6, None), (30, words(rng, 10, 3)), (30, "alpha beta gamma"), (31, "absent words only")]
     docs = list(rows) + [(200, "x " + items[0][1] + " y"), (201, "pre " + " ".join(items[0][1].split()[3:15]).upper() + "! post"), (202, "alpha -- beta gamma solo"), (203, " ".join([words(rng, 40, 3), items[6][1], items[6][1]])), (204, words(rng, 400, 8)), (204, "solo")]
     got = sorted(map(repr, (tuple(r) for r in decontaminate.contamination(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect())))
     assert got == sorted(repr((i, *brute.contamination(t, items))) for i, t in docs)
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 3)  # beyond it terms meet by joins
+    assert got == sorted(map(repr, (tuple(r) for r in decontaminate.contamination(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect())))
     clean = decontaminate.keep_clean(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert clean.columns == table(spark, docs).columns
     assert clean.count() == sum(not brute.contamination(t, items)[-1] for _, t in docs)
@@ -188,5 +190,7 @@ def test_toxicity_held_out_accuracy(spark):
     odd = spark.createDataFrame([(1, None), (None, ""), (2, "idiot " * 30)], "doc_id long, text string")
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
     assert toxicity.keep_clean(docs, model).columns == docs.columns
+    empty = toxicity.learn(spark.createDataFrame([], KIND), labels.where("toxic > 5"))
+    assert toxicity.score(spark.createDataFrame([], KIND), empty).count() == 0
     none = toxicity.learn(docs, labels.where("toxic = 0"))
     assert {round(r.score, 6) for r in toxicity.score(odd, none).collect()} == {0.268941}

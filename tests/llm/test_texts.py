@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from scholia.llm import ctph, pieces, token_counts
 
+import brute
 from test_first import KIND, rows, table, words  # noqa: F401
 
 
@@ -127,6 +128,21 @@ def test_fingerprints_compare():
     assert ctph._common(x, y) == 4
 
 
+def test_fingerprints_match_a_plain_reading():
+    rng = random.Random(12)
+    texts = [b"", b"a", "é日".encode(), b"ab" * 900, *(words(rng, rng.randrange(1, 400), 900).encode() for _ in range(25))]
+    texts += [t[: len(t) // 3] + b"changed" + t[len(t) // 3 :] for t in texts] + [t + t for t in texts[-8:]]
+    marks = [ctph.fingerprint(t) for t in texts]
+    assert marks == [brute.ctph(t) for t in texts]
+    some = 0
+    for i, x in enumerate(marks):
+        for y in marks[: i + 1]:
+            want = brute.likeness(x, y)
+            some += 0 < want < 1
+            assert ctph.likeness(x, y) == pytest.approx(want)
+    assert some > 20
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_edit_report(spark, rows, parts):  # noqa: F811
     data = rows + [(None, "zz top")]
