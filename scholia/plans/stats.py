@@ -51,9 +51,10 @@ def subject_mastery(s: Source) -> DataFrame:
     return mastery(s.attempts(), s.questions(), ["subject"]).drop("mastery_score")
 
 
-@query("sta4_unclassified_attempts", "SELECT user_id, count(*) AS unclassified FROM attempts ANTI JOIN questions USING (question_id) GROUP BY user_id")
+@query("sta4_unclassified_attempts", "SELECT user_id, count(*) AS unclassified FROM attempts ANTI JOIN (SELECT question_id FROM questions WHERE status = 'published') USING (question_id) GROUP BY user_id")
 def unclassified(s: Source) -> DataFrame:
-    return s.attempts().join(s.questions(), "question_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("unclassified"))
+    """Attempts that no mastery report of published questions counts: those at drafts, and at questions that are gone."""
+    return s.attempts().join(s.questions().where("status = 'published'"), "question_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("unclassified"))
 
 
 def streak(days: DataFrame, now: DataFrame) -> DataFrame:
