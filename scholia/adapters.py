@@ -131,4 +131,4 @@ lines AS (
 
 def sql(body: str) -> str:
     """A query over the views: body starts with SELECT, or with further views and a comma before the first."""
-    return f"WITH {SQL.strip()}\n{body.strip()}"
+    return f"WITH RECURSIVE {SQL.strip()}\n{body.strip()}"

@@ -198,7 +198,13 @@ def normalise(s: Source) -> DataFrame:
     return windows.normalise_scopes(s.directory(), ["Brand#1"]).select("id", "section_scope")
 
 
-query("win6_repair_types")(lambda s: windows.repair_types(s.directory()).select("id", "question_type", "set_no"))
+@query("win6_repair_types", """, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_start, marker_top, id) AS k FROM directory),
+    f AS (SELECT document_id, k, id, section_scope, question_no, page_end, question_type, set_no FROM o WHERE k = 1 UNION ALL
+      SELECT o.document_id, o.k, o.id, o.section_scope, o.question_no, o.page_end, CASE WHEN o.section_scope = f.section_scope AND o.question_no = f.question_no + 1 AND o.page_start <= f.page_end + 1 THEN f.question_type ELSE o.question_type END,
+        CASE WHEN o.section_scope = f.section_scope AND o.question_no = f.question_no + 1 AND o.page_start <= f.page_end + 1 THEN f.set_no ELSE o.set_no END FROM f JOIN o ON o.document_id = f.document_id AND o.k = f.k + 1)
+    SELECT id, question_type, CAST(set_no AS INTEGER) AS set_no FROM f""")
+def repaired(s: Source) -> DataFrame:
+    return windows.repair_types(s.directory()).select("id", "question_type", "set_no")
 
 
 @query("win7_gaps", """, g AS (SELECT document_id, list(DISTINCT question_no) AS v, min(question_no) AS lo, max(question_no) AS hi FROM directory WHERE content_role = 'question' GROUP BY document_id)
