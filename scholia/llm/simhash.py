@@ -256,13 +256,14 @@ def _grade(keys: np.ndarray, total: list[np.ndarray]) -> np.ndarray:
     return np.where(n < 200, n, np.minimum(255, 200 + np.ceil(4 * np.log2(np.maximum(n, 200) / 200)))).astype(np.uint8)
 
 
-def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): rows of different components that may still reach the similarity; no pair that does is left out. And the tables this reads.
+def _heads(reps: DataFrame, body: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(s, row, component, n, i): the shingles s by which rows of different components may still meet, a row's number of
+    shingles and the place of this one in their order.
 
     reps: (row, component). All shingles have one order, those of few texts first: exact counts over all texts, which
     blocks of texts ask for (see exchange.py). Of two sets with a Jaccard similarity of s each has the first shingle that
     both hold among its first n - ceil(s n) + 1, so there they meet; shingles of one text alone meet nothing and stay at
-    home. A pair goes on if its sizes allow s, and what lies behind the shared shingle in both does.
+    home.
     """
     held = blocks(body.select("row", "text").join(reps.select("row", "component"), "row"), {"row": "bigint", "component": "bigint", "text": "string"})
     spark = session(body)
@@ -298,10 +299,32 @@ def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: floa
 
     answers = answered(held, ask, sums(["<u4"], _grade), "grades")
     filed = save(with_answers(held, answers).mapInArrow(heads, "s long, row long, component long, n long, i long"), "heads")
-    mixed = filed.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
-    every, filed = filed, save(filed.join(mixed, "s", "left_semi"), "open")
-    for done in (held, answers, every):
+    out = save(_mixed(filed), "open")
+    for done in (held, answers, filed):
         drop_saved(done)
+    return out
+
+
+def _mixed(filed: DataFrame) -> DataFrame:
+    """Only shingles that rows of several components hold."""
+    several = filed.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
+    return filed.join(several, "s", "left_semi")
+
+
+def _hub_pairs(filed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each row of _heads() with the first and the last row that hold its shingle, of other components, where their
+    sizes and places allow the similarity."""
+    row = F.struct("row", "component", "n", "i")
+    hubs = filed.groupBy("s").agg(F.min(row).alias("x"), F.max(row).alias("y")).select("s", F.explode(F.array("x", "y")).alias("h"))
+    met = filed.join(hubs, "s").where(F.col("component") != F.col("h.component"))
+    enough = F.least(F.col("n") - F.col("i"), F.col("h.n") - F.col("h.i")) >= similarity / (1 + similarity) * (F.col("n") + F.col("h.n")) - 1e-6
+    met = met.where(enough & (F.least("n", "h.n") >= similarity * F.greatest("n", "h.n") - 1e-6))
+    return met.select(F.least("row", "h.row").alias("a"), F.greatest("row", "h.row").alias("b")).distinct()
+
+
+def _open_pairs(filed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): rows of _heads() of different components that may still reach the similarity; no pair that does is left out. A pair goes
+    on if its sizes allow it, and what lies behind the shared shingle in both does."""
     # components that share a shingle meet first, by bounds over their members, then the members themselves
     sides = filed.groupBy("s", "component").agg(F.min("n").alias("n"), F.max("n").alias("m"), F.max(F.col("n") - F.col("i")).alias("r"))
     one, two = (sides.select("s", *(F.col(c).alias(f"{c[0]}{x}") for c in ("component", "n", "m", "r"))) for x in "ab")
@@ -312,7 +335,7 @@ def _open_pairs(reps: DataFrame, body: DataFrame, shingle: int, similarity: floa
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= share * (F.col("na") + F.col("nb")) - 1e-6
     may = (F.least(F.col("na") - F.col("ia"), "rest_b") >= share * (F.col("na") + F.col("least_b")) - 1e-6) & (F.col("most_b") >= similarity * F.col("na") - 1e-6) & (F.col("na") >= similarity * F.col("least_b") - 1e-6)
     met = across.join(one, ["s", "ca"]).where(may).join(two, ["s", "cb"]).where(enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6))
-    return met.select("a", "b").distinct(), [filed]
+    return met.select("a", "b").distinct()
 
 
 def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, tables: int = 16, features: int = 3) -> DataFrame:
@@ -321,10 +344,11 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits:
     Texts of the same lower-cased words are one group. Texts whose shingle sets have a Jaccard similarity of
     `similarity` or more, computed on the whole texts, are linked, and a group is what links connect.
 
-    Two rounds find the groups. The first is cheap and joins most: rows that agree on one of `tables` min-wise
+    Three rounds find the groups. The first is cheap and joins most: rows that agree on one of `tables` min-wise
     samples of `features` shingles are compared with the first and last of those only, whole fingerprints within
-    `bits` bits along a forest. The second settles the rest exactly: any two rows of different groups that can reach the
-    similarity meet by a rare shingle (see _open_pairs) and are compared.
+    `bits` bits along a forest. The second compares rows with the first and last that hold one of their rare shingles. The third
+    settles the rest exactly: any two rows of different groups that can reach the similarity meet by a rare shingle
+    (see _heads and _open_pairs) and are compared.
     """
     sketch = save(_sketch(docs, shingle, tables, features), "sketch")
     reps = save(sketch.groupBy("same").agg(F.min(F.struct("row", "fingerprint", "samples")).alias("r")).select("same", "r.*"), "reps")
@@ -338,14 +362,22 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits:
     pairs = sampled.unionAll(near).unionAll(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     grouped = components(_verified(pairs, sketch, shingle, similarity))
     first = save(reps.join(grouped, F.col("row") == F.col("node"), "left").select("same", "row", F.coalesce("component", "row").alias("component")), "groups")
-    still, used = _open_pairs(first, sketch, shingle, similarity)
-    more = _verified(still, sketch, shingle, similarity)
-    group = first.select("row", "component")
-    more = more.join(group.toDF("a", "ca"), "a").join(group.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    joined = components(more).withColumnRenamed("component", "least")  # which has read them
-    for done in (*used, reps):
-        drop_saved(done)
-    last = first.join(joined, F.col("component") == F.col("node"), "left").select("same", F.coalesce("least", "component").alias("component"))
+    filed = _heads(first, sketch, shingle, similarity)
+    for find in (_hub_pairs, _open_pairs):
+        more = _verified(find(filed, similarity), sketch, shingle, similarity)
+        group = first.select("row", "component")
+        more = more.join(group.toDF("a", "ca"), "a").join(group.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        moved = save(components(more).toDF("component", "least"), "moved")
+        now = lambda df: df.join(moved, "component", "left").withColumn("component", F.coalesce("least", "component")).drop("least")  # noqa: B023, E731
+        old, first = first, save(now(first).select("same", "row", "component"), "groups")
+        if find is _hub_pairs:
+            old_filed, filed = filed, save(_mixed(now(filed).select("s", "row", "component", "n", "i")), "open")
+            drop_saved(old_filed)
+        for done in (old, moved):
+            drop_saved(done)
+    drop_saved(filed)
+    drop_saved(reps)
+    last = first.select("same", "component")
     return sketch.select("row", "doc_id", "text", "same").join(last, "same").select("row", "doc_id", "text", "component")
 
 
