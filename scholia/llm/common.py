@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch, and bytes from which on it takes no more. Texts can be long, so a batch holds few of them.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 

@@ -297,7 +297,7 @@ def _heads(reps: DataFrame, body: DataFrame, shingle: int, similarity: float) ->
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], schema=kind)
 
-    answers = answered(held, ask, sums(["<u4"], _grade), "grades")
+    answers = answered(held, ask, sums(["<u4"], _grade), "grades", n_buckets)
     filed = save(with_answers(held, answers).mapInArrow(heads, "s long, row long, component long, n long, i long"), "heads")
     out = save(_mixed(filed), "open")
     for done in (held, answers, filed):
