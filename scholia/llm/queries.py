@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import ctph, decontaminate, lines, mixing, pieces, simhash, substrings, suffixes, token_counts, toxicity
+from scholia.llm import ctph, decontaminate, exponion, lines, mixing, pieces, simhash, substrings, suffixes, token_counts, toxicity, whitening
 from scholia.llm.common import remainder
 
 
@@ -69,6 +69,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(load(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(load(spark, sf_dir, "embeddings"))
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.report(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_context_mixing": op2_context_mixing,
@@ -80,6 +88,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op13_exponion": op13_exponion,
     "proximity_matches": proximity_matches,
 }
 
@@ -89,4 +99,5 @@ ORACLES = {
     "op6_suffix_dedup": suffixes.REPORT_SQL,
     "op8_substring_dedup": substrings.REPORT_SQL,
     "op9_line_dedup": lines.REPORT_SQL,
+    "op13_exponion": exponion.report_sql(),
 }
