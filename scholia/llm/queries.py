@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import ctph, decontaminate, exponion, lines, mixing, pieces, simhash, substrings, suffixes, token_counts, toxicity, whitening
+from scholia.llm import ctph, decontaminate, exponion, lines, mixing, pieces, simhash, substrings, suffixes, token_counts, toxicity, warc, whitening
 from scholia.llm.common import remainder
 
 
@@ -73,6 +73,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(load(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(load(spark, sf_dir, "pages"))
+
+
 def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.report(load(spark, sf_dir, "embeddings"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
     "op13_exponion": op13_exponion,
     "proximity_matches": proximity_matches,
 }
@@ -99,5 +104,6 @@ ORACLES = {
     "op6_suffix_dedup": suffixes.REPORT_SQL,
     "op8_substring_dedup": substrings.REPORT_SQL,
     "op9_line_dedup": lines.REPORT_SQL,
+    "op12_warc": warc.REPORT_SQL,
     "op13_exponion": exponion.report_sql(),
 }
