@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from scholia.adapters import Source
 from scholia.functions.numbers import cosine
 from scholia.functions.text import hash16
-from scholia.operators import sets
+from scholia.operators import sets, text_index
 from scholia.registry import query
+from scholia.session import scratch
 
 C = F.col
 
@@ -142,17 +143,41 @@ def index_upsert(s: Source) -> DataFrame:
     return d.groupBy("source_type", "content_hash").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("version"))
 
 
-def trigrams(docs: DataFrame) -> DataFrame:
-    """(gram, doc_id, n): each document's trigrams, lower case, with how often each stands in it."""
-    t = docs.select("doc_id", F.lower("text").alias("t")).where("char_length(t) >= 3")
-    g = t.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("t") - 2), lambda i: F.substr("t", i, F.lit(3)))).alias("gram"))
-    return g.groupBy("gram", "doc_id").agg(F.count("*").alias("n"))
+_GRAMS = """, t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) >= 3), g AS (SELECT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t)) SELECT gram, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM g GROUP BY gram"""
 
 
-@query("snk2_postings", """, t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) >= 3), g AS (SELECT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t)) SELECT gram, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM g GROUP BY gram""")
+@query("snk2_postings", _GRAMS)
 def postings(s: Source) -> DataFrame:
     """The index over whole documents, a row for each trigram: documents that hold it and times it stands there."""
-    return trigrams(s.table("documents")).groupBy("gram").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    low = s.table("documents").where("text is not null").select(C("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("t"))
+    return _counted(text_index.grams(low))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    each = rows.groupBy("gram").agg(F.count("*").alias("n_docs"), F.sum(F.size("at")).alias("n"))
+    return each.select(text_index.gram_text(C("gram")).alias("gram"), "n_docs", "n")
+
+
+def _refreshed(s: Source) -> str:
+    """An index first built over older documents (a seventh was missing, a fifth had another text, some have gone since), then refreshed."""
+    d, path = s.table("documents").select("doc_id", "text"), scratch(s.spark, "index")
+    older = d.where("doc_id % 7 <> 0").withColumn("text", F.when(C("doc_id") % 5 == 0, F.concat_ws(" ", F.lit("draft"), F.reverse("text"))).otherwise(C("text")))
+    gone = d.where("doc_id % 50 = 1").select((-C("doc_id") - 1).alias("doc_id"), "text")
+    text_index.refresh(older.unionByName(gone), path)
+    text_index.refresh(d, path)
+    return path
+
+
+@query("snk2_index_refresh", _GRAMS)
+def refreshed_postings(s: Source) -> DataFrame:
+    """The stored index after a refresh holds what a new one would."""
+    return _counted(text_index.live(s.spark, _refreshed(s)))
+
+
+@query("ret2_snk2_indexed_search", f", {_bm25_sql(WORDS, 20)} SELECT doc_id, floor(score * 1000000 + 0.5) / 1000000 AS score FROM bm")
+def indexed_search(s: Source) -> DataFrame:
+    """The search above by the stored index: it reads the postings of the query's grams and no text."""
+    return text_index.search(s.spark, _refreshed(s), WORDS).select("doc_id", (F.floor(C("score") * 1_000_000 + 0.5) / 1_000_000).alias("score"))
 
 
 @query("ret11_provider_fallback", """, p AS (SELECT s_suppkey AS id, s_nationkey % 4 AS user_id, CASE WHEN s_suppkey % 2 = 0 THEN 'llm' ELSE 'embedding' END AS kind, s_acctbal > 8000 AS is_default FROM supplier),

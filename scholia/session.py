@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
         where = tempfile.mkdtemp(prefix="scholia-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; what is there goes when the program ends."""
+    _SCRATCH.append((spark, f"{shared_dir(spark)}/scholia-{name}-{uuid.uuid4().hex}"))
+    return _SCRATCH[-1][1]
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: nothing is left to delete with
+            return
