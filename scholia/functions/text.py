@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.tables import END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GRADING_MARKS, HALF_WIDTH, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TYPE_ALIASES
+from scholia.functions.tables import END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GENERIC_SHORT, GENERIC_WORDS, GRADING_MARKS, HALF_WIDTH, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TYPE_ALIASES
 
 SPACES = r"(?U)\s+"
 
@@ -179,7 +179,17 @@ def merge_fragments(left: Column, right: Column) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    return F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-grams in order, from an array of the characters, so that a long text costs no more than its length."""
+    chars = F.split(text, "")
+    return F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>"))
+
+
+def common_beginning(left: Column, right: Column) -> Column:
+    """Length of the longest beginning that two texts share."""
+    a, b = F.split(left, ""), F.split(right, "")
+    short = F.least(F.char_length(left), F.char_length(right))
+    differs = F.filter(F.sequence(F.lit(1), short), lambda i: F.element_at(a, i) != F.element_at(b, i))
+    return F.when(short == 0, 0).otherwise(F.coalesce(F.array_min(differs) - 1, short))
 
 
 def shared_grams(left: Column, right: Column, least: int = 2, most: int = 4) -> Column:
@@ -192,18 +202,18 @@ def shared_grams(left: Column, right: Column, least: int = 2, most: int = 4) ->
     return sum((of(n) for n in range(least + 1, most + 1)), of(least))
 
 
+def telling_gram(gram: Column, n: int) -> Column:
+    """Whether a gram of n characters may count as evidence: no digits, brackets or generic words."""
+    plain = ~gram.rlike(r"[0-9.、:：()（）]") & ~gram.rlike("|".join(GENERIC_WORDS))
+    return plain & ~gram.rlike("|".join(GENERIC_SHORT)) if n <= 3 else plain
+
+
 def evidence_score(stem: Column, text: Column) -> Column:
     """Sum of n squared over the distinct n-grams (6 to 3) of a stem that a text holds, generic ones left out."""
-    from scholia.functions.tables import GENERIC_SHORT, GENERIC_WORDS
-
     s, t = evidence(stem), evidence(text)
 
     def of(n: int) -> Column:
-        def counts(g: Column) -> Column:
-            plain = ~g.rlike(r"[0-9.、:：()（）]") & ~g.rlike("|".join(GENERIC_WORDS)) & F.contains(t, g)
-            return plain & ~g.rlike("|".join(GENERIC_SHORT)) if n <= 3 else plain
-
-        return F.size(F.filter(F.array_distinct(grams(s, n)), counts)) * (n * n)
+        return F.size(F.filter(F.array_distinct(grams(s, n)), lambda g: telling_gram(g, n) & F.contains(t, g))) * (n * n)
 
     return of(3) + of(4) + of(5) + of(6)
 

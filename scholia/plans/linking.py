@@ -163,22 +163,23 @@ def terminal(s: Source) -> DataFrame:
     return s.answers().join(t, C("section_scope") == C("terminal")).select("id", "resolved")
 
 
-_PREFIX = """, p AS (SELECT c.id, d.id AS directory_id, CASE WHEN contains(c.stem, d.anchor) OR contains(d.anchor, c.stem) THEN 1.0 ELSE CAST(len(list_filter(range(1, least(len(c.stem), len(d.anchor)) + 1), lambda i: left(c.stem, i) = left(d.anchor, i))) AS DOUBLE) / least(len(c.stem), len(d.anchor)) END AS score
-      FROM candidates c JOIN directory d ON c.section_scope = d.section_scope AND c.set_no = d.set_no AND c.question_type = 'single_choice' AND c.id <> d.id),
+_MARK = "translate(lpad(CAST(({}) AS VARCHAR), 6, '0'), '0123456789', 'qjxzkvbwyp')"
+_PREFIX = f""", st AS (SELECT id, section_scope, set_no, stem || ' ' || {_MARK.format('id')} AS t FROM candidates),
+    en AS (SELECT id, section_scope, set_no, CASE id % 3 WHEN 0 THEN anchor || ' ' || {_MARK.format('id')} WHEN 1 THEN left(anchor || ' ' || {_MARK.format('id')}, 15) ELSE 'see ' || anchor || ' ' || {_MARK.format('id + 7')} END AS t FROM directory),
+    p AS (SELECT c.id, d.id AS directory_id, CASE WHEN contains(c.t, d.t) OR contains(d.t, c.t) THEN 1.0 ELSE CAST(len(list_filter(range(1, least(len(c.t), len(d.t)) + 1), lambda i: left(c.t, i) = left(d.t, i))) AS DOUBLE) / least(len(c.t), len(d.t)) END AS score
+      FROM st c JOIN en d ON c.section_scope = d.section_scope AND c.set_no = d.set_no),
     r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM p WINDOW w AS (PARTITION BY id ORDER BY score DESC, directory_id))
-    SELECT id, directory_id FROM r WHERE k = 1 AND score >= 0.75 AND score - second > 0.1"""
+    SELECT id, directory_id FROM r WHERE k = 1 AND score >= 0.75 AND score > second + 0.1"""
 
 
 @query("join20_win16_prefix_pick", _PREFIX)
 def prefix_pick(s: Source) -> DataFrame:
-    """The directory entry whose anchor a stem shares most of its beginning with: at least 0.75, and 0.1 ahead of the next."""
-    a, b = joins._aliased(s.candidates().where("question_type = 'single_choice'"), s.directory())
-    x, y = C("stem"), C("r_anchor")
-    short = F.least(F.char_length(x), F.char_length(y))
-    common = F.size(F.filter(F.sequence(F.lit(1), short), lambda i: F.left(x, i) == F.left(y, i)))
-    score = F.when(F.contains(x, y) | F.contains(y, x), F.lit(1.0)).otherwise(common.cast("double") / short)
-    scored = a.join(b, _equal("section_scope", "set_no") & (C("id") != C("r_id"))).withColumn("score", score)
-    return joins.best_with_gap(scored, "id", "score", "r_id", least=0.0, gap=0.1).where("score >= 0.75").select("id", C("r_id").alias("directory_id"))
+    """The directory entry whose anchor a stem holds, or shares most of its beginning with: at least 0.75, and 0.1 ahead of the next."""
+    mark = lambda k: F.translate(F.lpad(k.cast("string"), 6, "0"), "0123456789", "qjxzkvbwyp")
+    said = F.concat_ws(" ", "anchor", mark(C("id")))
+    anchor = F.when(C("id") % 3 == 0, said).when(C("id") % 3 == 1, F.left(said, F.lit(15))).otherwise(F.concat_ws(" ", F.lit("see"), "anchor", mark(C("id") + 7)))
+    stems = s.candidates().withColumn("t", F.concat_ws(" ", "stem", mark(C("id"))))
+    return joins.clear_beginning(stems, s.directory().withColumn("t", anchor), ["section_scope", "set_no"], "t").select("id", C("r_id").alias("directory_id"))
 
 
 @query("win3_fill_scope", """SELECT id, coalesce(last_value(nullif(section_scope, '') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_start, marker_top, id), '') AS scope FROM directory""")

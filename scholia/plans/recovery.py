@@ -111,17 +111,18 @@ def ladder(questions: DataFrame, entries: DataFrame) -> DataFrame:
     tried: the same identity; else the only one of the same path and type; the one of those whose anchor the stem
     clearly begins with; the only one of the type; the clear one of all; the only one at all. Otherwise none.
 
-    Both: id, document_id, identity, path, kind, number, first, last; questions: stem; entries: anchor. One join and one aggregate; what meets
-    in a group are the entries of one number on some pages of a document."""
-    q, e = joins._aliased(questions, entries)
-    met = q.join(e, (C("document_id") == C("r_document_id")) & (C("number") == C("r_number")))
+    Both: id, document_id, identity, path, kind, number, first, last; questions: stem; entries: anchor. Entries meet a question by equal
+    identity, or by cells of pages, so those of other pages are never paired with it; one aggregate then decides all rungs."""
+    key = F.struct("document_id", "number")
+    q, e = questions.withColumn("key", key), entries.withColumn("key", key)
+    a, b = joins._aliased(q, e)
+    near = joins.overlap_join(q, e, "key", "first", "last").withColumn("near", F.lit(True))
+    named = a.join(b, (C("key") == C("r_key")) & (C("identity") == C("r_identity"))).where(~joins.overlaps(C("first"), C("last"), C("r_first"), C("r_last"))).withColumn("near", F.lit(False))
+    met = near.unionByName(named)
     x, y = text.compact(C("stem")), text.compact(C("r_anchor"))
-    short = F.least(F.char_length(x), F.char_length(y))
-    common = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), short), lambda n: F.left(x, n) == F.left(y, n))), F.lit(0))
-    score = F.when((x == "") | (y == ""), None).when(F.contains(x, y) | F.contains(y, x), 1.0).otherwise(common / short)
-    near = joins.overlaps(C("first"), C("last"), C("r_first"), C("r_last"))
-    same_kind = C("kind") == C("r_kind")
-    met = met.select("id", "r_id", score.alias("score"), (C("identity") == C("r_identity")).alias("own"), (near & same_kind & (C("path") == C("r_path"))).alias("on_path"), (near & same_kind).alias("typed"), near.alias("near"))
+    score = F.when((x == "") | (y == ""), None).when(F.contains(x, y) | F.contains(y, x), 1.0).otherwise(text.common_beginning(x, y) / F.least(F.char_length(x), F.char_length(y)))
+    typed = C("near") & (C("kind") == C("r_kind"))
+    met = met.select("id", "r_id", score.alias("score"), (C("identity") == C("r_identity")).alias("own"), (typed & (C("path") == C("r_path"))).alias("on_path"), typed.alias("typed"), "near")
 
     def only(flag: str) -> Column:
         return F.when(F.count_if(flag) == 1, F.min(F.when(C(flag), C("r_id"))))
@@ -166,12 +167,34 @@ def recovery_ladder(s: Source) -> DataFrame:
 
 
 def evidence_links(open_questions: DataFrame, references: DataFrame, least: int = 36) -> DataFrame:
-    """(id, answer_id, score): for subjective questions without any match, the reference of the same number and a compatible set
-    whose text holds most of the stem's grams: at least `least`, and more than the next."""
-    q, r = joins._aliased(open_questions, references)
-    met = q.join(r, (C("question_no") == C("r_question_no")) & joins.tolerant(C("set_no"), C("r_set_no")))
-    scored = met.withColumn("score", text.evidence_score(C("stem"), C("r_text")))
-    tied = scored.groupBy("id", "score").agg(F.count("*").alias("n"), F.min("r_id").alias("answer_id"))
+    """(id, answer_id, score): for subjective questions without any match, the reference of the same session, number and a compatible set
+    whose text holds most of the stem's grams: at least `least`, and more than the next.
+
+    References are found by an inverted index of their grams (3 to 6 characters). A question's grams are ordered by how many references of its number hold
+    them. The rarest one gives first pairs, whose best score is a bound that the winner must reach; then only grams go on that, with all commoner ones after
+    them, could still add up to that bound. A reference that shares none of these can't win nor tie, so it is never scored."""
+    place = ["session", "question_no"]
+    q = open_questions.select("id", *place, "set_no", text.evidence(C("stem")).alias("s"), "stem")
+    r = references.select(C("id").alias("r_id"), *place, C("set_no").alias("r_set_no"), text.evidence(C("text")).alias("t"), C("text").alias("r_text"))
+    sizes = (3, 4, 5, 6)
+
+    def weighed(n: int) -> Column:
+        return F.transform(F.filter(text.grams(C("s"), n), lambda g: text.telling_gram(g, n)), lambda g: F.struct(g.alias("gram"), F.lit(n * n).alias("w")))
+
+    own = F.array_distinct(F.concat(*(weighed(n) for n in sizes)))
+    asked = q.select("id", *place, "set_no", F.inline(own))
+    index = r.select("r_id", *place, "r_set_no", F.explode(F.array_distinct(F.concat(*(text.grams(C("t"), n) for n in sizes)))).alias("gram"))
+    held = index.groupBy(*place, "gram").agg(F.count("*").alias("held"))
+    later = W.partitionBy("id").orderBy(F.desc("held"), F.desc("gram"))
+    ranked = asked.join(held, [*place, "gram"]).withColumn("rest", F.sum("w").over(later.rowsBetween(W.unboundedPreceding, 0))).withColumn("rarest", F.max(F.struct("rest", "gram")).over(W.partitionBy("id"))["gram"] == C("gram"))
+
+    def scored(grams: DataFrame) -> DataFrame:
+        met = grams.join(index, [*place, "gram"]).where(joins.tolerant(C("set_no"), C("r_set_no"))).select("id", "r_id").distinct()
+        return met.join(q.select("id", "stem"), "id").join(r.select("r_id", "r_text"), "r_id").select("id", "r_id", text.evidence_score(C("stem"), C("r_text")).alias("score"))
+
+    bound = scored(ranked.where("rarest")).groupBy("id").agg(F.greatest(F.max("score"), F.lit(least)).alias("bound"))
+    able = ranked.join(bound, "id", "left").where(C("rest") >= F.coalesce("bound", F.lit(least)))
+    tied = scored(able).groupBy("id", "score").agg(F.count("*").alias("n"), F.min("r_id").alias("answer_id"))
     g = tied.groupBy("id").agg(F.max(F.struct("score", "n", "answer_id")).alias("best"))
     return g.where((C("best.score") >= least) & (C("best.n") == 1)).select("id", C("best.answer_id").alias("answer_id"), C("best.score").cast("long").alias("score"))
 
@@ -183,21 +206,21 @@ def _word(k: Column) -> Column:
 
 def _references(s: Source) -> DataFrame:
     k = C("p_partkey")
-    return s.table("part").select((k + 5_000_000).alias("id"), (k % 40).alias("question_no"), (C("p_size") % 3).cast("int").alias("set_no"), F.concat_ws(" ", "p_type", "p_name", _word(k)).alias("text"))
+    return s.table("part").select((k + 5_000_000).alias("id"), F.floor(k / 500).alias("session"), (k % 40).alias("question_no"), (C("p_size") % 3).cast("int").alias("set_no"), F.concat_ws(" ", "p_type", "p_name", _word(k)).alias("text"))
 
 
 def _gram_sql(n: int) -> str:
     return f"{n * n} * len(list_filter(list_distinct(list_transform(range(1, greatest(length(x) - {n - 2}, 1)), lambda i: substr(x, i, {n}))), lambda g: NOT regexp_matches(g, '[0-9.、:：()（）]') AND contains(y, g)))"
 
 
-@query("lnk7_cross_scope_evidence", f""", q AS (SELECT id, question_no, set_no, replace(stem, ' ', '') || CASE WHEN id % 2 = 0 THEN translate(lpad(CAST(id AS VARCHAR), 6, '0'), '0123456789', 'qjxzkvbwyp') ELSE '' END AS x FROM candidates ANTI JOIN answers USING (section_scope, set_no, question_type, question_no) WHERE question_type = 'subjective'),
-    r AS (SELECT p_partkey + 5000000 AS rid, p_partkey % 40 AS question_no, p_size % 3 AS set_no, lower(p_type || replace(p_name, ' ', '')) || translate(lpad(CAST(p_partkey AS VARCHAR), 6, '0'), '0123456789', 'qjxzkvbwyp') AS y FROM part),
-    m AS (SELECT q.id, rid, {' + '.join(_gram_sql(n) for n in (3, 4, 5, 6))} AS score FROM q JOIN r ON q.question_no = r.question_no AND (q.set_no = r.set_no OR q.set_no = 0 OR r.set_no = 0)),
+@query("lnk7_cross_scope_evidence", f""", q AS (SELECT id, id // 500 AS session, question_no, set_no, replace(stem, ' ', '') || CASE WHEN id % 2 = 0 THEN translate(lpad(CAST(id AS VARCHAR), 6, '0'), '0123456789', 'qjxzkvbwyp') ELSE '' END AS x FROM candidates ANTI JOIN answers USING (section_scope, set_no, question_type, question_no) WHERE question_type = 'subjective'),
+    r AS (SELECT p_partkey + 5000000 AS rid, p_partkey // 500 AS session, p_partkey % 40 AS question_no, p_size % 3 AS set_no, lower(p_type || replace(p_name, ' ', '')) || translate(lpad(CAST(p_partkey AS VARCHAR), 6, '0'), '0123456789', 'qjxzkvbwyp') AS y FROM part),
+    m AS (SELECT q.id, rid, {' + '.join(_gram_sql(n) for n in (3, 4, 5, 6))} AS score FROM q JOIN r ON q.session = r.session AND q.question_no = r.question_no AND (q.set_no = r.set_no OR q.set_no = 0 OR r.set_no = 0)),
     k AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM m WINDOW w AS (PARTITION BY id ORDER BY score DESC, rid))
     SELECT id, rid AS answer_id, CAST(score AS BIGINT) AS score FROM k WHERE k = 1 AND score >= 36 AND coalesce(second, -1) < score""")
 def cross_scope(s: Source) -> DataFrame:
     stem = F.concat("stem", F.when(C("id") % 2 == 0, F.concat(F.lit(" "), _word(C("id")))).otherwise(""))
-    return evidence_links(s.candidates().where("question_type = 'subjective'").withColumn("stem", stem).join(s.answers(), KEY, "left_anti"), _references(s))
+    return evidence_links(s.candidates().where("question_type = 'subjective'").withColumn("stem", stem).withColumn("session", F.floor(C("id") / 500)).join(s.answers(), KEY, "left_anti"), _references(s))
 
 
 def topic_hints(questions: DataFrame, scopes: DataFrame, titles: list[str]) -> DataFrame:
