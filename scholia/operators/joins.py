@@ -89,66 +89,70 @@ _ANCHORS = _powers(16)
 _LEVELS = sorted({int(1.2**i) for i in range(76)})
 
 
-def contained_join(needles: DataFrame, stacks: DataFrame, by: list[str], text: str) -> DataFrame:
-    """Pairs of equal `by` in which the stack's text (columns as r_*) holds the needle's anywhere; once each, empty needles in none.
+def _grams(t: Column, n: Column) -> Column:
+    """Hashes of a text's grams of n characters."""
+    chars = F.split(t, "")
+    return F.transform(F.sequence(F.lit(1), F.char_length(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, n), "")))
 
-    Of each needle one anchor is kept, the gram of the smallest hash among those of the largest anchor length that it has, so the anchor is more than half as long as
-    the needle; stacks give all their grams of the lengths that occur. Anchors meet by hash and are verified on the texts: what meets shares
-    half a needle, and the rows to join are the lengths of the texts, not pairs."""
-    a, b = _aliased(needles, stacks)
-    size = F.char_length(text)
-    length = F.array_max(F.filter(F.array(*map(F.lit, _ANCHORS)), lambda n: n <= size))
-    windows = lambda t, n: F.transform(F.sequence(F.lit(1), F.char_length(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.split(t, ""), i, n), "")))
-    a = a.where(size > 0).withColumn("__n", length).withColumn("__g", F.array_min(windows(F.col(text), F.col("__n"))))
-    seen = a.select("__n").distinct().groupBy().agg(F.collect_set("__n").alias("r___ns"))  # as many values as there are anchor lengths
-    r = F.col(f"r_{text}")
-    b = b.join(F.broadcast(seen)).withColumn("r___n", F.explode(F.filter("r___ns", lambda n: n <= F.char_length(r)))).drop("r___ns")
-    b = b.withColumn("r___g", F.explode(F.array_distinct(windows(r, F.col("r___n")))))
-    same = [F.col(k) == F.col(f"r_{k}") for k in by]
-    on = reduce(lambda x, y: x & y, [*same, F.col("__n") == F.col("r___n"), F.col("__g") == F.col("r___g")])
-    return a.join(b, on).where(F.contains(r, F.col(text))).drop("__n", "__g", "r___n", "r___g")
 
+def _anchor(t: Column) -> Column:
+    """(n, g): the gram of the smallest hash among those of the largest anchor length that a text has, so more than half of it."""
+    n = F.array_max(F.filter(F.array(*map(F.lit, _ANCHORS)), lambda x: x <= F.char_length(t)))
+    return F.struct(n.alias("n"), F.array_min(_grams(t, n)).alias("g"))
 
-def beginning_join(left: DataFrame, right: DataFrame, by: list[str], text: str, share: float) -> DataFrame:
-    """Pairs of equal `by` (right's columns as r_*) that share a beginning of at least `share` of the shorter text, once each.
 
-    The shorter text offers one beginning, of the longest level that such a pair must share; the longer one offers its beginnings of all levels. They
-    meet by hash, so no pair is formed that doesn't share about as much as asked."""
-    from scholia.functions.text import common_beginning
+def _beginnings(t: Column) -> Column:
+    """(n, g) of a text's beginnings of all levels."""
+    return F.transform(F.filter(F.array(*map(F.lit, _LEVELS)), lambda x: x <= F.char_length(t)), lambda x: F.struct(x.alias("n"), F.xxhash64(F.left(t, x)).alias("g")))
 
-    a, b = _aliased(left, right)
-    levels = F.array(*map(F.lit, _LEVELS))
-    size, r_size = F.char_length(text), F.char_length(f"r_{text}")
 
-    def need(n: Column) -> Column:
-        return F.array_max(F.filter(levels, lambda x: x <= F.greatest(F.floor(n * share), F.lit(1))))
+def _must_share(t: Column, share: float) -> Column:
+    """(n, g) of the one beginning that a text shares with any longer one that shares `share` of it."""
+    return F.array_max(F.filter(_beginnings(t), lambda x: x["n"] <= F.greatest(F.floor(F.char_length(t) * share), F.lit(1))))
 
-    def key(t: str, n: Column) -> Column:
-        return F.xxhash64(F.left(F.col(t), n))
 
-    own = lambda d, t, n: d.where(n > 0).withColumn("__n" if t == text else "r___n", need(n)).withColumn("__g" if t == text else "r___g", key(t, F.col("__n" if t == text else "r___n")))
-    every = lambda d, t, n: d.where(n > 0).withColumn("__n" if t == text else "r___n", F.explode(F.filter(levels, lambda x: x <= n))).withColumn("__g" if t == text else "r___g", key(t, F.col("__n" if t == text else "r___n")))
-    on = reduce(lambda x, y: x & y, [*(F.col(k) == F.col(f"r_{k}") for k in by), F.col("__n") == F.col("r___n"), F.col("__g") == F.col("r___g")])
-    short_left = own(a, text, size).join(every(b, f"r_{text}", r_size), on & (size <= r_size))
-    short_right = every(a, text, size).join(own(b, f"r_{text}", r_size), on & (size > r_size))
-    met = short_left.unionByName(short_right).drop("__n", "__g", "r___n", "r___g")
-    return met.where(common_beginning(F.col(text), F.col(f"r_{text}")) >= F.least(size, r_size) * share)
+def _equal(by: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(k) == F.col(f"r_{k}") for k in by])
+
+
+def contained_join(needles: DataFrame, stacks: DataFrame, by: list[str], text: str) -> DataFrame:
+    """Pairs of equal `by` in which the stack's text (columns as r_*) holds the needle's anywhere; once each, empty needles in none.
+
+    A needle offers its anchor, stacks offer all their grams of the lengths that anchors have. They meet by hash and are verified on the texts: what
+    meets shares half a needle, and the rows to join are the lengths of the texts, not pairs."""
+    a, b = _aliased(needles, stacks)
+    t, r = F.col(text), F.col(f"r_{text}")
+    a = a.where(F.char_length(t) > 0).withColumn("__a", _anchor(t))
+    seen = a.select("__a.n").distinct().groupBy().agg(F.collect_set("n").alias("r___ns"))  # as many values as there are anchor lengths
+    b = b.join(F.broadcast(seen)).withColumn("r___n", F.explode(F.filter("r___ns", lambda n: n <= F.char_length(r)))).drop("r___ns")
+    b = b.withColumn("r___g", F.explode(F.array_distinct(_grams(r, F.col("r___n")))))
+    met = a.join(b, _equal(by) & (F.col("__a.n") == F.col("r___n")) & (F.col("__a.g") == F.col("r___g")))
+    return met.where(F.contains(r, t)).drop("__a", "r___n", "r___g")
 
 
 def clear_beginning(left: DataFrame, right: DataFrame, by: list[str], text: str, least: float = 0.75, gap: float = 0.1) -> DataFrame:
     """(id, r_id, score): for each left row the right row of equal `by` whose text it clearly shares.
 
     A score is 1 if one text holds the other, else the share of the shorter one that is a common beginning; it must reach `least` and lead the next
-    by more than `gap`. Only pairs that can matter are formed: those that score at least `least` - `gap`. Empty texts score nothing."""
+    by more than `gap`. Only pairs that can matter are formed: those that score at least `least` - `gap`. The shorter text offers its anchor and the one
+    beginning that such a pair must share, the longer one all grams of anchor lengths and its beginnings of all levels, a fifth longer each; they
+    meet by hash in one join. Empty texts score nothing."""
     from scholia.functions.text import common_beginning
 
-    a, b = (d.select("id", *by, text) for d in (left, right))
-    turned = contained_join(b, a, by, text)
-    turned = turned.select(*(F.col(f"r_{c}").alias(c) for c in a.columns), *(F.col(c).alias(f"r_{c}") for c in b.columns))
-    met = beginning_join(a, b, by, text, least - gap - 1e-9).unionByName(contained_join(a, b, by, text)).unionByName(turned).dropDuplicates(["id", "r_id"])
+    share = least - gap - 1e-9
+    tag = lambda role, x: F.struct(F.lit(role).alias("role"), x["n"].alias("n"), x["g"].alias("g"))
+
+    def keys(t: Column, own: tuple[int, int], other: tuple[int, int]) -> Column:
+        lengths = F.filter(F.array(*map(F.lit, _ANCHORS)), lambda n: n <= F.char_length(t))
+        stack = F.flatten(F.transform(lengths, lambda n: F.transform(F.array_distinct(_grams(t, n)), lambda g: F.struct(F.lit(other[0]).alias("role"), n.alias("n"), g.alias("g")))))
+        return F.explode(F.concat(F.array(tag(own[0], _anchor(t)), tag(own[1], _must_share(t, share))), stack, F.transform(_beginnings(t), lambda x: tag(other[1], x))))
+
+    a, b = _aliased(*(d.select("id", *by, text).where(F.char_length(text) > 0) for d in (left, right)))
     x, y = F.col(text), F.col(f"r_{text}")
+    met = a.withColumn("__k", keys(x, (0, 1), (2, 3))).join(b.withColumn("r___k", keys(y, (2, 3), (0, 1))), _equal(by) & (F.col("__k") == F.col("r___k")))
     score = F.when(F.contains(x, y) | F.contains(y, x), F.lit(1.0)).otherwise(common_beginning(x, y).cast("double") / F.least(F.char_length(x), F.char_length(y)))
-    return best_with_gap(met.withColumn("score", score), "id", "score", "r_id", least=0.0, gap=gap).where(F.col("score") >= least).select("id", "r_id", "score")
+    scored = met.withColumn("score", score).where(F.col("score") >= share).groupBy("id", "r_id").agg(F.max("score").alias("score"))
+    return best_with_gap(scored, "id", "score", "r_id", least=0.0, gap=gap).where(F.col("score") >= least).select("id", "r_id", "score")
 
 
 def scalar_counts(parent: DataFrame, child: DataFrame, parent_id: str, child_key: str, name: str) -> DataFrame:

@@ -38,21 +38,15 @@ def test_contained_join_finds_every_pair_once(spark, sides):
     assert got == sorted((i, j) for i, k, x in left for j, m, y in right if k == m and x and y and x in y) and len(got) > 20
 
 
-@pytest.mark.parametrize("share", [0.3, 0.65, 1.0])
-def test_beginning_join_finds_every_pair_once(spark, sides, share):
-    left, right = sides
-    got = sorted((r.id, r.r_id) for r in joins.beginning_join(frame(spark, left), frame(spark, right), ["k"], "t", share).collect())
-    assert got == sorted((i, j) for i, k, x in left for j, m, y in right if k == m and x and y and beginning(x, y) >= min(len(x), len(y)) * share) and got
-
-
-def test_clear_beginning(spark, sides):
+@pytest.mark.parametrize("least", [0.4, 0.75, 1.0])
+def test_clear_beginning(spark, sides, least):
     left, right = sides
     want = []
     for i, k, x in left:
         scores = sorted(((1.0 if x in y or y in x else beginning(x, y) / min(len(x), len(y)), -j) for j, m, y in right if k == m and x and y), reverse=True)
-        if scores and scores[0][0] >= 0.75 and scores[0][0] > (scores[1][0] if len(scores) > 1 else 0) + 0.1:
+        if scores and scores[0][0] >= least and scores[0][0] > (scores[1][0] if len(scores) > 1 else 0) + 0.1:
             want.append((i, -scores[0][1], round(scores[0][0], 9)))
-    got = [(r.id, r.r_id, round(r.score, 9)) for r in joins.clear_beginning(frame(spark, left), frame(spark, right), ["k"], "t").collect()]
+    got = [(r.id, r.r_id, round(r.score, 9)) for r in joins.clear_beginning(frame(spark, left), frame(spark, right), ["k"], "t", least).collect()]
     assert sorted(got) == sorted(want) and want
 
 
