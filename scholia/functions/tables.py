@@ -69,3 +69,6 @@ USER_ANSWER = r"(?:第\s*([0-9０-９]+)\s*题|[Qq]\s*([0-9０-９]+)|([0-9０-
 
 # Fixed values. Stages of an import run: progress at their start, and the share of the whole that each is.
 RUN_STAGES = {"rendering": (0.0, 0.05), "catalog": (0.05, 0.30), "candidate_review": (0.0, 1.0), "linking": (0.90, 0.05), "validating": (0.95, 0.05)}
+
+#: Section and number prefixes before a question's own text.
+ANSWER_PREFIX = r"^(?:(?:第?[0-9一二三四五六七八九十百]+[题.．、)）:：]|[（(][0-9一二三四五六七八九十百]+[)）])\s*)+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.tables import END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GENERIC_SHORT, GENERIC_WORDS, GRADING_MARKS, HALF_WIDTH, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TYPE_ALIASES
+from scholia.functions.tables import ANSWER_PREFIX, END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GENERIC_SHORT, GENERIC_WORDS, GRADING_MARKS, HALF_WIDTH, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TYPE_ALIASES
 
 SPACES = r"(?U)\s+"
 
@@ -80,7 +80,7 @@ def loose(text: Column) -> Column:
 
 def answer_question(text: Column) -> Column:
     """loose() without leading section and number prefixes."""
-    return loose(F.regexp_replace(F.trim(text), r"^(?:(?:第?[0-9一二三四五六七八九十百]+[题.．、)）:：]|[（(][0-9一二三四五六七八九十百]+[)）])\s*)+", ""))
+    return loose(F.regexp_replace(F.trim(text), ANSWER_PREFIX, ""))
 
 
 def stem_key(text: Column) -> Column:

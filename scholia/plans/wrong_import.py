@@ -7,8 +7,8 @@ some of them written as cut-off, continued or numbered ones.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from scholia.adapters import Source
 from scholia.functions import text
 from scholia.functions.numbers import add_days, clamp01
-from scholia.functions.tables import BOUNDARY, END_WARNINGS, MATERIAL_WORDS, MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION, START_WARNINGS, USER_ANSWER
-from scholia.operators import windows
+from scholia.functions.tables import ANSWER_PREFIX, BOUNDARY, END_WARNINGS, MATERIAL_WORDS, MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION, START_WARNINGS, USER_ANSWER
+from scholia.operators import joins, windows
 from scholia.registry import query
+from scholia.session import scratch
 
 C = F.col
 _KINDS = ("single_choice", "multiple_choice", "short_answer", "essay")
@@ -161,37 +162,96 @@ def fragments(s: Source) -> DataFrame:
     return windows.renumber(drafts(s), ["session"], ["image", "seq"], "position").select("draft", "image", "position")
 
 
-def match_entries(scored: DataFrame, least: float = 0.86, margin: float = 0.015) -> DataFrame:
-    """(session, entry, draft, score): entries in order take the best draft still free, if its score reaches `least` and leads the
-    next free one by `margin`. What one entry takes, later ones can't, so each session folds in order: it is one person's upload."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for entry, group in rows.sort_values(["entry", "score", "draft"], ascending=[True, False, True]).groupby("entry", sort=True):
-            free = group[~group["draft"].isin(used)]
-            if len(free) and free.iloc[0]["score"] >= least and (len(free) == 1 or free.iloc[0]["score"] - free.iloc[1]["score"] >= margin):
-                best = free.iloc[0]
-                used.add(best["draft"])
-                out.append((best["session"], entry, best["draft"], float(best["score"])))
-        return pd.DataFrame(out, columns=["session", "entry", "draft", "score"])
-
-    return scored.select("session", "entry", "draft", "score").groupBy("session").applyInPandas(fold, "session long, entry long, draft long, score double")
-
-
-@query("wqi3_answer_matching")
+def answer_scores(drafts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(upload, entry, draft, score, exact) of every draft that an answer entry may belong to, within one upload.
+
+    drafts: upload, draft, seq, stem, kind; entries: upload, entry, seq, hint, answer (array), analysis, section. The same normalised question .99, the same number .95, a
+    hint of four characters or more that holds the stem or is held by it .94; else by evidence: n-grams that the stem shares with the answer's text, .86 and
+    .008 for each from four on, .10 at most, .03 more for material questions and again under a heading that says so, .98 at most. Each tier is a
+    join on an equality: keys, anchors of contained texts, and an inverted index of grams."""
+    d = drafts.select("upload", "draft", C("seq").cast("long").alias("seq"), text.answer_question(C("stem")).alias("key"), ((C("kind") == "material_analysis") | is_material(C("stem"))).alias("material"))
+    hint = text.answer_question(C("hint"))
+    body = F.trim(F.concat(F.array_join("answer", "\n"), F.lit("\n"), F.coalesce("analysis", F.lit(""))))
+    e = entries.select("upload", "entry", C("seq").cast("long").alias("seq"), F.when(F.char_length(hint) >= 4, hint).otherwise("").alias("key"), text.loose(body).alias("body"), C("section").rlike("案例|材料").alias("heading"))
+    own, other = e.select("upload", "entry", "key").where("key <> ''"), d.select("upload", "draft", "key")
+    number = e.where("seq > 0").join(d, ["upload", "seq"]).select("upload", "entry", "draft", F.lit(0.95).alias("score"), F.lit(False).alias("exact"))
+    same = own.join(other, ["upload", "key"]).select("upload", "entry", "draft", F.lit(0.99).alias("score"), F.lit(True).alias("exact"))
+    inside = joins.contained_join(own, other, ["upload"], "key").where("key <> r_key").select("upload", "entry", C("r_draft").alias("draft"), F.lit(0.94).alias("score"), F.lit(False).alias("exact"))
+    around = joins.contained_join(other, own, ["upload"], "key").where("key <> r_key").select("upload", C("r_entry").alias("entry"), "draft", F.lit(0.94).alias("score"), F.lit(False).alias("exact"))
+    blank = own.join(other.where("key = ''").drop("key"), "upload").select("upload", "entry", "draft", F.lit(0.94).alias("score"), F.lit(False).alias("exact"))
+    sure = reduce(DataFrame.unionByName, (number, same, inside, around, blank)).groupBy("upload", "entry", "draft").agg(F.max("score").alias("score"), F.max("exact").alias("exact"))
+
+    every = lambda t: F.explode(F.transform(F.concat(*(text.grams(t, n) for n in (2, 3, 4))), lambda g: F.xxhash64(g))).alias("gram")
+    said = e.select("upload", "entry", every(C("body"))).groupBy("upload", "entry", "gram").agg(F.count("*").alias("n"))
+    asked = d.select("upload", "draft", every(C("key"))).distinct()
+    shared = said.join(asked, ["upload", "gram"]).groupBy("upload", "entry", "draft").agg(F.sum("n").alias("common")).where("common >= 4")
+    shared = shared.join(d.select("upload", "draft", "material"), ["upload", "draft"]).join(e.select("upload", "entry", "heading"), ["upload", "entry"])
+    score = F.lit(0.86) + F.least(F.lit(0.1), C("common") * F.lit(0.008))
+    score = F.when(C("material"), score + F.lit(0.03)).otherwise(score)
+    score = F.when(C("material") & C("heading"), score + F.lit(0.03)).otherwise(score)
+    weak = shared.select("upload", "entry", "draft", F.least(score, F.lit(0.98)).alias("weak"))
+    return sure.join(weak, ["upload", "entry", "draft"], "full").select("upload", "entry", "draft", F.coalesce("score", "weak").alias("score"), F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+def match_entries(scores: DataFrame, least: float = 0.86, margin: float = 0.015) -> DataFrame:
+    """(upload, entry, draft, score): entries take drafts in their order, each the only free draft of the very same question, else the
+    best free one, if its score reaches `least` and leads the next free one by more than `margin`. What one entry takes, later ones can't.
+
+    scores: upload, entry, draft, score, exact, and ok, whether the draft may be answered; an entry whose pick may not takes nothing. Rounds instead of a fold: all entries pick at once,
+    given what earlier entries picked in the round before. The first n picks of an upload are right after n rounds at the latest, and once a
+    round changes nothing all are; the number of rounds is the longest chain of entries that wait for one another."""
+    spark, keys = scores.sparkSession, ["upload", "entry"]
+    place = scratch(spark, "scores")
+    scores.select(*keys, "draft", "score", "exact", "ok").write.parquet(place)
+    scores = spark.read.parquet(place)
+    picks = spark.createDataFrame([], "upload long, entry long, draft long, score double")
+    while True:
+        taken = picks.groupBy("upload", "draft").agg(F.min("entry").alias("by"))
+        free = scores.join(taken, ["upload", "draft"], "left").where("by is null or by >= entry")
+        g = free.groupBy(*keys).agg(F.count_if("exact").alias("same"), F.max(F.when(C("exact"), F.struct("score", (-C("draft")).alias("m"), "ok"))).alias("sole"), F.max(F.struct("score", (-C("draft")).alias("m"), "ok")).alias("best"), F.sort_array(F.collect_list("score"), asc=False).alias("order"))
+        second = F.coalesce(F.get("order", F.lit(1)), F.lit(0.0))
+        pick = F.when(C("same") == 1, C("sole")).when(second < C("best.score") - margin, C("best"))
+        now = g.withColumn("p", pick).where((C("p.score") >= least) & C("p.ok")).select(*keys, (-C("p.m")).alias("draft"), C("p.score").alias("score"))
+        place = scratch(spark, "picks")
+        now.write.parquet(place)
+        now = spark.read.schema("upload long, entry long, draft long, score double").parquet(place)
+        if now.exceptAll(picks).isEmpty() and picks.exceptAll(now).isEmpty():
+            return now
+        picks = now
+
+
+_ANSWERS = rf"""{_DRAFTS},
+du AS (SELECT image // 10 AS upload, draft, (image % 10) * 1000 + seq AS no, stem, kind, by_user, list_contains(warnings, '缺少题干') AS excluded, answer, image FROM dr),
+ky AS (SELECT *, lower(regexp_replace(regexp_replace(trim(stem), '{ANSWER_PREFIX}', ''), '[\p{{P}}\p{{S}}\s]', '', 'g')) AS k, len(regexp_extract_all(stem, '[（(][0-9０-９]+[）)]')) >= 2 AND regexp_matches(stem, '{"|".join(MATERIAL_WORDS)}') AS material FROM du WHERE NOT excluded),
+en AS (SELECT upload, draft AS entry, CASE no % 4 WHEN 0 THEN 0 WHEN 1 THEN no ELSE no + 1 END AS no, CASE draft % 3 WHEN 0 THEN stem WHEN 1 THEN left(stem, 12) ELSE '' END AS hint, answer || chr(10) || regexp_extract(stem, '[^。]{{4,}}') AS body, image % 2 = 0 AS heading FROM du WHERE answer IS NOT NULL),
+ek AS (SELECT upload, entry, no, heading, CASE WHEN length(h) >= 4 THEN h ELSE '' END AS h, b FROM (SELECT *, lower(regexp_replace(regexp_replace(trim(hint), '{ANSWER_PREFIX}', ''), '[\p{{P}}\p{{S}}\s]', '', 'g')) AS h, lower(regexp_replace(body, '[\p{{P}}\p{{S}}\s]', '', 'g')) AS b FROM en)),
+eg AS (SELECT upload, entry, substr(b, i, n) AS g, count(*) AS m FROM (SELECT upload, entry, b, n, unnest(range(1, length(b) - n + 2)) AS i FROM ek, (SELECT unnest([2, 3, 4]) AS n)) GROUP BY ALL),
+dg AS (SELECT DISTINCT upload, draft, substr(k, i, n) AS g FROM (SELECT upload, draft, k, n, unnest(range(1, length(k) - n + 2)) AS i FROM ky, (SELECT unnest([2, 3, 4]) AS n))),
+cm AS (SELECT upload, entry, draft, sum(m) AS common FROM eg JOIN dg USING (upload, g) GROUP BY ALL HAVING sum(m) >= 4),
+pr AS (SELECT upload, e.entry, d.draft, NOT by_user AS ok, h <> '' AND h = k AS exact, CASE WHEN h <> '' AND h = k THEN 0.99::DOUBLE WHEN e.no > 0 AND e.no = d.no THEN 0.95::DOUBLE WHEN h <> '' AND (contains(k, h) OR contains(h, k)) THEN 0.94::DOUBLE END AS sure, common, material, heading
+  FROM ek e JOIN ky d USING (upload) LEFT JOIN cm USING (upload, entry, draft)),
+sc AS (SELECT upload, entry, draft, ok, exact, coalesce(sure, least(0.86::DOUBLE + least(0.1::DOUBLE, CAST(common AS DOUBLE) * 0.008::DOUBLE) + CASE WHEN material THEN 0.03::DOUBLE ELSE 0::DOUBLE END + CASE WHEN material AND heading THEN 0.03::DOUBLE ELSE 0::DOUBLE END, 0.98::DOUBLE)) AS s FROM pr WHERE sure IS NOT NULL OR common IS NOT NULL)"""
+
+
+@query("wqi3_answer_matching", f""", {_ANSWERS},
+    cl AS (SELECT upload, entry, row_number() OVER (PARTITION BY upload ORDER BY entry) AS k, list({{'s': s, 'd': draft, 'x': exact, 'ok': ok}} ORDER BY s DESC, draft) AS c FROM sc GROUP BY upload, entry),
+    f AS (SELECT DISTINCT upload, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS entry, CAST(NULL AS BIGINT) AS draft, CAST(NULL AS DOUBLE) AS score FROM cl UNION ALL
+      SELECT upload, k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.d) END, entry, p.d, p.s FROM (SELECT upload, k, used, entry, CASE WHEN q.s >= 0.86 AND q.ok THEN q END AS p
+        FROM (SELECT upload, k, used, entry, CASE WHEN len(list_filter(fr, lambda z: z.x)) = 1 THEN list_filter(fr, lambda z: z.x)[1] WHEN len(fr) = 1 OR len(fr) > 1 AND fr[2].s < fr[1].s - 0.015::DOUBLE THEN fr[1] END AS q
+          FROM (SELECT f.upload, cl.k, f.used, cl.entry, list_filter(c, lambda z: NOT list_contains(f.used, z.d)) AS fr FROM f JOIN cl ON cl.upload = f.upload AND cl.k = f.k + 1))))
+    SELECT upload, entry, draft, floor(score * 1000000 + 0.5) / 1000000 AS score FROM f WHERE draft IS NOT NULL""")
 def matched(s: Source) -> DataFrame:
-    """Answers (a fifth of the drafts' own, in another order) against an upload's drafts: the same question and nothing else like it .99,
-    the same number .95, a beginning of it .94. Each test is an equality, so no entry meets all drafts."""
-    d = drafts(s).select("session", "draft", "seq", text.answer_question(C("stem")).alias("key")).where("key <> ''")
-    e = d.where("draft % 5 = 0").select("session", (-C("draft")).alias("entry"), C("seq").alias("eseq"), F.when(C("draft") % 2 == 0, C("key")).otherwise(F.left("key", F.lit(12))).alias("hint"))
-    same = e.join(d, (e["session"] == d["session"]) & (C("hint") == C("key"))).withColumn("score", F.when(F.count("*").over(W.partitionBy("entry")) == 1, 0.99).otherwise(0.94))
-    number = e.join(d, (e["session"] == d["session"]) & (C("eseq") == C("seq")) & (F.left("hint", F.lit(4)) == F.left("key", F.lit(4)))).withColumn("score", F.lit(0.95))
-    begins = e.join(d, (e["session"] == d["session"]) & (F.left("key", F.lit(12)) == C("hint"))).withColumn("score", F.lit(0.94))
-    every = None
-    for part in (same, number, begins):
-        part = part.select(e["session"], "entry", "draft", "score")
-        every = part if every is None else every.unionByName(part)
-    return match_entries(every.groupBy("session", "entry", "draft").agg(F.max("score").alias("score")))
+    """Answers of an upload's page of answers (those of drafts that have one, some with a wrong number, some with a cut or no hint) against its drafts."""
+    d = drafts(s).withColumn("upload", F.floor(C("image") / 10)).withColumn("no", C("image") % 10 * 1000 + C("seq"))
+    open_ = d.where(~F.array_contains("warnings", "缺少题干"))
+    shown = F.when(C("draft") % 3 == 0, C("stem")).when(C("draft") % 3 == 1, F.left("stem", F.lit(12))).otherwise("")
+    e = d.where("answer is not null").select(
+        "upload", C("draft").alias("entry"), F.when(C("no") % 4 == 0, 0).when(C("no") % 4 == 1, C("no")).otherwise(C("no") + 1).alias("seq"), shown.alias("hint"), F.array("answer").alias("answer"),
+        F.regexp_extract("stem", "[^。]{4,}", 0).alias("analysis"), F.when(C("image") % 2 == 0, "案例").otherwise("").alias("section"),
+    )
+    scores = answer_scores(open_.select("upload", "draft", C("no").alias("seq"), "stem", "kind"), e)
+    ok = scores.join(d.select("upload", "draft", (~C("by_user")).alias("ok")), ["upload", "draft"])
+    return match_entries(ok).withColumn("score", F.floor(C("score") * 1_000_000 + 0.5) / 1_000_000)
 
 
 @query("wqi8_commit", f""", {_DRAFTS} SELECT draft, sha256(kind || chr(10) || stem) AS question_hash, epoch_us(as_of) + 600000000 AS next_review_us FROM dr, now WHERE answer IS NOT NULL AND len(warnings) = 0""")
@@ -222,15 +282,25 @@ def retry(s: Source) -> DataFrame:
 _LOOSE = r"lower(regexp_replace(stem, '[\p{P}\p{S}\s]', '', 'g'))"
 
 
-@query("wqi15_stale_answers", f""", {_DRAFTS}, t AS (SELECT session, draft, image, seq, {_LOOSE} AS t, (doc_id_ + seq) % 5 AS version, by_user FROM (SELECT *, image AS doc_id_ FROM dr)), n AS (SELECT session, draft, left(t, 40) AS head, t FROM t WHERE length(t) >= 40 AND version = 4)
-    SELECT DISTINCT o.draft FROM t o JOIN n ON o.session = n.session AND left(o.t, 40) = n.head AND o.draft <> n.draft WHERE length(o.t) >= 40 AND NOT o.by_user AND (starts_with(n.t, o.t) OR starts_with(o.t, n.t)) AND (o.version <= 2 OR o.t = n.t)""")
+@query("wqi15_stale_answers", f""", {_DRAFTS}, l AS (SELECT session, draft, image, seq, {_LOOSE} AS t, (image + seq) % 5 AS version, by_user FROM dr),
+    t AS (SELECT session, draft, by_user, version, t FROM l WHERE length(t) >= 40 UNION ALL SELECT session, draft + 500000, false, 2, substr(t, 11, length(t) - 15) FROM l WHERE length(t) >= 60 AND version = 4)
+    SELECT DISTINCT o.draft FROM t o JOIN t n ON o.session = n.session AND n.version = 4 AND o.draft <> n.draft WHERE NOT o.by_user AND (contains(n.t, o.t) OR contains(o.t, n.t)) AND (o.version <= 2 OR o.t = n.t)""")
 def stale(s: Source) -> DataFrame:
-    """Long machine answers (40 characters or more) of an upload that begin like a newer answer and are contained in it or contain it: cleared unless
-    a user set them, or their version is beyond 2 and they differ. The first 40 characters are the join key."""
-    t = drafts(s).select("session", "draft", "by_user", text.loose(C("stem")).alias("t"), ((C("image") + C("seq")) % 5).alias("version")).where(F.char_length("t") >= 40).withColumn("head", F.left("t", F.lit(40)))
-    n = t.where("version = 4").select("session", "head", C("draft").alias("newer"), C("t").alias("u"))
-    j = t.where("not by_user").join(n, ["session", "head"]).where("draft <> newer")
-    return j.where((F.startswith("u", C("t")) | F.startswith("t", C("u"))) & ((C("version") <= 2) | (C("t") == C("u")))).select("draft").distinct()
+    """Sample answers: drafts' texts, and of some the inner part that an older reading kept."""
+    t = drafts(s).select("session", "draft", "by_user", text.loose(C("stem")).alias("t"), ((C("image") + C("seq")) % 5).alias("version"))
+    inner = t.where("version = 4 and char_length(t) >= 60").select("session", (C("draft") + 500_000).alias("draft"), F.lit(False).alias("by_user"), F.substr("t", F.lit(11), F.char_length("t") - 15).alias("t"), F.lit(2).cast("long").alias("version"))
+    every = t.where(F.char_length("t") >= 40).unionByName(inner)
+    return stale_answers(every, every.where("version = 4"))
+
+
+def stale_answers(answers: DataFrame, newer: DataFrame) -> DataFrame:
+    """(draft): machine answers (session, draft, by_user, t, version) of 40 characters or more that hold a newer answer of the upload, or are held by it, anywhere: cleared
+    unless a user set them, or their version is beyond 2 and the texts differ."""
+    old = answers.where((F.char_length("t") >= 40) & ~C("by_user")).select("session", "draft", "t", "version")
+    new = newer.where(F.char_length("t") >= 40).select("session", C("draft").alias("newer"), "t")
+    inside = joins.contained_join(old, new, ["session"], "t").select("draft", C("r_newer").alias("newer"), ((C("version") <= 2) | (C("t") == C("r_t"))).alias("go"))
+    around = joins.contained_join(new, old, ["session"], "t").select(C("r_draft").alias("draft"), "newer", ((C("r_version") <= 2) | (C("t") == C("r_t"))).alias("go"))
+    return inside.unionByName(around).where("go and draft <> newer").select("draft").distinct()
 
 
 @query("wqi16_all_match", f""", {_DRAFTS}, k AS (SELECT session, image, answer, sha256(stem) AS k FROM dr), f AS (SELECT session, k, min(image) AS first FROM k GROUP BY ALL)

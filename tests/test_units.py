@@ -142,7 +142,8 @@ def test_balanced_json():
 
 def test_matching_is_greedy(spark):
     rows = [(1, 1, 7, 0.99), (1, 1, 8, 0.9), (1, 2, 7, 0.99), (1, 2, 8, 0.95), (1, 3, 9, 0.95), (1, 3, 6, 0.94), (1, 4, 5, 0.5)]
-    got = {(r["entry"], r["draft"]) for r in wrong_import.match_entries(spark.createDataFrame(rows, "session long, entry long, draft long, score double")).collect()}
+    scores = spark.createDataFrame([(*r, False, True) for r in rows], "upload long, entry long, draft long, score double, exact boolean, ok boolean")
+    got = {(r["entry"], r["draft"]) for r in wrong_import.match_entries(scores).collect()}
     assert got == {(1, 7), (2, 8)}
 
 
