@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -178,26 +180,43 @@ def merge_fragments(left: Column, right: Column) -> Column:
     )
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row; written into a lambda as it is, it would be computed again for each element."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def grams(text: Column, n: int) -> Column:
     """All n-grams in order, from an array of the characters, so that a long text costs no more than its length."""
-    chars = F.split(text, "")
-    return F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    every = lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    return F.when(F.char_length(text) >= n, let(F.split(text, ""), every)).otherwise(F.array().cast("array<string>"))
+
+
+def gram_hashes(text: Column, least: int, most: int) -> Column:
+    """Hashes of all n-grams from `least` to `most` characters, repeats included, each made of the shorter gram before it."""
+
+    def longer(rungs: Column, n: Column) -> Column:
+        ones, last = rungs[0], F.element_at(rungs, -1)
+        m = F.greatest(F.size(ones) - n + 1, F.lit(0))
+        return F.concat(rungs, F.array(F.zip_with(F.slice(last, F.lit(1), m), F.slice(ones, n, m), lambda x, y: F.xxhash64(x, y))))
+
+    ones = F.when(F.char_length(text) > 0, F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).otherwise(F.array().cast("array<bigint>"))
+    rungs = F.aggregate(F.sequence(F.lit(2), F.lit(most)), F.array(ones), longer)
+    return F.flatten(F.slice(rungs, least, most - least + 1))
 
 
 def common_beginning(left: Column, right: Column) -> Column:
     """Length of the longest beginning that two texts share."""
-    a, b = F.split(left, ""), F.split(right, "")
     short = F.least(F.char_length(left), F.char_length(right))
-    differs = F.filter(F.sequence(F.lit(1), short), lambda i: F.element_at(a, i) != F.element_at(b, i))
-    return F.when(short == 0, 0).otherwise(F.coalesce(F.array_min(differs) - 1, short))
+    first = lambda v: F.array_min(F.filter(F.sequence(F.lit(1), v["n"]), lambda i: F.element_at(v["a"], i) != F.element_at(v["b"], i)))
+    differs = let(F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b"), short.alias("n")), first)
+    return F.when(short == 0, 0).otherwise(F.coalesce(differs - 1, short))
 
 
 def shared_grams(left: Column, right: Column, least: int = 2, most: int = 4) -> Column:
     """How many of right's n-grams, repeats included, are n-grams of left."""
 
     def of(n: int) -> Column:
-        own = F.array_distinct(grams(left, n))
-        return F.size(F.filter(grams(right, n), lambda g: F.array_contains(own, g)))
+        return let(F.array_distinct(grams(left, n)), lambda own: F.size(F.filter(grams(right, n), lambda g: F.array_contains(own, g))))
 
     return sum((of(n) for n in range(least + 1, most + 1)), of(least))
 
@@ -210,12 +229,11 @@ def telling_gram(gram: Column, n: int) -> Column:
 
 def evidence_score(stem: Column, text: Column) -> Column:
     """Sum of n squared over the distinct n-grams (6 to 3) of a stem that a text holds, generic ones left out."""
-    s, t = evidence(stem), evidence(text)
 
-    def of(n: int) -> Column:
-        return F.size(F.filter(F.array_distinct(grams(s, n)), lambda g: telling_gram(g, n) & F.contains(t, g))) * (n * n)
+    def of(v: Column, n: int) -> Column:
+        return F.size(F.filter(F.array_distinct(grams(v["s"], n)), lambda g: telling_gram(g, n) & F.contains(v["t"], g))) * (n * n)
 
-    return of(3) + of(4) + of(5) + of(6)
+    return let(F.struct(evidence(stem).alias("s"), evidence(text).alias("t")), lambda v: of(v, 3) + of(v, 4) + of(v, 5) + of(v, 6))
 
 
 def mask_key(key: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scholia.functions.text import common_beginning, let
+
 
 def _aliased(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """right with r_ before its column names, so that no name clashes."""
@@ -89,16 +91,28 @@ _ANCHORS = _powers(16)
 _LEVELS = sorted({int(1.2**i) for i in range(76)})
 
 
-def _grams(t: Column, n: Column) -> Column:
-    """Hashes of a text's grams of n characters."""
-    chars = F.split(t, "")
-    return F.transform(F.sequence(F.lit(1), F.char_length(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, n), "")))
+def _ladder(t: Column) -> Column:
+    """(n, h) for each anchor length that a text has: hashes of all its grams of n characters, each made of those of its two halves."""
+    ones = F.transform(F.split(t, ""), lambda c: F.xxhash64(c))
+    lengths = F.filter(F.array(*map(F.lit, _ANCHORS[1:])), lambda n: n <= F.char_length(t))
+
+    def twice(rungs: Column, n: Column) -> Column:
+        last, half = F.element_at(rungs, -1), (n / 2).cast("int")
+        m = F.size(last["h"]) - half
+        joined = F.zip_with(F.slice(last["h"], F.lit(1), m), F.slice(last["h"], half + 1, m), lambda x, y: F.xxhash64(x, y))
+        return F.concat(rungs, F.array(F.struct(n.alias("n"), joined.alias("h"))))
+
+    return F.aggregate(lengths, F.array(F.struct(F.lit(1).alias("n"), ones.alias("h"))), twice)
 
 
 def _anchor(t: Column) -> Column:
     """(n, g): the gram of the smallest hash among those of the largest anchor length that a text has, so more than half of it."""
-    n = F.array_max(F.filter(F.array(*map(F.lit, _ANCHORS)), lambda x: x <= F.char_length(t)))
-    return F.struct(n.alias("n"), F.array_min(_grams(t, n)).alias("g"))
+    return let(F.element_at(_ladder(t), -1), lambda x: F.struct(x["n"].alias("n"), F.array_min(x["h"]).alias("g")))
+
+
+def _stack(t: Column) -> Column:
+    """(n, g) of all grams of anchor lengths."""
+    return F.flatten(F.transform(_ladder(t), lambda x: F.transform(F.array_distinct(x["h"]), lambda g: F.struct(x["n"].alias("n"), g.alias("g")))))
 
 
 def _beginnings(t: Column) -> Column:
@@ -120,14 +134,14 @@ def contained_join(needles: DataFrame, stacks: DataFrame, by: list[str], text: s
 
     A needle offers its anchor, stacks offer all their grams of the lengths that anchors have. They meet by hash and are verified on the texts: what
     meets shares half a needle, and the rows to join are the lengths of the texts, not pairs."""
+    texts = lambda d: d.where(F.char_length(text) > 0).select(*by, F.xxhash64(text).alias("__p"), text).distinct()
+    own = texts(needles).select(*by, F.col("__p").alias("__q"), _anchor(F.col(text)).alias("__a"))
+    lengths = own.select("__a.n").distinct().groupBy().agg(F.collect_set("n").alias("__ns"))  # as many values as there are anchor lengths
+    other = texts(stacks).join(F.broadcast(lengths)).select(*by, "__p", F.explode(F.filter(_stack(F.col(text)), lambda x: F.array_contains("__ns", x["n"]))).alias("__a"))
+    met = own.join(other, [*by, "__a"]).select(*by, "__p", "__q").distinct()  # texts go along only with what has met
     a, b = _aliased(needles, stacks)
-    t, r = F.col(text), F.col(f"r_{text}")
-    a = a.where(F.char_length(t) > 0).withColumn("__a", _anchor(t))
-    seen = a.select("__a.n").distinct().groupBy().agg(F.collect_set("n").alias("r___ns"))  # as many values as there are anchor lengths
-    b = b.join(F.broadcast(seen)).withColumn("r___n", F.explode(F.filter("r___ns", lambda n: n <= F.char_length(r)))).drop("r___ns")
-    b = b.withColumn("r___g", F.explode(F.array_distinct(_grams(r, F.col("r___n")))))
-    met = a.join(b, _equal(by) & (F.col("__a.n") == F.col("r___n")) & (F.col("__a.g") == F.col("r___g")))
-    return met.where(F.contains(r, t)).drop("__a", "r___n", "r___g")
+    left = met.join(a.withColumn("__q", F.xxhash64(text)), [*by, "__q"]).withColumn("r___p", F.col("__p")).drop("__p", "__q")
+    return left.join(b.withColumn("r___q", F.xxhash64(f"r_{text}")), _equal(by) & (F.col("r___p") == F.col("r___q"))).where(F.contains(f"r_{text}", text)).select(*a.columns, *b.columns)
 
 
 def clear_beginning(left: DataFrame, right: DataFrame, by: list[str], text: str, least: float = 0.75, gap: float = 0.1) -> DataFrame:
@@ -137,21 +151,20 @@ def clear_beginning(left: DataFrame, right: DataFrame, by: list[str], text: str,
     by more than `gap`. Only pairs that can matter are formed: those that score at least `least` - `gap`. The shorter text offers its anchor and the one
     beginning that such a pair must share, the longer one all grams of anchor lengths and its beginnings of all levels, a fifth longer each; they
     meet by hash in one join. Empty texts score nothing."""
-    from scholia.functions.text import common_beginning
-
     share = least - gap - 1e-9
     tag = lambda role, x: F.struct(F.lit(role).alias("role"), x["n"].alias("n"), x["g"].alias("g"))
 
     def keys(t: Column, own: tuple[int, int], other: tuple[int, int]) -> Column:
-        lengths = F.filter(F.array(*map(F.lit, _ANCHORS)), lambda n: n <= F.char_length(t))
-        stack = F.flatten(F.transform(lengths, lambda n: F.transform(F.array_distinct(_grams(t, n)), lambda g: F.struct(F.lit(other[0]).alias("role"), n.alias("n"), g.alias("g")))))
-        return F.explode(F.concat(F.array(tag(own[0], _anchor(t)), tag(own[1], _must_share(t, share))), stack, F.transform(_beginnings(t), lambda x: tag(other[1], x))))
+        every = lambda role, xs: F.transform(xs, lambda x: tag(role, x))
+        return F.explode(F.concat(F.array(tag(own[0], _anchor(t)), tag(own[1], _must_share(t, share))), every(other[0], _stack(t)), every(other[1], _beginnings(t))))
 
     a, b = _aliased(*(d.select("id", *by, text).where(F.char_length(text) > 0) for d in (left, right)))
     x, y = F.col(text), F.col(f"r_{text}")
-    met = a.withColumn("__k", keys(x, (0, 1), (2, 3))).join(b.withColumn("r___k", keys(y, (2, 3), (0, 1))), _equal(by) & (F.col("__k") == F.col("r___k")))
+    mine, theirs = a.select("id", *by, keys(x, (0, 1), (2, 3)).alias("__k")), b.select("r_id", *(f"r_{k}" for k in by), keys(y, (2, 3), (0, 1)).alias("r___k"))
+    ids = mine.join(theirs, _equal(by) & (F.col("__k") == F.col("r___k"))).select("id", "r_id").distinct()  # texts go along only with what has met
+    met = ids.join(a.select("id", text), "id").join(b.select("r_id", f"r_{text}"), "r_id")
     score = F.when(F.contains(x, y) | F.contains(y, x), F.lit(1.0)).otherwise(common_beginning(x, y).cast("double") / F.least(F.char_length(x), F.char_length(y)))
-    scored = met.withColumn("score", score).where(F.col("score") >= share).groupBy("id", "r_id").agg(F.max("score").alias("score"))
+    scored = met.select("id", "r_id", score.alias("score")).where(F.col("score") >= share)
     return best_with_gap(scored, "id", "score", "r_id", least=0.0, gap=gap).where(F.col("score") >= least).select("id", "r_id", "score")
 
 
