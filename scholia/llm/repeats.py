@@ -14,7 +14,7 @@ window's start to the last one's end. A repeat is settled in two rounds.
 Records travel packed, some hundred thousand to a row, dealt by hash. Each task first settles what it can among
 its own records and sends one of each kind on, so a passage that a third of the corpus holds sends a record for
 each task at most. Stretches compare under two hashes of 64 bits (the anchor's and the whole stretch's), windows under
-two of different bases. The number of buckets follows the input, and a task holds one of them at a time.
+two with different multipliers. The number of buckets follows the input, and a task holds one of them at a time.
 """
 
 from __future__ import annotations
@@ -61,30 +61,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Prefix sums of units times powers of an odd number modulo 2^64: any substring's hash in one step."""
+    """Hashes of any substring by doubling: a run of 2n units has a hash made of those of its halves, and a span of any length one made of
+    the two runs of the largest power of two that cover it. Halves are mixed by shifts and products together, so that no sum or
+    polynomial of units stands behind a hash; those collide on self-similar text, whatever their base."""
 
-    def __init__(self, base: int = _B) -> None:
-        self.base = base
-        self.power = self.inverse = np.ones(1, _U)
+    def __init__(self, seed: int = _B) -> None:
+        self.left, self.right = (_U(x) for x in (seed, seed * 0xA24BAED4963EE407 % 2**64 | 1))
         self.bytes = mix(np.arange(1, 257, dtype=_U) * _U(_B))
 
-    def _grow(self, n: int) -> None:
-        if len(self.power) <= n:
-            size = max(n + 1, 2 * len(self.power), 4096)
-            for name, b in (("power", self.base), ("inverse", pow(self.base, -1, 2**64))):
-                x = np.full(size, b, _U)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=_U))
-
-    def prefix(self, units: np.ndarray) -> np.ndarray:
-        self._grow(len(units))
-        out = np.zeros(len(units) + 1, _U)
-        np.cumsum(units * self.power[: len(units)], dtype=_U, out=out[1:])
+    def join(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x ^ (x >> _U(29))) * self.left + (y ^ (y >> _U(32))) * self.right
+
+    def rungs(self, units: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+        """Hashes of all runs of 1, 2, 4, ... units, up to `longest`."""
+        now, n = units, 1
+        while True:
+            yield now
+            if 2 * n > longest or len(now) <= n:
+                return
+            now, n = self.join(now[:-n], now[n:]), 2 * n
+
+    def span(self, rungs: list[np.ndarray] | Iterator[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the spans a to b - 1, none empty; rungs reach the longest."""
+        out, sizes = np.empty(len(a), _U), b - a
+        for k, rung in enumerate(rungs):
+            at = np.flatnonzero((sizes >> k) == 1)
+            if len(at):
+                out[at] = mix(self.join(rung[a[at]], rung[b[at] - (1 << k)]) + sizes[at].astype(_U))
         return out
 
-    def span(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((prefix[b] - prefix[a]) * self.inverse[a])
-
     def units(self, data: bytes, unit: str) -> np.ndarray:
         raw = np.frombuffer(data, np.uint8)
         if unit == "bytes":
@@ -94,8 +99,8 @@ class Hasher:
         while i < len(starts):  # some words at a time
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
             base = starts[i]
-            p = self.prefix(self.bytes[raw[base : ends[j - 1]]])
-            out.append(self.span(p, starts[i:j] - base, ends[i:j] - base) + (ends[i:j] - starts[i:j]).astype(_U))
+            own = self.bytes[raw[base : ends[j - 1]]]
+            out.append(self.span(self.rungs(own, int((ends[i:j] - starts[i:j]).max())), starts[i:j] - base, ends[i:j] - base))
             i = j
         return mix(np.concatenate(out)) if out else np.empty(0, _U)
 
@@ -128,7 +133,7 @@ def blocks(units: np.ndarray, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
 def stretches(hasher: Hasher, u: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
     """Of one part: anchor hash h, hash y of the stretch, first and last window lo and hi, and the hashes of the
     anchor with half a window's rest to the left and right (0 where the stretch is shorter)."""
-    p = hasher.prefix(u)
+    p = list(hasher.rungs(u, 2 * rule.length))
     i = np.arange(len(u) - rule.gram + 1)
     grams = hasher.span(p, i, i + rule.gram)
     low = _U(2 * BLOCK - 1)
@@ -138,8 +143,9 @@ def stretches(hasher: Hasher, u: np.ndarray, rule: Rule) -> dict[str, np.ndarray
     lo, hi = new, np.concatenate((new[1:], [len(least)])) - 1
     end, half, gram = hi + rule.length, rule.half, rule.gram
     y = hasher.span(p, lo, end) + mix((t - lo).astype(_U) * _U(1 << 20) + (hi - lo).astype(_U))
-    left = np.where(t - half >= lo, hasher.span(p, np.maximum(t - half, 0), t + gram) | _U(1), _U(0))
-    right = np.where(t + gram + half <= end, hasher.span(p, t, np.minimum(t + gram + half, len(u))) | _U(1), _U(0))
+    left, right = np.zeros(len(t), _U), np.zeros(len(t), _U)
+    for side, start, fits in ((left, t - half, t - half >= lo), (right, t, t + gram + half <= end)):
+        side[fits] = hasher.span(p, start[fits], start[fits] + gram + half) | _U(1)
     return {"h": grams[t], "y": y, "lo": lo, "hi": hi, "left": left.astype(np.uint32), "right": right.astype(np.uint32)}
 
 
@@ -322,7 +328,7 @@ def repeated(rows: DataFrame, rule: Rule) -> DataFrame:
                     if own.any():
                         size = (his - los + 1)[own]
                         start = np.repeat(los[own] - at - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                        h, y = (x.span(x.prefix(u), start, start + rule.length) for x in (hasher, other))
+                        h, y = (x.span(x.rungs(u, rule.length), start, start + rule.length) for x in (hasher, other))
                         k = len(h)
                         yield from sender.add({"h": h, "y": y, "doc": np.full(k, doc, np.int64), "tag": np.full(k, tag, np.int64), "lo": start + at, "wide": np.zeros(k, np.uint32), "many": np.zeros(k, bool)})
         yield from sender.flush()

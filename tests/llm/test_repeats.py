@@ -108,3 +108,24 @@ def test_sliding_min():
     x = np.array([5, 3, 8, 1, 9, 9, 2, 7], np.uint64)
     for w in range(1, 9):
         assert repeats.sliding_min(x, w).tolist() == [min(x[i : i + w]) for i in range(9 - w)]
+
+
+def thue_morse(n, a, b):
+    """a and b in an order that every polynomial hash modulo a power of two takes for the reverse one, from 1,024 on."""
+    return "".join((b, a)[bin(i).count("1") % 2 == 0] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_self_similar_text_is_told_apart(spark, n):
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    head = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{head} {x}"), (2, f"{head} {y}")]
+    assert [r.n_removed for r in substrings.report(table(spark, rows)).collect()] == [0, 0]
+    plain = [(1, x), (2, y), (3, x + "z" + y)]
+    got = suffixes.report(table(spark, plain), length=n).collect()
+    assert sorted(map(tuple, got)) == sorted(by_bytes(plain, n))
+    several = [(1, " ".join(x)), (2, " ".join(y))]  # words instead of letters
+    assert [r.n_removed for r in substrings.report(table(spark, several), window=n).collect()] == [0, 0]
+    u = [repeats.Hasher().units(t.encode(), "bytes") for t in (x, y)]
+    h = [repeats.Hasher(seed).span(repeats.Hasher(seed).rungs(v, n), np.array([0]), np.array([n]))[0] for v in u for seed in (repeats._B, repeats._OTHER)]
+    assert len(set(h)) == 4
