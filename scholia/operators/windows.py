@@ -1,12 +1,13 @@
-"""Ordered operators: fills, islands, gaps, spines, segments, interval merges and folds."""
+"""Ordered operators: fills, islands, gaps, spines, segments, interval merges and runs."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scholia.operators import ranges
+
 
 def upto(keys: list[str], order: list) -> W:
     return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -109,23 +110,13 @@ def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, out: s
 
 
 def repair_types(directory: DataFrame) -> DataFrame:
-    """Contiguous runs take the type and set of the entry before: document_id, scope, order in; a row whose number is the
-    one before plus 1, on a page at most one after the one before, in the same scope, inherits. Inheriting feeds the next
-    row, so each document folds in order; a document's directory is bounded by its pages."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page_start", "marker_top", "id"], kind="stable")
-        kinds, sets, last = [], [], None
-        for r in rows.itertuples(index=False):
-            kind, group = r.question_type, r.set_no
-            if last and r.section_scope == last[0] and r.question_no == last[1] + 1 and r.page_start <= last[2] + 1:
-                kind, group = last[3], last[4]
-            kinds.append(kind)
-            sets.append(group)
-            last = (r.section_scope, r.question_no, r.page_end, kind, group)
-        return rows.assign(question_type=kinds, set_no=sets)
-
-    return directory.groupBy("document_id").applyInPandas(fold, directory.schema)
+    """Contiguous runs take the type and set of their first entry: a row whose number is the one before plus 1, on a page at
+    most one after the one before, in the same scope of a document, inherits, and hands on what it inherited."""
+
+    def goes_on(before: Column) -> Column:
+        return F.col("section_scope").eqNullSafe(before["section_scope"]) & (F.col("question_no") == before["question_no"] + 1) & (F.col("page_start") <= before["page_end"] + 1)
+
+    return ranges.carried(directory, ["document_id"], ["page_start", "marker_top", "id"], ["section_scope", "question_no", "page_end"], ["question_type", "set_no"], goes_on)
 
 
 def normalise_scopes(directory: DataFrame, generic: list[str]) -> DataFrame:

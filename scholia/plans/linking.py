@@ -208,10 +208,12 @@ def repaired(s: Source) -> DataFrame:
     return windows.repair_types(s.directory()).select("id", "question_type", "set_no")
 
 
-@query("win7_gaps", """, g AS (SELECT document_id, list(DISTINCT question_no) AS v, min(question_no) AS lo, max(question_no) AS hi FROM directory WHERE content_role = 'question' GROUP BY document_id)
+@query("win7_gaps", """, d AS (SELECT id // 30 AS document_id, id % 30 AS question_no FROM directory WHERE content_role = 'question'), g AS (SELECT document_id, list(DISTINCT question_no) AS v, min(question_no) AS lo, max(question_no) AS hi FROM d GROUP BY document_id)
     SELECT document_id, missing FROM (SELECT document_id, unnest(list_filter(range(lo, hi + 1), lambda x: NOT list_contains(v, x))) AS missing FROM g WHERE len(v) >= 3 AND hi - lo + 1 <= len(v) + 10)""")
 def gaps(s: Source) -> DataFrame:
-    return windows.interior_gaps(s.directory().where("content_role = 'question'"), ["document_id"], "question_no", "page_start").select("document_id", "missing")
+    """Documents of thirty entries each, whose answers leave holes between the numbers of the questions."""
+    d = s.directory().where("content_role = 'question'").withColumn("document_id", F.floor(C("id") / 30)).withColumn("question_no", C("id") % 30)
+    return windows.interior_gaps(d, ["document_id"], "question_no", "page_start").select("document_id", "missing")
 
 
 @query("win9_tail_extension", """, top AS (SELECT document_id, max(question_no) AS t FROM directory WHERE content_role = 'question' GROUP BY document_id),

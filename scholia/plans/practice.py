@@ -106,7 +106,7 @@ def select_questions(s: Source, mode: str, user: int, limit: int = 500, seed: in
         q = q.where("status = 'published'")
     own = lambda df: df.where(F.col("user_id") == user).drop("user_id")
     if mode == "random":
-        q, order = q.withColumn("r", F.xxhash64(F.lit(seed), "question_id")), ["r", "question_id"]
+        q, order = q.withColumn("r", F.md5(F.concat_ws(":", F.lit(seed), "question_id"))), ["r", "question_id"]
     elif mode == "wrong":
         q, order = q.join(own(s.wrong()).where("status <> 'mastered'"), "question_id", "inner"), [F.desc("wrong_count"), "question_id"]
     elif mode == "due":
@@ -124,7 +124,7 @@ def select_questions(s: Source, mode: str, user: int, limit: int = 500, seed: in
 _SELECT = "SELECT question_id, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position FROM questions {join} WHERE {play} AND {where} ORDER BY {order} LIMIT {n}"
 _PUB = "status = 'published'"
 query("pra4_sequential", _SELECT.format(order="question_id", join="", play=_PLAYABLE, where=_PUB, n=20))(lambda s: select_questions(s, "sequential", 8, 20))
-query("pra4_srt3_random")(lambda s: select_questions(s, "random", 8, 20))
+query("pra4_srt3_random", _SELECT.format(order="md5('7:' || question_id), question_id", join="", play=_PLAYABLE, where=_PUB, n=20))(lambda s: select_questions(s, "random", 8, 20))
 query("pra4_wrong", _SELECT.format(order="wrong_count DESC, question_id", join="JOIN (SELECT * EXCLUDE (status) FROM wrong WHERE user_id = 8 AND status <> 'mastered') USING (question_id)", play=_PLAYABLE, where="TRUE", n=20))(lambda s: select_questions(s, "wrong", 8, 20))
 query("pra4_due", _SELECT.format(order="next_review_at, question_id", join="JOIN (SELECT * EXCLUDE (status) FROM wrong, now WHERE user_id = 8 AND next_review_at <= as_of) USING (question_id)", play=_PLAYABLE, where="TRUE", n=20))(lambda s: select_questions(s, "due", 8, 20))
 query("pra4_favorite", _SELECT.format(order="question_id", join="SEMI JOIN (SELECT * FROM favorites WHERE user_id = 8) USING (question_id)", play=_PLAYABLE, where=_PUB, n=20))(lambda s: select_questions(s, "favorite", 8, 20))

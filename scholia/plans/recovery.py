@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scholia.adapters import Source
 from scholia.functions import grading, text
 from scholia.functions.tables import ANALYSIS_MARKERS, EXPLICIT_ANSWER, FREE_ANSWER
-from scholia.operators import joins, sets
+from scholia.operators import joins, ranges, sets
 from scholia.plans.linking import KEY
 from scholia.registry import query
 
@@ -399,24 +399,40 @@ def identities(s: Source) -> DataFrame:
     return p.select("id", text.scope_key(F.concat(F.lit("《"), F.get("p.path", F.lit(0)), F.lit("》;"))).alias("scope"), text.canonical_type(C("p.kind")).alias("kind"), C("p.role").alias("content_role"), C("p.set_no").alias("set_no"), C("p.number").alias("question_no"))
 
 
-@query("src6_chunk_reassembly", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS file_hash, TRUE AS whole FROM documents WHERE text IS NOT NULL")
+@query("src6_chunk_reassembly", """, c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n, strlen(text) AS size FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, i, CASE WHEN doc_id % 7 = 3 AND i = n // 2 THEN left(chunk, length(chunk) // 2) ELSE chunk END AS chunk, n, size FROM c WHERE NOT (doc_id % 5 = 1 AND i = n // 3)),
+    g AS (SELECT doc_id, any_value(n) AS n, any_value(size) AS size, count(*) AS got, string_agg(chunk, chr(10) ORDER BY i) AS t FROM r GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN got < n THEN 'incomplete' WHEN strlen(t) <> size THEN 'wrong_size' ELSE 'whole' END AS state, CASE WHEN got = n AND strlen(t) = size THEN strlen(t) END AS n_bytes, CASE WHEN got = n AND strlen(t) = size THEN sha256(t) END AS file_hash FROM (SELECT doc_id, n, size, got, t FROM g
+      UNION ALL SELECT doc_id, n, size, 0, NULL FROM c WHERE n = 1 AND doc_id % 5 = 1)""")
 def reassembled(s: Source) -> DataFrame:
-    """Chunks (lines) in any order, put together by their numbers; whole if the size is the one announced."""
+    """Uploads of documents in chunks (lines): some miss a chunk, some send chunks twice, some a chunk that is cut short."""
     d = s.table("documents").where("text is not null")
-    chunks = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "chunk"), F.octet_length("text").alias("size"))
-    rows = F.sort_array(F.collect_list(F.struct("i", "chunk")))  # one document's
-    g = chunks.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["chunk"]), "\n").alias("text"), F.max("size").alias("size"), F.count("*").alias("n"), F.max("i").alias("last"))
-    return g.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("file_hash"), ((F.octet_length("text") == C("size")) & (C("last") == C("n") - 1)).alias("whole"))
-
-
-def append_ids(rows: DataFrame, stored: DataFrame, key: str, id_name: str, width: int = 4096) -> DataFrame:
-    """rows with ids that follow the highest stored one, in the order of a whole-number key: blocks of `width` keys are counted first, so no task numbers more than a block."""
-    block = F.floor(C(key) / width)
-    counts = rows.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each block
-    top = stored.agg(F.coalesce(F.max(id_name), F.lit(0)).alias("top"))
-    numbered = rows.withColumn("block", block).withColumn("k", F.row_number().over(W.partitionBy("block").orderBy(key)))
-    return numbered.join(before.select("block", "before"), "block").join(F.broadcast(top)).withColumn(id_name, C("top") + C("before") + C("k")).drop("block", "k", "before", "top")  # one row
+    announced = d.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"), F.octet_length("text").cast("long").alias("size"))
+    sent = d.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"), F.posexplode(F.split("text", "\n", -1)).alias("i", "chunk"))
+    cut = (C("doc_id") % 7 == 3) & (C("i") == F.floor(C("n") / 2))
+    sent = sent.where(~((C("doc_id") % 5 == 1) & (C("i") == F.floor(C("n") / 3)))).withColumn("chunk", F.when(cut, F.left("chunk", F.floor(F.char_length("chunk") / 2).cast("int"))).otherwise(C("chunk")))
+    twice = sent.where("doc_id % 3 = 0 and i % 2 = 0")
+    return reassemble(sent.unionByName(twice).select("doc_id", "i", "chunk"), announced)
+
+
+def reassemble(chunks: DataFrame, announced: DataFrame, glue: str = "\n") -> DataFrame:
+    """(doc_id, state, n_bytes, file_hash): chunks (doc_id, i, chunk) in any order put together by their numbers, of which announced (doc_id, n, size) says how
+    many there are and how large the whole is. Of a chunk sent twice the greater text counts; numbers beyond n count for nothing. An upload that lacks a chunk is incomplete, one of
+    another size is refused; neither has a hash."""
+    once = chunks.join(announced.select("doc_id", "n"), "doc_id").where("i >= 0 and i < n").groupBy("doc_id", "i").agg(F.max("chunk").alias("chunk"))
+    rows = F.sort_array(F.collect_list(F.struct("i", "chunk")))  # one upload's
+    g = once.groupBy("doc_id").agg(F.count("*").alias("got"), F.array_join(F.transform(rows, lambda r: r["chunk"]), glue).alias("t"))
+    j = announced.join(g, "doc_id", "left")
+    state = F.when(F.coalesce("got", F.lit(0)) < C("n"), "incomplete").when(F.octet_length("t") != C("size"), "wrong_size").otherwise("whole")
+    j = j.withColumn("state", state)
+    whole = lambda c: F.when(C("state") == "whole", c)
+    return j.select("doc_id", "state", whole(F.octet_length("t").cast("long")).alias("n_bytes"), whole(F.sha2("t", 256)).alias("file_hash"))
+
+
+def append_ids(rows: DataFrame, stored: DataFrame, key: str, id_name: str) -> DataFrame:
+    """rows with ids that follow the highest stored one, in the order of a key that no two rows share."""
+    top = stored.agg(F.coalesce(F.max(id_name), F.lit(0)).alias("top")).first()["top"]
+    return ranges.numbered(rows, [key], id_name, top)
 
 
 @query("snk1_append", "SELECT o_orderkey, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY o_orderkey) AS question_id FROM orders")

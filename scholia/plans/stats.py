@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.adapters import Source
 from scholia.functions.numbers import damped, ratio, round1
-from scholia.operators import sets, windows
+from scholia.operators import sets, trees, windows
 from scholia.registry import query
 
 
@@ -192,17 +194,21 @@ def counters(s: Source) -> DataFrame:
     return s.banks().join(n, "bank_id", "left").select("bank_id", "name", F.coalesce("question_count", F.lit(0)).alias("question_count"), F.coalesce("published_count", F.lit(0)).alias("published_count"))
 
 
-@query("tre1_tree", """SELECT r_name || '/' || n_name AS path, 2 AS level, count(c_custkey) AS leaves FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1
-    UNION ALL SELECT r_name, 1, count(c_custkey) FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+@query("tre1_tree", """, nodes AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS name, CAST(-r_regionkey AS BIGINT) AS sort_order FROM region
+      UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, n_nationkey % 3 FROM nation UNION ALL SELECT DISTINCT 'm' || c_nationkey || c_mktsegment, 'n' || c_nationkey, c_mktsegment, 0 FROM customer
+      UNION ALL SELECT 'c' || c_custkey, 'm' || c_nationkey || c_mktsegment, c_name, c_custkey % 7 FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || (s_nationkey + 15), s_name, s_suppkey % 4 FROM supplier),
+    p AS (SELECT n.id, n.name, n.sort_order, q.id AS parent FROM nodes n LEFT JOIN nodes q ON n.parent = q.id), up AS (SELECT id, id AS anc, parent AS nxt, 0 AS d FROM p UNION ALL SELECT up.id, p.id, p.parent, d + 1 FROM up JOIN p ON up.nxt = p.id),
+    l AS (SELECT anc AS id, count(*) AS leaves FROM orders JOIN up ON up.id = 'c' || o_custkey GROUP BY anc), t AS (SELECT up.id, count(*) AS level, string_agg(p.name, '/' ORDER BY d DESC) AS path FROM up JOIN p ON p.id = anc GROUP BY up.id)
+    SELECT id, parent, CAST(level AS INTEGER) AS level, path, CAST(row_number() OVER (PARTITION BY parent ORDER BY sort_order, id) AS INTEGER) AS place, coalesce(leaves, 0) AS leaves FROM p JOIN t USING (id) LEFT JOIN l USING (id)""")
 def tree(s: Source) -> DataFrame:
-    """Adjacency list to paths with a recursive query, then leaves counted up the path."""
-    nodes = s.table("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name")).unionByName(
-        s.table("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
-    )
-    nodes.createOrReplaceTempView("scholia_nodes")
-    paths = s.spark.sql("""WITH RECURSIVE t(id, path, level) AS (
-        SELECT id, name, 1 FROM scholia_nodes WHERE parent IS NULL UNION ALL
-        SELECT n.id, concat(t.path, '/', n.name), t.level + 1 FROM scholia_nodes n JOIN t ON n.parent = t.id) SELECT * FROM t""")
-    leaves = s.table("customer").groupBy(F.concat(F.lit("n"), "c_nationkey").alias("id")).agg(F.count("*").alias("n"))
-    own = paths.join(leaves, "id", "left").select("path", F.explode(F.array_distinct(F.array("path", F.split("path", "/")[0]))).alias("up"), F.coalesce("n", F.lit(0)).alias("n"))
-    return own.groupBy(F.col("up").alias("path")).agg(F.sum("n").alias("leaves")).select("path", F.size(F.split("path", "/")).alias("level"), "leaves")
+    """Regions, nations, their segments and customers as a tree of four levels, with orders as leaves; suppliers hang below nations, some of which don't exist."""
+    c, key = s.table("customer"), lambda letter, *cols: F.concat(F.lit(letter), *(F.col(x).cast("string") for x in cols))
+    node = lambda df, i, parent, name, order: df.select(i.alias("id"), parent.alias("parent"), F.col(name).alias("name"), order.cast("long").alias("sort_order"))
+    parts = [
+        node(s.table("region"), key("r", "r_regionkey"), F.lit(None).cast("string"), "r_name", -F.col("r_regionkey")), node(s.table("nation"), key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name", F.col("n_nationkey") % 3),
+        node(c.select("c_nationkey", "c_mktsegment").distinct(), key("m", "c_nationkey", "c_mktsegment"), key("n", "c_nationkey"), "c_mktsegment", F.lit(0)), node(c, key("c", "c_custkey"), key("m", "c_nationkey", "c_mktsegment"), "c_name", F.col("c_custkey") % 7),
+        node(s.table("supplier"), key("s", "s_suppkey"), F.concat(F.lit("n"), (F.col("s_nationkey") + 15).cast("string")), "s_name", F.col("s_suppkey") % 4),
+    ]
+    leaves = s.table("orders").groupBy(key("c", "o_custkey").alias("node")).agg(F.count("*").alias("n"))
+    found = trees.tree(reduce(DataFrame.unionByName, parts), leaves)
+    return found.withColumn("path", F.array_join("path", "/"))

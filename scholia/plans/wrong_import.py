@@ -20,7 +20,7 @@ from scholia.functions.numbers import add_days, clamp01
 from scholia.functions.tables import ANSWER_PREFIX, BOUNDARY, END_WARNINGS, MATERIAL_WORDS, MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION, START_WARNINGS, USER_ANSWER
 from scholia.operators import joins, windows
 from scholia.registry import query
-from scholia.session import scratch
+from scholia.session import stored
 
 C = F.col
 _KINDS = ("single_choice", "multiple_choice", "short_answer", "essay")
@@ -162,12 +162,6 @@ def fragments(s: Source) -> DataFrame:
     return windows.renumber(drafts(s), ["session"], ["image", "seq"], "position").select("draft", "image", "position")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    place = scratch(df.sparkSession, name)
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
 def answer_scores(drafts: DataFrame, entries: DataFrame) -> DataFrame:
     """(upload, entry, draft, score, exact) of every draft that an answer entry may belong to, within one upload.
 
@@ -179,7 +173,7 @@ def answer_scores(drafts: DataFrame, entries: DataFrame) -> DataFrame:
     hint = text.answer_question(C("hint"))
     body = F.trim(F.concat(F.array_join("answer", "\n"), F.lit("\n"), F.coalesce("analysis", F.lit(""))))
     e = entries.select("upload", "entry", C("seq").cast("long").alias("seq"), F.when(F.char_length(hint) >= 4, hint).otherwise("").alias("key"), text.loose(body).alias("body"), C("section").rlike("案例|材料").alias("heading"))
-    d, e = _stored(d, "drafts"), _stored(e, "entries")  # read by every tier
+    d, e = stored(d, "drafts"), stored(e, "entries")  # read by every tier
     own, other = e.select("upload", "entry", "key").where("key <> ''"), d.select("upload", "draft", "key")
     number = e.where("seq > 0").join(d, ["upload", "seq"]).select("upload", "entry", "draft", F.lit(0.95).alias("score"), F.lit(False).alias("exact"))
     same = own.join(other, ["upload", "key"]).select("upload", "entry", "draft", F.lit(0.99).alias("score"), F.lit(True).alias("exact"))
@@ -208,7 +202,7 @@ def match_entries(scores: DataFrame, least: float = 0.86, margin: float = 0.015)
     given what earlier entries picked in the round before. The first n picks of an upload are right after n rounds at the latest, and once a
     round changes nothing all are; the number of rounds is the longest chain of entries that wait for one another."""
     spark, keys = scores.sparkSession, ["upload", "entry"]
-    scores = _stored(scores.select(*keys, "draft", "score", "exact", "ok"), "scores")
+    scores = stored(scores.select(*keys, "draft", "score", "exact", "ok"), "scores")
     picks = spark.createDataFrame([], "upload long, entry long, draft long, score double")
     while True:
         taken = picks.groupBy("upload", "draft").agg(F.min("entry").alias("by"))
@@ -217,7 +211,7 @@ def match_entries(scores: DataFrame, least: float = 0.86, margin: float = 0.015)
         second = F.coalesce(F.get("order", F.lit(1)), F.lit(0.0))
         pick = F.when(C("same") == 1, C("sole")).when(second < C("best.score") - margin, C("best"))
         now = g.withColumn("p", pick).where((C("p.score") >= least) & C("p.ok")).select(*keys, (-C("p.m")).alias("draft"), C("p.score").alias("score"))
-        now = _stored(now, "picks")
+        now = stored(now, "picks")
         if now.exceptAll(picks).isEmpty() and picks.exceptAll(now).isEmpty():
             return now
         picks = now

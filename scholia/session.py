@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -49,6 +49,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1][1]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read from there: what reads it often computes it once, and lineage starts anew."""
+    place = scratch(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _SCRATCH:
