@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from scholia.adapters import Source
 from scholia.functions import grading, text
 from scholia.functions.numbers import round1
-from scholia.operators import joins, sets, windows
+from scholia.operators import joins, keyed, sets, windows
 from scholia.registry import query
+from scholia.session import scratch
 
 CHOICE = ("single_choice", "multiple_choice", "true_false")
 OPTIONS = "array<struct<key:string,content:string>>"
@@ -225,12 +226,12 @@ def scheduled(s: Source) -> DataFrame:
     return s.wrong().join(now).withColumn("r", r).select("user_id", "question_id", "r.interval_days", "r.mastery", "r.status")
 
 
-def wrong_book(attempts: DataFrame) -> DataFrame:
+def wrong_book(attempts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """The wrong book after all attempts of each user and question, in order of attempt_id: a failed one opens the row or
     adds to it, resets interval and mastery and makes it learning; a right one on an open row reviews it as good.
 
     One fold over the sorted attempts of a user and question: one person's tries at one question. State is a struct,
-    so all of it runs in the JVM."""
+    so all of it runs in the JVM. With prior, a wrong book before these attempts, the fold goes on from its rows."""
     state = "struct<wrong_count:bigint,correct_count:bigint,review_count:bigint,mastery:double,interval_days:double,priority:double,last_wrong_at:timestamp,last_review_at:timestamp,next_review_at:timestamp,status:string>"
     z = lambda v, t: F.lit(v).cast(t)
     empty = F.struct(z(0, "long").alias("wrong_count"), z(0, "long").alias("correct_count"), z(0, "long").alias("review_count"), z(0, "double").alias("mastery"), z(0, "double").alias("interval_days"), z(0, "double").alias("priority"),
@@ -244,17 +245,42 @@ def wrong_book(attempts: DataFrame) -> DataFrame:
         return F.when(a["is_correct"] == 0, failed.cast(state)).when(b["wrong_count"] > 0, passed.cast(state)).otherwise(b)
 
     rows = F.sort_array(F.collect_list(F.struct("attempt_id", "is_correct", "created_at")))
-    folded = attempts.groupBy("user_id", "question_id").agg(rows.alias("a")).withColumn("b", F.aggregate("a", empty.cast(state), step))
+    tries = attempts.groupBy("user_id", "question_id").agg(rows.alias("a"))
+    start = empty.cast(state)
+    if prior is not None:
+        names = [f.split(":")[0] for f in state.removeprefix("struct<").removesuffix(">").split(",")]
+        tries = tries.join(prior.select("user_id", "question_id", F.struct(*names).alias("s")), ["user_id", "question_id"], "full").withColumn("a", F.coalesce("a", F.array().cast("array<struct<attempt_id:bigint,is_correct:int,created_at:timestamp>>")))
+        start = F.coalesce(F.col("s").cast(state), start)
+    folded = tries.withColumn("b", F.aggregate("a", start, step))
     return folded.select("user_id", "question_id", "b.*").where("wrong_count > 0")
 
 
-@query("mut3_pra6_pra9_wrong_book", """, t AS (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY attempt_id) AS i, sum(1 - is_correct) OVER (PARTITION BY user_id, question_id ORDER BY attempt_id) AS w FROM attempts)
+_WRONG_COUNTS = """, t AS (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY attempt_id) AS i, sum(1 - is_correct) OVER (PARTITION BY user_id, question_id ORDER BY attempt_id) AS w FROM attempts)
     SELECT user_id, question_id, CAST(sum(1 - is_correct) AS BIGINT) AS wrong_count, count(*) FILTER (WHERE is_correct = 1 AND w > 0) AS correct_count, count(*) FILTER (WHERE is_correct = 1 AND w > 0) AS review_count
-    FROM t GROUP BY ALL HAVING sum(1 - is_correct) > 0""")
+    FROM t GROUP BY ALL HAVING sum(1 - is_correct) > 0"""
+
+
+@query("mut3_pra6_pra9_wrong_book", _WRONG_COUNTS)
 def wrong_book_counts(s: Source) -> DataFrame:
     return wrong_book(s.attempts()).select("user_id", "question_id", "wrong_count", "correct_count", "review_count")
 
 
+WRONG_BOOK = "user_id long, question_id long, wrong_count long, correct_count long, review_count long, mastery double, interval_days double, priority double, last_wrong_at timestamp, last_review_at timestamp, next_review_at timestamp, status string"
+
+
+@query("mut3_snk3_wrong_book_updates", _WRONG_COUNTS)
+def wrong_book_updates(s: Source) -> DataFrame:
+    """The same wrong book kept up to date by a stream of attempts that comes in two batches: each reads and rewrites the buckets of its own keys."""
+    at = scratch(s.spark, "wrong-book")
+    half = s.table("events").agg(F.percentile("event_id", 0.5).alias("m")).first()["m"]
+    a = s.attempts()
+    for part in (F.col("attempt_id") <= half, F.col("attempt_id") > half):
+        a.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = s.spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    keyed.follow(stream, f"{at}/table", f"{at}/state", WRONG_BOOK, ["user_id", "question_id"], lambda old, new: wrong_book(new, old), 16)
+    return keyed.read(s.spark, f"{at}/table", WRONG_BOOK).select("user_id", "question_id", "wrong_count", "correct_count", "review_count")
+
+
 query("mut3_pra8_wrong_book_state")(lambda s: wrong_book(s.attempts()).withColumn("priority", round1(F.col("priority"))))
 
 

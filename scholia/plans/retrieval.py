@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scholia.adapters import Source
 from scholia.functions.numbers import cosine
 from scholia.functions.text import hash16
-from scholia.operators import sets, text_index
+from scholia.operators import keyed, nearest as nearest_blocks, sets, text_index
 from scholia.registry import query
 from scholia.session import scratch
 
@@ -126,6 +126,43 @@ def context_block(source: Column, doc: Column, text: Column, most: int = 6000) -
     return F.concat(head.cast("binary"), F.substring(text.cast("binary"), 1, most), F.lit("\n\n").cast("binary"))
 
 
+def _asked(s: Source) -> DataFrame:
+    """The stated set of queries."""
+    return s.table("embeddings").where("vec_id % 50 = 0").select("vec_id", "embedding")
+
+
+@query("ret3_many_queries", """, n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS w FROM n),
+    p AS (SELECT q.vec_id AS query, u.vec_id, list_sum(list_transform(list_zip(q.e, u.e), lambda z: z[1] * z[2])) / (q.w * u.w) AS score FROM u q, u WHERE q.vec_id % 50 = 0)
+    SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY floor(score * 1000000 + 0.5) DESC, vec_id) AS INTEGER) AS rank, vec_id, floor(score * 1000000 + 0.5) / 1000000 AS score FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY floor(score * 1000000 + 0.5) DESC, vec_id) <= 20""")
+def many(s: Source) -> DataFrame:
+    """The twenty nearest of each query, by blocks."""
+    return nearest_blocks.exact(s.table("embeddings"), _asked(s), 64).withColumn("score", F.floor(C("score") * 1_000_000 + 0.5) / 1_000_000)
+
+
+@query("ret9_indexed_neighbours")
+def indexed_neighbours(s: Source) -> DataFrame:
+    """For each query its nearest others by the index of lists. The lists are approximate, so there is no SQL; a test states the recall against exact()."""
+    found = nearest_blocks.Index(s.table("embeddings"), 64).search(_asked(s), 21).where("vec_id <> query")
+    rank = F.row_number().over(W.partitionBy("query").orderBy("rank"))  # 21 rows
+    return found.withColumn("rank", rank).where("rank <= 20")
+
+
+@query("ret1_keyed_updates", "SELECT source AS source_type, substr(sha256(text), 1, 32) AS content_hash, max(doc_id) AS doc_id, count(*) AS version FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def keyed_updates(s: Source) -> DataFrame:
+    """The index rows above, kept in a table of buckets: two batches of documents, the second sent twice."""
+    d = s.table("documents").where("text is not null").select("doc_id", C("source").alias("source_type"), hash16(C("text")).alias("content_hash"))
+    path, kind = scratch(s.spark, "index-rows"), "source_type string, content_hash string, doc_id long, version long"
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        rows = old.unionByName(new.withColumn("version", F.lit(1).cast("long")))
+        return rows.groupBy("source_type", "content_hash").agg(F.max("doc_id").alias("doc_id"), F.sum("version").alias("version"))
+
+    half = d.agg(F.percentile("doc_id", 0.5).alias("m")).first()["m"]
+    for n, part in enumerate((d.where(C("doc_id") <= half), d.where(C("doc_id") > half), d.where(C("doc_id") > half))):
+        keyed.apply(path, kind, part, min(n, 1), ["source_type", "content_hash"], merge, 16)
+    return keyed.read(s.spark, path, kind).drop("bucket", "batch")
+
+
 @query("ret9_similar", f", {_COSINE} SELECT vec_id FROM sim WHERE vec_id <> 0")
 def others(s: Source) -> DataFrame:
     e = s.table("embeddings")
