@@ -14,7 +14,7 @@ window's start to the last one's end. A repeat is settled in two rounds.
 Records travel packed, some hundred thousand to a row, dealt by hash. Each task first settles what it can among
 its own records and sends one of each kind on, so a passage that a third of the corpus holds sends a record for
 each task at most. Stretches compare under two hashes of 64 bits (the anchor's and the whole stretch's), windows under
-two with different multipliers. The number of buckets follows the input, and a task holds one of them at a time.
+two with different multipliers, of 64 and 32 bits. The number of buckets follows the input, and a task holds one of them at a time.
 """
 
 from __future__ import annotations
@@ -330,7 +330,7 @@ def repeated(rows: DataFrame, rule: Rule) -> DataFrame:
                         start = np.repeat(los[own] - at - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                         h, y = (x.span(x.rungs(u, rule.length), start, start + rule.length) for x in (hasher, other))
                         k = len(h)
-                        yield from sender.add({"h": h, "y": y, "doc": np.full(k, doc, np.int64), "tag": np.full(k, tag, np.int64), "lo": start + at, "wide": np.zeros(k, np.uint32), "many": np.zeros(k, bool)})
+                        yield from sender.add({"h": h, "y": y & _U(0xFFFFFFFF), "doc": np.full(k, doc, np.int64), "tag": np.full(k, tag, np.int64), "lo": start + at, "wide": np.zeros(k, np.uint32), "many": np.zeros(k, bool)})
         yield from sender.flush()
 
     windows = rows.join(asked, ["doc", "tag"]).select("doc", "tag", "los", "his", "text").mapInArrow(second_round, ddl).repartition(parts, "bucket").sortWithinPartitions("bucket")
