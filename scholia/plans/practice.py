@@ -281,7 +281,18 @@ def wrong_book_updates(s: Source) -> DataFrame:
     return keyed.read(s.spark, f"{at}/table", WRONG_BOOK).select("user_id", "question_id", "wrong_count", "correct_count", "review_count")
 
 
-query("mut3_pra8_wrong_book_state")(lambda s: wrong_book(s.attempts()).withColumn("priority", round1(F.col("priority"))))
+_STATE = """, t AS (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY attempt_id) AS i FROM attempts),
+    f AS (SELECT user_id, question_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS wc, CAST(0 AS BIGINT) AS cc, CAST(0 AS BIGINT) AS rc, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS iv, CAST(0 AS DOUBLE) AS pr, CAST(NULL AS TIMESTAMP) AS lw, CAST(NULL AS TIMESTAMP) AS lr, CAST(NULL AS TIMESTAMP) AS nr, 'learning' AS st FROM t WHERE i = 1
+      UNION ALL SELECT user_id, question_id, i, wc + bad, cc + good, rc + good, CASE WHEN bad = 1 THEN 0 WHEN good = 1 THEN floor(moved * 10 + 0.5) / 10 ELSE m END, CASE WHEN bad = 1 THEN 0 WHEN good = 1 THEN step ELSE iv END,
+        CASE WHEN bad = 1 THEN CASE WHEN wc > 0 THEN pr + 1 ELSE pr END WHEN good = 1 THEN floor(greatest(0, rank) * 100 + 0.5) / 100 ELSE pr END, CASE WHEN bad = 1 THEN tm ELSE lw END, CASE WHEN good = 1 THEN tm ELSE lr END, CASE WHEN good = 1 THEN tm + to_days(CAST(step AS INTEGER)) ELSE nr END,
+        CASE WHEN bad = 1 THEN 'learning' WHEN good = 1 THEN CASE WHEN moved >= 80 AND rc >= 2 THEN 'mastered' WHEN rc > 0 THEN 'reviewing' ELSE 'learning' END ELSE st END
+      FROM (SELECT f.*, t.i AS i_, t.created_at AS tm, 1 - is_correct AS bad, CASE WHEN is_correct = 1 AND wc > 0 THEN 1 ELSE 0 END AS good, CAST([1, 3, 7, 15, 30][least(rc, 4) + 1] AS DOUBLE) AS step,
+          CASE WHEN wc > 1 THEN greatest(0, least(100, m + 10) - (wc - 1) * 3) ELSE least(100, m + 10) END AS moved,
+          2.0::DOUBLE * least(1.0::DOUBLE, wc / 10.0::DOUBLE) + 1.5::DOUBLE * least(1.0::DOUBLE, coalesce((epoch_us(t.created_at) - epoch_us(lr)) / 86400000000.0::DOUBLE, 0) / 7) + 0.5::DOUBLE * 2 / 4 + 1.0::DOUBLE * (1 - least(1.0::DOUBLE, (cc + 1) / 3.0::DOUBLE)) - 0.4::DOUBLE * m / 100 AS rank
+        FROM f JOIN t ON t.user_id = f.user_id AND t.question_id = f.question_id AND t.i = f.i + 1) AS x(user_id, question_id, i0, wc, cc, rc, m, iv, pr, lw, lr, nr, st, i, tm, bad, good, step, moved, rank))
+    SELECT user_id, question_id, wc AS wrong_count, cc AS correct_count, rc AS review_count, m AS mastery, iv AS interval_days, floor(pr * 10 + 0.5) / 10 AS priority, lw AS last_wrong_at, lr AS last_review_at, nr AS next_review_at, st AS status
+    FROM f WHERE wc > 0 QUALIFY row_number() OVER (PARTITION BY user_id, question_id ORDER BY i DESC) = 1"""
+query("mut3_pra8_wrong_book_state", _STATE)(lambda s: wrong_book(s.attempts()).withColumn("priority", round1(F.col("priority"))))
 
 
 @query("pra7_mut6_stm9_session_state", """, n AS (SELECT l_orderkey, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS answered, count(*) FILTER (WHERE l_linestatus <> 'F' AND l_discount = 0) AS unusable FROM lineitem GROUP BY l_orderkey), t AS (SELECT max(o_orderdate) AS moment FROM orders)
