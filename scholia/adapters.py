@@ -55,13 +55,13 @@ class Source:
         return self.attempts().join(self.table("events").where("event_type = 'purchase'").select(F.col("event_id").alias("attempt_id")), "attempt_id").select("user_id", "question_id").distinct()
 
     def directory(self) -> DataFrame:
-        """Directory entries from part: two documents a brand."""
+        """Directory entries from part: documents of forty entries, more of them the more there are."""
         k = F.col("p_partkey")
         return self.table("part").select(
-            k.alias("id"), (k % 50).alias("document_id"), F.when(k % 3 == 0, "answer").otherwise("question").alias("content_role"),
+            k.alias("id"), (F.floor(k / 200) * 5 + k % 5).alias("document_id"), F.when(k % 3 == 0, "answer").otherwise("question").alias("content_role"),
             F.when(k % 4 == 0, "").otherwise(F.col("p_brand")).alias("section_scope"), (F.col("p_size") % 3).cast("int").alias("set_no"),
-            F.get(F.array(F.lit("single"), F.lit("judge"), F.lit("essay")), (k % 3).cast("int")).alias("question_type"), (F.floor(k / 50) % 40 + 1).cast("long").alias("question_no"),
-            (F.floor(k / 100) + 1).cast("long").alias("page_start"), (F.floor(k / 100) + 1 + F.col("p_size") % 2).cast("long").alias("page_end"), (F.col("p_size") * 7 % 10).cast("int").alias("marker_top"), F.col("p_name").alias("anchor"),
+            F.get(F.array(F.lit("single"), F.lit("judge"), F.lit("essay")), (k % 3).cast("int")).alias("question_type"), (F.floor(k % 200 / 5) + 1).cast("long").alias("question_no"),
+            (F.floor(k % 200 / 10) + 1).cast("long").alias("page_start"), (F.floor(k % 200 / 10) + 1 + F.col("p_size") % 2).cast("long").alias("page_end"), (F.col("p_size") * 7 % 10).cast("int").alias("marker_top"), F.col("p_name").alias("anchor"),
         )
 
     def candidates(self) -> DataFrame:
@@ -70,7 +70,7 @@ class Source:
         return self.table("part").select(
             k.alias("id"), F.col("p_brand").alias("section_scope"), F.concat_ws("/", "p_type", "p_brand").alias("section_path"), (F.col("p_size") % 3).cast("int").alias("set_no"),
             F.get(F.array(F.lit("single_choice"), F.lit("true_false"), F.lit("subjective")), (k % 3).cast("int")).alias("question_type"), (k % 40).cast("long").alias("question_no"), F.col("p_name").alias("stem"),
-            (F.floor(k / 20)).cast("long").alias("page_start"), (F.floor(k / 20) + k % 3).cast("long").alias("page_end"), (k % 10).alias("document_id"),
+            F.floor(k % 200 / 20).cast("long").alias("page_start"), (F.floor(k % 200 / 20) + k % 3).cast("long").alias("page_end"), F.floor(k / 200).alias("document_id"),
         )
 
     def answers(self) -> DataFrame:
@@ -81,7 +81,7 @@ class Source:
             F.concat_ws("/", F.get(F.array(*(F.lit(x) for x in ("STANDARD", "ECONOMY", "MEDIUM", "PROMO", "LARGE", "SMALL"))), (k % 6).cast("int")), F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string"))).alias("section_path"),
             (F.col("c_nationkey") % 3).alias("set_no"), F.get(F.array(F.lit("single_choice"), F.lit("true_false"), F.lit("subjective")), (k % 3).cast("int")).alias("question_type"),
             (F.floor(k / 25) % 40).cast("long").alias("question_no"), F.substring("c_mktsegment", 1, 1).alias("value"), (F.col("c_nationkey") % 5).alias("run_id"), F.col("c_acctbal").alias("confidence"),
-            (F.floor(k / 15)).cast("long").alias("page_start"), (F.floor(k / 15) + k % 2).cast("long").alias("page_end"), (k % 10).alias("document_id"),
+            F.floor(k % 150 / 15).cast("long").alias("page_start"), (F.floor(k % 150 / 15) + k % 2).cast("long").alias("page_end"), F.floor(k / 150).alias("document_id"),
         )
 
     def lines(self) -> DataFrame:
@@ -111,18 +111,18 @@ wrong AS (
   FROM (SELECT user_id, question_id, count(*) AS wrong_count, max(created_at) AS last_wrong_at FROM attempts WHERE is_correct = 0 GROUP BY ALL)),
 favorites AS (SELECT DISTINCT user_id, question_id FROM attempts WHERE event_type = 'purchase'),
 directory AS (
-  SELECT p_partkey AS id, p_partkey % 50 AS document_id, CASE WHEN p_partkey % 3 = 0 THEN 'answer' ELSE 'question' END AS content_role,
+  SELECT p_partkey AS id, p_partkey // 200 * 5 + p_partkey % 5 AS document_id, CASE WHEN p_partkey % 3 = 0 THEN 'answer' ELSE 'question' END AS content_role,
          CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS section_scope, p_size % 3 AS set_no, ['single', 'judge', 'essay'][p_partkey % 3 + 1] AS question_type,
-         (p_partkey // 50) % 40 + 1 AS question_no, p_partkey // 100 + 1 AS page_start, p_partkey // 100 + 1 + p_size % 2 AS page_end, p_size * 7 % 10 AS marker_top, p_name AS anchor FROM part),
+         p_partkey % 200 // 5 + 1 AS question_no, p_partkey % 200 // 10 + 1 AS page_start, p_partkey % 200 // 10 + 1 + p_size % 2 AS page_end, p_size * 7 % 10 AS marker_top, p_name AS anchor FROM part),
 candidates AS (
   SELECT p_partkey AS id, p_brand AS section_scope, p_type || '/' || p_brand AS section_path, p_size % 3 AS set_no,
          ['single_choice', 'true_false', 'subjective'][p_partkey % 3 + 1] AS question_type, p_partkey % 40 AS question_no, p_name AS stem,
-         p_partkey // 20 AS page_start, p_partkey // 20 + p_partkey % 3 AS page_end, p_partkey % 10 AS document_id FROM part),
+         p_partkey % 200 // 20 AS page_start, p_partkey % 200 // 20 + p_partkey % 3 AS page_end, p_partkey // 200 AS document_id FROM part),
 answers AS (
   SELECT c_custkey AS id, 'Brand#' || (c_custkey % 25 + 1) AS section_scope,
          ['STANDARD', 'ECONOMY', 'MEDIUM', 'PROMO', 'LARGE', 'SMALL'][c_custkey % 6 + 1] || '/Brand#' || (c_custkey % 25 + 1) AS section_path, c_nationkey % 3 AS set_no,
          ['single_choice', 'true_false', 'subjective'][c_custkey % 3 + 1] AS question_type, (c_custkey // 25) % 40 AS question_no, substr(c_mktsegment, 1, 1) AS value,
-         c_nationkey % 5 AS run_id, c_acctbal AS confidence, c_custkey // 15 AS page_start, c_custkey // 15 + c_custkey % 2 AS page_end, c_custkey % 10 AS document_id FROM customer),
+         c_nationkey % 5 AS run_id, c_acctbal AS confidence, c_custkey % 150 // 15 AS page_start, c_custkey % 150 // 15 + c_custkey % 2 AS page_end, c_custkey // 150 AS document_id FROM customer),
 lines AS (
   SELECT doc_id, CAST(i // 10 + 1 AS INTEGER) AS page_no, CAST(i AS INTEGER) AS line_no, trim(line) AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))

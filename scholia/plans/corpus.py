@@ -211,11 +211,11 @@ def spans(s: Source) -> DataFrame:
     return s.directory().where("set_no > 0").groupBy("document_id", "content_role", "page_start", "page_end").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-@query("cor15_provenance", """, d AS (SELECT document_id % 10 AS document_id, question_no, list({'id': id, 'page_start': page_start, 'page_end': page_end} ORDER BY id) AS spans FROM directory GROUP BY ALL)
+@query("cor15_provenance", """, d AS (SELECT document_id // 5 AS document_id, question_no, list({'id': id, 'page_start': page_start, 'page_end': page_end} ORDER BY id) AS spans FROM directory GROUP BY ALL)
     SELECT c.id, d.spans IS NOT NULL AS has_origin, coalesce(to_json(spans), '[]') AS spans FROM candidates c LEFT JOIN d USING (document_id, question_no)""".replace("coalesce(to_json(spans), '[]')", "coalesce(CAST(to_json(spans) AS VARCHAR), '[]')"))
 def provenance(s: Source) -> DataFrame:
     """Each candidate with the spans that its place in the directory has, nested in order."""
-    d = s.directory().groupBy((C("document_id") % 10).alias("document_id"), "question_no").agg(F.sort_array(F.collect_list(F.struct("id", "page_start", "page_end"))).alias("spans"))
+    d = s.directory().groupBy(F.floor(C("document_id") / 5).alias("document_id"), "question_no").agg(F.sort_array(F.collect_list(F.struct("id", "page_start", "page_end"))).alias("spans"))
     j = s.candidates().select("id", "document_id", "question_no").join(d, ["document_id", "question_no"], "left")
     return j.select("id", C("spans").isNotNull().alias("has_origin"), F.coalesce(F.to_json("spans"), F.lit("[]")).alias("spans"))
 

@@ -261,7 +261,7 @@ def reconcile(s: Source) -> DataFrame:
     return x.select("id", F.when(C("k") == 1, "kept").when(C("stem") == C("f"), "duplicate").otherwise("conflict").alias("outcome"))
 
 
-@query("lnk13_cor7_commit_gate", f""", {_CASCADE}, d AS (SELECT c.document_id, c.id, count(DISTINCT value) AS n, any_value(c.question_type) AS t FROM candidates c LEFT JOIN links l ON l.id = c.id GROUP BY c.document_id, c.id), e AS (SELECT document_id % 10 AS document_id, count(*) AS expected FROM directory WHERE content_role = 'question' GROUP BY 1)
+@query("lnk13_cor7_commit_gate", f""", {_CASCADE}, d AS (SELECT c.document_id, c.id, count(DISTINCT value) AS n, any_value(c.question_type) AS t FROM candidates c LEFT JOIN links l ON l.id = c.id GROUP BY c.document_id, c.id), e AS (SELECT document_id // 5 AS document_id, count(*) AS expected FROM directory WHERE content_role = 'question' GROUP BY 1)
     SELECT document_id, coalesce(total, 0) AS total, expected, coalesce(blocking, 0) AS blocking, CASE WHEN total > 0 AND total = expected AND blocking = 0 THEN 'draft_ready' ELSE 'needs_attention' END AS status
     FROM e LEFT JOIN (SELECT document_id, count(*) AS total, count(*) FILTER (WHERE n > 1 OR n = 0 AND t <> 'subjective') AS blocking FROM d GROUP BY document_id) USING (document_id)""")
 def gate(s: Source) -> DataFrame:
@@ -269,7 +269,7 @@ def gate(s: Source) -> DataFrame:
     n = links(s).groupBy("id").agg(F.count_distinct("r_value").alias("n"))
     blocks = (C("n") > 1) | (C("n").isNull() & (C("question_type") != "subjective"))
     g = s.candidates().join(n, "id", "left").groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(blocks).alias("blocking"))
-    e = s.directory().where("content_role = 'question'").groupBy((C("document_id") % 10).alias("document_id")).agg(F.count("*").alias("expected"))
+    e = s.directory().where("content_role = 'question'").groupBy(F.floor(C("document_id") / 5).alias("document_id")).agg(F.count("*").alias("expected"))
     j = e.join(g, "document_id", "left").select("document_id", F.coalesce("total", F.lit(0)).alias("total"), "expected", F.coalesce("blocking", F.lit(0)).alias("blocking"))
     return j.withColumn("status", F.when((C("total") > 0) & (C("total") == C("expected")) & (C("blocking") == 0), "draft_ready").otherwise("needs_attention"))
 

@@ -282,13 +282,13 @@ def reread(s: Source) -> DataFrame:
 
 
 @query("lnk28_relink_plan", """, q AS (SELECT document_id, count(*) AS n_candidates, count(*) FILTER (WHERE a.k IS NULL) AS n_open FROM candidates c LEFT JOIN (SELECT DISTINCT section_scope, question_no, 1 AS k FROM answers) a USING (section_scope, question_no) GROUP BY document_id),
-    d AS (SELECT document_id % 10 AS document_id, count(*) AS n_entries FROM directory WHERE content_role = 'question' GROUP BY 1)
+    d AS (SELECT document_id // 5 AS document_id, count(*) AS n_entries FROM directory WHERE content_role = 'question' GROUP BY 1)
     SELECT document_id, CASE WHEN document_id % 4 = 1 THEN 'stale_version' WHEN coalesce(n_candidates, 0) < coalesce(n_entries, 0) THEN 'questions' WHEN n_open > 0 THEN 'answers' ELSE 'reconcile' END AS next_step FROM d FULL JOIN q USING (document_id)""")
 def relink(s: Source) -> DataFrame:
     """What a relink run plans for each document: nothing on a stale version; missing questions first, then missing answers, else reconcile."""
     a = s.answers().select("section_scope", "question_no").distinct().withColumn("k", F.lit(1))
     q = s.candidates().join(a, ["section_scope", "question_no"], "left").groupBy("document_id").agg(F.count("*").alias("n_candidates"), F.count_if(C("k").isNull()).alias("n_open"))
-    d = s.directory().where("content_role = 'question'").groupBy((C("document_id") % 10).alias("document_id")).agg(F.count("*").alias("n_entries"))
+    d = s.directory().where("content_role = 'question'").groupBy(F.floor(C("document_id") / 5).alias("document_id")).agg(F.count("*").alias("n_entries"))
     seen, now = C("document_id") % 4, F.when(C("document_id") % 4 == 1, 2).otherwise(C("document_id") % 4)  # the version a run saw, and the present one
     step = F.when(seen != now, "stale_version").when(F.coalesce("n_candidates", F.lit(0)) < F.coalesce("n_entries", F.lit(0)), "questions").when(C("n_open") > 0, "answers").otherwise("reconcile")
     return d.join(q, "document_id", "full").select("document_id", step.alias("next_step"))
