@@ -93,15 +93,16 @@ def day_islands(s: Source) -> DataFrame:
     FROM totals LEFT JOIN book USING (user_id) LEFT JOIN streaks USING (user_id)""",
 )
 def overview(s: Source) -> DataFrame:
-    """Totals and streaks come from one daily table, whose shuffle Spark runs once."""
-    days, now = daily(s.attempts()), F.broadcast(s.as_of())  # one row
+    """Totals and streaks come from one daily table, whose shuffle Spark runs once; the as-of time is asked for once, for all three."""
+    moment = s.spark.createDataFrame([tuple(s.as_of().first())], "as_of timestamp")
+    days, now = daily(s.attempts()), F.broadcast(moment)  # one row
     today = F.col("stat_date") == F.to_date("as_of")
     total = days.join(now).groupBy("user_id").agg(
         F.coalesce(F.sum(F.when(today, F.col("question_count"))), F.lit(0)).alias("today_count"), F.coalesce(F.sum(F.when(today, F.col("correct_count"))), F.lit(0)).alias("today_correct"),
         F.sum("question_count").alias("total_count"), F.sum("correct_count").alias("c"),
     )
     book = s.wrong().join(now).groupBy("user_id").agg(F.count("*").alias("wrong_count"), F.count_if(F.col("next_review_at") <= F.col("as_of")).alias("due_count"))
-    x = total.join(book, "user_id", "left").join(streak(days, s.as_of()), "user_id", "left")
+    x = total.join(book, "user_id", "left").join(streak(days, moment), "user_id", "left")
     z = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return x.select(
         "user_id", "today_count", "today_correct", round1(ratio(F.col("today_correct"), F.col("today_count")) * 100).alias("today_accuracy"), "total_count",
