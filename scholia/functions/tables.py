@@ -72,3 +72,8 @@ RUN_STAGES = {"rendering": (0.0, 0.05), "catalog": (0.05, 0.30), "candidate_revi
 
 #: Section and number prefixes before a question's own text.
 ANSWER_PREFIX = r"^(?:(?:第?[0-9一二三四五六七八九十百]+[题.．、)）:：]|[（(][0-9一二三四五六七八九十百]+[)）])\s*)+"
+
+#: A numbered topic before a scope's own name, a sub-question's number, and what opens a stem midway.
+TOPIC_PREFIX = "^专题[一二三四五六七八九十百千万0-9]+(.+)$"
+SUB_QUESTION = "[（(][0-9０-９]+[）)]"
+MID_START = "^(?:[，。；：、]|" + SUB_QUESTION + ")"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.tables import ANSWER_PREFIX, END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GENERIC_SHORT, GENERIC_WORDS, GRADING_MARKS, HALF_WIDTH, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TYPE_ALIASES
+from scholia.functions.tables import ANSWER_PREFIX, END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GENERIC_SHORT, GENERIC_WORDS, GRADING_MARKS, HALF_WIDTH, MID_START, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TOPIC_PREFIX, TYPE_ALIASES
 
 SPACES = r"(?U)\s+"
 
@@ -59,7 +59,7 @@ def section_scope(parts: Column) -> Column:
         for label in BOOK_LABELS:
             v = F.regexp_replace(v, "^" + label, "")
         v = F.regexp_replace(v, "^[·:：/-]+", "")
-        return F.regexp_replace(v, "^专题[一二三四五六七八九十百千万0-9]+(.+)$", "$1")
+        return F.regexp_replace(v, TOPIC_PREFIX, "$1")
 
     kept = F.filter(F.transform(parts, one), lambda v: (v != "") & ~v.rlike("|".join(TYPE_HEADINGS)) & ~v.isin(TYPE_HEADINGS_EXACT))
     return F.array_join(F.aggregate(kept, F.array().cast("array<string>"), lambda acc, v: F.when(F.try_element_at(acc, F.lit(-1)).eqNullSafe(v), acc).otherwise(F.concat(acc, F.array(v)))), "/")
@@ -150,7 +150,7 @@ def warns(warnings: Column, words: list[str]) -> Column:
 
 def starts_mid(stem: Column, warnings: Column) -> Column:
     """Whether a stem opens midway: a warning says so, or it begins with a separator or a sub-question's number."""
-    return warns(warnings, START_WARNINGS) | F.trim(stem).rlike(r"^(?:[，。；：、]|[（(][0-9０-９]+[）)])")
+    return warns(warnings, START_WARNINGS) | F.trim(stem).rlike(MID_START)
 
 
 def ends_mid(stem: Column, warnings: Column) -> Column:

@@ -12,6 +12,7 @@ from scholia.functions.tables import TYPE_ALIASES
 from scholia.operators import sets, windows
 from scholia.plans.practice import playable
 from scholia.registry import query
+from scholia.session import stored
 from scholia.sources.readers import needs_ocr, unit_rows, with_vectors
 
 C = F.col
@@ -147,7 +148,7 @@ def hash_dedup(s: Source) -> DataFrame:
 def triage(s: Source) -> DataFrame:
     """The first of equal texts is new; later ones are duplicates, or conflicts if their answer differs. The firsts come
     from a grouped minimum, so copies within a batch see one another and a large group of copies meets no window."""
-    h = hashed(s)
+    h = stored(hashed(s), "hashes")  # each text is hashed once
     first = h.groupBy("k").agg(F.min(F.struct("doc_id", "answer")).alias("f"))
     status = F.when(C("doc_id") == C("f.doc_id"), "new").when(C("answer") == C("f.answer"), "duplicate").otherwise("conflict")
     return h.join(first, "k").select("doc_id", C("f.doc_id").alias("question_id"), status.alias("status"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.adapters import Source
 from scholia.functions.numbers import cosine
@@ -236,28 +236,17 @@ def fallback(s: Source) -> DataFrame:
 @query("vec1_codec", """SELECT vec_id, 4 * len(embedding) AS n_bytes, floor(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) * 10000 + 0.5) / 10000 AS total, TRUE AS same FROM embeddings""".replace("4 * len(embedding)", "CAST(4 * len(embedding) AS BIGINT)"))
 def codec(s: Source) -> DataFrame:
     """Vectors as little-endian single precision and back."""
-    back = decode_vectors(encode_vectors(s.table("embeddings").select("vec_id", "embedding"))).withColumnRenamed("embedding", "back")
-    j = s.table("embeddings").join(back, "vec_id")
+    v = s.table("embeddings").select("vec_id", "embedding", encode("embedding").alias("blob")).withColumn("back", decode("blob"))
     total = F.aggregate("back", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
-    return j.select("vec_id", C("n_bytes"), (F.floor(total * 10000 + 0.5) / 10000).alias("total"), (C("embedding").cast("array<float>") == C("back")).alias("same"))
+    return v.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), (F.floor(total * 10000 + 0.5) / 10000).alias("total"), (C("embedding").cast("array<float>") == C("back")).alias("same"))
 
 
-def encode_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, blob): four little-endian bytes a number."""
+@F.pandas_udf(T.BinaryType())
+def encode(vectors: pd.Series) -> pd.Series:
+    """Four little-endian bytes a number; a null vector has none."""
+    return vectors.map(lambda v: np.asarray([] if v is None else v, "<f4").tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "blob": pa.array([np.asarray(v.as_py() or [], "<f4").tobytes() for v in b.column(1)], pa.binary())})
 
-    return vectors.select(C("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, blob binary")
-
-
-def decode_vectors(blobs: DataFrame) -> DataFrame:
-    """(vec_id, n_bytes, embedding)"""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "n_bytes": pa.array(map(len, data), pa.int64()), "embedding": pa.array([np.frombuffer(x, "<f4") for x in data], pa.list_(pa.float32()))})
-
-    return blobs.mapInArrow(run, "vec_id long, n_bytes long, embedding array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def decode(blobs: pd.Series) -> pd.Series:
+    return blobs.map(lambda b: np.frombuffer(b, "<f4"))

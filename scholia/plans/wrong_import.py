@@ -6,6 +6,7 @@ some of them written as cut-off, continued or numbered ones.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from scholia.adapters import Source
 from scholia.functions import text
 from scholia.functions.numbers import add_days, clamp01
-from scholia.functions.tables import ANSWER_PREFIX, BOUNDARY, END_WARNINGS, MATERIAL_WORDS, MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION, START_WARNINGS, USER_ANSWER
+from scholia.functions.tables import ANSWER_PREFIX, BOUNDARY, END_WARNINGS, MATERIAL_WORDS, MERGE_AUTO, MERGE_REVIEW, NEW_QUESTION, START_WARNINGS, SUB_QUESTION, USER_ANSWER
 from scholia.operators import joins, windows
 from scholia.registry import query
 from scholia.session import stored
@@ -312,7 +313,7 @@ def all_match(s: Source) -> DataFrame:
 
 def is_material(stem: Column) -> Column:
     """Two sub-questions or more, and a word that material questions have."""
-    return (F.size(F.regexp_extract_all(stem, F.lit("[（(][0-9０-９]+[）)]"), F.lit(0))) >= 2) & stem.rlike("|".join(MATERIAL_WORDS))
+    return (F.size(F.regexp_extract_all(stem, F.lit(SUB_QUESTION), F.lit(0))) >= 2) & stem.rlike("|".join(MATERIAL_WORDS))
 
 
 @query("wqi17_material_retyping", f""", {_DRAFTS} SELECT draft, CASE WHEN kind IN ('short_answer', 'essay') AND len(regexp_extract_all(stem, '[（(][0-9０-９]+[）)]')) >= 2 AND regexp_matches(stem, '{"|".join(MATERIAL_WORDS)}') THEN 'material_analysis' ELSE kind END AS kind FROM dr""")
@@ -354,21 +355,11 @@ def balanced(raw: str | None, opening: str = "{", closing: str = "}") -> str | N
     at = -1 if raw is None else raw.find(opening)
     if at < 0:
         return raw
-    depth, inside, escaped = 0, False, False
-    for i in range(at, len(raw)):
-        c = raw[i]
-        if escaped:
-            escaped = False
-        elif c == "\\" and inside:
-            escaped = True
-        elif c == '"':
-            inside = not inside
-        elif not inside and c == opening:
-            depth += 1
-        elif not inside and c == closing:
-            depth -= 1
-            if not depth:
-                return raw[at : i + 1]
+    depth = 0
+    for m in re.finditer(rf'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{re.escape(opening + closing)}]', raw[at:], re.S):  # whole strings, and brackets outside them
+        depth += (m[0] == opening) - (m[0] == closing)
+        if not depth:
+            return raw[at : at + m.end()]
     return raw[at:]
 
 
