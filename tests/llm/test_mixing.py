@@ -165,3 +165,43 @@ def test_score_matches_a_plain_reading(spark, monkeypatch):
     off = [abs(got[i] / plain_score(model, (t or "").encode(), not held[i], pairs, counts, names) - 1) for i, t in data]
     # odds halfway between two steps of the curve may be rounded to the other one in double precision
     assert max(off) < 2e-2 and sum(x < 1e-6 for x in off) > 0.9 * len(off)
+
+
+def test_a_bucket_is_settled_in_slices():
+    import tracemalloc
+
+    rng = np.random.Generator(np.random.PCG64(6))
+    code = mixing.Code.build([(f"t{i}".encode(), 1000 // (i + 1)) for i in range(40)], 7.0, 12)
+
+    def made(n_blocks, n, keys):
+        low, name, count, size = [], [], [], []
+        for _ in range(n_blocks):
+            both = np.unique(rng.integers(0, keys, n).astype(np.uint64) * np.uint64(2**32 // keys) << np.uint64(32) | rng.integers(0, 44, n).astype(np.uint64))
+            low.append((both >> np.uint64(32)).astype(np.uint32))
+            name.append(np.where(both % np.uint64(2**32) < 40, both, both | np.uint64(mixing._TAIL)).astype(np.uint32))
+            count.append(rng.integers(0, 4, len(both)).astype(np.uint32))
+            size.append(len(both))
+        return np.array(size), *map(np.concatenate, (low, name, count))
+
+    size, low, name, count = made(7, 300, 150)
+    whole, few = (mixing.followers(code, size, low, name, count, k) for k in (1 << 19, 40))
+    assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(whole, few))
+    total = {}
+    for p, t, c in zip(low.tolist(), name.tolist(), count.tolist()):
+        total.setdefault(p, Counter())[t] += c
+    at = 0
+    for a, b, n in zip(few[0], few[0][1:], size):
+        for p, best, c, every in zip(sorted(set(low[at : at + n].tolist())), few[1][a:b], few[2][a:b], few[3][a:b], strict=True):
+            own, n_all = sum(count[at : at + n][low[at : at + n] == p].tolist()), sum(total[p].values())
+            t, top = min(total[p].items(), key=lambda e: (-e[1], e[0]))
+            known = n_all > own or n_all > 1
+            assert (best, c, every) == ((t if top else 0, top, n_all) if known else (0, 0, 0))
+        at += n
+    size, low, name, count = made(40, 50_000, 1 << 20)
+    peaks = []
+    for k in (mixing.SLICE, 1 << 30):
+        tracemalloc.start()
+        mixing.followers(code, size, low, name, count, k)
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(low))
+        tracemalloc.stop()
+    assert peaks[0] < 50 and peaks[0] < peaks[1] / 2, peaks  # bytes a number
