@@ -205,3 +205,21 @@ def test_a_bucket_is_settled_in_slices():
         peaks.append(tracemalloc.get_traced_memory()[1] / len(low))
         tracemalloc.stop()
     assert peaks[0] < 50 and peaks[0] < peaks[1] / 2, peaks  # bytes a number
+
+
+def test_weights_come_from_every_training_text(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 300}"
+    data = [(i, " ".join(word() for _ in range(rng.randrange(30)))) for i in range(700)] + [(1001, " ".join(word() for _ in range(30_000)))]
+    kept = []
+    monkeypatch.setattr(mixing, "fit", lambda *a, real=mixing.fit: kept.append(a) or real(*a))
+    for parts in (1, 5):
+        mixing.scores(table(spark, data).repartition(parts), head=40)
+    (code, counts, seen, (cell, n)), (*_, again, (cell_, n_)) = kept
+    ids = [code.ids.get(w, len(code.ids)) for i, t in data if zlib.crc32(str(i).encode()) % 10 for w in mixing.tokens(t.encode())]
+    assert len(data[-1][1]) > 1 << 16 and n.sum() == code.size[ids].sum()
+    assert n[cell % 2 == 1].sum() == counts[0][:, 1].sum()
+    assert (cell == cell_).all() and (n == n_).all() and (seen == again).all()
+    model = mixing.fit(code, counts, seen, (cell, n))
+    half = mixing.fit(code, counts, seen, (cell, n // 2))
+    assert np.abs(model.weights - 0.25).max() > 0.3 and not np.allclose(model.weights, half.weights)
