@@ -9,7 +9,8 @@ without the other side. Text without white space is spliced between two letters
 holds side by side: no merge can ever cross there, so each side merges as it would alone. Where an overlap holds no
 such boundary it is widened, up to the whole left chunk; if that has none either, the next chunk is as long as what
 is left open, so the work stays in proportion to the text.
-A text of one chunk is the sum of its parts between white space, and a part seen before is not encoded again.
+A text of one chunk is the sum of its parts between white space, and a part seen before is not encoded again. What lies
+between a chunk's overlaps is counted so too, where it begins and ends at white space: only overlaps need their tokens.
 """
 
 from __future__ import annotations
@@ -76,6 +77,16 @@ class Counter:
         e = self.tokenizer.encode(text, add_special_tokens=False)
         return [a + at for a, _ in e.offsets], [b + at for _, b in e.offsets], e.ids
 
+    def thin(self, text: str, at: int, head: int, stop: int) -> tuple[list[int], list[int], list[int], int]:
+        """tokens() of the chunk from `at` to `stop`, but for those between its overlaps (with the chunk before up to `head`, with the
+        one after), of which there is only the number, last; and where they end, so from where on the tokens are whole again."""
+        a = self.blank.search(text, head, stop)
+        b = -1 if not a else stop if stop == len(text) else max(text.rfind(x, a.start(), max(a.start(), stop - self.overlap)) for x in BLANK)
+        if b < 0:
+            return *self.tokens(text[at:stop], at), 0, at
+        own = self.tokens(text[at : a.start()], at), self.tokens(text[b:stop], b)
+        return *(x + y for x, y in zip(*own, strict=True)), self.short([text[a.start() : b]])[0], b
+
     def boundary(self, text: str, low: int, high: int, left, right) -> int | None:
         """A stable common boundary in [low, high), the nearest to the middle from the left on, or None."""
         middle = (low + high) // 2
@@ -102,25 +113,27 @@ class Counter:
         """Tokens of a text by chunks."""
         total, at, step = 0, 0, self.chunk
         end = min(len(text), self.chunk)
-        left, done = self.tokens(text[:end], 0), 0  # done: where the counted tokens end
+        left, done = self.thin(text, 0, 0, end), 0  # done: where the counted tokens end
         while end < len(text):
             wide = self.overlap
             while True:
                 low = max(at, end - wide)
                 stop = min(len(text), end + step)
-                right = self.tokens(text[low:stop], low)
-                b = self.boundary(text, max(low, done), end, left, right)
+                if low < left[4]:
+                    left = *self.tokens(text[at:end], at), 0, at
+                right = self.thin(text, low, end, stop)
+                b = self.boundary(text, max(low, done), end, left[:3], right[:3])
                 if b is not None or low <= at:
                     break
                 wide *= 4
             if b is None:  # no boundary in all of the left chunk: encode both as one
-                left, end = self.tokens(text[at:stop], at), stop
+                left, end = (*self.tokens(text[at:stop], at), 0, at), stop
                 step = max(step, end - at)
                 continue
             step = self.chunk
-            total += bisect_left(left[0], b) - bisect_left(left[0], done)
+            total += bisect_left(left[0], b) - bisect_left(left[0], done) + left[3]
             left, at, done, end = right, low, b, stop
-        return total + len(left[0]) - bisect_left(left[0], done)
+        return total + len(left[0]) - bisect_left(left[0], done) + left[3]
 
     def short(self, batch: list[str]) -> list[int]:
         """Tokens of texts of at most a chunk each."""

@@ -115,6 +115,25 @@ def test_long_texts_without_white_space():
     assert perf_counter() - t < 6 * own + 1
 
 
+def test_long_texts_encode_their_overlaps_only():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(file), random.Random(10)
+    special = ["<|endoftext|>", "<|startoftext|>", "don't", "\u3000", "É", "日本語", " \t", "\r\n", "\x0b"]
+    counter = token_counts.Counter(open(file, encoding="utf-8").read(), 300, 20)
+    for _ in range(40):
+        text = "".join(rng.choice(special) if rng.random() < 0.2 else rng.choice("abz 19.,;<|>' ") * rng.choice((1, 1, 1, 9)) for _ in range(rng.randrange(300, 3000)))
+        text += "x" * rng.choice((0, 500)) + " " + words(rng, rng.randrange(300))
+        assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    big, seen = token_counts.Counter(open(file, encoding="utf-8").read()), []
+    tokens = big.tokens
+    big.tokens = lambda part, at: seen.append(len(part)) or tokens(part, at)
+    text = words(rng, 60_000, 4000)
+    assert big.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert sum(seen) < len(text) / 10
+
+
 def test_fingerprints_compare():
     rng = random.Random(6)
     a = words(rng, 800, 4000).encode()
