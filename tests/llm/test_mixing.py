@@ -207,6 +207,22 @@ def test_a_bucket_is_settled_in_slices():
     assert peaks[0] < 50 and peaks[0] < peaks[1] / 2, peaks  # bytes a number
 
 
+def test_texts_are_read_as_tokens():
+    rows = [b"", b" \t", b"A", "É b\x0bÉ\x00 \u00a0 B\x1f\x85".encode("utf-8", "replace"), b"  x  X y\n", b"", b"\x0b\x0c"]
+    for data in (rows, rows[::-1], rows[:1], rows[2:3], rows[4:5], rows[4:6], []):
+        reader = mixing.Reader(data)
+        flat = [reader.distinct[i] for i in reader.at]
+        assert [flat[a : a + n] for a, n in zip(reader.first, reader.sizes)] == [mixing.tokens(x) for x in data]
+        assert [zlib.crc32(x) for x in reader.distinct] == sorted(map(zlib.crc32, set(flat) | {b""}))
+    rng = np.random.Generator(np.random.PCG64(5))
+    pair, name, learn = rng.integers(0, 50, 999).astype(np.uint64) << np.uint64(30), rng.integers(0, 2**32, 999).astype(np.uint32) >> np.uint32(29) << np.uint32(29), rng.random(999) < 0.7
+    want = Counter()
+    for p, t, w in zip(pair.tolist(), name.tolist(), learn.tolist()):
+        want[p, t] += w
+    pairs, (names, count) = mixing._followed(pair, name, learn)
+    assert list(zip(zip(pairs.tolist(), names.tolist()), count.tolist())) == sorted(want.items())
+
+
 def test_weights_come_from_every_training_text(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda: f"w{int(rng.paretovariate(0.6)) % 300}"
