@@ -239,3 +239,46 @@ def test_weights_come_from_every_training_text(spark, monkeypatch):
     model = mixing.fit(code, counts, seen, (cell, n))
     half = mixing.fit(code, counts, seen, (cell, n // 2))
     assert np.abs(model.weights - 0.25).max() > 0.3 and not np.allclose(model.weights, half.weights)
+
+
+def test_equal_tokens_are_counted_together():
+    rng = np.random.Generator(np.random.PCG64(8))
+    head = [(f"t{i}".encode(), 1000 // (i + 1)) for i in range(700)]
+    code = mixing.Code.build(head, 7.0, 12)
+    reader = mixing.Reader([b" ".join(f"t{min(int(x), 720)}".encode() for x in rng.zipf(1.3, n)) for n in (0, 1, 400, 2, 900, 0)])
+    own = reader.ids(code)
+    assert own.tolist() == [code.ids.get(t, 700) for t in reader.distinct]
+    ids = np.tile(own[reader.at], 5)
+    first = np.concatenate([reader.first + k * len(reader.at) for k in range(5)])
+    before, contexts = code.before(ids, first), code.contexts(ids, first)
+    last, back = 0, 0  # a plain reading of what stands before
+    for k, i in enumerate(ids):
+        last, back = (0, 0) if k in first else (last, back)
+        assert (before[0][k], before[1][k]) == (last, back)
+        last, back = i + 1 if i < 64 else last, (i if i < 512 else 512 + code.size[i]) + 1
+    assert all((b < n).all() for b, n in zip(before, mixing._KINDS))
+    node, bit, slots, depth = code.decisions(ids, contexts)
+    counts, far = [], np.repeat(code.agree(ids, guess := rng.permutation(701)[ids]), code.size[ids])
+    for k, (s, c) in enumerate(zip(slots, before)):
+        total, want = np.zeros(2 << 12, np.uint32), np.zeros(2 << 12, np.uint32)
+        np.add.at(want, s.astype(int) * 2 + bit, 1)
+        code.add(total, k, ids * np.int32(mixing._KINDS[k]) + c.astype(np.int32))
+        assert (total == want).all()
+        counts.append(want.reshape(-1, 2).astype(np.int64))
+    grade = rng.integers(0, 10, 701)[ids]
+    relieved, of = [mixing._relieved(x) for x in counts], lambda v: np.repeat(v, code.size[ids])
+    live, way = (of(grade) > 0) & (depth <= far), bit ^ (depth >= far)
+    cell = np.where(live, ((of(grade) - 1) * mixing._DEPTHS + np.minimum(depth, 3)) * 2 + way + 1, 0)
+    for s, table in zip(slots, relieved):
+        cell = cell * 4 * mixing._CELLS + table[s.astype(int) * 2 + bit]
+    want = Counter(((cell * mixing._CELLS + mixing._cell(code.odds * mixing._FINE)[node]) * 2 + bit).tolist())
+    got, dealt = Counter(), 0
+    for cell, times in mixing.cells(code, relieved, mixing.alike(code, ids, before, (guess, grade))):
+        dealt += len(cell)
+        for c, n in zip(cell.tolist(), times.tolist()):
+            got[c] += n
+    assert got == want and dealt <= len(bit) / 5
+    c, n = (v.ravel() for v in np.indices((256, 256)))
+    assert all((a == b).all() for a, b in zip(mixing._graded(), mixing.level(c, n)))
+    for pair in (rng.integers(0, 1 << 40, 5000).astype(np.uint64) % np.uint64(700), rng.integers(0, 9, 300).astype(np.uint64) << np.uint64(60), np.empty(0, np.uint64)):
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(mixing._ranked(pair), np.unique(pair, return_inverse=True), strict=True))
