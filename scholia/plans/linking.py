@@ -355,13 +355,14 @@ def progress(s: Source) -> DataFrame:
     )
     stage = F.get(F.array(*map(F.lit, ("rendering", "catalog", "parallel_extraction", "linking", "validating", "none"))), (C("o_orderkey") % 6).cast("int"))
     o = s.table("orders").join(u, "o_orderkey")
-    return o.select("o_orderkey", round_away(run_progress(stage, C("d") / C("n"), ratio(C("qd"), C("qt")), ratio(C("ad"), C("at")), C("o_orderstatus") == "F"), 2).alias("progress"))
+    return o.select("o_orderkey", round_away(run_progress(stage, C("d"), C("n"), ratio(C("qd"), C("qt")), ratio(C("ad"), C("at")), C("o_orderstatus") == "F"), 2).alias("progress"))
 
 
-def run_progress(stage: Column, part: Column, questions: Column, answers: Column, completed: Column) -> Column:
+def run_progress(stage: Column, done: Column, whole: Column, questions: Column, answers: Column, completed: Column) -> Column:
+    """Multiplied before it is divided: weight * (done / whole) may end just under a half that weight * done / whole reaches."""
     p = F.when(completed, 1.0).otherwise(0.0)
     for name, (base, weight) in RUN_STAGES.items():
-        p = F.when(stage == name, base + weight * part).otherwise(p)
+        p = F.when(stage == name, base + weight * done / whole).otherwise(p)
     p = F.when(stage.isin("parallel_extraction", "extract_question", "extract_answer"), 0.35 + 0.3 * questions + 0.25 * answers).otherwise(p)
     return F.least(F.lit(1.0), p)
 
