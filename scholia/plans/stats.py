@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.adapters import Source
-from scholia.functions.numbers import damped, ratio, round1
+from scholia.functions.numbers import damped, percent, ratio, round1
 from scholia.operators import sets, trees, windows
 from scholia.registry import query
 
@@ -105,8 +105,8 @@ def overview(s: Source) -> DataFrame:
     x = total.join(book, "user_id", "left").join(streak(days, moment), "user_id", "left")
     z = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return x.select(
-        "user_id", "today_count", "today_correct", round1(ratio(F.col("today_correct"), F.col("today_count")) * 100).alias("today_accuracy"), "total_count",
-        round1(ratio(F.col("c"), F.col("total_count")) * 100).alias("accuracy"), z("wrong_count"), z("due_count"), z("streak_days"),
+        "user_id", "today_count", "today_correct", percent(F.col("today_correct"), F.col("today_count")).alias("today_accuracy"), "total_count",
+        percent(F.col("c"), F.col("total_count")).alias("accuracy"), z("wrong_count"), z("due_count"), z("streak_days"),
     )
 
 

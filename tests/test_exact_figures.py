@@ -1,9 +1,13 @@
 """Figures that must be those of the SQL to the last digit."""
 
+import datetime
+import math
+
 from pyspark.sql import functions as F
 
+from scholia.adapters import Source
 from scholia.functions.numbers import round_away
-from scholia.plans import linking
+from scholia.plans import linking, stats
 
 
 def test_progress_multiplies_before_it_divides(spark):
@@ -13,3 +17,12 @@ def test_progress_multiplies_before_it_divides(spark):
         p = linking.run_progress(F.lit(stage), F.col("d"), F.col("n"), F.lit(0.0), F.lit(0.0), F.lit(False))
         got = {(r.d, r.n): r.p for r in df.select("d", "n", round_away(p, 2).alias("p")).collect()}
         assert got == {(d, n): (min(1.0, base + weight * d / n) * 100 + 0.5) // 1 / 100 for d, n in pairs}
+
+
+def test_overview_rounds_once(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    right = {(n, c): n * 1000 + c for n, c in ((80, 23), (80, 41), (80, 51), (160, 82), (7, 3))}
+    rows = [(u * 1000 + i, at, u, "view" if i < c else "error", 1.0, '{"k": %d}' % i) for (n, c), u in right.items() for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["user_id"]: (r["accuracy"], r["today_accuracy"]) for r in stats.overview(Source(spark, str(tmp_path))).collect()}
+    assert got == {u: (math.floor(c / n * 1000 + 0.5) / 10,) * 2 for (n, c), u in right.items()} and got[80_023] == (28.8, 28.8)
