@@ -135,8 +135,8 @@ def _asked(s: Source) -> DataFrame:
     p AS (SELECT q.vec_id AS query, u.vec_id, list_sum(list_transform(list_zip(q.e, u.e), lambda z: z[1] * z[2])) / (q.w * u.w) AS score FROM u q, u WHERE q.vec_id % 50 = 0)
     SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY floor(score * 1000000 + 0.5) DESC, vec_id) AS INTEGER) AS rank, vec_id, floor(score * 1000000 + 0.5) / 1000000 AS score FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY floor(score * 1000000 + 0.5) DESC, vec_id) <= 20""")
 def many(s: Source) -> DataFrame:
-    """The twenty nearest of each query, by blocks."""
-    return nearest_blocks.exact(s.table("embeddings"), _asked(s), 64).withColumn("score", F.floor(C("score") * 1_000_000 + 0.5) / 1_000_000)
+    """The twenty nearest of each query, by blocks; ranked by the score that is shown, so equal ones by id."""
+    return nearest_blocks.exact(s.table("embeddings"), _asked(s), 64, places=6)
 
 
 @query("ret9_indexed_neighbours")

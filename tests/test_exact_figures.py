@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.adapters import Source
 from scholia.functions.numbers import round_away
+from scholia.operators import nearest
 from scholia.plans import linking, stats
 
 
@@ -26,3 +27,15 @@ def test_overview_rounds_once(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["user_id"]: (r["accuracy"], r["today_accuracy"]) for r in stats.overview(Source(spark, str(tmp_path))).collect()}
     assert got == {u: (math.floor(c / n * 1000 + 0.5) / 10,) * 2 for (n, c), u in right.items()} and got[80_023] == (28.8, 28.8)
+
+
+def test_scores_equal_when_rounded_are_ranked_by_id(spark):
+    lean = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(0, lean(0.0))] + [(100 - i, lean(0.01 + i * 1e-6)) for i in range(40)] + [(200 + i, lean(0.01)) for i in range(40)]  # cosines in falling order, most of them equal to six decimals
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    show = {i: math.floor(math.cos(math.atan2(e[1], e[0])) * 1_000_000 + 0.5) / 1_000_000 for i, e in rows}
+    got = [(r["vec_id"], r["score"]) for r in nearest.exact(v, v.where("vec_id = 0"), 2, 10, places=6).orderBy("rank").collect()]
+    want = sorted(show.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert got == want and len({x for _, x in want}) < 4
+    raw = sorted(((-sum(a * b for a, b in zip(e, rows[0][1])), i) for i, e in rows))[:10]
+    assert [i for i, _ in want] != [i for _, i in raw]
