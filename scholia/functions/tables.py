@@ -77,3 +77,9 @@ ANSWER_PREFIX = r"^(?:(?:第?[0-9一二三四五六七八九十百]+[题.．、)
 TOPIC_PREFIX = "^专题[一二三四五六七八九十百千万0-9]+(.+)$"
 SUB_QUESTION = "[（(][0-9０-９]+[）)]"
 MID_START = "^(?:[，。；：、]|" + SUB_QUESTION + ")"
+
+#: Letters whose capital is written with several letters, and their capital of one letter: a title-case one if there is any, else the letter itself; letters that got a capital with Unicode 16 only, which stay as they are.
+_SEVERAL = [c for c in map(chr, range(0x10000)) if len(c.upper()) > 1]
+_LATE = "ƛɤ\u1c8a\ua7cd\ua7db" + "".join(map(chr, range(0x10D70, 0x10D86)))
+ONE_CAPITAL_FROM = "".join(_SEVERAL) + _LATE
+ONE_CAPITAL_TO = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL) + _LATE

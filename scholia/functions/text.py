@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.tables import ANSWER_PREFIX, END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GENERIC_SHORT, GENERIC_WORDS, GRADING_MARKS, HALF_WIDTH, MID_START, NEW_QUESTION_MARK, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TOPIC_PREFIX, TYPE_ALIASES
+from scholia.functions.tables import ANSWER_PREFIX, END_WARNINGS, FOLD_FROM, FOLD_TO, FULL_WIDTH, GENERIC_SHORT, GENERIC_WORDS, GRADING_MARKS, HALF_WIDTH, MID_START, NEW_QUESTION_MARK, ONE_CAPITAL_FROM, ONE_CAPITAL_TO, PAGE_NUMBER, PRINTED_MARKER, QUESTION_START, SCOPE_MARKS, START_WARNINGS, TOPIC_PREFIX, TYPE_ALIASES
 
 SPACES = r"(?U)\s+"
 
@@ -180,6 +180,11 @@ def merge_fragments(left: Column, right: Column) -> Column:
     )
 
 
+def capital(letter: Column) -> Column:
+    """One letter as one capital letter; upper() makes two of some, as SS of ß."""
+    return F.when(F.contains(F.lit(ONE_CAPITAL_FROM), letter), F.translate(letter, ONE_CAPITAL_FROM, ONE_CAPITAL_TO)).otherwise(F.upper(letter))
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once a row; written into a lambda as it is, it would be computed again for each element."""
     return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))

@@ -39,7 +39,7 @@ def drafts(s: Source) -> DataFrame:
     return x.select(
         F.floor(C("doc_id") / 50).alias("session"), C("doc_id").alias("image"), C("line_no").alias("seq"), (C("doc_id") * 1_000_000 + C("line_no")).alias("draft"), stem.alias("stem"),
         F.get(F.array(*map(F.lit, _KINDS)), (F.char_length("line") % 4).cast("int")).alias("kind"), F.when(w == 0, F.array(F.lit("图片截断"))).when(w == 1, F.array(F.lit("缺少题干"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
-        F.when((C("doc_id") + C("line_no")) % 3 == 0, F.upper(F.left("line", F.lit(1)))).alias("answer"), ((C("doc_id") + C("line_no")) % 7 == 0).alias("by_user"),
+        F.when((C("doc_id") + C("line_no")) % 3 == 0, text.capital(F.left("line", F.lit(1)))).alias("answer"), ((C("doc_id") + C("line_no")) % 7 == 0).alias("by_user"),
     )
 
 

@@ -3,10 +3,14 @@
 import datetime
 import math
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from scholia import registry
 from scholia.adapters import Source
 from scholia.functions.numbers import round_away
+from scholia.functions.text import capital
 from scholia.operators import nearest
 from scholia.plans import linking, stats
 
@@ -39,3 +43,28 @@ def test_scores_equal_when_rounded_are_ranked_by_id(spark):
     assert got == want and len({x for _, x in want}) < 4
     raw = sorted(((-sum(a * b for a, b in zip(e, rows[0][1])), i) for i, e in rows))[:10]
     assert [i for i, _ in want] != [i for _, i in raw]
+
+
+registry.load()
+
+
+@pytest.mark.parametrize("name", ["wqi1_str24_extraction"])
+def test_answers_are_one_capital(spark, tmp_path, name):
+    rows = [(i, "\n".join(c + "x" * n for c in "ßŉǰᾀᾳﬁaéИ" for n in range(6))) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for t in ("events", "part", "nation", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    columns = sorted(df.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.select(columns).collect()) and any("ẞ" in r for r in want)
+
+
+def test_capitals_of_all_letters(spark):
+    con = duckdb.connect()
+    letters = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000]
+    want = dict(con.execute("SELECT x, upper(x) FROM (SELECT unnest(?) AS x)", [letters]).fetchall())
+    got = {r["x"]: r["u"] for r in spark.createDataFrame([(x,) for x in letters], "x string").select("x", capital(F.col("x")).alias("u")).collect()}
+    assert got == want
