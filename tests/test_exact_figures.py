@@ -48,7 +48,7 @@ def test_scores_equal_when_rounded_are_ranked_by_id(spark):
 registry.load()
 
 
-@pytest.mark.parametrize("name", ["wqi1_str24_extraction"])
+@pytest.mark.parametrize("name", ["wqi1_str24_extraction", "wqi2_wqi11_draft_dedup"])
 def test_answers_are_one_capital(spark, tmp_path, name):
     rows = [(i, "\n".join(c + "x" * n for c in "ßŉǰᾀᾳﬁaéИ" for n in range(6))) for i in range(3)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
