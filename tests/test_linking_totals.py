@@ -9,7 +9,7 @@ from scholia import registry
 
 registry.load()
 TOTALS = ["lnk8_lnk9_lnk10_decide", "lnk13_cor7_commit_gate"]
-PAIRS = ["join18_lnk5_cascade"]
+PAIRS = ["join18_lnk5_cascade", "lnk6_subtype_filter"]
 
 
 @pytest.fixture(scope="module")
