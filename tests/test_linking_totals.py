@@ -8,7 +8,7 @@ import pytest
 from scholia import registry
 
 registry.load()
-TOTALS = ["lnk8_lnk9_lnk10_decide", "lnk13_cor7_commit_gate", "join17_lnk1_unique"]
+TOTALS = ["lnk8_lnk9_lnk10_decide", "lnk13_cor7_commit_gate", "join17_lnk1_unique", "lnk2_lnk21_rekey"]
 PAIRS = ["join18_lnk5_cascade", "lnk6_subtype_filter"]
 
 
