@@ -23,3 +23,27 @@ def test_contained_texts_once_for_all_copies(spark):
     d = spark.createDataFrame(rows, "k int, t string").distinct()
     names = {r["h"]: r["t"] for r in d.select(F.xxhash64("t").alias("h"), "t").collect()}
     assert [(r.k, names[r.needle], names[r["stack"]]) for r in joins.contained_texts(d, d, ["k"], "t").collect()] == [(1, "bcabd", "abcabcabd")]
+
+
+def test_clear_beginning_forms_no_pairs_of_a_common_beginning(spark):
+    same = "a beginning that all of them have in common, "
+    left = spark.createDataFrame([(i, 1, f"{same}left {i:05d}") for i in range(1500)] + [(5000, 1, "quite another text of some length")], "id long, k int, t string")
+    right = spark.createDataFrame([(i, 1, f"{same}right {i:05d}") for i in range(1500)] + [(6000, 1, "quite another text of some")], "id long, k int, t string")
+    df = joins.clear_beginning(left, right, ["k"], "t")
+    assert [(r.id, r.r_id, r.score) for r in df.collect()] == [(5000, 6000, 1.0)]
+    made = [0]
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return walk(node.plan())
+        m = node.metrics().get("numOutputRows")
+        if "Join" in node.nodeName() and m.isDefined():
+            made.append(m.get().value())
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    assert 0 < max(made) < 400_000  # 2,250,000 pairs share the beginning
